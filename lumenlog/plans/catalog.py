@@ -1,0 +1,155 @@
+"""Named report queries over the bound driver tables.
+
+Each entry is ``(spark, sf_dir) -> DataFrame`` and reads the given parquet
+tables in full. Output columns are scalar (arrays are rendered with
+``array_join``) so results can be compared with an independent SQL engine.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenlog.operators import usage as U
+from lumenlog.sources import tables as T
+
+REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(name: str):
+    def deco(fn):
+        REGISTRY[name] = fn
+        return fn
+    return deco
+
+
+def _conv(spark, sf):
+    return T.conversation_sessions(spark, sf), T.conversation_messages(spark, sf)
+
+
+def _su(spark, sf):
+    s, m = _conv(spark, sf)
+    return U.session_usage(s, m)
+
+
+USAGE_COLS = ["label", "sessions", "messages", *U.TOKEN_COLS, "total_tokens", "cost_usd"]
+
+
+# ---------------------------------------------------------------- usage family
+@query("usage_by_model")
+def usage_by_model(spark, sf):
+    return U.top_groups(U.usage_by(_su(spark, sf), "model"), 10).select(*USAGE_COLS)
+
+
+@query("usage_by_project")
+def usage_by_project(spark, sf):
+    return U.usage_by(_su(spark, sf), "project").select(*USAGE_COLS)
+
+
+@query("usage_by_date")
+def usage_by_date(spark, sf):
+    return U.usage_by(_su(spark, sf), "date").select(*USAGE_COLS)
+
+
+@query("usage_by_week")
+def usage_by_week(spark, sf):
+    return U.usage_by(_su(spark, sf), "week").select(*USAGE_COLS)
+
+
+@query("usage_totals_rollup")
+def usage_totals_rollup(spark, sf):
+    return U.usage_rollup(_su(spark, sf), "project").select(*USAGE_COLS)
+
+
+@query("usage_top_n")
+def usage_top_n(spark, sf):
+    return U.top_groups(U.usage_by(_su(spark, sf), "date"), 5).select(*USAGE_COLS)
+
+
+@query("usage_share")
+def usage_share(spark, sf):
+    g = U.usage_share(U.usage_by(_su(spark, sf), "project"), 100.0)
+    return g.select("label", "cost_usd", "share", "bar_fraction", "total_cost_usd", "subscription_multiple")
+
+
+WEEKLY_COLS = ["week", "date_range", *[f"{t}_{m}" for t in ("opus", "sonnet", "other")
+                                       for m in ("sessions", "output", "cost")],
+               "total_sessions", "total_output", "total_cost", "opus_output_pct", "opus_cost_pct"]
+
+
+@query("weekly_tiers")
+def weekly_tiers(spark, sf):
+    return U.weekly_tiers(_su(spark, sf)).select(*WEEKLY_COLS)
+
+
+@query("weekly_total")
+def weekly_total(spark, sf):
+    return U.weekly_total(_su(spark, sf)).select(*WEEKLY_COLS)
+
+
+@query("session_usage_ffill")
+def session_usage_ffill(spark, sf):
+    su = _su(spark, sf)
+    return su.select("session_id", "msg_count", *U.TOKEN_COLS, F.coalesce("model", F.lit("unknown")).alias("model"),
+                     "cost_usd")
+
+
+@query("session_cost_own_model")
+def session_cost_own_model(spark, sf):
+    _, m = _conv(spark, sf)
+    return U.session_cost_own_model(m).select("session_id", "cost_usd")
+
+
+@query("price_lookup")
+def price_lookup(spark, sf):
+    from lumenlog.functions.pricing import price_rates
+    _, m = _conv(spark, sf)
+    models = m.where(F.col("msg_type") == "assistant").select(F.coalesce("model", F.lit("")).alias("model")).distinct()
+    r = price_rates(F.when(F.col("model") != "", F.col("model")))
+    return models.select("model", r["model_key"].alias("price_key"), r["r_in"].alias("input_rate"),
+                         r["r_out"].alias("output_rate"), r["r_cw"].alias("cache_write_rate"),
+                         r["r_cr"].alias("cache_read_rate"))
+
+
+@query("overview")
+def overview(spark, sf):
+    s, _ = _conv(spark, sf)
+    return U.overview(s)
+
+
+@query("latest_session")
+def latest_session(spark, sf):
+    s, _ = _conv(spark, sf)
+    return U.latest_session(s).select("session_id", "project_name",
+                                      F.date_format("modified_time", "yyyy-MM-dd HH:mm:ss").alias("modified_time"))
+
+
+@query("find_by_prefix")
+def find_by_prefix(spark, sf):
+    s, _ = _conv(spark, sf)
+    return U.find_session(s, "S00000").select("session_id", "project_dir", "file_path")
+
+
+@query("models_used")
+def models_used(spark, sf):
+    _, m = _conv(spark, sf)
+    return U.models_used(m).select("session_id", F.array_join("models", ",").alias("models"))
+
+
+@query("iso_week_labels")
+def iso_week_labels(spark, sf):
+    from lumenlog.functions.timefmt import iso_week_label, week_range
+    e = T.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"))
+    return (e.select(iso_week_label(F.col("ts")).alias("week"), week_range(F.col("ts")).alias("date_range"))
+             .groupBy("week", "date_range").agg(F.count(F.lit(1)).alias("events")))
+
+
+@query("project_names")
+def project_names(spark, sf):
+    from lumenlog.functions.project import project_name
+    p = T.table(spark, sf, "pages").select("page_id", "url")
+    d = F.concat(F.when(F.col("page_id") % 2 == 0, F.lit("-Users-")).otherwise(F.lit("")),
+                 F.regexp_replace(F.regexp_replace(F.col("url"), "^[a-z]+://", ""), "[/.]", "-"))
+    return p.select(F.col("page_id"), d.alias("project_dir"), project_name(d).alias("project_name"))

@@ -1,0 +1,233 @@
+"""Independent DuckDB SQL for every catalog query (the correctness oracle).
+
+The binding arithmetic of ``lumenlog.sources.tables`` is repeated here as SQL
+CTEs over the pre-registered views (conversations, events, documents, pages...).
+"""
+
+from __future__ import annotations
+
+from lumenlog.functions.fixed_values import FALLBACK_MODEL, PRICE_TABLE
+from lumenlog.functions.pricing import rate_units
+from lumenlog.sources.tables import (
+    BASE_EPOCH,
+    BOUND_MODELS,
+    MTIME_AFTER_START_S,
+    SESSION_SPACING_S,
+    TURN_SPACING_S,
+)
+
+ORACLE: dict[str, str] = {}
+
+
+def q(name: str, sql: str) -> None:
+    ORACLE[name] = sql
+
+
+def _case(idx: str, values: list) -> str:
+    parts = []
+    for i, v in enumerate(values):
+        parts.append(f"WHEN {idx} = {i} THEN " + ("NULL" if v is None else f"'{v}'"))
+    return "CASE " + " ".join(parts) + " END"
+
+
+def price_idx_sql(m: str) -> str:
+    keys = [k for k, *_ in PRICE_TABLE]
+    fb = keys.index(FALLBACK_MODEL) + 1
+    lm = f"lower({m})"
+    parts = [f"WHEN {m} IS NULL OR {m} = '' THEN {fb}"]
+    parts += [f"WHEN {m} = '{k}' THEN {i}" for i, k in enumerate(keys, 1)]
+    parts += [f"WHEN contains({lm}, '{k}') OR contains('{k}', {lm}) THEN {i}" for i, k in enumerate(keys, 1)]
+    return "CASE " + " ".join(parts) + f" ELSE {fb} END"
+
+
+PRICES_VALUES = ", ".join(
+    f"({i}, '{k}', {', '.join(str(rate_units(r)) for r in rates)})" for i, (k, *rates) in enumerate(PRICE_TABLE, 1))
+PRICES = f"(VALUES {PRICES_VALUES}) AS p(idx, model_key, r_in, r_out, r_cw, r_cr)"
+
+SID = "('s' || lpad(CAST(conv_id AS VARCHAR), 7, '0'))"
+TS = f"make_timestamp(CAST(({BASE_EPOCH} + conv_id * {SESSION_SPACING_S} + turn * {TURN_SPACING_S}) AS BIGINT) * 1000000)"
+
+MSG = f"""
+msg AS (
+  SELECT {SID} AS session_id,
+         CAST(turn + 1 AS BIGINT) AS line_no,
+         role AS msg_type,
+         {TS} AS ts,
+         coalesce(text, '') AS content_text,
+         CASE WHEN role = 'assistant' THEN {_case('(conv_id + turn) % 5', BOUND_MODELS)} END AS model,
+         role = 'assistant' AS has_usage,
+         CASE WHEN role = 'assistant' THEN CAST(length(coalesce(text, '')) AS BIGINT) END AS input_tokens,
+         CASE WHEN role = 'assistant' THEN CAST(length(coalesce(text, '')) AS BIGINT) % 97 END AS output_tokens,
+         CASE WHEN role = 'assistant' THEN CAST(length(coalesce(text, '')) AS BIGINT) * 3 % 211 END AS cache_write_tokens,
+         CASE WHEN role = 'assistant' THEN CAST(length(coalesce(text, '')) AS BIGINT) * 7 % 503 END AS cache_read_tokens,
+         CASE WHEN role = 'assistant' THEN CASE (conv_id + turn) % 4 WHEN 0 THEN ['Edit'] WHEN 1 THEN ['Write', 'Read']
+              WHEN 2 THEN []::VARCHAR[] ELSE ['Bash'] END ELSE []::VARCHAR[] END AS tool_names,
+         CASE WHEN role = 'user' AND conv_id % 4 <> 0 THEN '/Users/dev/work/proj' || CAST(conv_id % 7 AS VARCHAR) END AS cwd,
+         CASE WHEN role = 'user' THEN '2.1.' || CAST(conv_id % 10 AS VARCHAR) END AS version,
+         CASE WHEN role = 'user' THEN CASE conv_id % 3 WHEN 0 THEN 'main' WHEN 1 THEN 'dev' END END AS git_branch
+  FROM conversations
+)"""
+
+SES = f"""
+ses AS (
+  SELECT {SID} AS session_id,
+         '-Users-dev-work-proj' || CAST(conv_id % 7 AS VARCHAR) AS project_dir,
+         '~/work/proj' || CAST(conv_id % 7 AS VARCHAR) AS project_name,
+         '/data/projects/-Users-dev-work-proj' || CAST(conv_id % 7 AS VARCHAR) || '/' || {SID} || '.jsonl' AS file_path,
+         CAST(sum(strlen(coalesce(text, ''))) + count(*) * 64 AS BIGINT) AS file_size,
+         make_timestamp(CAST(({BASE_EPOCH} + conv_id * {SESSION_SPACING_S} + {MTIME_AFTER_START_S}) AS BIGINT) * 1000000)
+           AS modified_time,
+         false AS is_agent
+  FROM conversations GROUP BY conv_id
+)"""
+
+# W2 + J2 + F1 per message, then A1 per session (left join from sessions).
+PRICED = f"""
+priced AS (
+  SELECT m.*, p.r_in * coalesce(input_tokens, 0) + p.r_out * coalesce(output_tokens, 0)
+              + p.r_cw * coalesce(cache_write_tokens, 0) + p.r_cr * coalesce(cache_read_tokens, 0) AS units_all
+  FROM (SELECT *, last_value(nullif(model, '') IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY line_no
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS eff_model FROM msg) m
+  JOIN {PRICES} ON p.idx = {price_idx_sql('m.eff_model')}
+),
+per AS (
+  SELECT session_id, count(*) AS msg_count,
+         CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens,
+         CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens,
+         CAST(coalesce(sum(cache_write_tokens), 0) AS BIGINT) AS cache_write_tokens,
+         CAST(coalesce(sum(cache_read_tokens), 0) AS BIGINT) AS cache_read_tokens,
+         coalesce(sum(CASE WHEN has_usage THEN units_all END), 0) AS cost_units,
+         arg_max(model, line_no) FILTER (WHERE model IS NOT NULL AND model <> '') AS model
+  FROM priced GROUP BY session_id
+),
+su AS (
+  SELECT s.*, coalesce(p.msg_count, 0) AS msg_count, coalesce(p.input_tokens, 0) AS input_tokens,
+         coalesce(p.output_tokens, 0) AS output_tokens, coalesce(p.cache_write_tokens, 0) AS cache_write_tokens,
+         coalesce(p.cache_read_tokens, 0) AS cache_read_tokens, coalesce(p.cost_units, 0) AS cost_units, p.model
+  FROM ses s LEFT JOIN per p USING (session_id)
+)"""
+
+BASE = "WITH " + ",".join([MSG, SES, PRICED])
+
+WEEK = "strftime({c}, '%G-W%V')"
+USAGE_SELECT = """label, CAST(count(*) AS BIGINT) AS sessions, CAST(sum(msg_count) AS BIGINT) AS messages,
+  CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
+  CAST(sum(cache_write_tokens) AS BIGINT) AS cache_write_tokens, CAST(sum(cache_read_tokens) AS BIGINT) AS cache_read_tokens,
+  CAST(sum(input_tokens) + sum(output_tokens) AS BIGINT) AS total_tokens,
+  CAST(sum(cost_units) AS DOUBLE) / 1e10 AS cost_usd"""
+
+
+def usage_group(label_expr: str, top: int | None = None) -> str:
+    sql = f"{BASE} SELECT {USAGE_SELECT} FROM (SELECT *, {label_expr} AS label FROM su) GROUP BY label"
+    if top:
+        sql = f"SELECT * FROM ({sql}) ORDER BY cost_usd DESC, label ASC LIMIT {top}"
+    return sql
+
+
+q("usage_by_model", usage_group("coalesce(model, 'unknown')", top=10))
+q("usage_by_project", usage_group("project_name"))
+q("usage_by_date", usage_group("coalesce(strftime(modified_time, '%Y-%m-%d'), 'unknown')"))
+q("usage_by_week", usage_group(f"coalesce({WEEK.format(c='modified_time')}, 'unknown')"))
+q("usage_totals_rollup", f"""{BASE}
+SELECT {USAGE_SELECT} FROM (SELECT *, project_name AS label FROM su) GROUP BY label
+UNION ALL
+SELECT {USAGE_SELECT.replace('label,', "'TOTAL' AS label,", 1)} FROM su""")
+q("usage_top_n", usage_group("coalesce(strftime(modified_time, '%Y-%m-%d'), 'unknown')", top=5))
+q("usage_share", f"""{BASE}, g AS (SELECT project_name AS label, sum(cost_units) AS cost_units FROM su GROUP BY 1)
+SELECT label, CAST(cost_units AS DOUBLE) / 1e10 AS cost_usd,
+  CASE WHEN sum(cost_units) OVER () > 0 THEN CAST(cost_units AS DOUBLE) / CAST(sum(cost_units) OVER () AS DOUBLE) ELSE 0.0 END AS share,
+  CASE WHEN max(cost_units) OVER () > 0 THEN CAST(cost_units AS DOUBLE) / CAST(max(cost_units) OVER () AS DOUBLE) ELSE 0.0 END AS bar_fraction,
+  CAST(sum(cost_units) OVER () AS DOUBLE) / 1e10 AS total_cost_usd,
+  CAST(sum(cost_units) OVER () AS DOUBLE) / 1e10 / 100.0 AS subscription_multiple
+FROM g""")
+
+TIER = ("CASE WHEN contains(lower(coalesce(model, '')), 'opus') THEN 'opus' "
+        "WHEN contains(lower(coalesce(model, '')), 'sonnet') THEN 'sonnet' ELSE 'other' END")
+
+
+def _tier_cols() -> str:
+    cols = []
+    for t in ("opus", "sonnet", "other"):
+        cols += [f"CAST(sum(CASE WHEN tier = '{t}' THEN 1 ELSE 0 END) AS BIGINT) AS {t}_sessions",
+                 f"CAST(sum(CASE WHEN tier = '{t}' THEN output_tokens ELSE 0 END) AS BIGINT) AS {t}_output",
+                 f"coalesce(sum(CASE WHEN tier = '{t}' THEN cost_units END), 0) AS {t}_units"]
+    return ", ".join(cols)
+
+
+WEEKLY_FINISH = """
+SELECT week, date_range,
+  opus_sessions, opus_output, CAST(opus_units AS DOUBLE) / 1e10 AS opus_cost,
+  sonnet_sessions, sonnet_output, CAST(sonnet_units AS DOUBLE) / 1e10 AS sonnet_cost,
+  other_sessions, other_output, CAST(other_units AS DOUBLE) / 1e10 AS other_cost,
+  opus_sessions + sonnet_sessions + other_sessions AS total_sessions,
+  opus_output + sonnet_output + other_output AS total_output,
+  CAST(opus_units + sonnet_units + other_units AS DOUBLE) / 1e10 AS total_cost,
+  CASE WHEN opus_output + sonnet_output + other_output <> 0
+       THEN opus_output / (opus_output + sonnet_output + other_output) * 100 ELSE 0.0 END AS opus_output_pct,
+  CASE WHEN opus_units + sonnet_units + other_units <> 0
+       THEN (CAST(opus_units AS DOUBLE) / 1e10) / (CAST(opus_units + sonnet_units + other_units AS DOUBLE) / 1e10) * 100
+       ELSE 0.0 END AS opus_cost_pct
+FROM t"""
+
+q("weekly_tiers", f"""{BASE}, t AS (
+  SELECT {WEEK.format(c='modified_time')} AS week,
+         strftime(date_trunc('week', modified_time), '%m/%d') || '-' ||
+         strftime(date_trunc('week', modified_time) + INTERVAL 6 DAY, '%m/%d') AS date_range,
+         {_tier_cols()}
+  FROM (SELECT *, {TIER} AS tier FROM su WHERE modified_time IS NOT NULL) GROUP BY 1, 2)
+{WEEKLY_FINISH}""")
+q("weekly_total", f"""{BASE}, t AS (
+  SELECT 'TOTAL' AS week, '' AS date_range, {_tier_cols()}
+  FROM (SELECT *, {TIER} AS tier FROM su WHERE modified_time IS NOT NULL))
+{WEEKLY_FINISH}""")
+
+q("session_usage_ffill", f"""{BASE}
+SELECT session_id, CAST(msg_count AS BIGINT) AS msg_count, input_tokens, output_tokens, cache_write_tokens,
+       cache_read_tokens, coalesce(model, 'unknown') AS model, CAST(cost_units AS DOUBLE) / 1e10 AS cost_usd FROM su""")
+
+q("session_cost_own_model", f"""WITH {MSG}
+SELECT session_id, CAST(coalesce(sum(CASE WHEN has_usage THEN p.r_in * coalesce(input_tokens, 0)
+       + p.r_out * coalesce(output_tokens, 0) + p.r_cw * coalesce(cache_write_tokens, 0)
+       + p.r_cr * coalesce(cache_read_tokens, 0) END), 0) AS DOUBLE) / 1e10 AS cost_usd
+FROM msg m JOIN {PRICES} ON p.idx = {price_idx_sql("nullif(m.model, '')")}
+WHERE msg_type = 'assistant' GROUP BY session_id""")
+
+q("price_lookup", f"""WITH {MSG}, mm AS (SELECT DISTINCT coalesce(model, '') AS model FROM msg WHERE msg_type = 'assistant')
+SELECT model, p.model_key AS price_key, CAST(p.r_in AS BIGINT) AS input_rate, CAST(p.r_out AS BIGINT) AS output_rate,
+       CAST(p.r_cw AS BIGINT) AS cache_write_rate, CAST(p.r_cr AS BIGINT) AS cache_read_rate
+FROM mm JOIN {PRICES} ON p.idx = {price_idx_sql("nullif(mm.model, '')")}""")
+
+q("overview", f"""WITH {SES}
+SELECT CAST(count(*) AS BIGINT) AS total_sessions, CAST(coalesce(sum(file_size), 0) AS BIGINT) AS total_size,
+       CAST(count(DISTINCT project_name) AS BIGINT) AS projects,
+       strftime(min(modified_time), '%Y-%m-%d') AS first_date, strftime(max(modified_time), '%Y-%m-%d') AS last_date
+FROM ses""")
+
+q("latest_session", f"""WITH {SES}
+SELECT session_id, project_name, strftime(modified_time, '%Y-%m-%d %H:%M:%S') AS modified_time
+FROM ses ORDER BY ses.modified_time DESC, session_id DESC LIMIT 1""")
+
+q("find_by_prefix", f"""WITH {SES}
+SELECT session_id, project_dir, file_path FROM ses
+WHERE NOT is_agent AND starts_with(lower(session_id), 's00000') ORDER BY project_dir, session_id LIMIT 1""")
+
+q("models_used", f"""WITH {MSG}
+SELECT session_id, array_to_string(list_sort(list_distinct(list(model))), ',') AS models
+FROM msg WHERE msg_type = 'assistant' AND model <> '' GROUP BY session_id""")
+
+q("iso_week_labels", """
+SELECT strftime(ts, '%G-W%V') AS week,
+       strftime(date_trunc('week', ts), '%m/%d') || '-' || strftime(date_trunc('week', ts) + INTERVAL 6 DAY, '%m/%d') AS date_range,
+       count(*) AS events
+FROM events GROUP BY 1, 2""")
+
+q("project_names", r"""
+WITH d AS (
+  SELECT page_id, (CASE WHEN page_id % 2 = 0 THEN '-Users-' ELSE '' END)
+         || regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[/.]', '-', 'g') AS project_dir FROM pages),
+p AS (SELECT *, string_split(regexp_replace(project_dir, '^-+', ''), '-') AS parts FROM d),
+i AS (SELECT *, coalesce(list_position(list_transform(parts, lambda x: lower(x)), 'users'), 0) AS idx FROM p)
+SELECT page_id, project_dir,
+  CASE WHEN idx > 0 THEN '~/' || array_to_string(parts[idx + 2:], '/') ELSE '/' || array_to_string(parts, '/') END
+  AS project_name
+FROM i""")
