@@ -145,7 +145,7 @@ def snippet(text: Column, pattern: str, ctx: int) -> Column:
     Offsets are taken from capture groups (code points), never from byte or
     UTF-16 positions.
     """
-    full = f"(?s)^(.*?)({pattern})"
+    full = f"^((?s:.*?))({pattern})"
     pre = F.regexp_extract(text, full, 1)
     hit = F.regexp_extract(text, full, 2)
     start = F.length(pre)

@@ -153,3 +153,112 @@ def project_names(spark, sf):
     d = F.concat(F.when(F.col("page_id") % 2 == 0, F.lit("-Users-")).otherwise(F.lit("")),
                  F.regexp_replace(F.regexp_replace(F.col("url"), "^[a-z]+://", ""), "[/.]", "-"))
     return p.select(F.col("page_id"), d.alias("project_dir"), project_name(d).alias("project_name"))
+
+
+# ---------------------------------------------------------------- sessions and search
+from lumenlog.operators import search as S  # noqa: E402
+from lumenlog.operators import sessions as SS  # noqa: E402
+
+LIST_COLS = ["session_id", "display_project", "head_model", "msg_count", "total_tokens", "first_ts",
+             "duration_seconds", "total"]
+
+
+def _listing(spark, sf, sort, limit=20, model=None):
+    s, m = _conv(spark, sf)
+    listed = SS.list_sessions(s, m, home="/Users/dev", model=model, sort=sort)
+    top = SS.top_sessions(listed, limit)
+    return top.select("session_id", "display_project", F.coalesce("head_model", F.lit("")).alias("head_model"),
+                      "msg_count", "total_tokens",
+                      F.date_format("first_timestamp", "yyyy-MM-dd HH:mm:ss").alias("first_ts"),
+                      "duration_seconds", "total")
+
+
+@query("session_list")
+def session_list(spark, sf):
+    return _listing(spark, sf, "date")
+
+
+@query("session_list_by_tokens")
+def session_list_by_tokens(spark, sf):
+    return _listing(spark, sf, "tokens", 15, model="opus")
+
+
+@query("session_span")
+def session_span(spark, sf):
+    _, m = _conv(spark, sf)
+    c = SS.session_context(m)
+    return c.select("session_id", F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss").alias("first_ts"),
+                    F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss").alias("last_ts"), "duration_seconds")
+
+
+@query("session_context")
+def session_context(spark, sf):
+    _, m = _conv(spark, sf)
+    c = SS.session_context(m)
+    return c.select("session_id", "cwd", "git_branch", "version")
+
+
+@query("head_meta")
+def head_meta(spark, sf):
+    _, m = _conv(spark, sf)
+    h = SS.head_meta(m)
+    return h.select("session_id", F.date_format("first_timestamp", "yyyy-MM-dd HH:mm:ss").alias("first_timestamp"),
+                    "cwd", "version", "git_branch", F.length("first_user_text").cast("bigint").alias("preview_len"),
+                    "head_model")
+
+
+SEARCH_COLS = ["session_id", "line_no", "msg_type", "context_before", "match_text", "context_after"]
+
+
+def _search(spark, sf, terms, **kw):
+    _, m = _conv(spark, sf)
+    return S.search(m, terms, **kw).select(*SEARCH_COLS)
+
+
+@query("search_literal")
+def search_literal(spark, sf):
+    return _search(spark, sf, ["ment"])
+
+
+@query("search_and")
+def search_and(spark, sf):
+    return _search(spark, sf, ["the", "ion"], context_chars=30)
+
+
+@query("search_regex")
+def search_regex(spark, sf):
+    return _search(spark, sf, ["qu[a-z]+e", "[ée]n"], regex=True, context_chars=40)
+
+
+@query("search_case_sensitive")
+def search_case_sensitive(spark, sf):
+    return _search(spark, sf, ["The"], case_sensitive=True, context_chars=20)
+
+
+@query("search_role")
+def search_role(spark, sf):
+    return _search(spark, sf, ["ung"], roles=["user"])
+
+
+@query("search_model_filter")
+def search_model_filter(spark, sf):
+    return _search(spark, sf, ["the"], model="OPUS", context_chars=25)
+
+
+@query("search_limit")
+def search_limit(spark, sf):
+    s, m = _conv(spark, sf)
+    r = S.search(m, ["ent"], context_chars=15)
+    return S.limit_in_stream_order(r, s, 25).select(*SEARCH_COLS)
+
+
+@query("search_summary")
+def search_summary(spark, sf):
+    _, m = _conv(spark, sf)
+    return S.search_summary(S.search(m, ["with"]))
+
+
+@query("grep_context")
+def grep_context(spark, sf):
+    _, m = _conv(spark, sf)
+    return S.grep_context(m, "schk", context=1).select("session_id", "line_no", "pos", "msg_type", "is_match")

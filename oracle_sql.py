@@ -231,3 +231,132 @@ SELECT page_id, project_dir,
   CASE WHEN idx > 0 THEN '~/' || array_to_string(parts[idx + 2:], '/') ELSE '/' || array_to_string(parts, '/') END
   AS project_name
 FROM i""")
+
+
+# ---------------------------------------------------------------- sessions and search
+def _first_by(v: str, cond: str) -> str:
+    return f"arg_min({v}, line_no) FILTER (WHERE {cond})"
+
+
+HEAD = f"""
+head AS (
+  SELECT session_id,
+         {_first_by('ts', 'ts IS NOT NULL')} AS first_timestamp,
+         {_first_by('cwd', "msg_type = 'user'")} AS cwd,
+         {_first_by('version', "msg_type = 'user'")} AS version,
+         {_first_by('git_branch', "msg_type = 'user'")} AS git_branch,
+         nullif({_first_by('content_text', "msg_type = 'user'")}, '') AS first_user_text,
+         {_first_by('model', "msg_type = 'assistant' AND model <> ''")} AS head_model
+  FROM msg WHERE line_no <= 20 GROUP BY session_id
+)"""
+
+
+def listing_sql(sort_expr: str, limit: int, model: str | None = None) -> str:
+    mf = f"WHERE contains(lower(coalesce(head_model, '')), '{model.lower()}')" if model else ""
+    return f"""WITH {MSG}, {SES}, {HEAD},
+cnt AS (SELECT session_id, count(*) AS msg_count,
+               CAST(coalesce(sum(CASE WHEN has_usage THEN coalesce(input_tokens, 0) + coalesce(output_tokens, 0) END), 0) AS BIGINT) AS total_tokens
+        FROM msg GROUP BY session_id),
+l AS (
+  SELECT s.session_id, CASE WHEN h.cwd IS NOT NULL AND h.cwd <> '' THEN
+           CASE WHEN starts_with(h.cwd, '/Users/dev') THEN replace(h.cwd, '/Users/dev', '~') ELSE h.cwd END
+         ELSE s.project_name END AS display_project,
+         coalesce(h.head_model, '') AS head_model, h.head_model AS hm,
+         CAST(coalesce(c.msg_count, 0) AS BIGINT) AS msg_count, CAST(coalesce(c.total_tokens, 0) AS BIGINT) AS total_tokens,
+         h.first_timestamp, s.modified_time,
+         (epoch_us(s.modified_time) - epoch_us(h.first_timestamp)) / 1e6 AS duration_seconds
+  FROM ses s LEFT JOIN head h USING (session_id) LEFT JOIN cnt c USING (session_id)),
+f AS (SELECT *, coalesce(hm, '') AS head_model2 FROM l {mf.replace('head_model', 'hm')})
+SELECT session_id, display_project, head_model, msg_count, total_tokens,
+       strftime(first_timestamp, '%Y-%m-%d %H:%M:%S') AS first_ts, duration_seconds,
+       (SELECT count(*) FROM f) AS total
+FROM f ORDER BY {sort_expr} DESC, session_id ASC LIMIT {limit}"""
+
+
+q("session_list", listing_sql("epoch_us(coalesce(first_timestamp, modified_time))", 20))
+q("session_list_by_tokens", listing_sql("total_tokens", 15, model="opus"))
+
+CTX = """
+ctx AS (
+  SELECT session_id,
+         arg_min(cwd, line_no) FILTER (WHERE msg_type = 'user' AND cwd IS NOT NULL) AS cwd,
+         arg_min(git_branch, line_no) FILTER (WHERE msg_type = 'user' AND cwd IS NOT NULL) AS b1,
+         arg_min(version, line_no) FILTER (WHERE msg_type = 'user' AND cwd IS NOT NULL) AS v1,
+         count(*) FILTER (WHERE msg_type = 'user' AND cwd IS NOT NULL) AS n_cwd,
+         arg_max(git_branch, line_no) FILTER (WHERE msg_type = 'user') AS b2,
+         arg_max(version, line_no) FILTER (WHERE msg_type = 'user') AS v2,
+         min(ts) AS first_ts, max(ts) AS last_ts
+  FROM msg GROUP BY session_id
+)"""
+q("session_span", f"""WITH {MSG}, {CTX}
+SELECT session_id, strftime(first_ts, '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(last_ts, '%Y-%m-%d %H:%M:%S') AS last_ts,
+       (epoch_us(last_ts) - epoch_us(first_ts)) / 1e6 AS duration_seconds FROM ctx""")
+q("session_context", f"""WITH {MSG}, {CTX}
+SELECT session_id, cwd, CASE WHEN n_cwd > 0 THEN b1 ELSE b2 END AS git_branch,
+       CASE WHEN n_cwd > 0 THEN v1 ELSE v2 END AS version FROM ctx""")
+q("head_meta", f"""WITH {MSG}, {HEAD}
+SELECT session_id, strftime(first_timestamp, '%Y-%m-%d %H:%M:%S') AS first_timestamp, cwd, version, git_branch,
+       CAST(length(first_user_text) AS BIGINT) AS preview_len, head_model FROM head""")
+
+
+def _lit_ci(term: str) -> str:
+    from lumenlog.functions.text import regex_escape
+    return "(?i:" + regex_escape(term) + ")"
+
+
+def snippet_sql(pat: str, ctx: int) -> str:
+    full = f"^((?s:.*?))({pat})"
+    return f"""
+  SELECT *, length(pre) AS st, length(pre) + length(hit) AS en FROM (
+    SELECT *, regexp_extract(content_text, '{full}', 1) AS pre, regexp_extract(content_text, '{full}', 2) AS hit
+    FROM hits)"""
+
+
+def search_sql(terms: list[str], regex=False, case_sensitive=False, roles=("user", "assistant"), model=None,
+               ctx=80, limit=None) -> str:
+    from lumenlog.functions.text import regex_escape
+
+    def pat(t):
+        body = t if regex else regex_escape(t)
+        return body if case_sensitive else f"(?i:{body})"
+    conds = ["content_text <> ''"] + [f"regexp_matches(content_text, '{pat(t)}')" for t in terms]
+    conds.append("msg_type IN (" + ", ".join(f"'{r}'" for r in roles) + ")")
+    if model:
+        conds.append(f"(model IS NULL OR model = '' OR contains(lower(model), '{model.lower()}'))")
+    sel = f"""WITH {MSG}, {SES}, hits AS (SELECT * FROM msg WHERE {' AND '.join(conds)}),
+sn AS ({snippet_sql(pat(terms[0]), ctx)}),
+out AS (
+  SELECT session_id, line_no, msg_type,
+    CASE WHEN st - {ctx} > 0 AND substring(pre, st - {ctx} + 1, {ctx}) <> ''
+         THEN '…' || regexp_replace(substring(pre, st - {ctx} + 1, {ctx}), '^\\s+', '')
+         WHEN st - {ctx} > 0 THEN substring(pre, st - {ctx} + 1, {ctx}) ELSE pre END AS context_before,
+    hit AS match_text,
+    CASE WHEN en + {ctx} < length(content_text) AND substring(content_text, en + 1, {ctx}) <> ''
+         THEN regexp_replace(substring(content_text, en + 1, {ctx}), '\\s+$', '') || '…'
+         ELSE substring(content_text, en + 1, {ctx}) END AS context_after
+  FROM sn)"""
+    if limit:
+        return sel + f"""
+SELECT o.session_id, line_no, msg_type, context_before, match_text, context_after
+FROM out o JOIN ses USING (session_id) ORDER BY ses.project_dir, o.session_id, line_no LIMIT {limit}"""
+    return sel + "\nSELECT * FROM out"
+
+
+q("search_literal", search_sql(["ment"]))
+q("search_and", search_sql(["the", "ion"], ctx=30))
+q("search_regex", search_sql(["qu[a-z]+e", "[ée]n"], regex=True, ctx=40))
+q("search_case_sensitive", search_sql(["The"], case_sensitive=True, ctx=20))
+q("search_role", search_sql(["ung"], roles=("user",)))
+q("search_model_filter", search_sql(["the"], model="OPUS", ctx=25))
+q("search_limit", search_sql(["ent"], ctx=15, limit=25))
+q("search_summary", f"""WITH {MSG}, hits AS (
+  SELECT * FROM msg WHERE content_text <> '' AND regexp_matches(content_text, '(?i:with)')
+    AND msg_type IN ('user', 'assistant'))
+SELECT session_id, CAST(count(*) AS BIGINT) AS matches, min(line_no) AS first_line,
+       (SELECT count(*) FROM hits) AS total_matches, (SELECT count(DISTINCT session_id) FROM hits) AS matched_sessions
+FROM hits GROUP BY session_id""")
+q("grep_context", f"""WITH {MSG}, p AS (
+  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS pos,
+         regexp_matches(content_text, '(?i:schk)') AS is_match FROM msg),
+h AS (SELECT DISTINCT session_id, unnest(range(pos - 1, pos + 2)) AS pos FROM p WHERE is_match)
+SELECT session_id, line_no, CAST(pos AS BIGINT) AS pos, msg_type, is_match FROM p SEMI JOIN h USING (session_id, pos)""")
