@@ -262,3 +262,40 @@ def search_summary(spark, sf):
 def grep_context(spark, sf):
     _, m = _conv(spark, sf)
     return S.grep_context(m, "schk", context=1).select("session_id", "line_no", "pos", "msg_type", "is_match")
+
+
+# ---------------------------------------------------------------- focus
+from lumenlog.operators import focus as FO  # noqa: E402
+
+FOCUS_STOP = ["that", "with", "this", "from", "they", "have"]
+FOCUS_AS_OF = "2024-01-20 00:00:00"
+FOCUS_HOURS = 96
+
+
+@query("term_counts")
+def term_counts(spark, sf):
+    _, m = _conv(spark, sf)
+    return FO.term_counts(m, user_only=False, stop_en=FOCUS_STOP).select("term", "count")
+
+
+@query("focus_recent")
+def focus_recent(spark, sf):
+    s, m = _conv(spark, sf)
+    c = FO.focus_counts(s, m, FOCUS_AS_OF, FOCUS_HOURS, stop_en=FOCUS_STOP)
+    return FO.focus_report(c, 20, "recent_count").select("rank", "term", F.col("recent_count").alias("count"), "pct")
+
+
+@query("focus_baseline")
+def focus_baseline(spark, sf):
+    _, m = _conv(spark, sf)
+    c = FO.term_counts(m, stop_en=FOCUS_STOP)
+    r = FO.focus_report(c, 20)
+    return r.select("rank", "term", "count", "pct").withColumn(
+        "messages_scanned", FO.messages_scanned(m).scalar())
+
+
+@query("focus_spikes")
+def focus_spikes(spark, sf):
+    s, m = _conv(spark, sf)
+    return FO.focus_spikes(s, m, FOCUS_AS_OF, FOCUS_HOURS, 15, stop_en=FOCUS_STOP).select(
+        "rank", "term", "recent_count", "count", "uplift")

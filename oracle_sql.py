@@ -360,3 +360,60 @@ q("grep_context", f"""WITH {MSG}, p AS (
          regexp_matches(content_text, '(?i:schk)') AS is_match FROM msg),
 h AS (SELECT DISTINCT session_id, unnest(range(pos - 1, pos + 2)) AS pos FROM p WHERE is_match)
 SELECT session_id, line_no, CAST(pos AS BIGINT) AS pos, msg_type, is_match FROM p SEMI JOIN h USING (session_id, pos)""")
+
+
+# ---------------------------------------------------------------- focus
+from lumenlog.functions.fixed_values import DEFAULT_STOP_ZH_WORDS, FOCUS_NOISE_PREFIXES  # noqa: E402,F401
+
+
+def _sql_list(xs) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+
+
+FOCUS_STOP = ["that", "with", "this", "from", "they", "have"]
+
+
+def focus_filter_sql(user_only: bool) -> str:
+    types = "('user')" if user_only else "('user', 'assistant')"
+    noise = " OR ".join(f"starts_with(content_text, '{p}')" for p in FOCUS_NOISE_PREFIXES)
+    return (f"msg_type IN {types} AND content_text <> '' AND length(content_text) >= 5 AND NOT ({noise}) "
+            "AND NOT ((length(content_text) - length(replace(content_text, '/', ''))) "
+            "/ greatest(length(content_text), 1) > 0.05)")
+
+
+def terms_sql(src: str, extra_cols: str = "") -> str:
+    return f"""SELECT unnest(list_filter(list_transform(list_filter(
+        regexp_split_to_array(content_text, '[^\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-zA-Z]{{4,}}')),
+        lambda x: lower(x)), lambda x: NOT list_contains({_sql_list(FOCUS_STOP)}, x))) AS term{extra_cols}
+    FROM {src}"""
+
+
+q("term_counts", f"""WITH {MSG}, f AS (SELECT * FROM msg WHERE {focus_filter_sql(False)})
+SELECT term, count(*) AS count FROM ({terms_sql('f')}) GROUP BY term""")
+
+RECENT = """(modified_time >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 96 HOUR)"""
+
+FOCUS_COUNTS = f"""WITH {MSG}, {SES},
+f AS (SELECT m.*, {RECENT} AS is_recent FROM msg m JOIN ses USING (session_id) WHERE {focus_filter_sql(True)}),
+c AS (SELECT term, count(*) AS count, CAST(sum(CASE WHEN is_recent THEN 1 ELSE 0 END) AS BIGINT) AS recent_count
+      FROM ({terms_sql('f', ', is_recent')}) GROUP BY term)"""
+
+q("focus_recent", f"""{FOCUS_COUNTS},
+t AS (SELECT * FROM c WHERE recent_count > 0 ORDER BY recent_count DESC, term ASC LIMIT 20)
+SELECT CAST(row_number() OVER (ORDER BY recent_count DESC, term ASC) AS BIGINT) AS rank, term,
+       recent_count AS count, recent_count / max(recent_count) OVER () AS pct FROM t""")
+
+q("focus_baseline", f"""WITH {MSG}, f AS (SELECT * FROM msg WHERE {focus_filter_sql(True)}),
+c AS (SELECT term, count(*) AS count FROM ({terms_sql('f')}) GROUP BY term),
+t AS (SELECT * FROM c ORDER BY count DESC, term ASC LIMIT 20)
+SELECT CAST(row_number() OVER (ORDER BY count DESC, term ASC) AS BIGINT) AS rank, term, count,
+       count / max(count) OVER () AS pct, (SELECT count(*) FROM f) AS messages_scanned FROM t""")
+
+q("focus_spikes", f"""{FOCUS_COUNTS},
+n AS (SELECT greatest(sum(CASE WHEN {RECENT} THEN 1 ELSE 0 END), 1) AS n_recent, greatest(count(*), 1) AS n_all FROM ses),
+cand AS (SELECT * FROM c WHERE recent_count > 0 ORDER BY recent_count DESC, term ASC LIMIT 30),
+s AS (SELECT cand.*, CASE WHEN count / n_all = 0 THEN recent_count / n_recent * 10
+                     ELSE (recent_count / n_recent) / (count / n_all) END AS uplift FROM cand, n),
+t AS (SELECT * FROM s ORDER BY uplift DESC, recent_count DESC, term ASC LIMIT 15)
+SELECT CAST(row_number() OVER (ORDER BY uplift DESC, recent_count DESC, term ASC) AS BIGINT) AS rank,
+       term, recent_count, count, uplift FROM t""")
