@@ -299,3 +299,47 @@ def focus_spikes(spark, sf):
     s, m = _conv(spark, sf)
     return FO.focus_spikes(s, m, FOCUS_AS_OF, FOCUS_HOURS, 15, stop_en=FOCUS_STOP).select(
         "rank", "term", "recent_count", "count", "uplift")
+
+
+# ---------------------------------------------------------------- digest
+from lumenlog.operators import digest as D  # noqa: E402
+
+DIGEST_SIGNALS = ["tion", "heit", "Because"]
+
+
+@query("exchange_pairs")
+def exchange_pairs(spark, sf):
+    _, m = _conv(spark, sf)
+    return D.pair_exchanges(m).select("session_id", "user_line", "assistant_line")
+
+
+@query("digest_key_exchanges")
+def digest_key_exchanges(spark, sf):
+    _, m = _conv(spark, sf)
+    k = D.key_exchanges(D.conversational_pairs(m, signals=DIGEST_SIGNALS), 2)
+    return k.select("session_id", F.col("rank").cast("bigint").alias("rank"), "user_line", "user_text",
+                    "assistant_text")
+
+
+@query("digest_tail")
+def digest_tail(spark, sf):
+    _, m = _conv(spark, sf)
+    p = D.conversational_pairs(m, signals=DIGEST_SIGNALS)
+    t = D.tail_exchanges(p, D.key_exchanges(p, 2), 3)
+    return t.select("session_id", F.col("rank").cast("bigint").alias("rank"), "user_line", "user_text",
+                    "assistant_text")
+
+
+@query("digest_topic")
+def digest_topic(spark, sf):
+    _, m = _conv(spark, sf)
+    return D.digest_topic(m)
+
+
+@query("digest_summary")
+def digest_summary(spark, sf):
+    s, m = _conv(spark, sf)
+    d = D.digest_sessions(s, m, tail_n=3, max_key=2, signals=DIGEST_SIGNALS)
+    return d.select("session_id", "date", "project", "duration_min", "message_count", "topic",
+                    F.size("key_exchanges").cast("bigint").alias("n_key"),
+                    F.size("tail_exchanges").cast("bigint").alias("n_tail"))

@@ -417,3 +417,65 @@ s AS (SELECT cand.*, CASE WHEN count / n_all = 0 THEN recent_count / n_recent *
 t AS (SELECT * FROM s ORDER BY uplift DESC, recent_count DESC, term ASC LIMIT 15)
 SELECT CAST(row_number() OVER (ORDER BY uplift DESC, recent_count DESC, term ASC) AS BIGINT) AS rank,
        term, recent_count, count, uplift FROM t""")
+
+
+# ---------------------------------------------------------------- digest
+from lumenlog.functions.fixed_values import DIGEST_TOOL_PREFIXES  # noqa: E402
+from lumenlog.functions.text import literal_alternation  # noqa: E402
+
+DIGEST_SIGNALS = ["tion", "heit", "Because"]
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def trunc_sql(x: str, n: int) -> str:
+    t = f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+    return f"(CASE WHEN length({t}) <= {n} THEN {t} ELSE rtrim(substring({t}, 1, {n})) || '…' END)"
+
+
+SIG = "(?i)" + literal_alternation(DIGEST_SIGNALS)
+PFX = " OR ".join(f"starts_with(u, '{p}')" for p in DIGEST_TOOL_PREFIXES)
+PAIRS = f"""
+ua AS (SELECT * FROM msg WHERE msg_type IN ('user', 'assistant')),
+lp AS (SELECT session_id, line_no, msg_type, content_text,
+              lead(msg_type) OVER w AS nt, lead(content_text) OVER w AS nc, lead(line_no) OVER w AS nl
+       FROM ua WINDOW w AS (PARTITION BY session_id ORDER BY line_no)),
+pairs AS (SELECT session_id, line_no AS user_line, content_text AS user_text_raw,
+                 CASE WHEN nt = 'assistant' THEN nl END AS assistant_line,
+                 CASE WHEN nt = 'assistant' THEN nc END AS assistant_text_raw
+          FROM lp WHERE msg_type = 'user'),
+st AS (SELECT *, {strip_sql('user_text_raw')} AS u, {strip_sql('assistant_text_raw')} AS a FROM pairs),
+conv AS (SELECT session_id, user_line, assistant_line, {trunc_sql('u', 160)} AS user_text,
+                {trunc_sql('a', 200)} AS assistant_text,
+                (regexp_matches(u, '{SIG}') OR regexp_matches(a, '{SIG}')) AS has_signal
+         FROM st WHERE a IS NOT NULL AND length(u) >= 15 AND length(a) >= 30 AND NOT ({PFX})),
+keys AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY user_line) AS rank
+                        FROM conv WHERE has_signal) WHERE rank <= 2),
+tail0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY user_line DESC) AS rk
+                         FROM conv) WHERE rk <= 3),
+tail1 AS (SELECT * FROM tail0 ANTI JOIN keys USING (session_id, user_text, assistant_text)),
+tail AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY user_line) AS rank FROM tail1)"""
+
+q("exchange_pairs", f"WITH {MSG}, {PAIRS} SELECT session_id, user_line, assistant_line FROM pairs")
+q("digest_key_exchanges", f"""WITH {MSG}, {PAIRS}
+SELECT session_id, CAST(rank AS BIGINT) AS rank, user_line, user_text, assistant_text FROM keys""")
+q("digest_tail", f"""WITH {MSG}, {PAIRS}
+SELECT session_id, CAST(rank AS BIGINT) AS rank, user_line, user_text, assistant_text FROM tail""")
+TOPIC = f"""topic AS (SELECT session_id, arg_min({trunc_sql(strip_sql('content_text'), 120)}, line_no)
+                   FILTER (WHERE length({strip_sql('content_text')}) > 10) AS topic
+            FROM msg WHERE msg_type = 'user' GROUP BY session_id)"""
+q("digest_topic", f"WITH {MSG}, {TOPIC} SELECT * FROM topic")
+q("digest_summary", f"""WITH {MSG}, {SES}, {CTX}, {PAIRS}, {TOPIC},
+cnt AS (SELECT session_id, count(*) AS message_count FROM msg WHERE msg_type IN ('user', 'assistant') GROUP BY 1),
+nk AS (SELECT session_id, count(*) AS n FROM keys GROUP BY 1),
+nt AS (SELECT session_id, count(*) AS n FROM tail GROUP BY 1)
+SELECT s.session_id, coalesce(strftime(c.first_ts, '%Y-%m-%d'), 'unknown') AS date,
+       CASE WHEN c.cwd IS NOT NULL AND c.cwd <> '' THEN c.cwd ELSE s.project_name END AS project,
+       CASE WHEN epoch_us(c.last_ts) - epoch_us(c.first_ts) <> 0
+            THEN (epoch_us(c.last_ts) - epoch_us(c.first_ts)) / 1e6 / 60 END AS duration_min,
+       CAST(coalesce(cnt.message_count, 0) AS BIGINT) AS message_count, coalesce(t.topic, '') AS topic,
+       CAST(coalesce(nk.n, 0) AS BIGINT) AS n_key, CAST(coalesce(nt.n, 0) AS BIGINT) AS n_tail
+FROM ses s LEFT JOIN ctx c USING (session_id) LEFT JOIN cnt USING (session_id) LEFT JOIN topic t USING (session_id)
+     LEFT JOIN nk USING (session_id) LEFT JOIN nt USING (session_id)""")
