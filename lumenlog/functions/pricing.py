@@ -46,6 +46,27 @@ def price_index(model: Column, prices=None, fallback: str = FALLBACK_MODEL) -> C
     return expr.otherwise(F.lit(fb))
 
 
+def price_index_sql(m: str, prices=None, fallback: str = FALLBACK_MODEL) -> str:
+    """``price_index`` as a SQL expression over the SQL expression ``m``."""
+    keys = [t[0] for t in _table(prices)]
+    fb = keys.index(fallback) + 1 if fallback in keys else 1
+    parts = [f"WHEN {m} IS NULL OR {m} = '' THEN {fb}"]
+    parts += [f"WHEN {m} = '{k}' THEN {i}" for i, k in enumerate(keys, 1)]
+    parts += [f"WHEN contains(lower({m}), '{k}') OR contains('{k}', lower({m})) THEN {i}" for i, k in enumerate(keys, 1)]
+    return "CASE " + " ".join(parts) + f" ELSE {fb} END"
+
+
+def cost_units_sql(m: str, i: str, o: str, cw: str, cr: str, prices=None) -> str:
+    """F1 in 1e-10 USD as one SQL expression: rates picked by the price index."""
+    table = _table(prices)
+    idx = price_index_sql(m, prices)
+
+    def rate(j):
+        return "element_at(array(" + ", ".join(f"CAST({t[j]} AS BIGINT)" for t in table) + f"), {idx})"
+    return (f"CAST(coalesce({i}, 0) * {rate(1)} + coalesce({o}, 0) * {rate(2)} "
+            f"+ coalesce({cw}, 0) * {rate(3)} + coalesce({cr}, 0) * {rate(4)} AS BIGINT)")
+
+
 def price_rates(model: Column, prices=None, fallback: str = FALLBACK_MODEL) -> Column:
     """Struct(input, output, cache_write, cache_read) of integer rate units."""
     table = _table(prices)

@@ -28,3 +28,13 @@ def display_project(cwd: Column, project_name_col: Column, home: str | None = No
     if home:
         shown = F.when(F.startswith(cwd, F.lit(home)), F.replace(cwd, F.lit(home), F.lit("~"))).otherwise(cwd)
     return F.when(has_cwd, shown).otherwise(project_name_col)
+
+
+def project_name_sql(d: str) -> str:
+    """F2 as a SQL expression over the SQL expression ``d`` (one JVM call to build)."""
+    parts = f"split(regexp_replace({d}, '^-+', ''), '-', -1)"
+    idx = f"array_position(transform({parts}, p -> lower(p)), 'users')"
+    rest = f"size({parts}) - ({idx} + 1)"
+    return (f"CASE WHEN {idx} > 0 THEN concat('~/', CASE WHEN {rest} > 0 THEN "
+            f"array_join(slice({parts}, CAST({idx} + 2 AS INT), CAST({rest} AS INT)), '/') ELSE '' END) "
+            f"ELSE concat('/', array_join({parts}, '/')) END")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlog.functions.pricing import cost_units, sum_units, units_to_usd
+from lumenlog.functions.pricing import cost_units_sql, sum_units, units_to_usd
 from lumenlog.functions.timefmt import day_string, iso_week_label, week_range
 from lumenlog.operators.sequence import carry_forward
 
@@ -33,8 +33,8 @@ def priced_messages(messages: DataFrame, key: str = "session_id", prices=None, c
         m = carry_forward(m, [key], "line_no", "_model_nz", "eff_model")
     else:
         m = m.withColumn("eff_model", F.col("_model_nz"))
-    units = cost_units(F.col("eff_model"), *[F.col(c) for c in TOKEN_COLS], prices=prices)
-    return m.withColumn("cost_units", F.when(F.col("has_usage"), units)).drop("_model_nz")
+    units = F.expr(f"CASE WHEN has_usage THEN {cost_units_sql('eff_model', *TOKEN_COLS, prices=prices)} END")
+    return m.withColumn("cost_units", units).drop("_model_nz")
 
 
 def session_usage(sessions: DataFrame, messages: DataFrame, key: str = "session_id", prices=None) -> DataFrame:
@@ -50,10 +50,9 @@ def session_usage(sessions: DataFrame, messages: DataFrame, key: str = "session_
         F.max_by(F.col("model"), F.when(_nonempty(F.col("model")).isNotNull(), F.col("line_no"))).alias("model"),
     )
     out = sessions.join(per, key, "left")
-    for c in ["msg_count", *TOKEN_COLS]:
-        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0)).cast("bigint"))
-    return (out.withColumn("cost_units", F.coalesce(F.col("cost_units"), F.lit(0).cast("decimal(38,0)")))
-               .withColumn("cost_usd", units_to_usd(F.col("cost_units"))))
+    filled = {c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in ["msg_count", *TOKEN_COLS]}
+    filled["cost_units"] = F.coalesce(F.col("cost_units"), F.lit(0).cast("decimal(38,0)"))
+    return out.withColumns(filled).withColumn("cost_usd", units_to_usd(F.col("cost_units")))
 
 
 def group_label(by: str) -> Column:

@@ -15,6 +15,8 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # no Python call-site capture per DataFrame call (pure driver-side overhead)
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

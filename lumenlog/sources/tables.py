@@ -2,16 +2,16 @@
 ``messages`` / ``sessions`` / ``tool_events`` schemas.
 
 The mapping is plain arithmetic on the source columns so that an independent
-SQL engine can repeat it exactly (see ``oracle_sql.py``). Scans read only the
-columns each query needs; Catalyst prunes the rest.
+SQL engine can repeat it exactly (see ``oracle_sql.py``). Each binding is one
+projection written as SQL expressions (one JVM call to build); Catalyst prunes
+the scan to the columns a query needs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from lumenlog.functions.project import project_name
+from lumenlog.functions.project import project_name_sql
 
 BASE_EPOCH = 1_704_067_200  # 2024-01-01T00:00:00Z
 SESSION_SPACING_S = 7 * 3600
@@ -29,144 +29,130 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def session_key(n: Column) -> Column:
-    return F.concat(F.lit("s"), F.lpad(n.cast("string"), 7, "0"))
+def sql_lit(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, list):
+        return "CAST(array(" + ", ".join(sql_lit(x) for x in v) + ") AS array<string>)"
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(v)
 
 
-def _pick(idx: Column, values: list) -> Column:
-    expr = None
-    for i, v in enumerate(values):
-        lit = F.lit(v) if not isinstance(v, list) else F.array(*[F.lit(x) for x in v]).cast("array<string>")
-        expr = F.when(idx == i, lit) if expr is None else expr.when(idx == i, lit)
-    return expr
+def pick_sql(idx: str, values: list) -> str:
+    return "CASE " + " ".join(f"WHEN {idx} = {i} THEN {sql_lit(v)}" for i, v in enumerate(values)) + " END"
+
+
+def session_key_sql(n: str) -> str:
+    return f"concat('s', lpad(CAST({n} AS STRING), 7, '0'))"
+
+
+def _usage_cols(is_a: str, n: str) -> list[str]:
+    return [f"CASE WHEN {is_a} THEN {n} END AS input_tokens",
+            f"CASE WHEN {is_a} THEN {n} % 97 END AS output_tokens",
+            f"CASE WHEN {is_a} THEN {n} * 3 % 211 END AS cache_write_tokens",
+            f"CASE WHEN {is_a} THEN {n} * 7 % 503 END AS cache_read_tokens"]
 
 
 def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conversations`` -> canonical messages (one session per conversation)."""
-    c = table(spark, sf_dir, "conversations")
-    sid = session_key(F.col("conv_id"))
-    is_a = F.col("role") == "assistant"
-    n = F.length(F.coalesce(F.col("text"), F.lit(""))).cast("bigint")
-    usage = lambda e: F.when(is_a, e)
-    return c.select(
-        sid.alias("session_id"),
-        (F.col("turn") + 1).cast("bigint").alias("line_no"),
-        F.concat(sid, F.lit("-"), F.col("turn").cast("string")).alias("uuid"),
-        F.col("role").alias("msg_type"),
-        F.timestamp_seconds(F.lit(BASE_EPOCH) + F.col("conv_id") * SESSION_SPACING_S
-                            + F.col("turn") * TURN_SPACING_S).alias("ts"),
-        F.coalesce(F.col("text"), F.lit("")).alias("content_text"),
-        F.when(is_a, _pick((F.col("conv_id") + F.col("turn")) % 5, BOUND_MODELS)).alias("model"),
-        is_a.alias("has_usage"),
-        usage(n).alias("input_tokens"),
-        usage(n % 97).alias("output_tokens"),
-        usage(n * 3 % 211).alias("cache_write_tokens"),
-        usage(n * 7 % 503).alias("cache_read_tokens"),
-        F.when(is_a, _pick((F.col("conv_id") + F.col("turn")) % 4, BOUND_TOOLS))
-         .otherwise(F.array().cast("array<string>")).alias("tool_names"),
-        F.lit(False).alias("is_sidechain"),
-        F.lit(None).cast("string").alias("parent_uuid"),
+    sid = session_key_sql("conv_id")
+    is_a = "role = 'assistant'"
+    is_u = "role = 'user'"
+    n = "CAST(length(coalesce(text, '')) AS BIGINT)"
+    return table(spark, sf_dir, "conversations").selectExpr(
+        f"{sid} AS session_id",
+        "CAST(turn + 1 AS BIGINT) AS line_no",
+        f"concat({sid}, '-', CAST(turn AS STRING)) AS uuid",
+        "role AS msg_type",
+        f"timestamp_seconds({BASE_EPOCH} + conv_id * {SESSION_SPACING_S} + turn * {TURN_SPACING_S}) AS ts",
+        "coalesce(text, '') AS content_text",
+        f"CASE WHEN {is_a} THEN {pick_sql('(conv_id + turn) % 5', BOUND_MODELS)} END AS model",
+        f"{is_a} AS has_usage",
+        *_usage_cols(is_a, n),
+        f"CASE WHEN {is_a} THEN {pick_sql('(conv_id + turn) % 4', BOUND_TOOLS)} "
+        "ELSE CAST(array() AS array<string>) END AS tool_names",
+        "false AS is_sidechain",
+        "CAST(NULL AS STRING) AS parent_uuid",
         # session context, carried on user lines as in the logs
-        F.when(F.col("role") == "user", _bound_cwd(F.col("conv_id"))).alias("cwd"),
-        F.when(F.col("role") == "user", F.concat(F.lit("2.1."), (F.col("conv_id") % 10).cast("string")))
-         .alias("version"),
-        F.when(F.col("role") == "user", _pick(F.col("conv_id") % 3, ["main", "dev", None])).alias("git_branch"),
+        f"CASE WHEN {is_u} AND conv_id % 4 <> 0 THEN concat('/Users/dev/work/proj', CAST(conv_id % 7 AS STRING)) END"
+        " AS cwd",
+        f"CASE WHEN {is_u} THEN concat('2.1.', CAST(conv_id % 10 AS STRING)) END AS version",
+        f"CASE WHEN {is_u} THEN {pick_sql('conv_id % 3', ['main', 'dev', None])} END AS git_branch",
     )
 
 
-def _bound_cwd(conv_id: Column) -> Column:
-    return F.when(conv_id % 4 != 0, F.concat(F.lit("/Users/dev/work/proj"), (conv_id % 7).cast("string")))
-
-
 def conversation_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``conversations`` -> canonical sessions with session context columns."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    agg = c.groupBy("conv_id").agg(
-        (F.sum(F.octet_length(F.coalesce(F.col("text"), F.lit("")))) + F.count(F.lit(1)) * 64).cast("bigint")
-        .alias("file_size"),
-    )
-    start = F.lit(BASE_EPOCH) + F.col("conv_id") * SESSION_SPACING_S
-    pdir = F.concat(F.lit("-Users-dev-work-proj"), (F.col("conv_id") % 7).cast("string"))
-    sid = session_key(F.col("conv_id"))
-    return agg.select(
-        sid.alias("session_id"),
-        pdir.alias("project_dir"),
-        project_name(pdir).alias("project_name"),
-        F.concat(F.lit("/data/projects/"), pdir, F.lit("/"), sid, F.lit(".jsonl")).alias("file_path"),
-        F.col("file_size"),
-        F.timestamp_seconds(start + MTIME_AFTER_START_S).alias("modified_time"),
-        F.lit(False).alias("is_agent"),
+    """``conversations`` -> canonical sessions (file-level metadata)."""
+    pdir = "concat('-Users-dev-work-proj', CAST(conv_id % 7 AS STRING))"
+    sid = session_key_sql("conv_id")
+    agg = (table(spark, sf_dir, "conversations").selectExpr("conv_id", "octet_length(coalesce(text, '')) AS _b")
+           .groupBy("conv_id").agg({"_b": "sum", "*": "count"}))
+    return agg.selectExpr(
+        f"{sid} AS session_id",
+        f"{pdir} AS project_dir",
+        f"{project_name_sql(pdir)} AS project_name",
+        f"concat('/data/projects/', {pdir}, '/', {sid}, '.jsonl') AS file_path",
+        "CAST(`sum(_b)` + `count(1)` * 64 AS BIGINT) AS file_size",
+        f"timestamp_seconds({BASE_EPOCH} + conv_id * {SESSION_SPACING_S} + {MTIME_AFTER_START_S}) AS modified_time",
+        "false AS is_agent",
     )
 
 
+DOC_SID = "concat(source, '-', CAST(floor(doc_id / 50) AS BIGINT))"
+
+
 def document_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` -> canonical messages (volume binding; 50 documents per session)."""
-    d = table(spark, sf_dir, "documents")
-    sid = F.concat(F.col("source"), F.lit("-"), F.floor(F.col("doc_id") / 50).cast("bigint").cast("string"))
-    is_a = F.col("doc_id") % 3 == 2
-    n = F.coalesce(F.col("n_chars"), F.lit(0)).cast("bigint")
-    usage = lambda e: F.when(is_a, e)
-    return d.select(
-        sid.alias("session_id"),
-        F.col("doc_id").cast("bigint").alias("line_no"),
-        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("uuid"),
-        F.when(is_a, F.lit("assistant")).otherwise(F.lit("user")).alias("msg_type"),
-        F.timestamp_seconds(F.lit(BASE_EPOCH) + F.col("doc_id") * 60).alias("ts"),
-        F.coalesce(F.col("text"), F.lit("")).alias("content_text"),
-        F.when(is_a, _pick(F.col("doc_id") % 5, BOUND_MODELS)).alias("model"),
-        is_a.alias("has_usage"),
-        usage(n).alias("input_tokens"),
-        usage(n % 97).alias("output_tokens"),
-        usage(n * 3 % 211).alias("cache_write_tokens"),
-        usage(n * 7 % 503).alias("cache_read_tokens"),
-        F.array().cast("array<string>").alias("tool_names"),
-        F.lit(False).alias("is_sidechain"),
-        F.lit(None).cast("string").alias("parent_uuid"),
-        F.lit(None).cast("string").alias("cwd"),
-        F.lit(None).cast("string").alias("version"),
-        F.lit(None).cast("string").alias("git_branch"),
+    is_a = "doc_id % 3 = 2"
+    n = "CAST(coalesce(n_chars, 0) AS BIGINT)"
+    return table(spark, sf_dir, "documents").selectExpr(
+        f"{DOC_SID} AS session_id",
+        "CAST(doc_id AS BIGINT) AS line_no",
+        "concat('d', CAST(doc_id AS STRING)) AS uuid",
+        f"CASE WHEN {is_a} THEN 'assistant' ELSE 'user' END AS msg_type",
+        f"timestamp_seconds({BASE_EPOCH} + doc_id * 60) AS ts",
+        "coalesce(text, '') AS content_text",
+        f"CASE WHEN {is_a} THEN {pick_sql('doc_id % 5', BOUND_MODELS)} END AS model",
+        f"{is_a} AS has_usage",
+        *_usage_cols(is_a, n),
+        "CAST(array() AS array<string>) AS tool_names",
+        "false AS is_sidechain",
+        "CAST(NULL AS STRING) AS parent_uuid",
+        "CAST(NULL AS STRING) AS cwd",
+        "CAST(NULL AS STRING) AS version",
+        "CAST(NULL AS STRING) AS git_branch",
     )
 
 
 def document_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    sid = F.concat(F.col("source"), F.lit("-"), F.floor(F.col("doc_id") / 50).cast("bigint").cast("string"))
-    agg = d.groupBy(sid.alias("session_id")).agg(
-        F.min("lang").alias("project_dir"),
-        F.sum(F.octet_length(F.coalesce(F.col("text"), F.lit("")))).cast("bigint").alias("file_size"),
-        F.max("doc_id").alias("max_doc"))
-    return agg.select(
-        "session_id", "project_dir", F.col("project_dir").alias("project_name"),
-        F.concat(F.lit("/data/docs/"), F.col("project_dir"), F.lit("/"), F.col("session_id"), F.lit(".jsonl"))
-        .alias("file_path"),
-        "file_size",
-        F.timestamp_seconds(F.lit(BASE_EPOCH) + F.col("max_doc") * 60).alias("modified_time"),
-        F.lit(False).alias("is_agent"),
+    d = table(spark, sf_dir, "documents").selectExpr(
+        f"{DOC_SID} AS session_id", "lang", "octet_length(coalesce(text, '')) AS _b", "doc_id")
+    agg = d.groupBy("session_id").agg({"lang": "min", "_b": "sum", "doc_id": "max"})
+    return agg.selectExpr(
+        "session_id", "`min(lang)` AS project_dir", "`min(lang)` AS project_name",
+        "concat('/data/docs/', `min(lang)`, '/', session_id, '.jsonl') AS file_path",
+        "CAST(`sum(_b)` AS BIGINT) AS file_size",
+        f"timestamp_seconds({BASE_EPOCH} + `max(doc_id)` * 60) AS modified_time",
+        "false AS is_agent",
     )
 
 
 def event_tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` -> canonical tool events (one observation log per user and day)."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
-    k = F.get_json_object(F.col("props"), "$.k").cast("bigint")
-    tool = None
-    for src, dst in EVENT_TOOLS.items():
-        tool = F.when(F.col("event_type") == src, dst) if tool is None else tool.when(F.col("event_type") == src, dst)
-    cmd_tail = (F.when(k % 4 == 0, F.repeat(F.lit("Ab"), (k % 5 + 10).cast("int")))
-                 .when(k % 4 == 1, F.repeat(F.lit("a1"), 20))
-                 .when(k % 4 == 2, F.repeat(F.lit("ab/"), 45))
-                 .otherwise(F.lit("")))
-    return e.select(
-        session_key(F.col("user_id")).alias("session_id"),
-        F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd").alias("obs_date"),
-        F.col("event_id").cast("bigint").alias("line_no"),
-        tool.alias("tool_name"),
-        F.when(F.col("event_type").isin("view", "click"),
-               F.concat(F.lit("/Users/dev/work/src/mod"), (k % 13).cast("string"), F.lit(".py"))).alias("file_path"),
-        F.when(F.col("event_type") == "purchase",
-               F.concat(F.lit("  run job"), (k % 9).cast("string"), F.lit(" --token T"), k.cast("string"),
-                        F.lit(" "), cmd_tail, F.lit(" "))).alias("command"),
-        F.when(F.col("event_type") == "signup",
-               F.concat(F.lit("https://example.org/page/"), (k % 17).cast("string"))).alias("url"),
-        F.when(F.col("event_type") == "error", F.concat(F.lit("query "), (k % 11).cast("string"))).alias("query"),
+    k = "CAST(get_json_object(props, '$.k') AS BIGINT)"
+    tool = "CASE " + " ".join(f"WHEN event_type = '{a}' THEN '{b}'" for a, b in EVENT_TOOLS.items()) + " END"
+    tail = (f"CASE WHEN {k} % 4 = 0 THEN repeat('Ab', CAST({k} % 5 + 10 AS INT)) WHEN {k} % 4 = 1 THEN repeat('a1', 20) "
+            f"WHEN {k} % 4 = 2 THEN repeat('ab/', 45) ELSE '' END")
+    return table(spark, sf_dir, "events").selectExpr(
+        f"{session_key_sql('user_id')} AS session_id",
+        "date_format(CAST(ts AS TIMESTAMP), 'yyyy-MM-dd') AS obs_date",
+        "CAST(event_id AS BIGINT) AS line_no",
+        f"{tool} AS tool_name",
+        f"CASE WHEN event_type IN ('view', 'click') THEN concat('/Users/dev/work/src/mod', CAST({k} % 13 AS STRING), '.py')"
+        " END AS file_path",
+        f"CASE WHEN event_type = 'purchase' THEN concat('  run job', CAST({k} % 9 AS STRING), ' --token T', "
+        f"CAST({k} AS STRING), ' ', {tail}, ' ') END AS command",
+        f"CASE WHEN event_type = 'signup' THEN concat('https://example.org/page/', CAST({k} % 17 AS STRING)) END AS url",
+        f"CASE WHEN event_type = 'error' THEN concat('query ', CAST({k} % 11 AS STRING)) END AS query",
     )
