@@ -343,3 +343,64 @@ def digest_summary(spark, sf):
     return d.select("session_id", "date", "project", "duration_min", "message_count", "topic",
                     F.size("key_exchanges").cast("bigint").alias("n_key"),
                     F.size("tail_exchanges").cast("bigint").alias("n_tail"))
+
+
+# ---------------------------------------------------------------- tool events
+from lumenlog.operators import tools as TL  # noqa: E402
+
+
+def _tool_str(col):
+    return F.array_join(F.transform(col, lambda s: F.concat(s["tool_name"], F.lit("x"), s["count"].cast("string"))),
+                        ",")
+
+
+def _day_sessions(spark, sf):
+    """(session_id, date, session_ord): compiled-session day and compile order (file time)."""
+    s, m = _conv(spark, sf)
+    ctx = SS.session_context(m)
+    from lumenlog.functions.timefmt import day_string
+    return s.join(ctx, "session_id", "left").select(
+        "session_id", day_string(F.col("first_ts")).alias("date"),
+        F.struct(F.unix_micros("modified_time").alias("t"), F.col("session_id").alias("id")).alias("session_ord"))
+
+
+@query("tools_used")
+def tools_used(spark, sf):
+    e = T.event_tool_events(spark, sf)
+    return TL.tools_used(e).select("session_id", _tool_str(F.col("tools_used")).alias("tools"))
+
+
+@query("files_touched")
+def files_touched(spark, sf):
+    e = T.event_tool_events(spark, sf)
+    s = TL.observation_summary(e)
+    return s.select("session_id", F.array_join("files_touched", "|").alias("files"),
+                    F.array_join("web_fetched", "|").alias("web"))
+
+
+@query("commands_redacted")
+def commands_redacted(spark, sf):
+    e = T.event_tool_events(spark, sf)
+    s = TL.observation_summary(e)
+    return s.select("session_id", F.posexplode("commands_run").alias("pos", "command")).select(
+        "session_id", F.col("pos").cast("bigint").alias("pos"), "command")
+
+
+@query("daily_tools")
+def daily_tools(spark, sf):
+    e = T.event_tool_events(spark, sf)
+    d = TL.merge_observations_by_day(e, _day_sessions(spark, sf))
+    return d.select("date", _tool_str(F.col("tools_used")).alias("tools"),
+                    F.size("files_touched").cast("bigint").alias("n_files"),
+                    F.array_join(F.slice("files_touched", 1, 20), "|").alias("files_head"),
+                    F.array_join(F.slice("commands_run", 1, 10), "|").alias("commands_head"),
+                    F.array_join(F.slice("web_fetched", 1, 5), "|").alias("web_head"))
+
+
+@query("session_tools_left_join")
+def session_tools_left_join(spark, sf):
+    s, _ = _conv(spark, sf)
+    e = T.event_tool_events(spark, sf)
+    j = TL.with_observations(s.select("session_id"), TL.observation_summary(e))
+    return j.select("session_id", F.size("tools_used").cast("bigint").alias("n_tools"),
+                    F.size("commands_run").cast("bigint").alias("n_commands"))

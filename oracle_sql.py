@@ -479,3 +479,94 @@ SELECT s.session_id, coalesce(strftime(c.first_ts, '%Y-%m-%d'), 'unknown') AS da
        CAST(coalesce(nk.n, 0) AS BIGINT) AS n_key, CAST(coalesce(nt.n, 0) AS BIGINT) AS n_tail
 FROM ses s LEFT JOIN ctx c USING (session_id) LEFT JOIN cnt USING (session_id) LEFT JOIN topic t USING (session_id)
      LEFT JOIN nk USING (session_id) LEFT JOIN nt USING (session_id)""")
+
+
+# ---------------------------------------------------------------- tool events
+from lumenlog.functions.fixed_values import SECRET_FLAG_PATTERN  # noqa: E402
+
+_K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
+EV = f"""
+ev AS (
+  SELECT 's' || lpad(CAST(user_id AS VARCHAR), 7, '0') AS session_id, strftime(ts, '%Y-%m-%d') AS obs_date,
+         CAST(event_id AS BIGINT) AS line_no,
+         CASE event_type WHEN 'view' THEN 'Read' WHEN 'click' THEN 'Edit' WHEN 'purchase' THEN 'Bash'
+              WHEN 'signup' THEN 'WebFetch' WHEN 'error' THEN 'WebSearch' END AS tool_name,
+         CASE WHEN event_type IN ('view', 'click') THEN '/Users/dev/work/src/mod' || CAST({_K} % 13 AS VARCHAR) || '.py' END AS file_path,
+         CASE WHEN event_type = 'purchase' THEN '  run job' || CAST({_K} % 9 AS VARCHAR) || ' --token T' || CAST({_K} AS VARCHAR) || ' ' ||
+              CASE WHEN {_K} % 4 = 0 THEN repeat('Ab', CAST({_K} % 5 + 10 AS INT)) WHEN {_K} % 4 = 1 THEN repeat('a1', 20)
+                   WHEN {_K} % 4 = 2 THEN repeat('ab/', 45) ELSE '' END || ' ' END AS command,
+         CASE WHEN event_type = 'signup' THEN 'https://example.org/page/' || CAST({_K} % 17 AS VARCHAR) END AS url,
+         CASE WHEN event_type = 'error' THEN 'query ' || CAST({_K} % 11 AS VARCHAR) END AS query
+  FROM events
+)"""
+
+
+def redact_sql(x: str) -> str:
+    s1 = f"regexp_replace({x}, '(?i){SECRET_FLAG_PATTERN}', '\\1***', 'g')"
+    s2 = (f"array_to_string(list_transform(regexp_extract_all({s1}, '[A-Za-z0-9_-]+|[^A-Za-z0-9_-]+'), "
+          "lambda t: CASE WHEN length(t) > 20 AND regexp_full_match(t, '[A-Za-z0-9_-]+') "
+          "AND NOT regexp_full_match(t, '[0-9a-fA-F]{40}') THEN '***' ELSE t END), '')")
+    return f"(CASE WHEN length({s2}) > 120 THEN substring({s2}, 1, 117) || '...' ELSE {s2} END)"
+
+
+ITEMS = f"""
+items AS (
+  SELECT session_id, 'file' AS kind, file_path AS item, obs_date, line_no FROM ev
+    WHERE tool_name IN ('Read', 'Edit', 'Write', 'NotebookEdit') AND file_path <> ''
+  UNION ALL
+  SELECT session_id, 'command', {redact_sql(strip_sql('command'))}, obs_date, line_no FROM ev
+    WHERE tool_name = 'Bash' AND {strip_sql('command')} <> ''
+  UNION ALL
+  SELECT session_id, 'web', CASE WHEN tool_name = 'WebFetch' THEN {strip_sql('url')} ELSE {strip_sql('query')} END,
+         obs_date, line_no FROM ev
+    WHERE (tool_name = 'WebFetch' AND {strip_sql('url')} <> '') OR (tool_name = 'WebSearch' AND {strip_sql('query')} <> '')
+),
+tc AS (SELECT session_id, tool_name, count(*) AS cnt, min(obs_date) AS d0,
+              arg_min(line_no, (obs_date, line_no)) AS l0
+       FROM ev WHERE tool_name IS NOT NULL AND tool_name <> '' GROUP BY 1, 2)"""
+
+
+def ordered_list_sql(src: str, part: str, order: str, name: str, kind: str) -> str:
+    return f"""{name} AS (
+  SELECT {part}, list(item ORDER BY fo) AS {name} FROM (
+    SELECT {part}, item, min(({order})) AS fo FROM {src} WHERE kind = '{kind}' GROUP BY {part}, item)
+  GROUP BY {part})"""
+
+
+q("tools_used", f"""WITH {EV}, {ITEMS}
+SELECT session_id, array_to_string(list(tool_name || 'x' || CAST(cnt AS VARCHAR) ORDER BY cnt DESC, d0, l0), ',') AS tools
+FROM tc GROUP BY session_id""")
+
+OBS = f"""{EV}, {ITEMS},
+{ordered_list_sql('items', 'session_id', 'obs_date, line_no', 'files', 'file')},
+{ordered_list_sql('items', 'session_id', 'obs_date, line_no', 'cmds', 'command')},
+{ordered_list_sql('items', 'session_id', 'obs_date, line_no', 'web', 'web')},
+obs AS (SELECT DISTINCT session_id FROM tc)"""
+
+q("files_touched", f"""WITH {OBS}
+SELECT o.session_id, coalesce(array_to_string(files, '|'), '') AS files, coalesce(array_to_string(web, '|'), '') AS web
+FROM obs o LEFT JOIN files USING (session_id) LEFT JOIN web USING (session_id)""")
+q("commands_redacted", f"""WITH {OBS}
+SELECT session_id, CAST(generate_subscripts(cmds, 1) - 1 AS BIGINT) AS pos, unnest(cmds) AS command FROM cmds""")
+q("session_tools_left_join", f"""WITH {SES}, {OBS},
+nt AS (SELECT session_id, count(*) AS n FROM tc GROUP BY 1)
+SELECT s.session_id, CAST(nt.n AS BIGINT) AS n_tools,
+       CAST(CASE WHEN nt.n IS NULL THEN NULL ELSE coalesce(len(cmds), 0) END AS BIGINT) AS n_commands
+FROM ses s LEFT JOIN nt USING (session_id) LEFT JOIN cmds USING (session_id)""")
+q("daily_tools", f"""WITH {MSG}, {SES}, {CTX}, {EV}, {ITEMS},
+ds AS (SELECT s.session_id, coalesce(strftime(c.first_ts, '%Y-%m-%d'), 'unknown') AS date,
+              epoch_us(s.modified_time) AS so_t FROM ses s LEFT JOIN ctx c USING (session_id)),
+dt AS (SELECT date, tool_name, sum(cnt) AS cnt, min((so_t, session_id, -cnt, d0, l0)) AS pos
+       FROM tc JOIN ds USING (session_id) GROUP BY 1, 2),
+tools AS (SELECT date, array_to_string(list(tool_name || 'x' || CAST(cnt AS VARCHAR) ORDER BY cnt DESC, pos), ',') AS tools
+          FROM dt GROUP BY date),
+di AS (SELECT ds.date, kind, item, min((so_t, session_id, obs_date, line_no)) AS fo
+       FROM items JOIN ds USING (session_id) GROUP BY 1, 2, 3),
+lists AS (SELECT date, list(item ORDER BY fo) FILTER (WHERE kind = 'file') AS f,
+                 list(item ORDER BY fo) FILTER (WHERE kind = 'command') AS c,
+                 list(item ORDER BY fo) FILTER (WHERE kind = 'web') AS w FROM di GROUP BY date)
+SELECT t.date, t.tools, CAST(coalesce(len(f), 0) AS BIGINT) AS n_files,
+       coalesce(array_to_string(f[1:20], '|'), '') AS files_head,
+       coalesce(array_to_string(c[1:10], '|'), '') AS commands_head,
+       coalesce(array_to_string(w[1:5], '|'), '') AS web_head
+FROM tools t LEFT JOIN lists USING (date)""")
