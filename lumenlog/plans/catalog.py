@@ -404,3 +404,113 @@ def session_tools_left_join(spark, sf):
     j = TL.with_observations(s.select("session_id"), TL.observation_summary(e))
     return j.select("session_id", F.size("tools_used").cast("bigint").alias("n_tools"),
                     F.size("commands_run").cast("bigint").alias("n_commands"))
+
+
+# ---------------------------------------------------------------- compile, daily, concepts
+from lumenlog.operators import compile as C  # noqa: E402
+from lumenlog.operators import daily as DY  # noqa: E402
+
+BOUND_DICTIONARY = [
+    C.Entity("Motion", ("tion", "ation")),
+    C.Entity("Momentum", ("ment",), min_hits=3),
+    C.Entity("Heimat", ("heit", "keit")),
+    C.Entity("Quest", ("que",), min_hits=2),
+    C.Entity("Medium", ("the",), suppressed=True),
+    C.Entity("Phrases", ("in the", "of the", "the and")),
+    C.Entity("Lich King", ("lich",)),
+    C.Entity("Ouen_Co", ("ouen", "eaux")),
+]
+BOUND_SIGNALS = ["tion", "heit", "Because"]
+BOUND_DEV = "ment|ung|lich"
+BOUND_STRATEGY = "heit|qu.{0,3}e"
+BOUND_FILE_PATTERN = r"([A-Za-z]+tion)"
+
+
+def _compiled(spark, sf):
+    s, m = _conv(spark, sf)
+    c = C.compile_sessions(s, m, BOUND_DICTIONARY, signals=BOUND_SIGNALS, dev_pattern=BOUND_DEV,
+                           strategy_pattern=BOUND_STRATEGY, file_pattern=BOUND_FILE_PATTERN)
+    return c.withColumn("session_ord", F.struct(F.unix_micros("modified_time").alias("t"),
+                                                F.col("full_session_id").alias("id")))
+
+
+def _fc_str(col):
+    return F.array_join(F.transform(col, lambda s: F.concat(s["path"], F.lit(":"), s["action"])), "|")
+
+
+@query("compiled_sessions")
+def compiled_sessions(spark, sf):
+    c = _compiled(spark, sf)
+    return c.select("session_id", "date", "time_range", "project", F.array_join("models", ",").alias("models"),
+                    "user_message_count", "assistant_message_count", "cost_usd",
+                    F.array_join("entities", "|").alias("entities"), "topic_sentence",
+                    F.array_join("key_points", "\n").alias("key_points"),
+                    F.array_join("tail_context", "\n").alias("tail_context"),
+                    _fc_str(F.col("file_changes")).alias("file_changes"), F.array_join("tags", "|").alias("tags"),
+                    "weight", F.col("weight_value").cast("bigint").alias("weight_value"))
+
+
+@query("entity_hits")
+def entity_hits(spark, sf):
+    _, m = _conv(spark, sf)
+    return C.entity_hits(m, BOUND_DICTIONARY).select("session_id", "entity", "hits")
+
+
+@query("entity_links")
+def entity_links(spark, sf):
+    _, m = _conv(spark, sf)
+    return C.linked_entities(m, BOUND_DICTIONARY).select("session_id", F.array_join("entities", "|").alias("entities"))
+
+
+@query("session_weight")
+def session_weight(spark, sf):
+    c = _compiled(spark, sf)
+    return c.select("session_id", "dev_hits", "strategy_hits", "weight")
+
+
+@query("key_points")
+def key_points(spark, sf):
+    _, m = _conv(spark, sf)
+    return C.key_points(m, signals=BOUND_SIGNALS).select("session_id", F.col("rank").cast("bigint").alias("rank"),
+                                                          "point")
+
+
+@query("tail_context")
+def tail_context(spark, sf):
+    _, m = _conv(spark, sf)
+    return C.tail_context(m).select("session_id", "line_no", "text")
+
+
+@query("file_changes")
+def file_changes(spark, sf):
+    _, m = _conv(spark, sf)
+    return C.file_changes(m, pattern=BOUND_FILE_PATTERN).select("session_id", "path", "action", "line_no")
+
+
+@query("daily_digest")
+def daily_digest(spark, sf):
+    d = DY.merge_by_day(_compiled(spark, sf))
+    return d.select("date", "session_count", F.array_join("session_ids", ",").alias("session_ids"),
+                    "total_user_messages", "total_assistant_messages", "total_cost", "weight",
+                    F.array_join("entities", "|").alias("entities"),
+                    F.array_join("key_points", "\n").alias("key_points"),
+                    _fc_str(F.col("file_changes")).alias("file_changes"), F.array_join("tags", "|").alias("tags"),
+                    F.array_join("models", ",").alias("models"))
+
+
+@query("concept_index")
+def concept_index(spark, sf):
+    ci = DY.concept_index(_compiled(spark, sf))
+    return ci.select("concept", "mention_count", "first_seen", "status",
+                     F.array_join("sessions_head", ",").alias("sessions_head"),
+                     F.array_join("dates", ",").alias("dates"))
+
+
+@query("concept_status_counts")
+def concept_status_counts(spark, sf):
+    return DY.status_counts(DY.concept_index(_compiled(spark, sf))).select("status", "count")
+
+
+@query("weight_distribution")
+def weight_distribution(spark, sf):
+    return DY.weight_distribution(_compiled(spark, sf)).select("weight", "count", "pct")

@@ -570,3 +570,171 @@ SELECT t.date, t.tools, CAST(coalesce(len(f), 0) AS BIGINT) AS n_files,
        coalesce(array_to_string(c[1:10], '|'), '') AS commands_head,
        coalesce(array_to_string(w[1:5], '|'), '') AS web_head
 FROM tools t LEFT JOIN lists USING (date)""")
+
+
+# ---------------------------------------------------------------- compile, daily, concepts
+from lumenlog.functions.fixed_values import TOPIC_NOISE_CONTAINS, TOPIC_NOISE_PREFIXES  # noqa: E402
+from lumenlog.plans.catalog import (  # noqa: E402
+    BOUND_DEV,
+    BOUND_DICTIONARY,
+    BOUND_FILE_PATTERN,
+    BOUND_SIGNALS,
+    BOUND_STRATEGY,
+)
+
+
+def _sq(s: str) -> str:
+    return s.replace("'", "''")
+
+
+def nregex(text: str, pat: str) -> str:
+    return f"len(regexp_extract_all({text}, '{_sq(pat)}'))"
+
+
+_S = strip_sql("content_text")
+KP_SIG = "(?i)" + literal_alternation(BOUND_SIGNALS)
+TOPIC_OK = (f"length({_S}) >= 15 AND NOT (" + " OR ".join(f"starts_with({_S}, '{_sq(p)}')" for p in TOPIC_NOISE_PREFIXES)
+            + ") AND NOT (" + " OR ".join(f"contains({_S}, '{_sq(p)}')" for p in TOPIC_NOISE_CONTAINS) + ")")
+ENT_HITS = ", ".join(f"{nregex('substance', '(?i)' + literal_alternation(e.aliases))} AS h{i}"
+                     for i, e in enumerate(BOUND_DICTIONARY))
+ENT_LIST = "list_filter([" + ", ".join(
+    f"CASE WHEN h{i} >= {e.min_hits} THEN '{_sq(e.name)}' END" for i, e in enumerate(BOUND_DICTIONARY)
+    if not e.suppressed) + "], lambda x: x IS NOT NULL)"
+
+COMPILE = f"""
+sub AS (SELECT session_id, string_agg(content_text, ' ' ORDER BY line_no) AS substance FROM msg
+        WHERE msg_type = 'user' AND length({_S}) > 20 AND NOT starts_with({_S}, '<') GROUP BY 1),
+eh AS (SELECT session_id, {ENT_HITS} FROM sub),
+ents AS (SELECT session_id, {ENT_LIST} AS entities FROM eh),
+nb AS (SELECT * FROM msg WHERE msg_type IN ('user', 'assistant') AND {_S} <> ''),
+wsig AS (SELECT session_id,
+           {nregex("string_agg(content_text, ' ' ORDER BY (msg_type = 'assistant'), line_no)", '(?i)' + BOUND_DEV)} AS dev_hits,
+           {nregex("coalesce(string_agg(content_text, ' ' ORDER BY line_no) FILTER (WHERE msg_type = 'user'), '')",
+                   '(?i)' + BOUND_STRATEGY)} AS strategy_hits,
+           count(*) FILTER (WHERE msg_type = 'user') AS user_texts
+         FROM nb GROUP BY 1),
+kp0 AS (SELECT session_id, line_no, {trunc_sql(_S, 160)} AS point,
+               row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS rank
+        FROM msg WHERE msg_type = 'user' AND length({_S}) > 20 AND regexp_matches({_S}, '{KP_SIG}')),
+kp AS (SELECT * FROM kp0 WHERE rank <= 10),
+tl0 AS (SELECT session_id, line_no, {trunc_sql(_S, 160)} AS text,
+               row_number() OVER (PARTITION BY session_id ORDER BY line_no DESC) AS rk
+        FROM msg WHERE msg_type = 'user' AND length({_S}) > 10),
+tl AS (SELECT * FROM tl0 WHERE rk <= 3),
+fc0 AS (SELECT session_id, line_no,
+               list_filter(tool_names, lambda t: list_contains(['Write', 'Edit', 'NotebookEdit'], t))[1] AS tool,
+               regexp_extract(content_text, '{BOUND_FILE_PATTERN}', 1) AS path
+        FROM msg WHERE msg_type = 'assistant'),
+fc AS (SELECT session_id, path, CASE WHEN arg_min(tool, line_no) = 'Write' THEN 'created' ELSE 'modified' END AS action,
+              min(line_no) AS line_no
+       FROM fc0 WHERE tool IS NOT NULL AND path <> '' GROUP BY 1, 2),
+topic AS (SELECT session_id, arg_min({trunc_sql(_S, 120)}, line_no) FILTER (WHERE {TOPIC_OK}) AS topic
+          FROM msg WHERE msg_type = 'user' GROUP BY 1),
+cnt AS (SELECT session_id, count(*) FILTER (WHERE msg_type = 'user') AS uc,
+               count(*) FILTER (WHERE msg_type = 'assistant') AS ac FROM msg GROUP BY 1),
+mods AS (SELECT session_id, list_sort(list_distinct(list(model))) AS models FROM msg
+         WHERE msg_type = 'assistant' AND model <> '' GROUP BY 1),
+cost AS (SELECT session_id, sum(CASE WHEN has_usage THEN p.r_in * coalesce(input_tokens, 0)
+       + p.r_out * coalesce(output_tokens, 0) + p.r_cw * coalesce(cache_write_tokens, 0)
+       + p.r_cr * coalesce(cache_read_tokens, 0) END) AS units
+         FROM msg m JOIN {PRICES} ON p.idx = {price_idx_sql("nullif(m.model, '')")}
+         WHERE msg_type = 'assistant' GROUP BY 1),
+comp AS (
+  SELECT substring(s.session_id, 1, 8) AS session_id, s.session_id AS full_id, s.modified_time,
+    coalesce(strftime(c.first_ts, '%Y-%m-%d'), 'unknown') AS date,
+    CASE WHEN c.first_ts IS NOT NULL THEN strftime(c.first_ts, '%H:%M') || ' - ' || strftime(c.last_ts, '%H:%M') ELSE '' END AS time_range,
+    CASE WHEN c.cwd IS NOT NULL AND c.cwd <> '' THEN c.cwd ELSE s.project_name END AS project,
+    coalesce(mods.models, []::VARCHAR[]) AS models,
+    CAST(coalesce(cnt.uc, 0) AS BIGINT) AS user_message_count, CAST(coalesce(cnt.ac, 0) AS BIGINT) AS assistant_message_count,
+    coalesce(cost.units, 0) AS cost_units,
+    coalesce(ents.entities, []::VARCHAR[]) AS entities,
+    coalesce(topic.topic, 'session-' || substring(s.session_id, 1, 8)) AS topic_sentence,
+    coalesce((SELECT list(point ORDER BY rank) FROM kp WHERE kp.session_id = s.session_id), []::VARCHAR[]) AS key_points,
+    coalesce((SELECT list(text ORDER BY line_no) FROM tl WHERE tl.session_id = s.session_id), []::VARCHAR[]) AS tail_context,
+    coalesce((SELECT list({{'path': path, 'action': action}} ORDER BY line_no) FROM fc WHERE fc.session_id = s.session_id),
+             []) AS file_changes,
+    coalesce(w.dev_hits, 0) AS dev_hits, coalesce(w.strategy_hits, 0) AS strategy_hits, coalesce(w.user_texts, 0) AS users
+  FROM ses s LEFT JOIN ctx c USING (session_id) LEFT JOIN mods USING (session_id) LEFT JOIN cnt USING (session_id)
+       LEFT JOIN cost USING (session_id) LEFT JOIN ents USING (session_id) LEFT JOIN topic USING (session_id)
+       LEFT JOIN wsig w USING (session_id)),
+compw AS (
+  SELECT *, CASE WHEN strategy_hits >= 2 THEN 'strategy'
+                 WHEN dev_hits >= 3 OR len(file_changes) >= 3 THEN 'dev'
+                 WHEN users <= 5 AND dev_hits = 0 AND strategy_hits = 0 THEN 'ops'
+                 WHEN strategy_hits >= 1 THEN 'strategy'
+                 WHEN dev_hits >= 1 OR len(file_changes) >= 1 THEN 'dev'
+                 WHEN users > 10 THEN 'dev' ELSE 'ops' END AS weight,
+            list_transform(entities, lambda e: translate(lower(e), ' _', '--')) AS tags,
+            (epoch_us(modified_time), full_id) AS session_ord
+  FROM comp),
+compiled AS (SELECT *, CASE weight WHEN 'ops' THEN 1 WHEN 'dev' THEN 2 ELSE 3 END AS weight_value FROM compw)"""
+
+COMPILED = f"WITH {MSG}, {SES}, {CTX}, {COMPILE}"
+
+
+def _fc_sql(c: str) -> str:
+    return f"array_to_string(list_transform({c}, lambda x: x.path || ':' || x.action), '|')"
+
+
+q("compiled_sessions", f"""{COMPILED}
+SELECT session_id, date, time_range, project, array_to_string(models, ',') AS models, user_message_count,
+       assistant_message_count, CAST(cost_units AS DOUBLE) / 1e10 AS cost_usd, array_to_string(entities, '|') AS entities,
+       topic_sentence, array_to_string(key_points, chr(10)) AS key_points, array_to_string(tail_context, chr(10)) AS tail_context,
+       {_fc_sql('file_changes')} AS file_changes, array_to_string(tags, '|') AS tags, weight,
+       CAST(weight_value AS BIGINT) AS weight_value FROM compiled""")
+q("entity_hits", f"""WITH {MSG}, {COMPILE.split('ents AS')[0].rstrip().rstrip(',')}
+SELECT session_id, entity, hits FROM (
+  SELECT session_id, unnest([{', '.join(f"'{_sq(e.name)}'" for e in BOUND_DICTIONARY)}]) AS entity,
+         unnest([{', '.join(f'CAST(h{i} AS BIGINT)' for i in range(len(BOUND_DICTIONARY)))}]) AS hits FROM eh)
+WHERE hits > 0""")
+q("entity_links", f"""{COMPILED}
+SELECT full_id AS session_id, array_to_string(entities, '|') AS entities FROM compiled WHERE len(entities) > 0""")
+q("session_weight", f"""{COMPILED}
+SELECT session_id, CAST(dev_hits AS BIGINT) AS dev_hits, CAST(strategy_hits AS BIGINT) AS strategy_hits, weight FROM compiled""")
+q("key_points", f"""{COMPILED} SELECT session_id, CAST(rank AS BIGINT) AS rank, point FROM kp""")
+q("tail_context", f"""{COMPILED} SELECT session_id, line_no, text FROM tl""")
+q("file_changes", f"""{COMPILED} SELECT session_id, path, action, line_no FROM fc""")
+q("daily_digest", f"""{COMPILED},
+ent_d AS (SELECT date, list(e ORDER BY fo) AS entities FROM (
+            SELECT date, e, min((session_ord, pos)) AS fo FROM (
+              SELECT date, session_ord, unnest(entities) AS e, generate_subscripts(entities, 1) AS pos FROM compiled)
+            GROUP BY 1, 2) GROUP BY 1),
+kp_d AS (SELECT date, list(p ORDER BY fo)[1:15] AS key_points FROM (
+            SELECT date, p, min((session_ord, pos)) AS fo FROM (
+              SELECT date, session_ord, unnest(key_points) AS p, generate_subscripts(key_points, 1) AS pos FROM compiled)
+            GROUP BY 1, 2) GROUP BY 1),
+fc_x AS (SELECT date, session_ord, unnest(file_changes) AS f, generate_subscripts(file_changes, 1) AS pos FROM compiled),
+fc_d AS (SELECT date, list({{'path': path, 'action': action}} ORDER BY fo) AS file_changes FROM (
+           SELECT date, f.path AS path, min((session_ord, pos)) AS fo, arg_max(f.action, (session_ord, pos)) AS action
+           FROM fc_x GROUP BY 1, 2) GROUP BY 1),
+m_d AS (SELECT date, list_sort(list_distinct(flatten(list(models)))) AS models FROM compiled GROUP BY 1),
+base AS (SELECT date, count(*) AS session_count, array_to_string(list(session_id ORDER BY session_ord), ',') AS session_ids,
+                sum(user_message_count) AS tu, sum(assistant_message_count) AS ta, sum(cost_units) AS cu,
+                max(weight_value) AS wv FROM compiled GROUP BY 1)
+SELECT b.date, CAST(session_count AS BIGINT) AS session_count, session_ids, CAST(tu AS BIGINT) AS total_user_messages,
+       CAST(ta AS BIGINT) AS total_assistant_messages, CAST(cu AS DOUBLE) / 1e10 AS total_cost,
+       CASE wv WHEN 1 THEN 'ops' WHEN 2 THEN 'dev' ELSE 'strategy' END AS weight,
+       coalesce(array_to_string(entities, '|'), '') AS entities, coalesce(array_to_string(key_points, chr(10)), '') AS key_points,
+       coalesce({_fc_sql('file_changes')}, '') AS file_changes,
+       coalesce(array_to_string(list_transform(entities, lambda e: translate(lower(e), ' _', '--')), '|'), '') AS tags,
+       coalesce(array_to_string(models, ','), '') AS models
+FROM base b LEFT JOIN ent_d USING (date) LEFT JOIN kp_d USING (date) LEFT JOIN fc_d USING (date) LEFT JOIN m_d USING (date)""")
+CONCEPTS = f"""{COMPILED},
+edges AS (SELECT unnest(entities) AS concept, session_id, date, session_ord FROM compiled),
+ci AS (SELECT concept, CAST(count(*) AS BIGINT) AS mention_count, arg_min(date, session_ord) AS first_seen,
+              array_to_string(list(session_id ORDER BY session_ord)[1:20], ',') AS sessions_head,
+              CASE WHEN count(*) >= 5 THEN 'mature' WHEN count(*) >= 3 THEN 'growing' ELSE 'stub' END AS status
+       FROM edges GROUP BY 1),
+cd AS (SELECT concept, array_to_string(list(date ORDER BY fo), ',') AS dates FROM (
+         SELECT concept, date, min(session_ord) AS fo FROM edges GROUP BY 1, 2) GROUP BY 1)"""
+q("concept_index", f"""{CONCEPTS}
+SELECT concept, mention_count, first_seen, status, sessions_head, dates FROM ci JOIN cd USING (concept)""")
+q("concept_status_counts", f"""{CONCEPTS}
+SELECT l.status, CAST(coalesce(c.n, 0) AS BIGINT) AS count
+FROM (VALUES ('mature'), ('growing'), ('stub')) AS l(status)
+LEFT JOIN (SELECT status, count(*) AS n FROM ci GROUP BY 1) c USING (status)""")
+q("weight_distribution", f"""{COMPILED}
+SELECT l.weight, CAST(coalesce(c.n, 0) AS BIGINT) AS count,
+       CASE WHEN (SELECT count(*) FROM compiled) > 0 THEN coalesce(c.n, 0) * 100 / (SELECT count(*) FROM compiled) ELSE 0.0 END AS pct
+FROM (VALUES ('strategy'), ('dev'), ('ops')) AS l(weight)
+LEFT JOIN (SELECT weight, count(*) AS n FROM compiled GROUP BY 1) c USING (weight)""")
