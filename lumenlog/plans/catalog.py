@@ -514,3 +514,82 @@ def concept_status_counts(spark, sf):
 @query("weight_distribution")
 def weight_distribution(spark, sf):
     return DY.weight_distribution(_compiled(spark, sf)).select("weight", "count", "pct")
+
+
+# ---------------------------------------------------------------- JSON log decoding (SC5-SC10)
+from lumenlog.sources import jsonl as J  # noqa: E402
+
+
+def _js(x: str) -> str:
+    """A JSON string literal for the SQL string expression x."""
+    return f"substring(to_json(array({x})), 2, length(to_json(array({x}))) - 2)"
+
+
+def conversation_log_lines(spark, sf):
+    """Session-log JSON lines derived from ``conversations`` (file_path, line_no, value).
+
+    Content alternates between a plain string and block arrays (text, thinking,
+    tool_use, tool_result, a non-object block); every 4th line repeats "type";
+    each conversation also gets a non-content line, a blank line, a malformed
+    line and a JSON array line.
+    """
+    sid = T.session_key_sql("conv_id")
+    ts = (f"date_format(timestamp_seconds({T.BASE_EPOCH} + conv_id * {T.SESSION_SPACING_S} + turn * "
+          f"{T.TURN_SPACING_S}), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")")
+    model = T.pick_sql("(conv_id + turn) % 5", T.BOUND_MODELS)
+    tools = T.pick_sql("(conv_id + turn) % 4", T.BOUND_TOOLS)
+    n = "length(coalesce(text, ''))"
+    text = "coalesce(text, '')"
+    usage = (f"concat('{{\"input_tokens\":', {n}, ',\"output_tokens\":', {n} % 97, "
+             f"',\"cache_creation_input_tokens\":', {n} * 3 % 211, "
+             f"CASE WHEN (conv_id + turn) % 7 = 0 THEN '' ELSE concat(',\"cache_read_input_tokens\":', {n} * 7 % 503) END, "
+             f"'}}')")
+    tool_blocks = (f"array_join(transform({tools}, t -> concat('{{\"type\":\"tool_use\",\"id\":\"x\",\"name\":', "
+                   f"{_js('t')}, ',\"input\":{{}}}}')), ',')")
+    a_content = (f"concat('[{{\"type\":\"thinking\",\"thinking\":\"...\"}},{{\"type\":\"text\",\"text\":', {_js(text)}, '}}', "
+                 f"CASE WHEN size({tools}) > 0 THEN concat(',', {tool_blocks}) ELSE '' END, ',42]')")
+    u_result = f"concat('[{{\"type\":\"tool_result\",\"tool_use_id\":\"x\",\"content\":', {_js(text)}, '}}]')"
+    content = (f"CASE WHEN role = 'assistant' THEN {a_content} WHEN role = 'user' AND turn % 3 = 1 THEN {u_result} "
+               f"ELSE {_js(text)} END")
+    msg = (f"concat('{{\"role\":', {_js('role')}, ',\"content\":', {content}, "
+           f"CASE WHEN role = 'assistant' AND {model} IS NOT NULL THEN concat(',\"model\":', {_js(model)}) ELSE '' END, "
+           f"CASE WHEN role = 'assistant' THEN concat(',\"usage\":', {usage}) ELSE '' END, '}}')")
+    line = (f"concat('{{', CASE WHEN turn % 4 = 0 THEN '\"type\":\"progress\",' ELSE '' END, '\"type\":', {_js('role')}, "
+            f"',\"uuid\":', {_js(f'concat({sid}, chr(45), CAST(turn AS STRING))')}, ',\"timestamp\":', {_js(ts)}, "
+            f"',\"isSidechain\":false,\"message\":', {msg}, '}}')")
+    c = T.table(spark, sf, "conversations")
+    path = f"concat('/logs/', {sid}, '.jsonl')"
+    content_lines = c.selectExpr(f"{path} AS file_path", "CAST(turn + 1 AS BIGINT) * 10 AS line_no", f"{line} AS value")
+    extra = c.where("turn = 0").selectExpr(
+        f"{path} AS file_path",
+        f"explode(array(named_struct('n', 1, 'v', concat('{{\"type\":\"queue-operation\",\"timestamp\":', {_js(ts)}, '}}')), "
+        "named_struct('n', 2, 'v', ''), named_struct('n', 3, 'v', 'NOT JSON'), named_struct('n', 4, 'v', '[1,2]'))) AS e"
+    ).selectExpr("file_path", "CAST(e.n AS BIGINT) AS line_no", "e.v AS value")
+    return content_lines.unionByName(extra)
+
+
+ROUNDTRIP_COLS = ["session_id", "line_no", "msg_type", "content_text", "model", "has_usage", *U.TOKEN_COLS, "tools"]
+
+
+def _decoded(spark, sf):
+    raw = conversation_log_lines(spark, sf)
+    d = J.messages_of(J.decode_lines(raw))
+    return d.withColumn("session_id", F.regexp_extract("file_path", r"([^/]+)\.jsonl$", 1))
+
+
+@query("json_roundtrip_messages")
+def json_roundtrip_messages(spark, sf):
+    d = _decoded(spark, sf)
+    return d.select("session_id", "line_no", "msg_type", "content_text", F.coalesce("model", F.lit("")).alias("model"),
+                    "has_usage", *U.TOKEN_COLS, F.array_join("tool_names", ",").alias("tools"))
+
+
+@query("content_blocks")
+def content_blocks(spark, sf):
+    d = _decoded(spark, sf)
+    return (d.groupBy("msg_type").agg(
+        F.count(F.lit(1)).cast("bigint").alias("messages"),
+        F.sum(F.length("content_text")).cast("bigint").alias("chars"),
+        F.sum(F.size("tool_names")).cast("bigint").alias("tool_uses"),
+        F.sum(F.when(F.col("has_usage"), 1).otherwise(0)).cast("bigint").alias("with_usage"),
+        F.min("ts").cast("string").alias("first_ts")))

@@ -738,3 +738,35 @@ SELECT l.weight, CAST(coalesce(c.n, 0) AS BIGINT) AS count,
        CASE WHEN (SELECT count(*) FROM compiled) > 0 THEN coalesce(c.n, 0) * 100 / (SELECT count(*) FROM compiled) ELSE 0.0 END AS pct
 FROM (VALUES ('strategy'), ('dev'), ('ops')) AS l(weight)
 LEFT JOIN (SELECT weight, count(*) AS n FROM compiled GROUP BY 1) c USING (weight)""")
+
+
+# ---------------------------------------------------------------- JSON log decoding
+EXPECTED_DECODED = f"""
+exp AS (
+  SELECT {SID} AS session_id, CAST(turn + 1 AS BIGINT) * 10 AS line_no, role AS msg_type,
+    CASE WHEN role = 'assistant' THEN array_to_string(list_filter(
+           list_concat([coalesce(text, '')], list_transform(
+             CASE (conv_id + turn) % 4 WHEN 0 THEN ['Edit'] WHEN 1 THEN ['Write', 'Read'] WHEN 2 THEN []::VARCHAR[] ELSE ['Bash'] END,
+             lambda t: '[tool: ' || t || ']')), lambda p: p <> ''), ' ')
+         WHEN role = 'user' AND turn % 3 = 1 THEN substring(coalesce(text, ''), 1, 200)
+         ELSE coalesce(text, '') END AS content_text,
+    coalesce(CASE WHEN role = 'assistant' THEN {_case('(conv_id + turn) % 5', BOUND_MODELS)} END, '') AS model,
+    role = 'assistant' AS has_usage,
+    CASE WHEN role = 'assistant' THEN CAST(length(coalesce(text, '')) AS BIGINT) END AS input_tokens,
+    CASE WHEN role = 'assistant' THEN CAST(length(coalesce(text, '')) AS BIGINT) % 97 END AS output_tokens,
+    CASE WHEN role = 'assistant' THEN CAST(length(coalesce(text, '')) AS BIGINT) * 3 % 211 END AS cache_write_tokens,
+    CASE WHEN role = 'assistant' THEN CASE WHEN (conv_id + turn) % 7 = 0 THEN 0
+         ELSE CAST(length(coalesce(text, '')) AS BIGINT) * 7 % 503 END END AS cache_read_tokens,
+    CASE WHEN role = 'assistant' THEN array_to_string(
+         CASE (conv_id + turn) % 4 WHEN 0 THEN ['Edit'] WHEN 1 THEN ['Write', 'Read'] WHEN 2 THEN []::VARCHAR[] ELSE ['Bash'] END, ',')
+         ELSE '' END AS tools,
+    {TS} AS ts
+  FROM conversations
+)"""
+q("json_roundtrip_messages", f"WITH {EXPECTED_DECODED} SELECT * EXCLUDE (ts) FROM exp")
+q("content_blocks", f"""WITH {EXPECTED_DECODED}
+SELECT msg_type, CAST(count(*) AS BIGINT) AS messages, CAST(sum(length(content_text)) AS BIGINT) AS chars,
+       CAST(sum(len(string_split(tools, ',')) - CASE WHEN tools = '' THEN 1 ELSE 0 END) AS BIGINT) AS tool_uses,
+       CAST(sum(CASE WHEN has_usage THEN 1 ELSE 0 END) AS BIGINT) AS with_usage,
+       strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts
+FROM exp GROUP BY msg_type""")
