@@ -53,12 +53,16 @@ def apply_required_conf(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    On a cluster this comes from ``spark.checkpoint.dir`` (a shared file system).
-    Only when it is unset (local tests) a private temporary folder is created.
+    On a cluster this comes from ``spark.checkpoint.dir`` (a shared file system)
+    or an earlier ``setCheckpointDir``. Only when neither is set (local tests) a
+    private temporary folder is used.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="lumenlog-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
