@@ -593,3 +593,44 @@ def content_blocks(spark, sf):
         F.sum(F.size("tool_names")).cast("bigint").alias("tool_uses"),
         F.sum(F.when(F.col("has_usage"), 1).otherwise(0)).cast("bigint").alias("with_usage"),
         F.min("ts").cast("string").alias("first_ts")))
+
+
+# ---------------------------------------------------------------- status notes
+from lumenlog.operators import notes as NT  # noqa: E402
+
+
+def document_notes(spark, sf):
+    """Status notes derived from ``documents``: headings prefixed to the whole text."""
+    day = "date_format(date_add(DATE'2024-01-01', CAST(doc_id % 60 AS INT)), 'yyyy-MM-dd')"
+    content = (f"CASE doc_id % 5 WHEN 0 THEN concat('# Notes\\n\\n## Current Status (', {day}, ')\\n', text) "
+               f"WHEN 1 THEN concat('## 当前状态', {day}, '\\n', text, '\\n## Next\\nmore') "
+               f"WHEN 2 THEN concat('# T\\n## About\\n', text) "
+               f"WHEN 3 THEN concat('## Project Status\\n', text) ELSE text END")
+    return T.table(spark, sf, "documents").selectExpr(
+        "concat('/notes/', CAST(doc_id AS STRING), '/CLAUDE.md') AS path", "doc_id",
+        "concat('c', CAST(doc_id % 13 AS STRING)) AS concept",
+        f"coalesce({content}, '') AS content",
+        f"timestamp_seconds({T.BASE_EPOCH} + doc_id * 3600) AS mtime")
+
+
+def concept_docs(spark, sf):
+    """Concept documents c0..c9 with a trail ending at 2024-01-01 + 5k days (c10-c12 missing)."""
+    d = T.table(spark, sf, "documents").selectExpr("CAST(doc_id % 13 AS INT) AS k").where("k < 10").distinct()
+    return d.selectExpr("concat('c', CAST(k AS STRING)) AS concept",
+                        "concat('---\\nname: c', CAST(k AS STRING), '\\n---\\n\\n## 演化轨迹\\n- **', "
+                        "date_format(date_add(DATE'2024-01-01', k * 5), 'yyyy-MM-dd'), '** [[x]]\\n\\n## Links\\n') AS doc")
+
+
+@query("note_status")
+def note_status(spark, sf):
+    n = document_notes(spark, sf)
+    s = NT.note_status(F.col("content"), F.col("mtime"))
+    return n.select("doc_id", s["status_date"].cast("string").alias("status_date"), s["summary"].alias("summary"),
+                    s["source"].alias("source"))
+
+
+@query("stale_notes")
+def stale_notes(spark, sf):
+    r = NT.sync_notes(document_notes(spark, sf).drop("doc_id"), concept_docs(spark, sf))
+    return r.select("concept", "path", F.col("status_date").cast("string").alias("status_date"), "skipped",
+                    "skip_reason", F.length("new_doc").cast("bigint").alias("new_doc_len"))

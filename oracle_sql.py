@@ -770,3 +770,83 @@ SELECT msg_type, CAST(count(*) AS BIGINT) AS messages, CAST(sum(length(content_t
        CAST(sum(CASE WHEN has_usage THEN 1 ELSE 0 END) AS BIGINT) AS with_usage,
        strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts
 FROM exp GROUP BY msg_type""")
+
+
+# ---------------------------------------------------------------- status notes
+NOTES = f"""
+notes AS (
+  SELECT '/notes/' || CAST(doc_id AS VARCHAR) || '/CLAUDE.md' AS path, doc_id, 'c' || CAST(doc_id % 13 AS VARCHAR) AS concept,
+    coalesce(CASE doc_id % 5
+      WHEN 0 THEN '# Notes' || chr(10) || chr(10) || '## Current Status (' || strftime(DATE '2024-01-01' + CAST(doc_id % 60 AS INT), '%Y-%m-%d') || ')' || chr(10) || text
+      WHEN 1 THEN '## 当前状态' || strftime(DATE '2024-01-01' + CAST(doc_id % 60 AS INT), '%Y-%m-%d') || chr(10) || text || chr(10) || '## Next' || chr(10) || 'more'
+      WHEN 2 THEN '# T' || chr(10) || '## About' || chr(10) || text
+      WHEN 3 THEN '## Project Status' || chr(10) || text
+      ELSE text END, '') AS content,
+    make_timestamp(CAST(({BASE_EPOCH} + doc_id * 3600) AS BIGINT) * 1000000) AS mtime
+  FROM documents
+)"""
+
+
+def clean_sql(x: str) -> str:
+    out = x
+    for pat, rep in ((r"\*\*(.+?)\*\*", r"\1"), (r"\*(.+?)\*", r"\1"), (r"`(.+?)`", r"\1"),
+                     (r"\[(.+?)\]\(.+?\)", r"\1"), (r"^#+\s+", ""), (r"^[-*>]\s+", ""), (r"\s+", " ")):
+        out = f"regexp_replace({out}, '{pat}', '{rep}', 'g')"
+    return strip_sql(out)
+
+
+def compress_sql(section: str) -> str:
+    kept = (f"list_filter(list_transform(list_filter(list_transform(string_split({section}, chr(10)), "
+            f"lambda l: {strip_sql('l')}), lambda l: l <> '' AND NOT regexp_full_match(l, '[|\\-=`•\\[\\]]+') "
+            "AND NOT starts_with(l, '```') AND NOT starts_with(l, '~~~') AND NOT regexp_full_match(l, '\\|[-\\s|]+\\|')), "
+            f"lambda l: {clean_sql('l')}), lambda l: l <> '' AND length(l) > 5)")
+    return f"""(CASE WHEN len({kept}) > 0 THEN substring(
+        CASE WHEN len({kept}) > 1 AND length({kept}[1]) <= 180 AND length({kept}[1]) + length({kept}[2]) < 200
+             THEN {kept}[1] || '；' || {kept}[2] ELSE {kept}[1] END, 1, 200) ELSE '' END)"""
+
+
+def section_sql(content: str, hdr: str, cap: int) -> str:
+    rest = f"regexp_extract({content}, '(?sm){hdr}[^\\n]*\\n(.*)\\z', 1)"
+    return (f"(CASE WHEN regexp_matches({rest}, '(?m)^##\\s') THEN regexp_extract({rest}, '(?s)\\A(.*?)(?m:^)##\\s', 1) "
+            f"ELSE substring({rest}, 1, {cap}) END)")
+
+
+STATUS_HDR = r"^##\s+(?:当前状态|Current Status|Project Status)"
+POS_HDR = r"^##\s+(?:项目定位|Project Overview|About)\s*$"
+LONG_LINES = (f"list_filter(string_split(content, chr(10)), lambda l: {strip_sql('l')} <> '' AND NOT starts_with(l, '#') "
+              f"AND NOT starts_with(l, '>') AND length({strip_sql('l')}) > 20)")
+NOTE_STATUS = f"""
+ns0 AS (
+  SELECT *, regexp_matches(content, '(?m){STATUS_HDR}') AS has_hdr,
+    nullif(regexp_extract(content, '(?m){STATUS_HDR}[\\s（(]?(\\d{{4}}-\\d{{2}}-\\d{{2}})?', 1), '') AS d1,
+    nullif(regexp_extract(regexp_extract(content, '(?m)({STATUS_HDR}[^\\n]*)', 1), '[（(](\\d{{4}}-\\d{{2}}-\\d{{2}})[）)]', 1), '') AS d2,
+    {compress_sql(section_sql('content', STATUS_HDR, 800))} AS s1,
+    regexp_matches(content, '(?m){POS_HDR}') AS has_p,
+    {compress_sql(section_sql('content', POS_HDR, 400))} AS ps,
+    substring({clean_sql(strip_sql(LONG_LINES + '[1]'))}, 1, 150) AS first_long
+  FROM notes),
+ns AS (
+  SELECT *, CASE WHEN has_hdr AND s1 <> '' THEN coalesce(CAST(d1 AS DATE), CAST(d2 AS DATE), CAST(mtime AS DATE))
+                 ELSE CAST(mtime AS DATE) END AS status_date,
+         CASE WHEN has_hdr AND s1 <> '' THEN s1
+              WHEN has_p THEN CASE WHEN ps <> '' THEN ps ELSE '项目文件已更新' END
+              ELSE coalesce(first_long, '项目文件已更新') END AS summary,
+         CASE WHEN has_hdr AND s1 <> '' THEN 'status' ELSE 'positioning' END AS source
+  FROM ns0)"""
+q("note_status", f"""WITH {NOTES}, {NOTE_STATUS}
+SELECT doc_id, CAST(status_date AS VARCHAR) AS status_date, summary, source FROM ns""")
+q("stale_notes", f"""WITH {NOTES}, {NOTE_STATUS},
+latest AS (SELECT concept, arg_max(path, mtime) AS path FROM notes GROUP BY 1),
+cd AS (SELECT DISTINCT 'c' || CAST(doc_id % 13 AS VARCHAR) AS concept, strftime(DATE '2024-01-01' + CAST(doc_id % 13 AS INT) * 5, '%Y-%m-%d') AS last_day,
+              '---' || chr(10) || 'name: c' || CAST(doc_id % 13 AS VARCHAR) || chr(10) || '---' || chr(10) || chr(10) || '## 演化轨迹' || chr(10)
+              || '- **' || strftime(DATE '2024-01-01' + CAST(doc_id % 13 AS INT) * 5, '%Y-%m-%d') || '** [[x]]' || chr(10) || chr(10) || '## Links' || chr(10) AS doc
+       FROM documents WHERE doc_id % 13 < 10),
+j AS (SELECT l.concept, l.path, ns.status_date, ns.summary, cd.doc, CAST(cd.last_day AS DATE) AS last_day
+      FROM latest l JOIN (SELECT path, status_date, summary FROM ns) ns USING (path) LEFT JOIN cd USING (concept))
+SELECT concept, path, CAST(status_date AS VARCHAR) AS status_date,
+       doc IS NULL OR status_date <= last_day AS skipped,
+       CASE WHEN doc IS NULL THEN 'concept document missing'
+            WHEN status_date <= last_day THEN 'up to date (trail ends ' || CAST(last_day AS VARCHAR) || ')' ELSE '' END AS skip_reason,
+       CASE WHEN doc IS NULL OR status_date <= last_day THEN NULL
+            ELSE CAST(length(doc) + length('- **2024-01-01** [CLAUDE.md] — ') + length(summary) + 1 AS BIGINT) END AS new_doc_len
+FROM j""")
