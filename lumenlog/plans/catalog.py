@@ -634,3 +634,25 @@ def stale_notes(spark, sf):
     r = NT.sync_notes(document_notes(spark, sf).drop("doc_id"), concept_docs(spark, sf))
     return r.select("concept", "path", F.col("status_date").cast("string").alias("status_date"), "skipped",
                     "skip_reason", F.length("new_doc").cast("bigint").alias("new_doc_len"))
+
+
+# ---------------------------------------------------------------- exports
+from lumenlog.plans import export as X  # noqa: E402
+
+
+@query("export_markdown")
+def export_markdown(spark, sf):
+    s, m = _conv(spark, sf)
+    return X.markdown_blocks(s, m).select("doc", "ord", "block")
+
+
+@query("export_json")
+def export_json(spark, sf):
+    s, m = _conv(spark, sf)
+    return X.json_blocks(s, m).select("doc", "ord", "block")
+
+
+@query("export_html")
+def export_html(spark, sf):
+    s, m = _conv(spark, sf)
+    return X.html_blocks(s, m).select("doc", "ord", "block")

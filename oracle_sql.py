@@ -850,3 +850,113 @@ SELECT concept, path, CAST(status_date AS VARCHAR) AS status_date,
        CASE WHEN doc IS NULL OR status_date <= last_day THEN NULL
             ELSE CAST(length(doc) + length('- **2024-01-01** [CLAUDE.md] — ') + length(summary) + 1 AS BIGINT) END AS new_doc_len
 FROM j""")
+
+
+# ---------------------------------------------------------------- exports
+def fmtn(x: str) -> str:
+    return f"format('{{:,}}', CAST({x} AS BIGINT))"
+
+
+def usd4_sql(u: str) -> str:
+    q0 = f"(CAST({u} AS BIGINT) // 1000000)"
+    r = f"(CAST({u} AS BIGINT) % 1000000)"
+    qq = f"(CASE WHEN {r} > 500000 OR ({r} = 500000 AND {q0} % 2 = 1) THEN {q0} + 1 ELSE {q0} END)"
+    return f"(CAST({qq} // 10000 AS VARCHAR) || '.' || lpad(CAST({qq} % 10000 AS VARCHAR), 4, '0'))"
+
+
+def js_sql(x: str) -> str:
+    return f"to_json(CAST({x} AS VARCHAR))"
+
+
+def iso_sql(ts: str) -> str:
+    return f"(strftime({ts}, '%Y-%m-%dT%H:%M:%S') || '+00:00')"
+
+
+def esc_sql(x: str) -> str:
+    return f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+HDR = f"""
+hs AS (SELECT session_id,
+         CAST(coalesce(sum(CASE WHEN has_usage THEN input_tokens END), 0) AS BIGINT) AS in_tok,
+         CAST(coalesce(sum(CASE WHEN has_usage THEN output_tokens END), 0) AS BIGINT) AS out_tok,
+         coalesce(sum(CASE WHEN has_usage THEN p.r_in * coalesce(input_tokens, 0) + p.r_out * coalesce(output_tokens, 0)
+             + p.r_cw * coalesce(cache_write_tokens, 0) + p.r_cr * coalesce(cache_read_tokens, 0) ELSE 0 END), 0) AS cost_units
+       FROM msg m JOIN {PRICES} ON p.idx = {price_idx_sql("m.model")} WHERE msg_type = 'assistant' GROUP BY 1),
+mu AS (SELECT session_id, list_sort(list_distinct(list(model))) AS models FROM msg
+       WHERE msg_type = 'assistant' AND model <> '' GROUP BY 1),
+h AS (SELECT s.session_id, CASE WHEN c.cwd IS NOT NULL AND c.cwd <> '' THEN c.cwd ELSE s.project_name END AS project,
+             c.first_ts, CASE WHEN c.n_cwd > 0 THEN c.b1 ELSE c.b2 END AS git_branch,
+             coalesce(mu.models, []::VARCHAR[]) AS models, coalesce(hs.in_tok, 0) AS in_tok,
+             coalesce(hs.out_tok, 0) AS out_tok, coalesce(hs.cost_units, 0) AS cost_units
+      FROM ses s LEFT JOIN ctx c USING (session_id) LEFT JOIN hs USING (session_id) LEFT JOIN mu USING (session_id)),
+cm AS (SELECT * FROM msg WHERE msg_type IN ('user', 'assistant'))"""
+EXPORT_BASE = f"WITH {MSG}, {SES}, {CTX}, {HDR}"
+NL = "chr(10)"
+
+q("export_markdown", f"""{EXPORT_BASE}
+SELECT session_id AS doc, CAST(-1 AS BIGINT) AS ord, concat_ws({NL}, '# Session ' || session_id, '',
+  '- Project: `' || project || '`', '- Started: ' || coalesce(strftime(first_ts, '%Y-%m-%d %H:%M'), '—'),
+  '- Models: ' || coalesce(nullif(array_to_string(models, ', '), ''), '—'),
+  '- Branch: ' || coalesce(nullif(git_branch, ''), '—'),
+  '- Tokens: ' || {fmtn('in_tok')} || ' in / ' || {fmtn('out_tok')} || ' out',
+  '- Equivalent API cost: $' || {usd4_sql('cost_units')}, '', '---', '') AS block FROM h
+UNION ALL
+SELECT session_id, line_no, concat_ws({NL},
+  '### ' || CASE WHEN msg_type = 'user' THEN 'user' ELSE 'assistant · ' || coalesce(nullif(model, ''), 'unknown model') END
+    || ' `' || coalesce(strftime(ts, '%H:%M:%S'), '') || '`',
+  CASE WHEN has_usage THEN '> +' || {fmtn('input_tokens')} || ' in · ' || {fmtn('output_tokens')} || ' out' END,
+  '', nullif({strip_sql('content_text')}, ''),
+  nullif(array_to_string(list_transform(tool_names, lambda t: '- tool: `' || t || '`'), {NL}), ''), '', '---', '')
+FROM cm""")
+
+q("export_json", f"""{EXPORT_BASE}, f AS (SELECT session_id, min(line_no) AS first FROM cm GROUP BY 1)
+SELECT session_id AS doc, CAST(-1 AS BIGINT) AS ord,
+  '{{"session_id":' || {js_sql('session_id')} || ',"project":' || coalesce({js_sql('project')}, 'null')
+  || ',"date":' || coalesce({js_sql(iso_sql('first_ts'))}, 'null') || ',"git_branch":' || coalesce({js_sql('git_branch')}, 'null')
+  || ',"models":' || CAST(to_json(models) AS VARCHAR) || ',"usage":{{"input_tokens":' || CAST(in_tok AS VARCHAR)
+  || ',"output_tokens":' || CAST(out_tok AS VARCHAR) || '}},"messages":[' AS block FROM h
+UNION ALL
+SELECT session_id, line_no, CASE WHEN line_no = f.first THEN '' ELSE ',' END
+  || '{{"uuid":' || {js_sql("session_id || '-' || CAST(line_no - 1 AS VARCHAR)")} || ',"role":' || {js_sql('msg_type')}
+  || ',"timestamp":' || coalesce({js_sql(iso_sql('ts'))}, 'null') || ',"content":' || {js_sql('content_text')}
+  || CASE WHEN model IS NOT NULL AND model <> '' THEN ',"model":' || {js_sql('model')} ELSE '' END
+  || CASE WHEN has_usage THEN ',"usage":{{"input_tokens":' || CAST(input_tokens AS VARCHAR) || ',"output_tokens":'
+       || CAST(output_tokens AS VARCHAR) || ',"cache_creation_input_tokens":' || CAST(cache_write_tokens AS VARCHAR)
+       || ',"cache_read_input_tokens":' || CAST(cache_read_tokens AS VARCHAR) || '}}' ELSE '' END
+  || CASE WHEN len(tool_names) > 0 THEN ',"tools":' || CAST(to_json(tool_names) AS VARCHAR) ELSE '' END || '}}'
+FROM cm JOIN f USING (session_id)
+UNION ALL
+SELECT session_id, CAST({1 << 62} AS BIGINT), ']}}' FROM h""")
+
+
+def _row(label: str, val: str) -> str:
+    return f"'<tr><th>{label}</th><td>' || {val} || '</td></tr>'"
+
+
+q("export_html", f"""{EXPORT_BASE}
+SELECT session_id AS doc, CAST(-1 AS BIGINT) AS ord,
+  '<!DOCTYPE html>' || {NL} || '<html lang="en">' || {NL} || '<head>' || {NL} || '<meta charset="UTF-8">' || {NL}
+  || '<title>Session ' || {esc_sql('substring(session_id, 1, 8)')} || '</title>' || {NL}
+  || '<style>{_sq(__import__('lumenlog.plans.export', fromlist=['HTML_STYLE']).HTML_STYLE)}</style>' || {NL} || '</head>' || {NL}
+  || '<body>' || {NL} || '<h1>Session ' || {esc_sql('substring(session_id, 1, 8)')} || '</h1>' || {NL} || '<table>'
+  || {_row('Session', "'<code>' || " + esc_sql('session_id') + " || '</code>'")}
+  || {_row('Project', "'<code>' || " + esc_sql('project') + " || '</code>'")}
+  || {_row('Started', "coalesce(strftime(first_ts, '%Y-%m-%d %H:%M'), '—')")}
+  || {_row('Models', esc_sql("coalesce(nullif(array_to_string(models, ', '), ''), '—')"))}
+  || {_row('Branch', esc_sql("coalesce(nullif(git_branch, ''), '—')"))}
+  || {_row('Input tokens', fmtn('in_tok'))} || {_row('Output tokens', fmtn('out_tok'))}
+  || {_row('Equivalent API cost', "'$' || " + usd4_sql('cost_units'))}
+  || '</table>' || {NL} || '<hr>' || {NL} AS block FROM h
+UNION ALL
+SELECT session_id, line_no, '<div class="msg ' || msg_type || '"><div class="who">'
+  || {esc_sql("CASE WHEN msg_type = 'user' THEN 'user' ELSE coalesce(nullif(model, ''), 'assistant') END")}
+  || ' <span class="when">' || coalesce(strftime(ts, '%H:%M:%S'), '') || '</span></div>'
+  || CASE WHEN has_usage THEN '<div class="meta">+' || {fmtn('input_tokens')} || ' in · ' || {fmtn('output_tokens')} || ' out</div>' ELSE '' END
+  || '<div class="text">' || {esc_sql(strip_sql('content_text'))} || '</div>'
+  || CASE WHEN len(tool_names) > 0 THEN '<div>' || array_to_string(list_transform(tool_names,
+       lambda t: '<span class="tool">tool: ' || {esc_sql('t')} || '</span><br>'), '') || '</div>' ELSE '' END
+  || '</div>' || {NL}
+FROM cm
+UNION ALL
+SELECT session_id, CAST({1 << 62} AS BIGINT), '</body>' || {NL} || '</html>' || {NL} FROM h""")
