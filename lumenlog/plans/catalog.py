@@ -656,3 +656,76 @@ def export_json(spark, sf):
 def export_html(spark, sf):
     s, m = _conv(spark, sf)
     return X.html_blocks(s, m).select("doc", "ord", "block")
+
+
+# ---------------------------------------------------------------- vault documents
+from lumenlog.plans import documents as DOC  # noqa: E402
+
+
+def _days_with_tools(spark, sf):
+    c = _compiled(spark, sf)
+    d = DY.merge_by_day(c)
+    obs = TL.merge_observations_by_day(T.event_tool_events(spark, sf), c.select(
+        F.col("full_session_id").alias("session_id"), "date", "session_ord"))
+    return c, d.join(obs, "date", "left")
+
+
+@query("daily_documents")
+def daily_documents(spark, sf):
+    _, d = _days_with_tools(spark, sf)
+    r = DOC.render_daily(d, home="/Users/dev")
+    return r.select("path", "content")
+
+
+@query("session_documents")
+def session_documents(spark, sf):
+    return DOC.render_session(_compiled(spark, sf), home="/Users/dev")
+
+
+@query("concept_documents")
+def concept_documents(spark, sf):
+    return DOC.render_concept(DY.concept_index(_compiled(spark, sf))).select("path", "content")
+
+
+@query("index_document")
+def index_document(spark, sf):
+    c = _compiled(spark, sf)
+    ci = DY.concept_index(c)
+    return DOC.render_index(c, DY.merge_by_day(c), ci, DY.weight_distribution(c), DY.status_counts(ci),
+                            "2024-02-01").select("doc", "ord", "block")
+
+
+@query("digest_documents")
+def digest_documents(spark, sf):
+    s, m = _conv(spark, sf)
+    d = D.digest_sessions(s, m, tail_n=3, max_key=2, signals=DIGEST_SIGNALS)
+    return DOC.render_digest(d)
+
+
+@query("focus_document")
+def focus_document(spark, sf):
+    s, m = _conv(spark, sf)
+    c = FO.focus_counts(s, m, FOCUS_AS_OF, FOCUS_HOURS, stop_en=FOCUS_STOP)
+    recent = FO.focus_report(c, 20, "recent_count").withColumnRenamed("recent_count", "count_r") \
+        .drop("count").withColumnRenamed("count_r", "count")
+    base = FO.focus_report(FO.term_counts(m, stop_en=FOCUS_STOP), 20)
+    spikes = FO.focus_spikes(s, m, FOCUS_AS_OF, FOCUS_HOURS, 15, stop_en=FOCUS_STOP)
+    return DOC.render_focus(recent, base, spikes, FOCUS_HOURS, 0, 0, 0, 0, FOCUS_AS_OF).select("doc", "ord", "block")
+
+
+@query("publish_protected")
+def publish_protected(spark, sf):
+    """K9 against 'existing' documents derived from the same run: every third day
+    document marked protected, every second concept document enriched (stub marker removed)."""
+    c, d = _days_with_tools(spark, sf)
+    days = DOC.render_daily(d, home="/Users/dev")
+    ci = DY.concept_index(c)
+    cons = DOC.render_concept(ci)
+    old_days = days.where(F.dayofmonth(F.to_date("date")) % 3 == 0).select(
+        "path", F.concat(F.lit("---\nsource: merged\n---\nold body\n")).alias("content"))
+    old_cons = cons.join(ci.select("concept", "mention_count"), "concept").where(F.col("mention_count") % 2 == 0) \
+        .select("path", F.concat(F.lit("---\nname: x\nsessions: [old]\nmention_count: 0\nstatus: stub\n---\n"
+                                       "# enriched by hand\n"), F.col("concept")).alias("content"))
+    pub = DOC.publish_documents(days, cons, ci, old_days.unionByName(old_cons))
+    return pub.select("path", "kind", "action", F.length("content").cast("bigint").alias("length"),
+                      F.sha2(F.col("content"), 256).alias("digest"))
