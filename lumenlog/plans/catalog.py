@@ -729,3 +729,17 @@ def publish_protected(spark, sf):
     pub = DOC.publish_documents(days, cons, ci, old_days.unionByName(old_cons))
     return pub.select("path", "kind", "action", F.length("content").cast("bigint").alias("length"),
                       F.sha2(F.col("content"), 256).alias("digest"))
+
+
+# ---------------------------------------------------------------- volume queries over documents
+@query("search_documents")
+def search_documents(spark, sf):
+    m = T.document_messages(spark, sf)
+    return S.search(m, ["tion", "the"], context_chars=40).select(*SEARCH_COLS)
+
+
+@query("term_counts_documents")
+def term_counts_documents(spark, sf):
+    m = T.document_messages(spark, sf)
+    c = FO.term_counts(m, user_only=False, stop_en=FOCUS_STOP)
+    return FO.focus_report(c, 50).select("rank", "term", "count", "pct")

@@ -960,3 +960,19 @@ SELECT session_id, line_no, '<div class="msg ' || msg_type || '"><div class="who
 FROM cm
 UNION ALL
 SELECT session_id, CAST({1 << 62} AS BIGINT), '</body>' || {NL} || '</html>' || {NL} FROM h""")
+
+
+# ---------------------------------------------------------------- volume queries over documents
+DOCMSG = f"""
+msg AS (
+  SELECT source || '-' || CAST(CAST(floor(doc_id / 50) AS BIGINT) AS VARCHAR) AS session_id, CAST(doc_id AS BIGINT) AS line_no,
+         CASE WHEN doc_id % 3 = 2 THEN 'assistant' ELSE 'user' END AS msg_type, coalesce(text, '') AS content_text,
+         CASE WHEN doc_id % 3 = 2 THEN {_case('doc_id % 5', BOUND_MODELS)} END AS model
+  FROM documents
+)"""
+q("search_documents", search_sql(["tion", "the"], ctx=40).replace(f"WITH {MSG}, {SES},", f"WITH {DOCMSG},", 1))
+q("term_counts_documents", f"""WITH {DOCMSG}, f AS (SELECT * FROM msg WHERE {focus_filter_sql(False)}),
+c AS (SELECT term, count(*) AS count FROM ({terms_sql('f')}) GROUP BY term),
+t AS (SELECT * FROM c ORDER BY count DESC, term ASC LIMIT 50)
+SELECT CAST(row_number() OVER (ORDER BY count DESC, term ASC) AS BIGINT) AS rank, term, count,
+       count / max(count) OVER () AS pct FROM t""")
