@@ -80,15 +80,20 @@ def contains_any(c: Column, needles: Iterable[str]) -> Column:
     return F.coalesce(expr, F.lit(False))
 
 
+WORD_CHARS = r"\p{L}\p{N}_"
+ENGLISH_TERM = rf"(?<![{WORD_CHARS}])[a-zA-Z]{{4,}}(?![{WORD_CHARS}])"
+
+
 def english_terms(c: Column, stop_words: Iterable[str] = ()) -> Column:
     """F8: whole word tokens of 4+ ASCII letters, lower-cased, stop words removed.
 
-    A token is a maximal run of Unicode letters/digits/underscore, which is what
-    Python's Unicode ``\\b`` delimits.
+    A token is a maximal run of Unicode letters/digits/underscore (what Python's
+    Unicode ``\\b`` delimits); one regex pass extracts the all-ASCII-letter ones.
+    For counting, prefer ``english_terms(c)`` + explode + ``isin`` on the stop list
+    (a hash set) over filtering inside the array.
     """
+    words = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(ENGLISH_TERM), 0), lambda t: F.lower(t))
     stop = sorted({w.lower() for w in stop_words})
-    toks = F.split(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}_]+")
-    words = F.transform(F.filter(toks, lambda t: t.rlike("^[a-zA-Z]{4,}$")), lambda t: F.lower(t))
     if stop:
         stop_arr = F.array(*[F.lit(w) for w in stop])
         words = F.filter(words, lambda t: ~F.array_contains(stop_arr, t))

@@ -42,8 +42,7 @@ from lumenlog.functions.text import (
 from lumenlog.functions.timefmt import day_string, hhmm
 from lumenlog.functions.project import display_project
 from lumenlog.operators.sequence import first_n, next_row, ordered_distinct
-from lumenlog.operators.sessions import session_context
-from lumenlog.operators.usage import models_used, session_cost_own_model
+from lumenlog.functions.pricing import cost_units_sql, units_to_usd
 
 DEFAULT_WINDOW = 256
 
@@ -73,11 +72,18 @@ def load_dictionary(path: str) -> list[Entity]:
                 for e in json.load(f)]
 
 
-def stream_counts(rows: DataFrame, key: str, order: str, patterns: Sequence[tuple[str, str, int]]) -> DataFrame:
+def stream_counts(rows: DataFrame, key: str, order: str, patterns: Sequence[tuple[str, str, int]],
+                  stream: str | None = None) -> DataFrame:
     """Per ``key``: non-overlapping match counts of each (name, regex, window) over
-    the rows' ``text`` in ``order`` as if joined with single spaces."""
-    r = rows.select(key, order, "text")
-    r = next_row(r, [key], order, ["text"], "_nx")
+    the rows' ``text`` in ``order`` as if joined with single spaces.
+
+    With ``stream`` (a column naming independent sequences inside a key) each
+    pattern name is ``"<stream>:<name>"`` and only counts rows of that stream;
+    several streams then share one pass (one chunked next-row computation).
+    """
+    part = [key] + ([stream] if stream else [])
+    r = rows.select(*part, order, "text")
+    r = next_row(r, part, order, ["text"], "_nx")
     sums = []
     for name, pat, win in patterns:
         own = F.regexp_count(F.col("text"), F.lit(pat))
@@ -88,21 +94,25 @@ def stream_counts(rows: DataFrame, key: str, order: str, patterns: Sequence[tupl
         straddle = F.when(F.col("_nx").isNotNull(), F.greatest(
             F.regexp_count(joint, F.lit(pat)) - F.regexp_count(tail, F.lit(pat)) - F.regexp_count(head, F.lit(pat)),
             F.lit(0))).otherwise(F.lit(0))
-        sums.append(F.sum(own + straddle).cast("bigint").alias(name))
+        hits = own + straddle
+        out = name
+        if stream:
+            s_name, out = name.split(":", 1)
+            hits = F.when(F.col(stream) == s_name, hits).otherwise(F.lit(0))
+        sums.append(F.coalesce(F.sum(hits), F.lit(0)).cast("bigint").alias(out))
     return r.groupBy(key).agg(*sums)
 
 
 def user_substance(messages: DataFrame) -> DataFrame:
     """P10: user texts with stripped length > 20, not starting with '<' (raw text kept)."""
-    s = strip_ws(F.col("content_text"))
-    return messages.where((F.col("msg_type") == "user") & (F.length(s) > 20) & ~F.startswith(s, F.lit("<")))
+    return messages.where(_substance_cond())
 
 
 def entity_hits(messages: DataFrame, dictionary: Sequence[Entity], key: str = "session_id") -> DataFrame:
     """Long form (key, ord, entity, hits) for entries with at least one hit."""
     if not dictionary:
         return messages.sparkSession.createDataFrame([], f"{key} string, ord int, entity string, hits bigint")
-    sub = user_substance(messages).select(key, "line_no", F.col("content_text").alias("text"))
+    sub = messages.where(_substance_cond()).select(key, "line_no", F.col("content_text").alias("text"))
     pats = [(f"_e{i}", e.pattern, e.window) for i, e in enumerate(dictionary)]
     wide = stream_counts(sub, key, "line_no", pats)
     arr = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(e.name).alias("entity"), F.col(f"_e{i}").alias("hits"))
@@ -172,19 +182,36 @@ def file_changes(messages: DataFrame, key: str = "session_id", pattern: str = FI
                          .alias("action"), "line_no")
 
 
-def weight_signals(messages: DataFrame, key: str = "session_id", dev_pattern: str = DEV_SIGNAL_PATTERN,
-                   strategy_pattern: str = STRATEGY_SIGNAL_PATTERN, window: int = DEFAULT_WINDOW) -> DataFrame:
-    """Dev hits over non-blank user texts then assistant texts (joined);
-    strategy hits over non-blank user texts; number of non-blank user texts."""
+def _substance_cond() -> Column:
+    st = strip_ws(F.col("content_text"))
+    return (F.col("msg_type") == "user") & (F.length(st) > 20) & ~F.startswith(st, F.lit("<"))
+
+
+def text_streams(messages: DataFrame, key: str = "session_id") -> DataFrame:
+    """The three joined-text sequences of a session as one tagged row set:
+    'all' (non-blank user texts, then non-blank assistant texts), 'user'
+    (non-blank user texts) and 'sub' (P10 user substance)."""
     nb = messages.where(F.col("msg_type").isin("user", "assistant") & (strip_ws(F.col("content_text")) != ""))
-    ordk = (F.when(F.col("msg_type") == "user", F.lit(0)).otherwise(F.lit(1)).cast("bigint") * F.lit(1 << 40)
-            + F.col("line_no")).alias("_ord")
-    allt = nb.select(key, ordk, F.col("content_text").alias("text"))
-    dev = stream_counts(allt, key, "_ord", [("dev_hits", "(?iu)" + dev_pattern, window)])
-    usr = nb.where(F.col("msg_type") == "user").select(key, "line_no", F.col("content_text").alias("text"))
-    strat = stream_counts(usr, key, "line_no", [("strategy_hits", "(?iu)" + strategy_pattern, window)])
-    n_user = usr.groupBy(key).agg(F.count(F.lit(1)).cast("bigint").alias("user_texts"))
-    return dev.join(strat, key, "full").join(n_user, key, "full")
+    type_first = (F.when(F.col("msg_type") == "user", F.lit(0)).otherwise(F.lit(1)).cast("bigint") * F.lit(1 << 40)
+                  + F.col("line_no"))
+    a = nb.select(key, F.lit("all").alias("_stream"), type_first.alias("_ord"), F.col("content_text").alias("text"))
+    u = nb.where(F.col("msg_type") == "user").select(key, F.lit("user").alias("_stream"),
+                                                     F.col("line_no").alias("_ord"), F.col("content_text").alias("text"))
+    s = messages.where(_substance_cond()).select(key, F.lit("sub").alias("_stream"), F.col("line_no").alias("_ord"),
+                                                F.col("content_text").alias("text"))
+    return a.unionByName(u).unionByName(s)
+
+
+def weight_signals(messages: DataFrame, key: str = "session_id", dev_pattern: str = DEV_SIGNAL_PATTERN,
+                   strategy_pattern: str = STRATEGY_SIGNAL_PATTERN, window: int = DEFAULT_WINDOW,
+                   dictionary: Sequence[Entity] = ()) -> DataFrame:
+    """A22 (+ J6 counts): dev hits over non-blank user then assistant texts (joined);
+    strategy hits over non-blank user texts; entity hits (``_e<i>``) over the user
+    substance -- all in one chunked pass."""
+    pats = [("all:dev_hits", "(?iud)" + dev_pattern, window),
+            ("user:strategy_hits", "(?iud)" + strategy_pattern, window)]
+    pats += [(f"sub:_e{i}", e.pattern, e.window) for i, e in enumerate(dictionary)]
+    return stream_counts(text_streams(messages, key), key, "_ord", pats, stream="_stream")
 
 
 def session_weight(dev: Column, strategy: Column, files: Column, users: Column) -> Column:
@@ -205,16 +232,45 @@ def weight_value(w: Column) -> Column:
     return expr
 
 
+def session_facts(messages: DataFrame, key: str = "session_id", prices=None) -> DataFrame:
+    """One aggregation per session for everything that is a plain aggregate:
+    span and context (SC12/A10), counts, compile topic (W5), models (A11),
+    own-model cost (A12) and the number of non-blank user texts (A23)."""
+    t = F.col("msg_type")
+    st = strip_ws(F.col("content_text"))
+    unit = F.expr(f"CASE WHEN msg_type = 'assistant' AND has_usage THEN "
+                  f"{cost_units_sql('model', 'input_tokens', 'output_tokens', 'cache_write_tokens', 'cache_read_tokens', prices=prices)} END")
+    with_cwd = F.min_by(F.struct("cwd", "git_branch", "version"),
+                        F.when((t == "user") & F.col("cwd").isNotNull(), F.col("line_no")))
+    last_user = F.max_by(F.struct("git_branch", "version"), F.when(t == "user", F.col("line_no")))
+    return messages.groupBy(key).agg(
+        with_cwd.alias("_c"), last_user.alias("_l"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+        F.sum(F.when(t == "user", 1).otherwise(0)).cast("bigint").alias("user_message_count"),
+        F.sum(F.when(t == "assistant", 1).otherwise(0)).cast("bigint").alias("assistant_message_count"),
+        F.sum(F.when((t == "user") & (st != ""), 1).otherwise(0)).cast("bigint").alias("user_texts"),
+        F.min_by(truncate_ws(st, 120), F.when((t == "user") & is_topic_candidate(st), F.col("line_no")))
+        .alias("topic"),
+        F.sort_array(F.collect_set(F.when((t == "assistant") & (F.col("model") != ""), F.col("model"))))
+        .alias("models"),
+        F.coalesce(F.sum(unit.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("cost_units"),
+    ).select(key, F.col("_c.cwd").alias("cwd"),
+             F.when(F.col("_c").isNotNull(), F.col("_c.git_branch")).otherwise(F.col("_l.git_branch")).alias("git_branch"),
+             F.when(F.col("_c").isNotNull(), F.col("_c.version")).otherwise(F.col("_l.version")).alias("version"),
+             "first_ts", "last_ts", "user_message_count", "assistant_message_count", "user_texts", "topic", "models",
+             "cost_units")
+
+
 def compile_sessions(sessions: DataFrame, messages: DataFrame, dictionary: Sequence[Entity] = (),
                      key: str = "session_id", signals: Iterable[str] | None = None,
                      dev_pattern: str = DEV_SIGNAL_PATTERN, strategy_pattern: str = STRATEGY_SIGNAL_PATTERN,
                      file_pattern: str = FILE_CHANGE_PATTERN, prices=None) -> DataFrame:
-    """One row per session with the compiled summary (see FIXTURES section 5)."""
-    ctx = session_context(messages, key)
-    counts = messages.groupBy(key).agg(
-        F.sum(F.when(F.col("msg_type") == "user", 1).otherwise(0)).cast("bigint").alias("user_message_count"),
-        F.sum(F.when(F.col("msg_type") == "assistant", 1).otherwise(0)).cast("bigint")
-        .alias("assistant_message_count"))
+    """One row per session with the compiled summary (see FIXTURES section 5).
+
+    Plan shape: one per-session aggregate (``session_facts``), one chunked
+    pass for all joined-text regex counts, two bounded first/last-N windows
+    and one file-change aggregate, joined on the session key.
+    """
+    facts = session_facts(messages, key, prices)
     kp = key_points(messages, key, signals).groupBy(key).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "point"))), lambda s: s["point"]).alias("key_points"))
     tl = tail_context(messages, key).groupBy(key).agg(
@@ -224,22 +280,28 @@ def compile_sessions(sessions: DataFrame, messages: DataFrame, dictionary: Seque
     fcl = fc.groupBy(key).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("line_no", "path", "action"))),
                     lambda s: F.struct(s["path"].alias("path"), s["action"].alias("action"))).alias("file_changes"))
-    ws = weight_signals(messages, key, dev_pattern, strategy_pattern)
-    ents = linked_entities(messages, dictionary, key)
-    cost = session_cost_own_model(messages, key, prices)
-    mods = models_used(messages, key)
-    topic = compile_topic(messages, key)
+    ws = weight_signals(messages, key, dev_pattern, strategy_pattern, dictionary=dictionary)
+    if dictionary:
+        arr = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(e.name).alias("entity"), F.col(f"_e{i}").alias("hits"),
+                                 F.lit(e.min_hits).alias("min_hits"), F.lit(e.suppressed).alias("suppressed"))
+                        for i, e in enumerate(dictionary)])
+        ents = F.transform(F.filter(arr, lambda h: (h["hits"] > 0) & ~h["suppressed"] & (h["hits"] >= h["min_hits"])),
+                           lambda h: h["entity"])
+    else:
+        ents = F.array().cast("array<string>")
+    ws = ws.select(key, "dev_hits", "strategy_hits", ents.alias("entities"))
 
     empty_s = F.array().cast("array<string>")
     empty_fc = F.array().cast("array<struct<path:string,action:string>>")
     j = sessions.select(key, "project_name", "modified_time")
-    for part in (ctx, counts, kp, tl, fcl, ws, ents, cost.select(key, "cost_units", "cost_usd"), mods, topic):
+    for part in (facts, kp, tl, fcl, ws):
         j = j.join(part, key, "left")
     nfiles = F.size(F.coalesce(F.col("file_changes"), empty_fc))
     dev, strat = F.coalesce("dev_hits", F.lit(0)), F.coalesce("strategy_hits", F.lit(0))
     users = F.coalesce("user_texts", F.lit(0))
     w = session_weight(dev, strat, nfiles, users)
     ents_col = F.coalesce(F.col("entities"), empty_s)
+    cost = F.coalesce("cost_units", F.lit(0).cast("decimal(38,0)"))
     return j.select(
         F.substring(F.col(key), 1, 8).alias("session_id"),
         F.col(key).alias("full_session_id"),
@@ -251,8 +313,7 @@ def compile_sessions(sessions: DataFrame, messages: DataFrame, dictionary: Seque
         F.coalesce("models", empty_s).alias("models"),
         F.coalesce("user_message_count", F.lit(0)).cast("bigint").alias("user_message_count"),
         F.coalesce("assistant_message_count", F.lit(0)).cast("bigint").alias("assistant_message_count"),
-        F.coalesce("cost_units", F.lit(0).cast("decimal(38,0)")).alias("cost_units"),
-        F.coalesce("cost_usd", F.lit(0.0)).alias("cost_usd"),
+        cost.alias("cost_units"), units_to_usd(cost).alias("cost_usd"),
         ents_col.alias("entities"),
         F.coalesce(F.col("topic"), F.concat(F.lit("session-"), F.substring(F.col(key), 1, 8))).alias("topic_sentence"),
         F.coalesce("key_points", empty_s).alias("key_points"),

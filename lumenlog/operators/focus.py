@@ -44,6 +44,14 @@ def extract_terms(text, stop_en: Iterable[str] | None = None, stop_zh_chars: str
                     cjk_ngrams(text, stop_zh_chars, DEFAULT_STOP_ZH_WORDS if stop_zh_words is None else stop_zh_words))
 
 
+def _stop_filter(term, stop_en, stop_zh_words):
+    """J7 after the explode: a NOT IN over a literal list becomes a hash-set lookup."""
+    # English tokens are lower-case ASCII and n-grams are CJK: one list cannot hit the other
+    stop = sorted({w.lower() for w in (DEFAULT_STOP_EN if stop_en is None else stop_en)}
+                  | set(DEFAULT_STOP_ZH_WORDS if stop_zh_words is None else stop_zh_words))
+    return ~term.isin(stop) if stop else F.lit(True)
+
+
 def term_counts(messages: DataFrame, user_only: bool = True, stop_en=None, stop_zh_chars: str = STOP_ZH_CHARS,
                 stop_zh_words=None, recent: F.Column | None = None) -> DataFrame:
     """(term, count[, recent_count]) over the filtered messages.
@@ -52,10 +60,12 @@ def term_counts(messages: DataFrame, user_only: bool = True, stop_en=None, stop_
     is computed in the same aggregation.
     """
     f = filter_focus_text(messages, user_only)
-    cols = [F.explode(extract_terms(F.col("content_text"), stop_en, stop_zh_chars, stop_zh_words)).alias("term")]
+    text = F.col("content_text")
+    tokens = F.concat(english_terms(text), cjk_ngrams(text, stop_zh_chars))
+    cols = [F.explode(tokens).alias("term")]
     if recent is not None:
         cols.append(recent.alias("_recent"))
-    ex = f.select(*cols)
+    ex = f.select(*cols).where(_stop_filter(F.col("term"), stop_en, stop_zh_words))
     aggs = [F.count(F.lit(1)).cast("bigint").alias("count")]
     if recent is not None:
         aggs.append(F.sum(F.when(F.col("_recent"), 1).otherwise(0)).cast("bigint").alias("recent_count"))
