@@ -427,11 +427,18 @@ BOUND_FILE_PATTERN = r"([A-Za-z]+tion)"
 
 
 def _compiled(spark, sf):
+    """Compiled sessions, checkpointed: one row per session feeds several roll-ups
+    (days, concepts, documents), so it is computed once and its lineage cut
+    (reliable checkpoint in the shared checkpoint folder)."""
+    from lumenlog.session import checkpoint_dir
+
     s, m = _conv(spark, sf)
     c = C.compile_sessions(s, m, BOUND_DICTIONARY, signals=BOUND_SIGNALS, dev_pattern=BOUND_DEV,
                            strategy_pattern=BOUND_STRATEGY, file_pattern=BOUND_FILE_PATTERN)
-    return c.withColumn("session_ord", F.struct(F.unix_micros("modified_time").alias("t"),
-                                                F.col("full_session_id").alias("id")))
+    c = c.withColumn("session_ord", F.struct(F.unix_micros("modified_time").alias("t"),
+                                             F.col("full_session_id").alias("id")))
+    checkpoint_dir(spark)
+    return c.checkpoint(eager=True)
 
 
 def _fc_str(col):
