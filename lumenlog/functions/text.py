@@ -184,3 +184,22 @@ _UNSAFE_FILE = r'[<>:"|?*]'
 def safe_file_name(c: Column) -> Column:
     """drop characters that are unsafe in file names."""
     return F.regexp_replace(c, _UNSAFE_FILE, "")
+
+
+_SLUG_PUNCT = "[，。！？、；：“”‘’（）\\[\\]…\\n\\r]"
+_SLUG_UNSAFE = r'[<>:"|?*{}#@&=+$!`~^]'
+
+
+def topic_slug(topic: Column, session_id: Column, max_len: int = 40) -> Column:
+    """file-name tag from a topic: punctuation to spaces, unsafe characters
+    dropped, whitespace collapsed, first ``max_len`` characters with '-' for
+    spaces and '/', repeated dashes merged and trimmed; the first 8 characters of
+    the session id when the topic is empty, a fallback topic, or the slug is short."""
+    clean = F.regexp_replace(topic, _SLUG_PUNCT, " ")
+    clean = F.regexp_replace(clean, _SLUG_UNSAFE, "")
+    clean = F.btrim(F.regexp_replace(clean, r"(?U)\s+", " "), F.lit(" "))
+    tagged = F.translate(F.btrim(F.substring(clean, 1, max_len), F.lit(" ")), " /", "--")
+    tagged = F.regexp_replace(F.regexp_replace(tagged, "-+", "-"), "^-+|-+$", "")
+    sid = F.substring(session_id, 1, 8)
+    return (F.when(topic.isNull() | (topic == "") | F.startswith(topic, F.lit("session-")), sid)
+            .when(F.length(tagged) >= 4, tagged).otherwise(sid))

@@ -89,12 +89,14 @@ def digest_sessions(sessions: DataFrame, messages: DataFrame, tail_n: int = 3, m
             lambda s: F.struct(s["user_text"].alias("user_text"), s["assistant_text"].alias("assistant_text")))
             .alias(name))
 
-    ctx = session_context(messages, key)
-    counts = messages.where(F.col("msg_type").isin("user", "assistant")).groupBy(key).agg(
-        F.count(F.lit(1)).cast("bigint").alias("message_count"))
+    st = strip_ws(F.col("content_text"))
+    ctx = session_context(messages, key, extra={
+        "message_count": F.sum(F.when(F.col("msg_type").isin("user", "assistant"), 1).otherwise(0)).cast("bigint"),
+        "topic": F.min_by(truncate_ws(st, 120), F.when((F.col("msg_type") == "user") & (F.length(st) > 10),
+                                                       F.col("line_no")))})
     empty = F.array().cast("array<struct<user_text:string,assistant_text:string>>")
     return (sessions.select(key, "project_name", "modified_time")
-            .join(ctx, key, "left").join(counts, key, "left").join(digest_topic(messages, key), key, "left")
+            .join(ctx, key, "left")
             .join(packed(keys, "key_exchanges"), key, "left").join(packed(tail, "tail_exchanges"), key, "left")
             .select(key, day_string(F.col("first_ts")).alias("date"),
                     display_project(F.col("cwd"), F.col("project_name")).alias("project"),
@@ -104,3 +106,8 @@ def digest_sessions(sessions: DataFrame, messages: DataFrame, tail_n: int = 3, m
                     F.coalesce("key_exchanges", empty).alias("key_exchanges"),
                     F.coalesce("tail_exchanges", empty).alias("tail_exchanges"),
                     "modified_time"))
+
+
+def digest_batch_order(digests: DataFrame) -> DataFrame:
+    """Digests of a batch, newest file time first (session id breaks ties)."""
+    return digests.orderBy(F.desc("modified_time"), F.asc(digests.columns[0]))

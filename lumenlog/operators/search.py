@@ -86,3 +86,29 @@ def grep_context(messages: DataFrame, term: str, context: int = 1, key: str = "s
         key, F.explode(F.sequence(F.col("pos") - context, F.col("pos") + context)).alias("pos")).distinct()
     out = pos.join(hits, [key, "pos"], "left_semi")
     return out.withColumn("is_match", F.coalesce(F.col("content_text").rlike(pat), F.lit(False)))
+
+
+PREFILTER_SAFE = r"^[A-Za-z0-9 ]+$"
+
+
+def candidate_files(raw_lines: DataFrame, term: str, case_sensitive: bool = False) -> DataFrame | None:
+    """Files whose raw JSON text contains ``term`` (a semi-join key set).
+
+    Only safe for terms of plain ASCII letters, digits and spaces: JSON escaping
+    (quotes, ``\\n``, ``\\u`` escapes) can hide other text in the raw line. Returns
+    None when the term is not safe -- then no prefilter applies. The filter runs
+    on the raw lines before any JSON decoding.
+    """
+    import re
+
+    if not re.match(PREFILTER_SAFE, term):
+        return None
+    v = F.col("value") if case_sensitive else F.lower(F.col("value"))
+    t = term if case_sensitive else term.lower()
+    return raw_lines.where(F.contains(v, F.lit(t))).select("file_path").distinct()
+
+
+def prefiltered(messages: DataFrame, raw_lines: DataFrame, term: str, case_sensitive: bool = False) -> DataFrame:
+    """Messages of candidate files only (left semi join); unchanged when the term is unsafe."""
+    c = candidate_files(raw_lines, term, case_sensitive)
+    return messages if c is None else messages.join(c, "file_path", "left_semi")

@@ -34,21 +34,25 @@ def head_meta(lines: DataFrame, key: str = "session_id", head_lines: int = HEAD_
              "head_model")
 
 
-def session_context(lines: DataFrame, key: str = "session_id") -> DataFrame:
+def session_context(lines: DataFrame, key: str = "session_id", extra: dict[str, Column] | None = None) -> DataFrame:
     """SC12 + A10: cwd/branch/version of the first user line that has a cwd (else
-    branch/version of the last user line), first/last timestamp over all lines."""
+    branch/version of the last user line), first/last timestamp over all lines.
+
+    ``extra`` adds more per-session aggregates to the same aggregation (one pass)."""
     t = F.col("msg_type")
     with_cwd = _first_by(F.struct("cwd", "git_branch", "version"), (t == "user") & F.col("cwd").isNotNull())
     last_user = F.max_by(F.struct("git_branch", "version"), F.when(t == "user", F.col("line_no")))
+    extra = extra or {}
     g = lines.groupBy(key).agg(with_cwd.alias("_c"), last_user.alias("_l"),
-                               F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+                               F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+                               *[c.alias(n) for n, c in extra.items()])
     has = F.col("_c").isNotNull()
     return g.select(
         key, F.col("_c.cwd").alias("cwd"),
         F.when(has, F.col("_c.git_branch")).otherwise(F.col("_l.git_branch")).alias("git_branch"),
         F.when(has, F.col("_c.version")).otherwise(F.col("_l.version")).alias("version"),
         "first_ts", "last_ts",
-        ((F.unix_micros("last_ts") - F.unix_micros("first_ts")) / 1e6).alias("duration_seconds"))
+        ((F.unix_micros("last_ts") - F.unix_micros("first_ts")) / 1e6).alias("duration_seconds"), *extra.keys())
 
 
 def list_sessions(sessions: DataFrame, lines: DataFrame, key: str = "session_id", home: str | None = None,
@@ -86,3 +90,11 @@ def sort_key(sort: str) -> Column:
 def top_sessions(listed: DataFrame, limit: int, key: str = "session_id") -> DataFrame:
     """O2: first ``limit`` rows by the sort key (descending), id as tie-break."""
     return listed.orderBy(F.desc("sort_key"), F.asc(key)).limit(limit)
+
+
+def first_messages(messages: DataFrame, n: int, key: str = "session_id") -> DataFrame:
+    """The first ``n`` user/assistant messages of each session (line order)."""
+    from lumenlog.operators.sequence import first_n
+
+    m = messages.where(F.col("msg_type").isin("user", "assistant"))
+    return first_n(m, [key], ["line_no"], n, "position")
