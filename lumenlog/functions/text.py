@@ -144,15 +144,15 @@ def tag(c: Column) -> Column:
     return F.translate(F.lower(c), " _", "--")
 
 
-def snippet(text: Column, pattern: str, ctx: int) -> Column:
-    """struct(before, matched, after) around the first match of ``pattern``.
-
-    Offsets are taken from capture groups (code points), never from byte or
-    UTF-16 positions.
-    """
+def snippet_parts(text: Column, pattern: str) -> tuple[Column, Column]:
+    """(text before the first match, the match) from capture groups (code points)."""
     full = f"^((?s:.*?))({pattern})"
-    pre = F.regexp_extract(text, full, 1)
-    hit = F.regexp_extract(text, full, 2)
+    return F.regexp_extract(text, full, 1), F.regexp_extract(text, full, 2)
+
+
+def snippet_from_parts(text: Column, pre: Column, hit: Column, ctx: int) -> Column:
+    """F6 from precomputed parts: up to ``ctx`` characters each side, '…' + left-strip
+    before when cut, right-strip + '…' after when cut."""
     start = F.length(pre)
     end = start + F.length(hit)
     before = F.when(start - ctx > 0, F.substring(pre, start - ctx + 1, ctx)).otherwise(pre)
@@ -164,6 +164,17 @@ def snippet(text: Column, pattern: str, ctx: int) -> Column:
     return F.struct(before.alias("context_before"), hit.alias("match_text"), after.alias("context_after"))
 
 
+def snippet(text: Column, pattern: str, ctx: int) -> Column:
+    """struct(before, matched, after) around the first match of ``pattern``.
+
+    Offsets are taken from capture groups (code points), never from byte or
+    UTF-16 positions. On a DataFrame prefer computing ``snippet_parts`` in
+    their own projection first (the regex then runs once per row).
+    """
+    pre, hit = snippet_parts(text, pattern)
+    return snippet_from_parts(text, pre, hit, ctx)
+
+
 def term_pattern(term: str, regex: bool = False, case_sensitive: bool = False) -> str:
     """One search term as a Java regex (literal unless ``regex``)."""
     body = term if regex else regex_escape(term)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.functions.text import regex_escape, snippet
+from lumenlog.functions.text import regex_escape, snippet_from_parts, snippet_parts
 from lumenlog.operators.sequence import dense_position
 
 DEFAULT_ROLES = ("user", "assistant")
@@ -54,8 +54,10 @@ def search(messages: DataFrame, terms: Sequence[str], regex: bool = False, case_
     if not terms:
         raise ValueError("at least one search term is required")
     m = match_all(filter_model_search(filter_role(messages, roles), model), terms, regex, case_sensitive)
-    s = snippet(F.col("content_text"), term_regex(terms[0], regex, case_sensitive), context_chars)
-    return m.withColumn("_snip", s).select("*", "_snip.*").drop("_snip")
+    pre, hit = snippet_parts(F.col("content_text"), term_regex(terms[0], regex, case_sensitive))
+    m = m.withColumns({"_pre": pre, "_hit": hit})  # each regex once per row
+    s = snippet_from_parts(F.col("content_text"), F.col("_pre"), F.col("_hit"), context_chars)
+    return m.withColumn("_snip", s).select("*", "_snip.*").drop("_snip", "_pre", "_hit")
 
 
 def limit_in_stream_order(results: DataFrame, sessions: DataFrame, limit: int, key: str = "session_id") -> DataFrame:
