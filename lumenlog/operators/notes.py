@@ -36,17 +36,20 @@ def read_whole_texts(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     frames = []
     for p in paths:
         try:
-            frames.append(spark.read.text(p, wholetext=True))
+            t = spark.read.text(p, wholetext=True)
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
                 raise
+            continue
+        frames.append(t.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:", "").alias("path"),
+                               F.col("value").alias("content"),
+                               F.col("_metadata.file_modification_time").alias("mtime")))
     if not frames:
         return spark.createDataFrame([], "path string, content string, mtime timestamp")
     df = frames[0]
     for f in frames[1:]:
         df = df.unionByName(f)
-    return df.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:", "").alias("path"),
-                     F.col("value").alias("content"), F.col("_metadata.file_modification_time").alias("mtime"))
+    return df
 
 
 def scan_notes(spark: SparkSession, mapping: DataFrame) -> DataFrame:

@@ -89,13 +89,12 @@ def filter_modified(sessions: DataFrame, after: str | None = None, before: str |
 def number_lines(raw: DataFrame) -> DataFrame:
     """(file_path, line_no, value) with exact 1-based physical line numbers.
 
-    ``raw`` must carry ``_metadata`` of a text scan. Split rows are contiguous in
-    the monotonically increasing id, so line = split offset + (id - first id of
-    the split) + 1; the split table has one row per file split.
+    ``raw``: (file_path, block_start, value) as produced by a text scan (see
+    ``_text_scan``). Split rows are contiguous in the monotonically increasing
+    id, so line = split offset + (id - first id of the split) + 1; the split
+    table has one row per file split.
     """
-    r = raw.select(F.col("_metadata.file_path").alias("file_path"),
-                   F.col("_metadata.file_block_start").alias("block_start"),
-                   F.monotonically_increasing_id().alias("_mid"), "value")
+    r = raw.select("file_path", "block_start", F.monotonically_increasing_id().alias("_mid"), "value")
     splits = r.groupBy("file_path", "block_start").agg(F.min("_mid").alias("_first"),
                                                        F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,15 +116,22 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.parquet(target)
 
 
-def _text_scan(spark: SparkSession, globs: list[str]) -> DataFrame | None:
-    """Text scan over the globs that match something (an unmatched glob raises PATH_NOT_FOUND)."""
+def _text_scan(spark: SparkSession, globs: list[str], file_filter: F.Column | None = None) -> DataFrame | None:
+    """(file_path, block_start, value) over the globs that match something (an
+    unmatched glob raises PATH_NOT_FOUND). The file filter is applied to each
+    scan's ``_metadata`` before the union, so it prunes files at listing time."""
     found = []
     for g in globs:
         try:
-            found.append(spark.read.text(g))
+            scan = spark.read.text(g)
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
                 raise
+            continue
+        if file_filter is not None:
+            scan = scan.where(file_filter)
+        found.append(scan.select(F.col("_metadata.file_path").alias("file_path"),
+                                 F.col("_metadata.file_block_start").alias("block_start"), "value"))
     if not found:
         return None
     out = found[0]
@@ -163,11 +169,9 @@ def session_file_filter(include_agents: bool = False, project: str | None = None
 def read_raw_lines(spark: SparkSession, globs: list[str], file_filter: F.Column | None = None,
                    persist: bool = True) -> DataFrame:
     """Numbered raw lines (file_path, line_no, value) of the files matched by ``globs``."""
-    scan = _text_scan(spark, globs)
+    scan = _text_scan(spark, globs, file_filter)
     if scan is None:
         return spark.createDataFrame([], RAW_SCHEMA)
-    if file_filter is not None:
-        scan = scan.where(file_filter)
     numbered = number_lines(scan)
     return materialize(numbered, "raw-lines") if persist else numbered
 

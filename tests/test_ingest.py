@@ -137,3 +137,10 @@ def test_tool_events(spark, tmp_path):
     assert s1.files_touched == ["/a.py", "/b.py"]
     assert s1.commands_run == ["git status"] and s1.web_fetched == ["spark variant"]
     assert [(t["tool_name"], t["count"]) for t in summ["other"].tools_used] == [("Read", 1)]
+
+
+def test_lines_with_agents_union(spark, session_tree):
+    s, lines = J.load_session_logs(spark, str(session_tree), include_agents=True)
+    got = sorted((r.session_id, r.n) for r in lines.groupBy("session_id").count().withColumnRenamed("count", "n")
+                 .collect())
+    assert got == [(SESSION_ID, 6), ("agent-abc123", 1), ("worker-1", 1)]
