@@ -21,7 +21,7 @@ from lumenlog.functions.fixed_values import (
     FOCUS_NOISE_PREFIXES,
     STOP_ZH_CHARS,
 )
-from lumenlog.functions.text import cjk_ngrams, english_terms, starts_with_any
+from lumenlog.functions.text import ENGLISH_TERM, cjk_ngrams, english_terms, starts_with_any
 
 
 def filter_focus_text(messages: DataFrame, user_only: bool = True, noise_prefixes: Iterable[str] | None = None,
@@ -61,11 +61,15 @@ def term_counts(messages: DataFrame, user_only: bool = True, stop_en=None, stop_
     """
     f = filter_focus_text(messages, user_only)
     text = F.col("content_text")
-    tokens = F.concat(english_terms(text), cjk_ngrams(text, stop_zh_chars))
-    cols = [F.explode(tokens).alias("term")]
+    # raw matches, exploded, then lower-cased as a plain (codegen) projection: no
+    # per-token lambda; lower() leaves CJK n-grams unchanged
+    tokens = F.concat(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ENGLISH_TERM), 0),
+                      cjk_ngrams(text, stop_zh_chars))
+    cols = [F.explode(tokens).alias("_tok")]
     if recent is not None:
         cols.append(recent.alias("_recent"))
-    ex = f.select(*cols).where(_stop_filter(F.col("term"), stop_en, stop_zh_words))
+    ex = f.select(*cols).select(F.lower("_tok").alias("term"), *(["_recent"] if recent is not None else []))
+    ex = ex.where(_stop_filter(F.col("term"), stop_en, stop_zh_words))
     aggs = [F.count(F.lit(1)).cast("bigint").alias("count")]
     if recent is not None:
         aggs.append(F.sum(F.when(F.col("_recent"), 1).otherwise(0)).cast("bigint").alias("recent_count"))

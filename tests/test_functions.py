@@ -116,3 +116,4 @@ def test_formats(spark):
     assert one(spark, text.escape_html(F.lit('<a href="x">&</a>'))) == "&lt;a href=&quot;x&quot;&gt;&amp;&lt;/a&gt;"
     assert one(spark, text.topic_slug(F.lit("修复：部署 failing / tests!"), F.lit("abcdef123"))) == "修复-部署-failing-tests"
     assert one(spark, text.topic_slug(F.lit("session-abc"), F.lit("abcdef123"))) == "abcdef12"
+
