@@ -717,7 +717,15 @@ def focus_document(spark, sf):
         .drop("count").withColumnRenamed("count_r", "count")
     base = FO.focus_report(FO.term_counts(m, stop_en=FOCUS_STOP), 20)
     spikes = FO.focus_spikes(s, m, FOCUS_AS_OF, FOCUS_HOURS, 15, stop_en=FOCUS_STOP)
-    return DOC.render_focus(recent, base, spikes, FOCUS_HOURS, 0, 0, 0, 0, FOCUS_AS_OF).select("doc", "ord", "block")
+    flags = FO.recent_flag(s, FOCUS_AS_OF, FOCUS_HOURS)
+    scanned = FO.filter_focus_text(m.join(flags, "session_id")).agg(
+        F.sum(F.when(F.col("is_recent"), 1).otherwise(0)).cast("bigint").alias("recent_messages"),
+        F.count(F.lit(1)).cast("bigint").alias("all_messages"))
+    stats = scanned.select(
+        flags.select(F.sum(F.when(F.col("is_recent"), 1).otherwise(0)).cast("bigint")).scalar().alias("recent_sessions"),
+        "recent_messages", flags.select(F.count(F.lit(1)).cast("bigint")).scalar().alias("all_sessions"),
+        "all_messages")
+    return DOC.render_focus(recent, base, spikes, stats, FOCUS_HOURS, FOCUS_AS_OF).select("doc", "ord", "block")
 
 
 @query("publish_protected")

@@ -218,7 +218,7 @@ def render_digest(digests: DataFrame) -> DataFrame:
     """K8: (session_id, content) Markdown block per session digest; duration '?' when
     unknown; id cut to 16 characters in the marker comment."""
     dur = F.when(F.col("duration_min").isNotNull() & (F.col("duration_min") != 0),
-                 F.concat(F.format_string("%.0f", F.bround("duration_min", 0)), F.lit("min"))).otherwise(F.lit("?"))
+                 F.concat(fixed(F.col("duration_min"), 0), F.lit("min"))).otherwise(F.lit("?"))
     head = F.concat(F.lit("### "), F.col("date"), F.lit(" · `"), F.col("project"), F.lit("` · "), dur, F.lit(" · "),
                     F.col("message_count").cast("string"), F.lit(" messages\n<!-- session: "),
                     F.substring("session_id", 1, 16), F.lit(" -->\n"))
@@ -233,26 +233,39 @@ def render_digest(digests: DataFrame) -> DataFrame:
     return digests.select("session_id", content.alias("content"))
 
 
-def render_focus(recent: DataFrame, baseline: DataFrame, spikes: DataFrame, hours: int, recent_sessions: int,
-                 recent_msgs: int, all_sessions: int, all_msgs: int, generated: str) -> DataFrame:
-    """Three ranked tables (spikes limited to 15, bar = min(uplift / 5, 1)) as ordered blocks."""
+def fixed(x: Column, digits: int) -> Column:
+    """Python ``f"{x:.<digits>f}"``: rounding of the exact binary value (Java's
+    ``DecimalFormat``), without grouping separators."""
+    return F.replace(F.format_number(x, digits), F.lit(","), F.lit(""))
+
+
+def render_focus(recent: DataFrame, baseline: DataFrame, spikes: DataFrame, stats: DataFrame, hours: int,
+                 generated: str) -> DataFrame:
+    """Three ranked tables (spikes limited to 15, bar = min(uplift / 5, 1)) as
+    ordered blocks. ``stats``: one row (recent_sessions, recent_messages,
+    all_sessions, all_messages)."""
     from lumenlog.functions.timefmt import bar
 
-    spark = recent.sparkSession
-    heads = spark.createDataFrame([
-        ("FOCUS", HEADER, f"## Focus\n> generated {generated}\n\n### Spikes (last {hours}h vs baseline)\n\n"
-                          "| # | term | uplift |\n|---|---|---|"),
-        ("FOCUS", 1000, f"\n### Recent ({hours}h · {recent_sessions} sessions · {recent_msgs} messages)\n\n"
-                        "| # | term | share | count |\n|---|---|---|---|"),
-        ("FOCUS", 2000, f"\n### Baseline ({all_sessions} sessions · {all_msgs} messages)\n\n"
-                        "| # | term | weight | count |\n|---|---|---|---|"),
-        ("FOCUS", FOOTER, ""),
-    ], "doc string, ord bigint, block string")
+    def s(c):
+        return F.col(c).cast("string")
+
+    heads = stats.select(F.explode(F.array(
+        F.struct(F.lit(HEADER).cast("bigint").alias("ord"), F.lit(
+            f"## Focus\n> generated {generated}\n\n### Spikes (last {hours}h vs baseline)\n\n"
+            "| # | term | uplift |\n|---|---|---|").alias("block")),
+        F.struct(F.lit(1000).cast("bigint").alias("ord"), F.concat(
+            F.lit(f"\n### Recent ({hours}h · "), s("recent_sessions"), F.lit(" sessions · "), s("recent_messages"),
+            F.lit(" messages)\n\n| # | term | share | count |\n|---|---|---|---|")).alias("block")),
+        F.struct(F.lit(2000).cast("bigint").alias("ord"), F.concat(
+            F.lit("\n### Baseline ("), s("all_sessions"), F.lit(" sessions · "), s("all_messages"),
+            F.lit(" messages)\n\n| # | term | weight | count |\n|---|---|---|---|")).alias("block")),
+        F.struct(F.lit(FOOTER).cast("bigint").alias("ord"), F.lit("").alias("block")))).alias("h")).select(
+        F.lit("FOCUS").alias("doc"), "h.ord", "h.block")
     sp = spikes.where(F.col("rank") <= 15).select(
         F.lit("FOCUS").alias("doc"), F.col("rank").cast("bigint").alias("ord"),
         F.concat(F.lit("| "), F.lpad(F.col("rank").cast("string"), 2, " "), F.lit(" | "), F.col("term"),
                  F.lit(" | "), bar(F.least(F.col("uplift") / 5, F.lit(1.0)), 16), F.lit(" ×"),
-                 F.format_string("%.1f", F.col("uplift")), F.lit(" |")).alias("block"))
+                 fixed(F.col("uplift"), 1), F.lit(" |")).alias("block"))
 
     def table(df, base):
         return df.select(F.lit("FOCUS").alias("doc"), (F.col("rank") + base).cast("bigint").alias("ord"), F.concat(

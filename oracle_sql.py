@@ -976,3 +976,254 @@ c AS (SELECT term, count(*) AS count FROM ({terms_sql('f')}) GROUP BY term),
 t AS (SELECT * FROM c ORDER BY count DESC, term ASC LIMIT 50)
 SELECT CAST(row_number() OVER (ORDER BY count DESC, term ASC) AS BIGINT) AS rank, term, count,
        count / max(count) OVER () AS pct FROM t""")
+
+
+# ---------------------------------------------------------------- vault documents
+from lumenlog.functions.fixed_values import STUB_MARKER, TRAIL_HEADING  # noqa: E402
+
+
+def usd2_sql(u: str) -> str:
+    q0 = f"(CAST({u} AS BIGINT) // 100000000)"
+    r = f"(CAST({u} AS BIGINT) % 100000000)"
+    qq = f"(CASE WHEN {r} > 50000000 OR ({r} = 50000000 AND {q0} % 2 = 1) THEN {q0} + 1 ELSE {q0} END)"
+    return f"(CAST({qq} // 100 AS VARCHAR) || '.' || lpad(CAST({qq} % 100 AS VARCHAR), 2, '0'))"
+
+
+def home_sql(x: str) -> str:
+    return f"replace({x}, '/Users/dev', '~')"
+
+
+def icon_sql(w: str) -> str:
+    return f"(CASE {w} WHEN 'ops' THEN '○' WHEN 'dev' THEN '●' WHEN 'strategy' THEN '★' END)"
+
+
+def section_list_sql(title: str, arr: str, item: str) -> str:
+    """'## title\\n' + lines + '\\n', NULL when the list is empty; ``item`` uses x."""
+    return (f"CASE WHEN len({arr}) > 0 THEN '## {title}' || chr(10) || "
+            f"array_to_string(list_transform({arr}, lambda x: {item}), chr(10)) || chr(10) END")
+
+
+CONCEPT_LISTS = f"""{COMPILED},
+edges AS (SELECT unnest(entities) AS concept, session_id, date, session_ord FROM compiled),
+ci AS (SELECT concept, CAST(count(*) AS BIGINT) AS mention_count, arg_min(date, session_ord) AS first_seen,
+              list(session_id ORDER BY session_ord)[1:20] AS heads,
+              CASE WHEN count(*) >= 5 THEN 'mature' WHEN count(*) >= 3 THEN 'growing' ELSE 'stub' END AS status
+       FROM edges GROUP BY 1),
+cd AS (SELECT concept, list(date ORDER BY fo) AS dates FROM (
+         SELECT concept, date, min(session_ord) AS fo FROM edges GROUP BY 1, 2) GROUP BY 1),
+cdoc AS (
+  SELECT concept, mention_count, status, heads,
+    'concepts/' || regexp_replace(concept || '.md', '[<>:"|?*]', '', 'g') AS path,
+    concat_ws(chr(10),
+      concat_ws(chr(10), '---', 'name: ' || concept, 'type: concept', 'first_seen: ' || first_seen,
+                'sessions: [' || array_to_string(heads[1:20], ', ') || ']', 'mention_count: ' || CAST(mention_count AS VARCHAR),
+                'status: ' || status, '---', ''),
+      '# ' || concept, '', '## Definition',
+      '*{STUB_MARKER} (mentioned in ' || CAST(mention_count AS VARCHAR) || ' sessions)*', '',
+      '## {TRAIL_HEADING}', array_to_string(list_transform(dates, lambda d: '- **' || d || '** [[' || d || ']]'), chr(10)), '')
+    AS content
+  FROM ci JOIN cd USING (concept))"""
+q("concept_documents", f"{CONCEPT_LISTS} SELECT path, content FROM cdoc")
+
+_models = "array_to_string(models, ', ')"
+SESSION_DOC = f"""
+concat_ws(chr(10),
+  concat_ws(chr(10), '---', 'session_id: ' || session_id, 'date: ' || date, 'time_range: "' || time_range || '"',
+            'project: ' || {home_sql('project')}, 'models: [' || {_models} || ']',
+            'user_messages: ' || CAST(user_message_count AS VARCHAR), 'cost: $' || {usd2_sql('cost_units')},
+            'tags: [' || array_to_string(tags[1:8], ', ') || ']', 'weight: ' || weight,
+            'weight_value: ' || CAST(weight_value AS VARCHAR), 'status: compiled', '---', ''),
+  '# ' || {icon_sql('weight')} || ' Session: ' || coalesce(nullif(substring(topic_sentence, 1, 60), ''), date) || chr(10),
+  'Weight: ' || {icon_sql('weight')} || ' ' || weight || ' · messages ' || CAST(user_message_count AS VARCHAR)
+    || ' · cost $' || {usd2_sql('cost_units')} || chr(10),
+  CASE WHEN len(entities) > 0 THEN 'Topics: ' || array_to_string(list_transform(entities, lambda e: '[[' || e || ']]'), ' · ')
+       || chr(10) END,
+  {section_list_sql('Key points', 'key_points', "'- ' || x")},
+  {section_list_sql('Closing context', 'tail_context', "'> ' || x")},
+  {section_list_sql('File changes', 'file_changes', "'- `' || " + home_sql('x.path') + " || '` — ' || x.action")},
+  concat_ws(chr(10), '## Metadata', '- Session: `' || session_id || '`', '- Time: ' || time_range,
+            '- Messages: ' || CAST(user_message_count AS VARCHAR) || ' (user) + ' || CAST(assistant_message_count AS VARCHAR)
+              || ' (assistant)',
+            '- Models: ' || {_models}, '- Equivalent cost: $' || {usd2_sql('cost_units')}, ''))"""
+q("session_documents", f"{COMPILED} SELECT session_id, {SESSION_DOC} AS content FROM compiled")
+
+DIGEST_DOC = f"""WITH {MSG}, {SES}, {CTX}, {PAIRS}, {TOPIC},
+cnt AS (SELECT session_id, count(*) AS message_count FROM msg WHERE msg_type IN ('user', 'assistant') GROUP BY 1),
+kx AS (SELECT session_id, list({{'u': user_text, 'a': assistant_text}} ORDER BY rank) AS ks FROM keys GROUP BY 1),
+tx AS (SELECT session_id, list({{'u': user_text, 'a': assistant_text}} ORDER BY rank) AS ts FROM tail GROUP BY 1),
+d AS (
+  SELECT s.session_id, coalesce(strftime(c.first_ts, '%Y-%m-%d'), 'unknown') AS date,
+         CASE WHEN c.cwd IS NOT NULL AND c.cwd <> '' THEN c.cwd ELSE s.project_name END AS project,
+         CASE WHEN epoch_us(c.last_ts) - epoch_us(c.first_ts) <> 0
+              THEN (epoch_us(c.last_ts) - epoch_us(c.first_ts)) / 1e6 / 60 END AS duration_min,
+         coalesce(cnt.message_count, 0) AS message_count, coalesce(t.topic, '') AS topic,
+         coalesce(kx.ks, []) AS ks, coalesce(tx.ts, []) AS ts
+  FROM ses s LEFT JOIN ctx c USING (session_id) LEFT JOIN cnt USING (session_id) LEFT JOIN topic t USING (session_id)
+       LEFT JOIN kx USING (session_id) LEFT JOIN tx USING (session_id))
+SELECT session_id, concat_ws(chr(10),
+  '### ' || date || ' · `' || project || '` · '
+    || CASE WHEN duration_min IS NOT NULL AND duration_min <> 0 THEN printf('%.0f', round_even(duration_min, 0)) || 'min' ELSE '?' END
+    || ' · ' || CAST(message_count AS VARCHAR) || ' messages' || chr(10) || '<!-- session: ' || substring(session_id, 1, 16)
+    || ' -->' || chr(10),
+  CASE WHEN topic <> '' THEN '**Topic**: ' || topic || chr(10) END,
+  CASE WHEN len(ks) > 0 THEN '**Key exchanges**:' || chr(10) || chr(10) || array_to_string(list_transform(ks,
+    lambda e: '- **Q**: ' || e.u || chr(10) || '  **A**: ' || e.a || chr(10)), chr(10)) END,
+  CASE WHEN len(ts) > 0 THEN '**Closing context**:' || chr(10) || chr(10) || array_to_string(list_transform(ts,
+    lambda e: '> Q: ' || e.u || chr(10) || '> A: ' || e.a || chr(10)), chr(10)) END,
+  '---' || chr(10)) AS content
+FROM d"""
+q("digest_documents", DIGEST_DOC)
+
+
+def bar_sql(frac: str, width: int) -> str:
+    f = f"greatest(0, least({width}, CAST(round_even(({frac}) * {width}, 0) AS INTEGER)))"
+    return f"(repeat('█', {f}) || repeat('░', {width} - {f}))"
+
+
+FOCUS_DOC = f"""{FOCUS_COUNTS},
+rt AS (SELECT * FROM c WHERE recent_count > 0 ORDER BY recent_count DESC, term ASC LIMIT 20),
+r AS (SELECT row_number() OVER (ORDER BY recent_count DESC, term ASC) AS rank, term, recent_count AS count,
+             recent_count / max(recent_count) OVER () AS pct FROM rt),
+bc AS (SELECT term, count(*) AS count FROM ({terms_sql("(SELECT * FROM msg WHERE " + focus_filter_sql(True) + ")")}) GROUP BY term),
+bt AS (SELECT * FROM bc ORDER BY count DESC, term ASC LIMIT 20),
+b AS (SELECT row_number() OVER (ORDER BY count DESC, term ASC) AS rank, term, count, count / max(count) OVER () AS pct FROM bt),
+n AS (SELECT greatest(sum(CASE WHEN {RECENT} THEN 1 ELSE 0 END), 1) AS n_recent, greatest(count(*), 1) AS n_all,
+             sum(CASE WHEN {RECENT} THEN 1 ELSE 0 END) AS rs, count(*) AS als FROM ses),
+cand AS (SELECT * FROM c WHERE recent_count > 0 ORDER BY recent_count DESC, term ASC LIMIT 30),
+sc AS (SELECT cand.*, CASE WHEN count / n_all = 0 THEN recent_count / n_recent * 10
+                      ELSE (recent_count / n_recent) / (count / n_all) END AS uplift FROM cand, n),
+st AS (SELECT * FROM sc ORDER BY uplift DESC, recent_count DESC, term ASC LIMIT 15),
+sp AS (SELECT row_number() OVER (ORDER BY uplift DESC, recent_count DESC, term ASC) AS rank, term, uplift FROM st),
+stats AS (SELECT (SELECT rs FROM n) AS rs, (SELECT als FROM n) AS als,
+                 sum(CASE WHEN is_recent THEN 1 ELSE 0 END) AS rm, count(*) AS am FROM f)
+SELECT 'FOCUS' AS doc, CAST(-1 AS BIGINT) AS ord,
+  '## Focus' || chr(10) || '> generated 2024-01-20 00:00:00' || chr(10) || chr(10) || '### Spikes (last 96h vs baseline)'
+  || chr(10) || chr(10) || '| # | term | uplift |' || chr(10) || '|---|---|---|' AS block
+UNION ALL SELECT 'FOCUS', 1000, chr(10) || '### Recent (96h · ' || CAST(rs AS VARCHAR) || ' sessions · ' || CAST(rm AS VARCHAR)
+  || ' messages)' || chr(10) || chr(10) || '| # | term | share | count |' || chr(10) || '|---|---|---|---|' FROM stats
+UNION ALL SELECT 'FOCUS', 2000, chr(10) || '### Baseline (' || CAST(als AS VARCHAR) || ' sessions · ' || CAST(am AS VARCHAR)
+  || ' messages)' || chr(10) || chr(10) || '| # | term | weight | count |' || chr(10) || '|---|---|---|---|' FROM stats
+UNION ALL SELECT 'FOCUS', {1 << 62}, ''
+UNION ALL SELECT 'FOCUS', rank, '| ' || lpad(CAST(rank AS VARCHAR), 2, ' ') || ' | ' || term || ' | '
+  || {bar_sql('least(uplift / 5, 1.0)', 16)} || ' ×' || printf('%.1f', uplift) || ' |' FROM sp
+UNION ALL SELECT 'FOCUS', rank + 1000, '| ' || lpad(CAST(rank AS VARCHAR), 2, ' ') || ' | ' || term || ' | '
+  || {bar_sql('pct', 16)} || ' | ' || CAST(count AS VARCHAR) || ' |' FROM r
+UNION ALL SELECT 'FOCUS', rank + 2000, '| ' || lpad(CAST(rank AS VARCHAR), 2, ' ') || ' | ' || term || ' | '
+  || {bar_sql('pct', 16)} || ' | ' || CAST(count AS VARCHAR) || ' |' FROM b"""
+q("focus_document", FOCUS_DOC)
+
+DAYS = f"""{COMPILED}, {EV}, {ITEMS},
+ds AS (SELECT full_id AS session_id, date, epoch_us(modified_time) AS so_t FROM compiled),
+dtc AS (SELECT date, tool_name, sum(cnt) AS cnt, min((so_t, session_id, -cnt, d0, l0)) AS pos
+        FROM tc JOIN ds USING (session_id) GROUP BY 1, 2),
+dtools AS (SELECT date, list({{'n': tool_name, 'c': cnt}} ORDER BY cnt DESC, pos) AS tools FROM dtc GROUP BY 1),
+di AS (SELECT ds.date, kind, item, min((so_t, session_id, obs_date, line_no)) AS fo
+       FROM items JOIN ds USING (session_id) GROUP BY 1, 2, 3),
+dl AS (SELECT date, list(item ORDER BY fo) FILTER (WHERE kind = 'file') AS f,
+              list(item ORDER BY fo) FILTER (WHERE kind = 'command') AS c,
+              list(item ORDER BY fo) FILTER (WHERE kind = 'web') AS w FROM di GROUP BY 1),
+ent_d AS (SELECT date, list(e ORDER BY fo) AS entities FROM (
+            SELECT date, e, min((session_ord, pos)) AS fo FROM (
+              SELECT date, session_ord, unnest(entities) AS e, generate_subscripts(entities, 1) AS pos FROM compiled)
+            GROUP BY 1, 2) GROUP BY 1),
+kp_d AS (SELECT date, list(p ORDER BY fo)[1:15] AS key_points FROM (
+            SELECT date, p, min((session_ord, pos)) AS fo FROM (
+              SELECT date, session_ord, unnest(key_points) AS p, generate_subscripts(key_points, 1) AS pos FROM compiled)
+            GROUP BY 1, 2) GROUP BY 1),
+fc_x AS (SELECT date, session_ord, unnest(file_changes) AS fcr, generate_subscripts(file_changes, 1) AS pos FROM compiled),
+fc_d AS (SELECT date, list({{'path': path, 'action': action}} ORDER BY fo) AS file_changes FROM (
+           SELECT date, fcr.path AS path, min((session_ord, pos)) AS fo, arg_max(fcr.action, (session_ord, pos)) AS action
+           FROM fc_x GROUP BY 1, 2) GROUP BY 1),
+m_d AS (SELECT date, list_sort(list_distinct(flatten(list(models)))) AS models FROM compiled GROUP BY 1),
+base AS (SELECT date, count(*) AS n, list(session_id ORDER BY session_ord) AS ids, sum(user_message_count) AS tu,
+                sum(assistant_message_count) AS ta, sum(cost_units) AS cu, max(weight_value) AS wv FROM compiled GROUP BY 1),
+days AS (
+  SELECT b.date, b.n, array_to_string(b.ids, ', ') AS ids, b.tu, b.ta, b.cu,
+         CASE b.wv WHEN 1 THEN 'ops' WHEN 2 THEN 'dev' ELSE 'strategy' END AS weight, b.wv,
+         coalesce(e.entities, []::VARCHAR[]) AS entities, coalesce(k.key_points, []::VARCHAR[]) AS key_points,
+         coalesce(fd.file_changes, []) AS file_changes, array_to_string(coalesce(m.models, []::VARCHAR[]), ', ') AS models,
+         t.tools, coalesce(l.f, []::VARCHAR[]) AS files, coalesce(l.c, []::VARCHAR[]) AS cmds, coalesce(l.w, []::VARCHAR[]) AS web
+  FROM base b LEFT JOIN ent_d e USING (date) LEFT JOIN kp_d k USING (date) LEFT JOIN fc_d fd USING (date)
+       LEFT JOIN m_d m USING (date) LEFT JOIN dtools t USING (date) LEFT JOIN dl l USING (date))"""
+
+DAY_DOC = f"""concat_ws(chr(10),
+  concat_ws(chr(10), '---', 'date: ' || date, 'sessions: ' || CAST(n AS VARCHAR), 'session_ids: [' || ids || ']',
+            'models: [' || models || ']', 'user_messages: ' || CAST(tu AS VARCHAR), 'cost: $' || {usd2_sql('cu')},
+            'tags: [' || array_to_string(list_transform(entities, lambda e: translate(lower(e), ' _', '--'))[1:8], ', ') || ']',
+            'weight: ' || weight, 'weight_value: ' || CAST(wv AS VARCHAR), 'type: daily-digest', '---', ''),
+  '# ' || {icon_sql('weight')} || ' ' || date || ' · ' || CAST(n AS VARCHAR) || ' sessions · ' || CAST(tu AS VARCHAR)
+    || ' messages' || chr(10),
+  'Weight: ' || {icon_sql('weight')} || ' ' || weight || ' · cost $' || {usd2_sql('cu')} || chr(10),
+  CASE WHEN len(entities) > 0 THEN 'Topics: ' || array_to_string(list_transform(entities, lambda e: '[[' || e || ']]'), ' · ')
+       || chr(10) END,
+  {section_list_sql('Key points', 'key_points', "'- ' || x")},
+  {section_list_sql('File changes', 'file_changes', "'- `' || " + home_sql('x.path') + " || '` — ' || x.action")},
+  CASE WHEN tools IS NOT NULL THEN concat_ws(chr(10), '## Tool activity',
+    CASE WHEN len(tools) > 0 THEN '- tools: ' || array_to_string(list_transform(tools[1:8],
+         lambda t: '`' || t.n || '×' || CAST(t.c AS VARCHAR) || '`'), ' · ') END,
+    nullif(array_to_string(list_transform(files[1:20], lambda p: '- file: `' || {home_sql('p')} || '`'), chr(10)), ''),
+    nullif(array_to_string(list_transform(cmds[1:10], lambda c: '- command: `' || c || '`'), chr(10)), ''),
+    nullif(array_to_string(list_transform(web[1:5], lambda w: '- lookup: ' || w), chr(10)), ''), '') END,
+  concat_ws(chr(10), '## Metadata', '- Sessions: ' || CAST(n AS VARCHAR) || ' (`' || ids || '`)',
+            '- Messages: ' || CAST(tu AS VARCHAR) || ' (user) + ' || CAST(ta AS VARCHAR) || ' (assistant)',
+            '- Models: ' || models, '- Equivalent cost: $' || {usd2_sql('cu')}, ''))"""
+q("daily_documents", f"{DAYS} SELECT 'sessions/' || date || '.md' AS path, {DAY_DOC} AS content FROM days")
+
+q("index_document", f"""{DAYS},
+edges AS (SELECT unnest(entities) AS concept FROM compiled),
+ci AS (SELECT concept, count(*) AS mc, CASE WHEN count(*) >= 5 THEN 'mature' WHEN count(*) >= 3 THEN 'growing' ELSE 'stub' END
+              AS status FROM edges GROUP BY 1),
+sc AS (SELECT count(*) FILTER (WHERE status = 'mature') AS ma, count(*) FILTER (WHERE status = 'growing') AS gr,
+              count(*) FILTER (WHERE status = 'stub') AS st FROM ci),
+tot AS (SELECT count(*) AS n, sum(user_message_count) AS u, coalesce(sum(cost_units), 0) AS c FROM compiled),
+lv AS (SELECT * FROM (VALUES (0, 'strategy'), (1, 'dev'), (2, 'ops')) AS l(level_ord, weight)),
+wd AS (SELECT lv.level_ord, lv.weight, coalesce(x.n, 0) AS cnt,
+              CASE WHEN (SELECT n FROM tot) > 0 THEN coalesce(x.n, 0) * 100 / (SELECT n FROM tot) ELSE 0.0 END AS pct
+       FROM lv LEFT JOIN (SELECT weight, count(*) AS n FROM compiled GROUP BY 1) x USING (weight))
+SELECT 'INDEX' AS doc, CAST(-1 AS BIGINT) AS ord, concat_ws(chr(10), '---', 'title: Session vault', 'type: index',
+  'updated: 2024-02-01', '---', '', '# Session vault', '', '## Totals', '', '| metric | value |', '|---|---|',
+  '| compiled sessions | ' || CAST(n AS VARCHAR) || ' |', '| user messages | ' || CAST(coalesce(u, 0) AS VARCHAR) || ' |',
+  '| equivalent cost | $' || {usd2_sql('c')} || ' |',
+  '| concepts | ' || CAST(ma + gr + st AS VARCHAR) || ' (mature ' || CAST(ma AS VARCHAR) || ', growing ' || CAST(gr AS VARCHAR)
+    || ', stub ' || CAST(st AS VARCHAR) || ') |',
+  '', '## Weight distribution', '', '| level | sessions | share | bar |', '|---|---|---|---|') AS block FROM tot, sc
+UNION ALL SELECT 'INDEX', level_ord + 1, '| ' || {icon_sql('weight')} || ' ' || weight || ' | ' || CAST(cnt AS VARCHAR) || ' | '
+  || CAST(CAST(round_even(pct, 0) AS BIGINT) AS VARCHAR) || '% | ' || repeat('█', CAST(floor(pct / 5) AS INTEGER))
+  || repeat('░', 20 - CAST(floor(pct / 5) AS INTEGER)) || ' |' FROM wd
+UNION ALL SELECT 'INDEX', 100, chr(10) || '## Days' || chr(10)
+UNION ALL SELECT 'INDEX', {1 << 41}, chr(10) || '## Concepts' || chr(10)
+UNION ALL SELECT 'INDEX', {1 << 40} - date_diff('day', DATE '1970-01-01', CAST(date AS DATE)),
+  '- ' || {icon_sql('weight')} || ' [[' || date || ']] · ' || CAST(n AS VARCHAR) || 's · ' || CAST(tu AS VARCHAR) || 'm · '
+  || array_to_string(entities[1:4], ', ') FROM days WHERE date <> 'unknown'
+UNION ALL SELECT 'INDEX', {1 << 42} + row_number() OVER (ORDER BY mc DESC, concept ASC),
+  '- ' || CASE status WHEN 'mature' THEN '●' WHEN 'growing' THEN '◐' ELSE '○' END || ' [[' || concept || ']] — '
+  || CAST(mc AS VARCHAR) || ' sessions · ' || status FROM ci""")
+
+_CONCEPT_PART = CONCEPT_LISTS.split(f"{COMPILED},", 1)[1]
+q("publish_protected", f"""{DAYS}, {_CONCEPT_PART},
+dd AS (SELECT 'sessions/' || date || '.md' AS path, date, {DAY_DOC} AS content FROM days),
+old AS (
+  SELECT path, '---' || chr(10) || 'source: merged' || chr(10) || '---' || chr(10) || 'old body' || chr(10) AS old
+  FROM dd WHERE day(CAST(date AS DATE)) % 3 = 0
+  UNION ALL
+  SELECT path, '---' || chr(10) || 'name: x' || chr(10) || 'sessions: [old]' || chr(10) || 'mention_count: 0' || chr(10)
+         || 'status: stub' || chr(10) || '---' || chr(10) || '# enriched by hand' || chr(10) || concept
+  FROM cdoc WHERE mention_count % 2 = 0),
+pub AS (
+  SELECT d.path, 'day' AS kind,
+         CASE WHEN contains(o.old, 'source: archaeological-recovery') OR contains(o.old, 'source: merged')
+              THEN 'kept' ELSE 'written' END AS action,
+         CASE WHEN contains(o.old, 'source: archaeological-recovery') OR contains(o.old, 'source: merged')
+              THEN o.old ELSE d.content END AS content
+  FROM dd d LEFT JOIN old o USING (path)
+  UNION ALL
+  SELECT c.path, 'concept',
+         CASE WHEN o.old IS NOT NULL AND NOT contains(o.old, '{STUB_MARKER}') THEN 'front_matter' ELSE 'written' END,
+         CASE WHEN o.old IS NOT NULL AND NOT contains(o.old, '{STUB_MARKER}') THEN
+           regexp_replace(regexp_replace(regexp_replace(o.old,
+             '(?m)^sessions: \\[[^\\n]*?\\]$', 'sessions: [' || array_to_string(c.heads[1:20], ', ') || ']'),
+             '(?m)^mention_count: \\d+$', 'mention_count: ' || CAST(c.mention_count AS VARCHAR)),
+             '(?m)^status: \\w+$', 'status: ' || c.status)
+           ELSE c.content END
+  FROM cdoc c LEFT JOIN old o USING (path))
+SELECT path, kind, action, CAST(length(content) AS BIGINT) AS length, sha256(content) AS digest FROM pub""")

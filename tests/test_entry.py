@@ -5,8 +5,7 @@ import duckdb
 import __spark_entry__ as E
 from tools.check_oracle import TABLES, compare
 
-ROWS_ONLY = {"daily_documents", "session_documents", "concept_documents", "index_document", "digest_documents",
-             "focus_document", "publish_protected"}
+ROWS_ONLY: set[str] = set()
 SF = "/root/testdata/sf0.001"
 
 
