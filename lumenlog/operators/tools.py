@@ -76,12 +76,19 @@ def with_observations(compiled: DataFrame, summary: DataFrame, key: str = "sessi
     return compiled.join(summary, key, "left")
 
 
-def merge_observations_by_day(events: DataFrame, day_sessions: DataFrame, key: str = "session_id") -> DataFrame:
+DISPLAY_LIMITS = {"file": 20, "command": 10, "web": 5}
+
+
+def merge_observations_by_day(events: DataFrame, day_sessions: DataFrame, key: str = "session_id",
+                              limits: dict[str, int] | None = None) -> DataFrame:
     """Per day, the observations of that day's sessions merged: tool counts
     summed (ties by first appearance over sessions in order, then the session's
     own ranking); item lists concatenated in session order and de-duplicated.
 
     ``day_sessions``: (key, date, session_ord) of the compiled sessions.
+    ``limits`` (e.g. ``DISPLAY_LIMITS``) keeps only the first n items per list --
+    what a day document shows -- so no day gathers all its distinct items into
+    one row; exact distinct counts come as ``n_files``/``n_commands``/``n_web``.
     """
     ds = day_sessions.select(key, "date", "session_ord")
     g = tool_counts(events, key)
@@ -97,6 +104,12 @@ def merge_observations_by_day(events: DataFrame, day_sessions: DataFrame, key: s
     empty = F.array().cast("array<string>")
     for kind, name in (("file", "files_touched"), ("command", "commands_run"), ("web", "web_fetched")):
         lst = ordered_distinct(items.where(F.col("kind") == kind), ["date"], "item",
-                               ["session_ord", "obs_date", "line_no"], name)
+                               ["session_ord", "obs_date", "line_no"], name,
+                               limit=(limits or {}).get(kind))
         out = out.join(lst, "date", "left").withColumn(name, F.coalesce(F.col(name), empty))
+    if limits:
+        counts = items.groupBy("date").agg(*[
+            F.count_distinct(F.when(F.col("kind") == k, F.col("item"))).cast("bigint").alias(n)
+            for k, n in (("file", "n_files"), ("command", "n_commands"), ("web", "n_web"))])
+        out = out.join(counts, "date", "left")
     return out

@@ -389,9 +389,8 @@ def commands_redacted(spark, sf):
 @query("daily_tools")
 def daily_tools(spark, sf):
     e = T.event_tool_events(spark, sf)
-    d = TL.merge_observations_by_day(e, _day_sessions(spark, sf))
-    return d.select("date", _tool_str(F.col("tools_used")).alias("tools"),
-                    F.size("files_touched").cast("bigint").alias("n_files"),
+    d = TL.merge_observations_by_day(e, _day_sessions(spark, sf), limits=TL.DISPLAY_LIMITS)
+    return d.select("date", _tool_str(F.col("tools_used")).alias("tools"), "n_files",
                     F.array_join(F.slice("files_touched", 1, 20), "|").alias("files_head"),
                     F.array_join(F.slice("commands_run", 1, 10), "|").alias("commands_head"),
                     F.array_join(F.slice("web_fetched", 1, 5), "|").alias("web_head"))
@@ -673,7 +672,7 @@ def _days_with_tools(spark, sf):
     c = _compiled(spark, sf)
     d = DY.merge_by_day(c)
     obs = TL.merge_observations_by_day(T.event_tool_events(spark, sf), c.select(
-        F.col("full_session_id").alias("session_id"), "date", "session_ord"))
+        F.col("full_session_id").alias("session_id"), "date", "session_ord"), limits=TL.DISPLAY_LIMITS)
     return c, d.join(obs, "date", "left")
 
 

@@ -20,12 +20,13 @@ from lumenlog.sources.jsonl import decode_lines, number_lines, session_file_filt
 
 
 def _append_batch(table_path: str):
+    """Idempotent batch sink: each epoch owns ``ingest_epoch=<id>``; a retried
+    epoch (after a failure) overwrites its own directory instead of appending twice."""
     def run(batch: DataFrame, epoch_id: int) -> None:
         raw = batch.select("file_path", "block_start", "value")
         lines = decode_lines(number_lines(raw)).withColumn(
-            "session_id", F.regexp_extract("file_path", r"([^/]+)\.jsonl$", 1)).withColumn(
-            "ingest_epoch", F.lit(epoch_id).cast("bigint"))
-        lines.write.mode("append").parquet(table_path)
+            "session_id", F.regexp_extract("file_path", r"([^/]+)\.jsonl$", 1))
+        lines.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/ingest_epoch={epoch_id}")
     return run
 
 
