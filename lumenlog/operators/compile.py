@@ -86,20 +86,19 @@ def stream_counts(rows: DataFrame, key: str, order: str, patterns: Sequence[tupl
     r = next_row(r, part, order, ["text"], "_nx")
     sums = []
     for name, pat, win in patterns:
-        own = F.regexp_count(F.col("text"), F.lit(pat))
+        p = "'" + pat.replace("\\", "\\\\").replace("'", "\\'") + "'"
         w = max(win, 0)
-        tail = F.substring(F.col("text"), -w, w) if w else F.lit("")
-        head = F.substring(F.col("_nx.text"), 1, w) if w else F.lit("")
-        joint = F.concat(tail, F.lit(" "), head)
-        straddle = F.when(F.col("_nx").isNotNull(), F.greatest(
-            F.regexp_count(joint, F.lit(pat)) - F.regexp_count(tail, F.lit(pat)) - F.regexp_count(head, F.lit(pat)),
-            F.lit(0))).otherwise(F.lit(0))
-        hits = own + straddle
+        tail = f"substring(text, -{w}, {w})" if w else "''"
+        head = f"substring(_nx.text, 1, {w})" if w else "''"
+        # own matches + matches straddling the joint with the next text (bounded window)
+        hits = (f"regexp_count(text, {p}) + CASE WHEN _nx IS NULL THEN 0 ELSE greatest("
+                f"regexp_count(concat({tail}, ' ', {head}), {p}) - regexp_count({tail}, {p}) "
+                f"- regexp_count({head}, {p}), 0) END")
         out = name
         if stream:
             s_name, out = name.split(":", 1)
-            hits = F.when(F.col(stream) == s_name, hits).otherwise(F.lit(0))
-        sums.append(F.coalesce(F.sum(hits), F.lit(0)).cast("bigint").alias(out))
+            hits = f"CASE WHEN {stream} = '{s_name}' THEN {hits} ELSE 0 END"
+        sums.append(F.expr(f"CAST(coalesce(sum({hits}), 0) AS BIGINT)").alias(out))
     return r.groupBy(key).agg(*sums)
 
 
