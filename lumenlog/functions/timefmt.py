@@ -28,20 +28,28 @@ def hhmm(ts: Column) -> Column:
     return F.date_format(ts, "HH:mm")
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """Python ``f"{x:.<digits>f}"``: the exact binary value rounded half-even
+    (Java ``DecimalFormat``), without grouping separators."""
+    return F.replace(F.format_number(x, digits), F.lit(","), F.lit(""))
+
+
 def fmt_tokens(n: Column) -> Column:
-    """1.2M / 12K / 123 (K rounds half-even like Python's format)."""
-    return (F.when(n >= 1_000_000, F.concat(F.format_number(F.bround(n / 1e6, 1), 1), F.lit("M")))
-            .when(n >= 1_000, F.concat(F.bround(n / 1e3, 0).cast("bigint").cast("string"), F.lit("K")))
+    """1.2M / 12K / 123."""
+    return (F.when(n >= 1_000_000, F.concat(fixed(n / 1e6, 1), F.lit("M")))
+            .when(n >= 1_000, F.concat(fixed(n / 1e3, 0), F.lit("K")))
             .otherwise(n.cast("string")))
 
 
 def fmt_size(n: Column) -> Column:
-    return (F.when(n >= 1_048_576, F.concat(F.format_string("%.1f", F.bround(n / 1_048_576, 1)), F.lit(" MB")))
-            .when(n >= 1_024, F.concat(F.bround(n / 1_024, 0).cast("bigint").cast("string"), F.lit(" KB")))
+    """1.5 MB / 12 KB / 512 B."""
+    return (F.when(n >= 1_048_576, F.concat(fixed(n / 1_048_576, 1), F.lit(" MB")))
+            .when(n >= 1_024, F.concat(fixed(n / 1_024, 0), F.lit(" KB")))
             .otherwise(F.concat(n.cast("string"), F.lit(" B"))))
 
 
 def fmt_duration(seconds: Column) -> Column:
+    """45s / 12m / 1h02m ('—' when unknown)."""
     s = seconds
     return (F.when(s.isNull(), F.lit("—"))
             .when(s < 60, F.concat(F.floor(s).cast("bigint").cast("string"), F.lit("s")))
@@ -52,9 +60,16 @@ def fmt_duration(seconds: Column) -> Column:
 
 
 def fmt_cost(usd: Column) -> Column:
-    return (F.when(usd >= 1.0, F.concat(F.lit("$"), F.format_string("%.2f", usd)))
-            .when(usd >= 0.001, F.concat(F.lit("$"), F.format_string("%.4f", usd)))
-            .otherwise(F.concat(F.lit("$"), F.format_string("%.6f", usd))))
+    """$12.35 / $0.0123 / $0.000123."""
+    return (F.when(usd >= 1.0, F.concat(F.lit("$"), fixed(usd, 2)))
+            .when(usd >= 0.001, F.concat(F.lit("$"), fixed(usd, 4)))
+            .otherwise(F.concat(F.lit("$"), fixed(usd, 6))))
+
+
+def compact_cost(usd: Column) -> Column:
+    """F11 (weekly table): 1.2K / 12 / 0.12."""
+    return (F.when(usd >= 1000, F.concat(fixed(usd / 1000, 1), F.lit("K")))
+            .when(usd >= 1.0, fixed(usd, 0)).otherwise(fixed(usd, 2)))
 
 
 def bar(fraction: Column, width: int = 12, truncate: bool = False) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.functions.fixed_values import PROTECTED_DAY_MARKERS, STUB_MARKER, TRAIL_HEADING
 from lumenlog.functions.text import contains_any, safe_file_name
+from lumenlog.functions.timefmt import fixed
 from lumenlog.plans.export import FOOTER, HEADER
 
 WEIGHT_ICON = {"ops": "○", "dev": "●", "strategy": "★"}
@@ -233,12 +234,6 @@ def render_digest(digests: DataFrame) -> DataFrame:
     return digests.select("session_id", content.alias("content"))
 
 
-def fixed(x: Column, digits: int) -> Column:
-    """Python ``f"{x:.<digits>f}"``: rounding of the exact binary value (Java's
-    ``DecimalFormat``), without grouping separators."""
-    return F.replace(F.format_number(x, digits), F.lit(","), F.lit(""))
-
-
 def render_focus(recent: DataFrame, baseline: DataFrame, spikes: DataFrame, stats: DataFrame, hours: int,
                  generated: str) -> DataFrame:
     """Three ranked tables (spikes limited to 15, bar = min(uplift / 5, 1)) as

@@ -117,3 +117,13 @@ def test_formats(spark):
     assert one(spark, text.topic_slug(F.lit("修复：部署 failing / tests!"), F.lit("abcdef123"))) == "修复-部署-failing-tests"
     assert one(spark, text.topic_slug(F.lit("session-abc"), F.lit("abcdef123"))) == "abcdef12"
 
+
+
+def test_python_style_rounding(spark):
+    vals = [2.675, 0.125, 2.5, 1234567.5, 0.0005, 1.005]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r.r for r in df.select(timefmt.fixed(F.col("x"), 2).alias("r")).collect()]
+    assert got == [f"{v:.2f}" for v in vals]
+    assert one(spark, timefmt.fmt_cost(F.lit(2.675))) == "$2.67"
+    assert one(spark, timefmt.fmt_size(F.lit(1_572_864))) == "1.5 MB"
+    assert one(spark, timefmt.compact_cost(F.lit(1250.0))) == "1.2K"
