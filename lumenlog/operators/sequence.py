@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 CHUNK_BITS = 16  # 65,536 rows of one session per window partition at most
 
 
-def _with_chunk(df: DataFrame, order: str, bits: int) -> DataFrame:
-    return df.withColumn("_chunk", F.shiftright(F.col(order).cast("bigint"), bits))
+def _with_chunk(df: DataFrame, order: str, bits: int | None) -> DataFrame:
+    b = CHUNK_BITS if bits is None else bits  # read at call time (tests shrink it)
+    return df.withColumn("_chunk", F.shiftright(F.col(order).cast("bigint"), b))
 
 
 def carry_forward(df: DataFrame, part: list[str], order: str, value: str, out: str,
-                  bits: int = CHUNK_BITS) -> DataFrame:
+                  bits: int | None = None) -> DataFrame:
     """``out`` = last non-null ``value`` at or before the row, in ``order`` within ``part``."""
     d = _with_chunk(df, order, bits)
     keys = [*part, "_chunk"]
@@ -42,7 +43,7 @@ def carry_forward(df: DataFrame, part: list[str], order: str, value: str, out: s
 
 
 def next_row(df: DataFrame, part: list[str], order: str, cols: list[str], out: str,
-             bits: int = CHUNK_BITS) -> DataFrame:
+             bits: int | None = None) -> DataFrame:
     """``out`` = struct of ``cols`` of the next row in ``order`` within ``part`` (null on the last row)."""
     d = _with_chunk(df, order, bits)
     keys = [*part, "_chunk"]
@@ -57,7 +58,7 @@ def next_row(df: DataFrame, part: list[str], order: str, cols: list[str], out: s
 
 
 def dense_position(df: DataFrame, part: list[str], order: str, out: str = "pos",
-                   bits: int = CHUNK_BITS) -> DataFrame:
+                   bits: int | None = None) -> DataFrame:
     """``out`` = 1-based rank of the row in ``order`` within ``part`` (ROW_NUMBER, exact)."""
     d = _with_chunk(df, order, bits)
     keys = [*part, "_chunk"]

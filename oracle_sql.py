@@ -363,7 +363,7 @@ SELECT session_id, line_no, CAST(pos AS BIGINT) AS pos, msg_type, is_match FROM
 
 
 # ---------------------------------------------------------------- focus
-from lumenlog.functions.fixed_values import DEFAULT_STOP_ZH_WORDS, FOCUS_NOISE_PREFIXES  # noqa: E402,F401
+from lumenlog.functions.fixed_values import FOCUS_NOISE_PREFIXES  # noqa: E402
 
 
 def _sql_list(xs) -> str:
