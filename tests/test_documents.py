@@ -78,3 +78,29 @@ def test_front_matter_first_match_only(spark):
     out = df.select(DOC.update_front_matter(F.col("d"), F.array(F.lit("x"), F.lit("$y")), F.lit(7),
                                             F.lit("growing")).alias("r")).collect()[0].r
     assert out == "---\nsessions: [x, $y]\nmention_count: 7\nstatus: growing\n---\nstatus: stub\nsessions: [b]\n"
+
+
+def test_scan_notes_from_files_with_companion(spark, tmp_path):
+    a = tmp_path / "proj-a"
+    a.mkdir()
+    (a / "CLAUDE.md").write_text("# A\nDetails are in CONTEXT.md\n")
+    (a / "CONTEXT.md").write_text("# ctx\n> quoted\nWorking on the ingest path\nNext: bench\n")
+    b = tmp_path / "proj-b"
+    b.mkdir()
+    (b / "CLAUDE.md").write_text("## Current Status (2026-04-01)\n\nAll green now\n")
+    mapping = spark.createDataFrame([(str(a / "CLAUDE.md"), "A"), (str(b / "CLAUDE.md"), "B"),
+                                     (str(tmp_path / "missing" / "CLAUDE.md"), "C")], "path string, concept string")
+    notes = N.scan_notes(spark, mapping)
+    assert sorted(r.concept for r in notes.collect()) == ["A", "B"]  # missing files are ignored
+    docs = spark.createDataFrame([("A", f"## {TRAIL_HEADING}\n"), ("B", f"## {TRAIL_HEADING}\n")], "concept string, doc string")
+    r = {x.concept: x for x in N.sync_notes(notes, docs).collect()}
+    assert r["A"].source == "companion" and r["A"].summary == "Working on the ingest path；Next: bench"
+    assert r["B"].status_date == dt.date(2026, 4, 1) and r["B"].summary == "All green now"
+
+
+def test_append_log(spark, tmp_path):
+    blocks = spark.createDataFrame([("s1", "### block 1\n"), ("s2", "### block 2\n")], "session_id string, content string")
+    DOC.append_log(blocks, str(tmp_path / "log"))
+    DOC.append_log(blocks.limit(1), str(tmp_path / "log"))
+    got = spark.read.parquet(str(tmp_path / "log"))
+    assert got.count() == 3 and set(got.columns) >= {"session_id", "content", "appended_at"}
