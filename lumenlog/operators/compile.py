@@ -201,14 +201,26 @@ def text_streams(messages: DataFrame, key: str = "session_id") -> DataFrame:
     return a.unionByName(u).unionByName(s)
 
 
+_META = set("\\^$.|?*+()[]{}")
+
+
+def joint_window(pattern: str, default: int = DEFAULT_WINDOW) -> int:
+    """Characters needed on each side of a joint to catch every straddling match:
+    longest literal - 1 for a plain alternation of literals, else ``default``."""
+    alts = pattern.split("|")
+    if all(not (_META & set(a)) for a in alts):
+        return max((len(a) for a in alts), default=1) - 1
+    return default
+
+
 def weight_signals(messages: DataFrame, key: str = "session_id", dev_pattern: str = DEV_SIGNAL_PATTERN,
                    strategy_pattern: str = STRATEGY_SIGNAL_PATTERN, window: int = DEFAULT_WINDOW,
                    dictionary: Sequence[Entity] = ()) -> DataFrame:
     """A22 (+ J6 counts): dev hits over non-blank user then assistant texts (joined);
     strategy hits over non-blank user texts; entity hits (``_e<i>``) over the user
     substance -- all in one chunked pass."""
-    pats = [("all:dev_hits", "(?iud)" + dev_pattern, window),
-            ("user:strategy_hits", "(?iud)" + strategy_pattern, window)]
+    pats = [("all:dev_hits", "(?iud)" + dev_pattern, joint_window(dev_pattern, window)),
+            ("user:strategy_hits", "(?iud)" + strategy_pattern, joint_window(strategy_pattern, window))]
     pats += [(f"sub:_e{i}", e.pattern, e.window) for i, e in enumerate(dictionary)]
     return stream_counts(text_streams(messages, key), key, "_ord", pats, stream="_stream")
 
