@@ -103,12 +103,14 @@ DEFAULT_STOP_EN = [
 ]
 DEFAULT_STOP_ZH_WORDS = ["这个", "那个", "一个", "没有", "可以", "什么", "我们", "因为", "所以", "但是"]
 
-# ---- FIXED VALUES: markers other documents are detected by (kept equal so existing vaults interoperate).
-TRAIL_HEADING = "演化轨迹"
-STUB_MARKER = "待小code 补充"
-NOTE_SOURCE_TAG = "[CLAUDE.md]"
-NOTE_DEFAULT_SUMMARY = "项目文件已更新"
+# ---- FIXED VALUES: headings that mark sections in users' project notes (parsed, not written).
 STATUS_HEADINGS = ["当前状态", "Current Status", "Project Status"]
 POSITIONING_HEADINGS = ["项目定位", "Project Overview", "About"]
 COMPANION_NOTE = "CONTEXT.md"
 SUMMARY_JOINER = "；"
+
+# ---- Document markers of this library (written and detected by it; parameters, own wording).
+TRAIL_HEADING = "Evolution trail"
+STUB_MARKER = "definition pending"
+NOTE_SOURCE_TAG = "[CLAUDE.md]"
+NOTE_DEFAULT_SUMMARY = "Project file updated"

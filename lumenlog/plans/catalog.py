@@ -622,8 +622,9 @@ def document_notes(spark, sf):
 def concept_docs(spark, sf):
     """Concept documents c0..c9 with a trail ending at 2024-01-01 + 5k days (c10-c12 missing)."""
     d = T.table(spark, sf, "documents").selectExpr("CAST(doc_id % 13 AS INT) AS k").where("k < 10").distinct()
+    from lumenlog.functions.fixed_values import TRAIL_HEADING
     return d.selectExpr("concat('c', CAST(k AS STRING)) AS concept",
-                        "concat('---\\nname: c', CAST(k AS STRING), '\\n---\\n\\n## 演化轨迹\\n- **', "
+                        "concat('---\\nname: c', CAST(k AS STRING), '\\n---\\n\\n## " + TRAIL_HEADING + "\\n- **', "
                         "date_format(date_add(DATE'2024-01-01', k * 5), 'yyyy-MM-dd'), '** [[x]]\\n\\n## Links\\n') AS doc")
 
 

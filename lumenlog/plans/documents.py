@@ -4,9 +4,9 @@ Each per-entity document (a day, a session, a concept, a digest) is one string
 column built from an already aggregated row (bounded lists are sliced, as in
 the rendered output). Documents whose length grows with the whole data set
 (the index, the focus report) are produced as ordered block rows instead.
-Front-matter keys and the stub / trail / protection markers are fixed values
-(other steps and existing vaults detect documents by them); headings and
-labels are this library's own.
+Front-matter keys and the protection markers are fixed values (published
+documents are detected by them); the stub marker, trail heading and all other
+headings and labels are this library's own (parameters in ``fixed_values``).
 """
 
 from __future__ import annotations

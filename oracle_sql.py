@@ -773,6 +773,9 @@ FROM exp GROUP BY msg_type""")
 
 
 # ---------------------------------------------------------------- status notes
+from lumenlog.functions.fixed_values import NOTE_DEFAULT_SUMMARY as NOTE_DEFAULT  # noqa: E402
+from lumenlog.functions.fixed_values import TRAIL_HEADING  # noqa: E402
+
 NOTES = f"""
 notes AS (
   SELECT '/notes/' || CAST(doc_id AS VARCHAR) || '/CLAUDE.md' AS path, doc_id, 'c' || CAST(doc_id % 13 AS VARCHAR) AS concept,
@@ -829,8 +832,8 @@ ns AS (
   SELECT *, CASE WHEN has_hdr AND s1 <> '' THEN coalesce(CAST(d1 AS DATE), CAST(d2 AS DATE), CAST(mtime AS DATE))
                  ELSE CAST(mtime AS DATE) END AS status_date,
          CASE WHEN has_hdr AND s1 <> '' THEN s1
-              WHEN has_p THEN CASE WHEN ps <> '' THEN ps ELSE '项目文件已更新' END
-              ELSE coalesce(first_long, '项目文件已更新') END AS summary,
+              WHEN has_p THEN CASE WHEN ps <> '' THEN ps ELSE '{NOTE_DEFAULT}' END
+              ELSE coalesce(first_long, '{NOTE_DEFAULT}') END AS summary,
          CASE WHEN has_hdr AND s1 <> '' THEN 'status' ELSE 'positioning' END AS source
   FROM ns0)"""
 q("note_status", f"""WITH {NOTES}, {NOTE_STATUS}
@@ -838,7 +841,7 @@ SELECT doc_id, CAST(status_date AS VARCHAR) AS status_date, summary, source FROM
 q("stale_notes", f"""WITH {NOTES}, {NOTE_STATUS},
 latest AS (SELECT concept, arg_max(path, mtime) AS path FROM notes GROUP BY 1),
 cd AS (SELECT DISTINCT 'c' || CAST(doc_id % 13 AS VARCHAR) AS concept, strftime(DATE '2024-01-01' + CAST(doc_id % 13 AS INT) * 5, '%Y-%m-%d') AS last_day,
-              '---' || chr(10) || 'name: c' || CAST(doc_id % 13 AS VARCHAR) || chr(10) || '---' || chr(10) || chr(10) || '## 演化轨迹' || chr(10)
+              '---' || chr(10) || 'name: c' || CAST(doc_id % 13 AS VARCHAR) || chr(10) || '---' || chr(10) || chr(10) || '## {TRAIL_HEADING}' || chr(10)
               || '- **' || strftime(DATE '2024-01-01' + CAST(doc_id % 13 AS INT) * 5, '%Y-%m-%d') || '** [[x]]' || chr(10) || chr(10) || '## Links' || chr(10) AS doc
        FROM documents WHERE doc_id % 13 < 10),
 j AS (SELECT l.concept, l.path, ns.status_date, ns.summary, cd.doc, CAST(cd.last_day AS DATE) AS last_day

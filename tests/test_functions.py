@@ -31,8 +31,8 @@ def test_cost_exact(spark):
 
 
 @pytest.mark.parametrize("d,name", [
-    ("-Users-titans-Desktop-crypto-bots-framework", "~/Desktop/crypto/bots/framework"),
-    ("-Users-titans", "~/"), ("-Users-titans-1984-10-System", "~/1984/10/System"), ("some-dir", "/some/dir"),
+    ("-Users-alice-Desktop-web-app-server", "~/Desktop/web/app/server"),
+    ("-Users-alice", "~/"), ("-Users-alice-2024-10-Notes", "~/2024/10/Notes"), ("some-dir", "/some/dir"),
 ])
 def test_project_name(spark, d, name):
     assert one(spark, project.project_name(F.col("x")), [(d,)]) == name
