@@ -264,19 +264,21 @@ def load_session_logs(spark: SparkSession, root: str, include_agents: bool = Fal
                       persist: bool = True) -> tuple[DataFrame, DataFrame]:
     """(sessions, lines) for a session tree; the filters prune files before any line is read.
 
-    ``lines`` carries ``session_id`` (file stem) and ``file_path`` (the unique key).
+    ``lines`` (decoded, typed) carries ``session_id`` (file stem) and ``file_path``
+    (the unique key). With ``persist`` it is written once as Parquet under the
+    shared checkpoint folder -- the columnar table every report reads.
     """
     sessions = filter_modified(filter_project(scan_sessions(spark, root, include_agents), project), after, before)
     raw = read_raw_lines(spark, session_globs(root, include_agents),
-                         session_file_filter(include_agents, project, after, before), persist)
-    lines = decode_lines(raw).join(sessions.select("file_path", "session_id"), "file_path")
-    return sessions, lines
+                         session_file_filter(include_agents, project, after, before), persist=False)
+    lines = decode_lines(raw).withColumn("session_id", F.regexp_extract("file_path", r"([^/]+)\.jsonl$", 1))
+    return sessions, (materialize(lines, "lines") if persist else lines)
 
 
 def scan_tool_events(spark: SparkSession, obs_root: str, persist: bool = True) -> DataFrame:
     """SC13: tool events; session id = file stem (not the event's own field), obs_date
     = directory name; blank/malformed lines and events without a tool name skipped."""
-    raw = read_raw_lines(spark, [f"{obs_root.rstrip('/')}/*/*.jsonl"], None, persist)
+    raw = read_raw_lines(spark, [f"{obs_root.rstrip('/')}/*/*.jsonl"], None, persist=False)
     v = raw.select("file_path", "line_no", F.expr("try_parse_json(value)").alias("v")).where(
         F.col("v").isNotNull()).where(F.expr("startswith(schema_of_variant(v), 'OBJECT')"))
 
@@ -289,4 +291,5 @@ def scan_tool_events(spark: SparkSession, obs_root: str, persist: bool = True) -
         "line_no",
         "try_variant_get(v, '$.tool_name', 'string') AS tool_name",
         inp("file_path"), inp("command"), inp("url"), inp("query"))
-    return out.where(F.col("tool_name").isNotNull() & (F.col("tool_name") != ""))
+    out = out.where(F.col("tool_name").isNotNull() & (F.col("tool_name") != ""))
+    return materialize(out, "tool-events") if persist else out
