@@ -26,7 +26,17 @@ EVENT_TOOLS = {"view": "Read", "click": "Edit", "purchase": "Bash", "signup": "W
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return balanced(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread a scan over all cores when it yields fewer input partitions than
+    the cluster's default parallelism (e.g. one file with one row group: every
+    row would be parsed and regex-scanned by a single task). At scale the input
+    has many splits and this is a no-op; no shuffle is added there."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()  # planning only, no job
+    return df.repartition(target) if n < target else df
 
 
 def sql_lit(v) -> str:
