@@ -29,12 +29,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return balanced(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
-def balanced(df: DataFrame) -> DataFrame:
+REBALANCE_MIN_BYTES = 8 << 20
+
+
+def balanced(df: DataFrame, min_bytes: int = REBALANCE_MIN_BYTES) -> DataFrame:
     """Spread a scan over all cores when it yields fewer input partitions than
-    the cluster's default parallelism (e.g. one file with one row group: every
-    row would be parsed and regex-scanned by a single task). At scale the input
-    has many splits and this is a no-op; no shuffle is added there."""
+    the cluster's default parallelism AND is big enough for parallel work to pay
+    for one shuffle (e.g. a single large row group: every row would be parsed and
+    regex-scanned by one task). At scale the input has many splits, so this is a
+    no-op there; small inputs are left alone too (the extra stage would cost more)."""
     target = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()  # file sizes, no job
+    if int(str(size)) < min_bytes:
+        return df
     n = df.rdd.getNumPartitions()  # planning only, no job
     return df.repartition(target) if n < target else df
 
