@@ -758,3 +758,29 @@ def term_counts_documents(spark, sf):
     m = T.document_messages(spark, sf)
     c = FO.term_counts(m, user_only=False, stop_en=FOCUS_STOP)
     return FO.focus_report(c, 50).select("rank", "term", "count", "pct")
+
+
+# ---------------------------------------------------------------- prefilter, first messages, slugs
+@query("search_prefiltered")
+def search_prefiltered(spark, sf):
+    """Raw JSON lines -> candidate files for a safe literal term -> decoded
+    messages of those files only -> search (equal to the unfiltered search)."""
+    raw = conversation_log_lines(spark, sf)
+    decoded = J.messages_of(J.decode_lines(raw)).withColumn(
+        "session_id", F.regexp_extract("file_path", r"([^/]+)\.jsonl$", 1))
+    m = S.prefiltered(decoded, raw, "ment")
+    return S.search(m, ["ment"]).select(*SEARCH_COLS)
+
+
+@query("first_messages")
+def first_messages(spark, sf):
+    _, m = _conv(spark, sf)
+    return SS.first_messages(m, 3).select("session_id", "line_no", "msg_type",
+                                          F.col("position").cast("bigint").alias("position"))
+
+
+@query("topic_slugs")
+def topic_slugs(spark, sf):
+    from lumenlog.functions.text import topic_slug
+    c = _compiled(spark, sf)
+    return c.select("session_id", topic_slug(F.col("topic_sentence"), F.col("session_id")).alias("slug"))

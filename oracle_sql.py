@@ -1230,3 +1230,26 @@ pub AS (
            ELSE c.content END
   FROM cdoc c LEFT JOIN old o USING (path))
 SELECT path, kind, action, CAST(length(content) AS BIGINT) AS length, sha256(content) AS digest FROM pub""")
+
+
+# ---------------------------------------------------------------- prefilter, first messages, slugs
+q("search_prefiltered", search_sql(["ment"]).replace(
+    f"WITH {MSG}, {SES},", f"WITH {EXPECTED_DECODED}, msg AS (SELECT * FROM exp),", 1))
+q("first_messages", f"""WITH {MSG}
+SELECT session_id, line_no, msg_type, CAST(position AS BIGINT) AS position FROM (
+  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS position
+  FROM msg WHERE msg_type IN ('user', 'assistant')) WHERE position <= 3""")
+
+
+def slug_sql(topic: str, sid: str) -> str:
+    clean = f"regexp_replace({topic}, '[，。！？、；：“”‘’（）\\[\\]…\\n\\r]', ' ', 'g')"
+    clean = f"regexp_replace({clean}, '[<>:\"|?*{{}}#@&=+$!`~^]', '', 'g')"
+    clean = f"trim(regexp_replace({clean}, '\\s+', ' ', 'g'))"
+    tagged = f"translate(trim(substring({clean}, 1, 40)), ' /', '--')"
+    tagged = f"regexp_replace(regexp_replace({tagged}, '-+', '-', 'g'), '^-+|-+$', '', 'g')"
+    s8 = f"substring({sid}, 1, 8)"
+    return (f"CASE WHEN {topic} IS NULL OR {topic} = '' OR starts_with({topic}, 'session-') THEN {s8} "
+            f"WHEN length({tagged}) >= 4 THEN {tagged} ELSE {s8} END")
+
+
+q("topic_slugs", f"{COMPILED} SELECT session_id, {slug_sql('topic_sentence', 'session_id')} AS slug FROM compiled")
