@@ -7,6 +7,8 @@ from tools.check_oracle import TABLES, compare
 
 ROWS_ONLY: set[str] = set()
 SF = "/root/testdata/sf0.001"
+SPARK_TYPES = {"bigint": "int64", "int": "int32", "double": "float64", "string": "string", "boolean": "bool"}
+DUCK_TYPES = {"BIGINT": "int64", "INTEGER": "int32", "DOUBLE": "float64", "VARCHAR": "string", "BOOLEAN": "bool"}
 
 
 def test_entry_runs(spark):
@@ -35,4 +37,8 @@ def test_all_queries_match_oracle_at_smallest_scale(spark):
         verdict = compare(srows, df.columns, res.fetchall(), [d[0] for d in res.description])
         if not verdict.startswith("OK"):
             bad.append((name, verdict))
+        st = {f.name: SPARK_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+        dt = {d[0]: DUCK_TYPES.get(str(d[1]), str(d[1])) for d in res.description}
+        if st != dt:
+            bad.append((name, "types", st, dt))
     assert bad == []
