@@ -25,8 +25,27 @@ BOUND_TOOLS = [["Edit"], ["Write", "Read"], [], ["Bash"]]
 EVENT_TOOLS = {"view": "Read", "click": "Edit", "purchase": "Bash", "signup": "WebFetch", "error": "WebSearch"}
 
 
+_TABLES: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return balanced(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    """The scan of one input table (rebalanced when it is a single large split).
+
+    DataFrames are immutable plans, so the scan of an unchanged local file is
+    reused across queries of one session (keyed by the file's modification time);
+    other paths are planned afresh on every call."""
+    import os
+
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    local = path[len("file:"):] if path.startswith("file:") else path
+    stamp = os.path.getmtime(local) if "://" not in path and os.path.exists(local) else None
+    key = (id(spark), path, stamp)
+    if stamp is not None and key in _TABLES:
+        return _TABLES[key]
+    df = balanced(spark.read.parquet(path))
+    if stamp is not None:
+        _TABLES[key] = df
+    return df
 
 
 REBALANCE_MIN_BYTES = 8 << 20
