@@ -39,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     local = path[len("file:"):] if path.startswith("file:") else path
     stamp = os.path.getmtime(local) if "://" not in path and os.path.exists(local) else None
-    key = (id(spark), path, stamp)
+    key = (spark.sparkContext.applicationId, id(spark), path, stamp)
     if stamp is not None and key in _TABLES:
         return _TABLES[key]
     df = balanced(spark.read.parquet(path))
