@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -29,7 +28,7 @@ def build_spark(master: str | None = None, app: str = "lumenlog", shuffle_partit
     conf = dict(REQUIRED_CONF)
     conf.setdefault("spark.ui.enabled", "false")
     conf.setdefault("spark.ui.showConsoleProgress", "false")
-    conf.setdefault("spark.driver.memory", os.environ.get("LUMENLOG_DRIVER_MEMORY", "16g"))
+    conf.setdefault("spark.driver.memory", "16g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
