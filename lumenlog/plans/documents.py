@@ -346,3 +346,37 @@ def append_log(blocks: DataFrame, table_path: str) -> None:
     """Append rendered digest blocks to a log table (Parquet, append mode)."""
     blocks.select("session_id", "content", F.current_timestamp().alias("appended_at")) \
           .write.mode("append").parquet(table_path)
+
+
+def write_vault(compiled: DataFrame, out_dir: str, events: DataFrame | None = None, home: str | None = None,
+                updated: str = "") -> DataFrame:
+    """The whole vault write: day documents (with the day's tool activity when
+    ``events`` are given), concept documents, the protected publish against the
+    documents already under ``out_dir``, the files, and the index.
+
+    ``compiled``: ``compile_sessions`` output with a sortable ``session_ord``
+    (compile order). Returns (kind, action, documents) counts; kept documents
+    count too. The index is written as ordered blocks under ``out_dir/index``.
+    """
+    from lumenlog.operators import daily as DY
+    from lumenlog.operators import tools as TL
+
+    spark = compiled.sparkSession
+    days = DY.merge_by_day(compiled)
+    if events is not None:
+        obs = TL.merge_observations_by_day(events, compiled.select(
+            F.col("full_session_id").alias("session_id"), "date", "session_ord"), limits=TL.DISPLAY_LIMITS)
+        days = days.join(obs, "date", "left")
+    concepts = DY.concept_index(compiled)
+    existing = read_documents(spark, out_dir)
+    published = publish_documents(render_daily(days, home), render_concept(concepts), concepts, existing)
+    # the publish reads the files it is about to overwrite: materialize it first
+    from lumenlog.session import checkpoint_dir
+    checkpoint_dir(spark)
+    published = published.checkpoint(eager=True)
+    write_documents(published.where(F.col("action") != "kept"), out_dir)
+    from lumenlog.plans.export import write_blocks
+    index = render_index(compiled, days, concepts, DY.weight_distribution(compiled), DY.status_counts(concepts),
+                         updated)
+    write_blocks(index, f"{out_dir.rstrip('/')}/index", partitions=1)
+    return published.groupBy("kind", "action").agg(F.count(F.lit(1)).cast("bigint").alias("documents"))

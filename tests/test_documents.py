@@ -104,3 +104,25 @@ def test_append_log(spark, tmp_path):
     DOC.append_log(blocks.limit(1), str(tmp_path / "log"))
     got = spark.read.parquet(str(tmp_path / "log"))
     assert got.count() == 3 and set(got.columns) >= {"session_id", "content", "appended_at"}
+
+
+def test_write_vault_twice_keeps_protected(spark, tmp_path):
+    from lumenlog.operators import compile as C
+    from lumenlog.session import checkpoint_dir
+    from tests.helpers import msgs, sessions
+
+    checkpoint_dir(spark)
+    m = msgs(spark, [("s1", 1, "user", "we talk about kafka streams here today"),
+                     ("s2", 1, "user", "kafka again and more kafka words here")])
+    comp = C.compile_sessions(sessions(spark, ["s1", "s2"]), m, [C.Entity("Kafka", ("kafka",))]).withColumn(
+        "session_ord", F.unix_micros("modified_time"))
+    out = str(tmp_path / "vault")
+    first = {(r.kind, r.action): r.documents for r in DOC.write_vault(comp, out, updated="2026-03-02").collect()}
+    assert first == {("day", "written"): 1, ("concept", "written"): 1}
+    day = tmp_path / "vault" / "sessions" / "2026-03-01.md"
+    day.write_text("---\nsource: merged\n---\nhand merged\n")
+    second = {(r.kind, r.action): r.documents for r in DOC.write_vault(comp, out, updated="2026-03-02").collect()}
+    assert second == {("day", "kept"): 1, ("concept", "written"): 1}
+    assert day.read_text().endswith("hand merged\n")
+    assert (tmp_path / "vault" / "concepts" / "Kafka.md").exists()
+    assert list((tmp_path / "vault" / "index" / "doc=INDEX").glob("part-*"))
