@@ -380,3 +380,17 @@ def write_vault(compiled: DataFrame, out_dir: str, events: DataFrame | None = No
                          updated)
     write_blocks(index, f"{out_dir.rstrip('/')}/index", partitions=1)
     return published.groupBy("kind", "action").agg(F.count(F.lit(1)).cast("bigint").alias("documents"))
+
+
+def append_digests(sessions: DataFrame, messages: DataFrame, table_path: str, tail_n: int = 3, max_key: int = 8,
+                   key: str = "session_id", signals=None) -> DataFrame:
+    """Digest a batch of sessions (A29), render each (K8) and append the blocks to
+    the log table (K11); returns the rendered blocks, newest file time first (O5)."""
+    from lumenlog.operators.digest import digest_sessions
+
+    d = digest_sessions(sessions, messages, tail_n, max_key, key, signals)
+    blocks = render_digest(d.withColumnRenamed(key, "session_id")).join(
+        d.select(F.col(key).alias("session_id"), "modified_time"), "session_id")
+    blocks = blocks.checkpoint(eager=True) if blocks.sparkSession.sparkContext.getCheckpointDir() else blocks
+    append_log(blocks, table_path)
+    return blocks.orderBy(F.desc("modified_time"), "session_id").drop("modified_time")

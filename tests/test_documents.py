@@ -126,3 +126,15 @@ def test_write_vault_twice_keeps_protected(spark, tmp_path):
     assert day.read_text().endswith("hand merged\n")
     assert (tmp_path / "vault" / "concepts" / "Kafka.md").exists()
     assert list((tmp_path / "vault" / "index" / "doc=INDEX").glob("part-*"))
+
+
+def test_append_digests(spark, tmp_path):
+    from tests.helpers import msgs, sessions
+
+    m = msgs(spark, [("a", 1, "user", "please decide on the approach for this"),
+                     ("a", 2, "assistant", "we decided to keep the current approach because it works"),
+                     ("b", 1, "user", "another session with a question here")])
+    out = DOC.append_digests(sessions(spark, ["a", "b"]), m, str(tmp_path / "log"), signals=["decide"]).collect()
+    assert [r.session_id for r in out] == ["b", "a"]  # newest file time first
+    assert "**Key exchanges**" in out[1].content and "<!-- session: a -->" in out[1].content
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
