@@ -42,8 +42,8 @@ def activity_items(events: DataFrame, key: str = "session_id") -> DataFrame:
 
 
 def tool_counts(events: DataFrame, key: str = "session_id") -> DataFrame:
-    """A13 long form: (key, tool_name, count, first_ord, rank) ranked by count desc,
-    ties by first appearance."""
+    """A13 long form: (key, tool_name, count, first_ord); rank by count desc, ties by
+    first appearance (``first_ord``)."""
     g = valid_events(events).groupBy(key, "tool_name").agg(
         F.count(F.lit(1)).cast("bigint").alias("count"), F.min(F.struct(*ORDER)).alias("first_ord"))
     return g
