@@ -151,13 +151,14 @@ def _tier_finish(df: DataFrame) -> DataFrame:
             .withColumn("total_output", F.col("opus_output") + F.col("sonnet_output") + F.col("other_output"))
             .withColumn("total_units", F.col("opus_units") + F.col("sonnet_units") + F.col("other_units"))
             .withColumn("total_cost", units_to_usd(F.col("total_units"))))
-    return (df.withColumn("opus_output_pct", F.when(F.col("total_output") != 0,
-                                                    F.col("opus_output") / F.col("total_output") * 100)
-                          .otherwise(F.lit(0.0)))
-              .withColumn("opus_cost_pct", F.when(F.col("total_units") != 0,
-                                                  F.col("opus_cost") / F.col("total_cost") * 100)
-                          .otherwise(F.lit(0.0)))
-              .drop(*[f"{t}_units" for t in _TIERS], "total_units"))
+    # true per-tier shares (Q13: no "100 - opus" derived value)
+    shares = {}
+    for t in _TIERS:
+        shares[f"{t}_output_pct"] = F.when(F.col("total_output") != 0,
+                                           F.col(f"{t}_output") / F.col("total_output") * 100).otherwise(F.lit(0.0))
+        shares[f"{t}_cost_pct"] = F.when(F.col("total_units") != 0,
+                                         F.col(f"{t}_cost") / F.col("total_cost") * 100).otherwise(F.lit(0.0))
+    return df.withColumns(shares).drop(*[f"{t}_units" for t in _TIERS], "total_units")
 
 
 def weekly_tiers(su: DataFrame) -> DataFrame:
