@@ -41,8 +41,15 @@ def session_usage(sessions: DataFrame, messages: DataFrame, key: str = "session_
     """A1: per session, sums of the four counters, message count (user, assistant
     and system rows), last non-empty model, cost priced with carry-forward.
     Sessions without messages appear with zeros and a null model."""
-    cols = [key, "line_no", "model", "has_usage", *TOKEN_COLS]
-    pm = priced_messages(messages.select(*cols), key, prices, carry=True)
+    cols = [key, "line_no", "msg_type", "model", "has_usage", *TOKEN_COLS]
+    m = messages.select(*cols)
+    # models and usage records live on assistant lines only: just those go through
+    # the carry-forward exchange; the rest rejoin (narrow union) for the counts
+    is_a = F.col("msg_type") == "assistant"
+    priced = priced_messages(m.where(is_a), key, prices, carry=True)
+    others = m.where(~is_a | F.col("msg_type").isNull()).withColumns(
+        {"eff_model": F.lit(None).cast("string"), "cost_units": F.lit(None).cast("bigint")})
+    pm = priced.unionByName(others)
     per = pm.groupBy(key).agg(
         F.count(F.lit(1)).alias("msg_count"),
         *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in TOKEN_COLS],
