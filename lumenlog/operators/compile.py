@@ -82,8 +82,9 @@ def stream_counts(rows: DataFrame, key: str, order: str, patterns: Sequence[tupl
     several streams then share one pass (one chunked next-row computation).
     """
     part = [key] + ([stream] if stream else [])
-    r = rows.select(*part, order, "text")
-    r = next_row(r, part, order, ["text"], "_nx")
+    extra = ["is_user"] if "is_user" in rows.columns else []
+    r = rows.select(*part, order, "text", *extra)
+    r = next_row(r, part, order, ["text", *extra], "_nx")
     sums = []
     for name, pat, win in patterns:
         p = "'" + pat.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -96,8 +97,14 @@ def stream_counts(rows: DataFrame, key: str, order: str, patterns: Sequence[tupl
                 f"- regexp_count({head}, {p}), 0) END")
         out = name
         if stream:
-            s_name, out = name.split(":", 1)
-            hits = f"CASE WHEN {stream} = '{s_name}' THEN {hits} ELSE 0 END"
+            s_part, out = name.split(":", 1)
+            s_name, _, only = s_part.partition("+")
+            cond = f"{stream} = '{s_name}'"
+            if only == "user":  # the user-only sub-sequence: user rows, joints between two user rows
+                nx_user = "_nx IS NOT NULL AND _nx.is_user"
+                hits = hits.replace("CASE WHEN _nx IS NULL THEN 0", f"CASE WHEN NOT ({nx_user}) THEN 0")
+                cond += " AND is_user"
+            hits = f"CASE WHEN {cond} THEN {hits} ELSE 0 END"
         sums.append(F.expr(f"CAST(coalesce(sum({hits}), 0) AS BIGINT)").alias(out))
     return r.groupBy(key).agg(*sums)
 
@@ -187,18 +194,17 @@ def _substance_cond() -> Column:
 
 
 def text_streams(messages: DataFrame, key: str = "session_id") -> DataFrame:
-    """The three joined-text sequences of a session as one tagged row set:
-    'all' (non-blank user texts, then non-blank assistant texts), 'user'
-    (non-blank user texts) and 'sub' (P10 user substance)."""
+    """The joined-text sequences of a session as one tagged row set: 'all'
+    (non-blank user texts, then non-blank assistant texts; its leading user part
+    is the user-only sequence, flagged by ``is_user``) and 'sub' (P10 user substance)."""
     nb = messages.where(F.col("msg_type").isin("user", "assistant") & (strip_ws(F.col("content_text")) != ""))
     type_first = (F.when(F.col("msg_type") == "user", F.lit(0)).otherwise(F.lit(1)).cast("bigint") * F.lit(1 << 40)
                   + F.col("line_no"))
-    a = nb.select(key, F.lit("all").alias("_stream"), type_first.alias("_ord"), F.col("content_text").alias("text"))
-    u = nb.where(F.col("msg_type") == "user").select(key, F.lit("user").alias("_stream"),
-                                                     F.col("line_no").alias("_ord"), F.col("content_text").alias("text"))
+    a = nb.select(key, F.lit("all").alias("_stream"), type_first.alias("_ord"), F.col("content_text").alias("text"),
+                  (F.col("msg_type") == "user").alias("is_user"))
     s = messages.where(_substance_cond()).select(key, F.lit("sub").alias("_stream"), F.col("line_no").alias("_ord"),
-                                                F.col("content_text").alias("text"))
-    return a.unionByName(u).unionByName(s)
+                                                F.col("content_text").alias("text"), F.lit(True).alias("is_user"))
+    return a.unionByName(s)
 
 
 _META = set("\\^$.|?*+()[]{}")
@@ -220,7 +226,7 @@ def weight_signals(messages: DataFrame, key: str = "session_id", dev_pattern: st
     strategy hits over non-blank user texts; entity hits (``_e<i>``) over the user
     substance -- all in one chunked pass."""
     pats = [("all:dev_hits", "(?iud)" + dev_pattern, joint_window(dev_pattern, window)),
-            ("user:strategy_hits", "(?iud)" + strategy_pattern, joint_window(strategy_pattern, window))]
+            ("all+user:strategy_hits", "(?iud)" + strategy_pattern, joint_window(strategy_pattern, window))]
     pats += [(f"sub:_e{i}", e.pattern, e.window) for i, e in enumerate(dictionary)]
     return stream_counts(text_streams(messages, key), key, "_ord", pats, stream="_stream")
 
