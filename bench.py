@@ -1,7 +1,8 @@
 """Benchmark: headline queries on local[$BENCH_CPUS] over $BENCH_SF_DIR.
 
 Prints ONE JSON line: {"metric", "value" (sum of warm per-query seconds), "unit",
-"queries" (warm median seconds), "cold", "rows", "sf", ...}. Each query is run
+"queries" (warm median seconds), "cold", "rows" (result rows), "input_rows",
+"input_rows_per_sec", "sf", "cpus", settings ...}. Each query is run
 once cold (first execution in this JVM, reported separately) and then
 $BENCH_REPEATS times; the median of the warm runs is the query's time.
 """
@@ -28,6 +29,13 @@ HEADLINE = [
 ]
 
 
+# input tables of each headline query (for input rows and rows/s)
+INPUTS = {
+    "tools_used": ["events"], "search_documents": ["documents"], "term_counts_documents": ["documents"],
+    "daily_digest": ["conversations", "events"],
+}
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -53,10 +61,15 @@ def main() -> None:
             fn(spark, sf_dir).collect()
             runs.append(time.time() - t)
         warm[name] = round(statistics.median(runs), 3)
+    counts = {t: spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet").count()
+              for t in ("conversations", "events", "documents")}
+    input_rows = {n: sum(counts[t] for t in INPUTS.get(n, ["conversations"])) for n in names}
+    rows_per_sec = {n: round(input_rows[n] / warm[n]) if warm[n] else None for n in names}
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {
         "metric": "sum_of_warm_query_seconds", "value": round(sum(warm.values()), 3), "unit": "sec",
-        "queries": warm, "cold": cold, "rows": rows, "sf": float(m.group(1)) if m else sf_dir,
+        "queries": warm, "cold": cold, "rows": rows, "input_rows": input_rows, "input_rows_per_sec": rows_per_sec,
+        "sf": float(m.group(1)) if m else sf_dir,
         "cpus": cpus, "repeats": repeats, "spark_startup_sec": round(startup, 3),
         "settings": {"spark.sql.shuffle.partitions": 2 * cpus, "spark.sql.adaptive.enabled": True},
     }
