@@ -57,11 +57,14 @@ def balanced(df: DataFrame, min_bytes: int = REBALANCE_MIN_BYTES) -> DataFrame:
     for one shuffle (e.g. a single large row group: every row would be parsed and
     regex-scanned by one task). At scale the input has many splits, so this is a
     no-op there; small inputs are left alone too (the extra stage would cost more)."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()  # file sizes, no job
-    if int(str(size)) < min_bytes:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # file sizes, no job
+        if size < min_bytes:
+            return df
+        n = df.rdd.getNumPartitions()  # planning only, no job
+    except Exception:  # statistics unavailable: leave the scan as it is
         return df
-    n = df.rdd.getNumPartitions()  # planning only, no job
     return df.repartition(target) if n < target else df
 
 
