@@ -163,3 +163,16 @@ def test_json_export_is_valid(spark, tmp_path):
     assert [x["role"] for x in doc["messages"]] == ["user", "assistant"]
     assert "model" not in doc["messages"][0] and doc["messages"][1]["tools"] == ["Bash"]
     assert doc["messages"][0]["content"] == 'say "hi"\nnow'
+
+
+def test_prefilter_only_for_safe_terms(spark):
+    raw = spark.createDataFrame([("f1", 1, '{"type":"user","message":{"content":"Deploy now"}}'),
+                                 ("f2", 1, '{"type":"user","message":{"content":"say \\"hi\\" there"}}')],
+                                "file_path string, line_no bigint, value string")
+    assert S.candidate_files(raw, 'say "hi"') is None  # quotes are escaped in the raw JSON: no prefilter
+    assert S.candidate_files(raw, "héllo") is None
+    assert [r.file_path for r in S.candidate_files(raw, "deploy").collect()] == ["f1"]
+    from lumenlog.sources.jsonl import decode_lines, messages_of
+    m = messages_of(decode_lines(raw))
+    assert S.prefiltered(m, raw, 'say "hi"').count() == 2
+    assert S.prefiltered(m, raw, "DEPLOY").count() == 1
