@@ -18,20 +18,26 @@ def _first_by(value: Column, cond: Column, order: str = "line_no") -> Column:
     return F.min_by(value, F.when(cond, F.col(order)))
 
 
-def head_meta(lines: DataFrame, key: str = "session_id", head_lines: int = HEAD_LINES) -> DataFrame:
+def head_meta(lines: DataFrame, key: str = "session_id", head_lines: int = HEAD_LINES,
+              extra: dict[str, Column] | None = None) -> DataFrame:
     """SC11: over the first ``head_lines`` physical lines: first timestamp, cwd /
-    version / branch and preview text of the first user line, first assistant model."""
-    h = lines.where(F.col("line_no") <= head_lines)
+    version / branch and preview text of the first user line, first assistant model.
+
+    The head condition sits in each aggregate, so ``extra`` per-session aggregates
+    over all lines share the same single aggregation."""
     t = F.col("msg_type")
-    first_user = _first_by(F.struct("cwd", "version", "git_branch", "content_text"), t == "user")
-    return h.groupBy(key).agg(
-        _first_by(F.col("ts"), F.col("ts").isNotNull()).alias("first_timestamp"),
+    head = F.col("line_no") <= head_lines
+    first_user = _first_by(F.struct("cwd", "version", "git_branch", "content_text"), head & (t == "user"))
+    extra = extra or {}
+    return lines.groupBy(key).agg(
+        _first_by(F.col("ts"), head & F.col("ts").isNotNull()).alias("first_timestamp"),
         first_user.alias("_u"),
-        _first_by(F.col("model"), (t == "assistant") & (F.col("model") != "")).alias("head_model"),
+        _first_by(F.col("model"), head & (t == "assistant") & (F.col("model") != "")).alias("head_model"),
+        *[c.alias(n) for n, c in extra.items()],
     ).select(key, "first_timestamp", F.col("_u.cwd").alias("cwd"), F.col("_u.version").alias("version"),
              F.col("_u.git_branch").alias("git_branch"),
              F.when(F.col("_u.content_text") != "", F.col("_u.content_text")).alias("first_user_text"),
-             "head_model")
+             "head_model", *extra.keys())
 
 
 def session_context(lines: DataFrame, key: str = "session_id", extra: dict[str, Column] | None = None) -> DataFrame:
@@ -59,13 +65,12 @@ def list_sessions(sessions: DataFrame, lines: DataFrame, key: str = "session_id"
                   model: str | None = None, sort: str = "date") -> DataFrame:
     """Head metadata, message count, input+output tokens, display project and
     duration (file time minus first head timestamp); ``total`` = untrimmed count."""
-    content = lines.where(F.col("msg_type").isin("user", "assistant", "system"))
-    counts = content.groupBy(key).agg(
-        F.count(F.lit(1)).cast("bigint").alias("msg_count"),
-        F.coalesce(F.sum(F.when(F.col("has_usage"), F.coalesce("input_tokens", F.lit(0))
-                                + F.coalesce("output_tokens", F.lit(0)))), F.lit(0)).cast("bigint")
-        .alias("total_tokens"))
-    out = (sessions.join(head_meta(lines, key), key, "left").join(counts, key, "left")
+    is_msg = F.col("msg_type").isin("user", "assistant", "system")
+    meta = head_meta(lines, key, extra={
+        "msg_count": F.sum(F.when(is_msg, 1).otherwise(0)).cast("bigint"),
+        "total_tokens": F.coalesce(F.sum(F.when(is_msg & F.col("has_usage"), F.coalesce("input_tokens", F.lit(0))
+                                                + F.coalesce("output_tokens", F.lit(0)))), F.lit(0)).cast("bigint")})
+    out = (sessions.join(meta, key, "left")
            .withColumn("msg_count", F.coalesce("msg_count", F.lit(0)).cast("bigint"))
            .withColumn("total_tokens", F.coalesce("total_tokens", F.lit(0)).cast("bigint"))
            .withColumn("display_project", display_project(F.col("cwd"), F.col("project_name"), home))
