@@ -40,36 +40,43 @@ USAGE_COLS = ["label", "sessions", "messages", *U.TOKEN_COLS, "total_tokens", "c
 # ---------------------------------------------------------------- usage family
 @query("usage_by_model")
 def usage_by_model(spark, sf):
+    """SURVEY A1 A2(model) A4 W2 J2 F1."""
     return U.top_groups(U.usage_by(_su(spark, sf), "model"), 10).select(*USAGE_COLS)
 
 
 @query("usage_by_project")
 def usage_by_project(spark, sf):
+    """SURVEY A1 A2(project) F2."""
     return U.usage_by(_su(spark, sf), "project").select(*USAGE_COLS)
 
 
 @query("usage_by_date")
 def usage_by_date(spark, sf):
+    """SURVEY A2(date) F22."""
     return U.usage_by(_su(spark, sf), "date").select(*USAGE_COLS)
 
 
 @query("usage_by_week")
 def usage_by_week(spark, sf):
+    """SURVEY A2(week) F3."""
     return U.usage_by(_su(spark, sf), "week").select(*USAGE_COLS)
 
 
 @query("usage_totals_rollup")
 def usage_totals_rollup(spark, sf):
+    """SURVEY A2 A3 (rollup)."""
     return U.usage_rollup(_su(spark, sf), "project").select(*USAGE_COLS)
 
 
 @query("usage_top_n")
 def usage_top_n(spark, sf):
+    """SURVEY A4 O6."""
     return U.top_groups(U.usage_by(_su(spark, sf), "date"), 5).select(*USAGE_COLS)
 
 
 @query("usage_share")
 def usage_share(spark, sf):
+    """SURVEY A5 W13."""
     g = U.usage_share(U.usage_by(_su(spark, sf), "project"), 100.0)
     return g.select("label", "cost_usd", "share", "bar_fraction", "total_cost_usd", "subscription_multiple")
 
@@ -81,16 +88,19 @@ WEEKLY_COLS = ["week", "date_range", *[f"{t}_{m}" for t in ("opus", "sonnet", "o
 
 @query("weekly_tiers")
 def weekly_tiers(spark, sf):
+    """SURVEY A6 F4 F3."""
     return U.weekly_tiers(_su(spark, sf)).select(*WEEKLY_COLS)
 
 
 @query("weekly_total")
 def weekly_total(spark, sf):
+    """SURVEY A7."""
     return U.weekly_total(_su(spark, sf)).select(*WEEKLY_COLS)
 
 
 @query("session_usage_ffill")
 def session_usage_ffill(spark, sf):
+    """SURVEY A1 W2 W3."""
     su = _su(spark, sf)
     return su.select("session_id", "msg_count", *U.TOKEN_COLS, F.coalesce("model", F.lit("unknown")).alias("model"),
                      "cost_usd")
@@ -98,12 +108,14 @@ def session_usage_ffill(spark, sf):
 
 @query("session_cost_own_model")
 def session_cost_own_model(spark, sf):
+    """SURVEY A12."""
     _, m = _conv(spark, sf)
     return U.session_cost_own_model(m).select("session_id", "cost_usd")
 
 
 @query("price_lookup")
 def price_lookup(spark, sf):
+    """SURVEY J2."""
     from lumenlog.functions.pricing import price_rates
     _, m = _conv(spark, sf)
     models = m.where(F.col("msg_type") == "assistant").select(F.coalesce("model", F.lit("")).alias("model")).distinct()
@@ -115,12 +127,14 @@ def price_lookup(spark, sf):
 
 @query("overview")
 def overview(spark, sf):
+    """SURVEY A9."""
     s, _ = _conv(spark, sf)
     return U.overview(s)
 
 
 @query("latest_session")
 def latest_session(spark, sf):
+    """SURVEY O3."""
     s, _ = _conv(spark, sf)
     return U.latest_session(s).select("session_id", "project_name",
                                       F.date_format("modified_time", "yyyy-MM-dd HH:mm:ss").alias("modified_time"))
@@ -128,18 +142,21 @@ def latest_session(spark, sf):
 
 @query("find_by_prefix")
 def find_by_prefix(spark, sf):
+    """SURVEY P6."""
     s, _ = _conv(spark, sf)
     return U.find_session(s, "S00000").select("session_id", "project_dir", "file_path")
 
 
 @query("models_used")
 def models_used(spark, sf):
+    """SURVEY A11."""
     _, m = _conv(spark, sf)
     return U.models_used(m).select("session_id", F.array_join("models", ",").alias("models"))
 
 
 @query("iso_week_labels")
 def iso_week_labels(spark, sf):
+    """SURVEY F3."""
     from lumenlog.functions.timefmt import iso_week_label, week_range
     e = T.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"))
     return (e.select(iso_week_label(F.col("ts")).alias("week"), week_range(F.col("ts")).alias("date_range"))
@@ -148,6 +165,7 @@ def iso_week_labels(spark, sf):
 
 @query("project_names")
 def project_names(spark, sf):
+    """SURVEY F2."""
     from lumenlog.functions.project import project_name
     p = T.table(spark, sf, "pages").select("page_id", "url")
     d = F.concat(F.when(F.col("page_id") % 2 == 0, F.lit("-Users-")).otherwise(F.lit("")),
@@ -175,16 +193,19 @@ def _listing(spark, sf, sort, limit=20, model=None):
 
 @query("session_list")
 def session_list(spark, sf):
+    """SURVEY A8 O1 O2 P13 SC11."""
     return _listing(spark, sf, "date")
 
 
 @query("session_list_by_tokens")
 def session_list_by_tokens(spark, sf):
+    """SURVEY A8 O1(tokens) P5."""
     return _listing(spark, sf, "tokens", 15, model="opus")
 
 
 @query("session_span")
 def session_span(spark, sf):
+    """SURVEY A10 SC12."""
     _, m = _conv(spark, sf)
     c = SS.session_context(m)
     return c.select("session_id", F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss").alias("first_ts"),
@@ -193,6 +214,7 @@ def session_span(spark, sf):
 
 @query("session_context")
 def session_context(spark, sf):
+    """SURVEY SC12."""
     _, m = _conv(spark, sf)
     c = SS.session_context(m)
     return c.select("session_id", "cwd", "git_branch", "version")
@@ -200,6 +222,7 @@ def session_context(spark, sf):
 
 @query("head_meta")
 def head_meta(spark, sf):
+    """SURVEY SC11 W11."""
     _, m = _conv(spark, sf)
     h = SS.head_meta(m)
     return h.select("session_id", F.date_format("first_timestamp", "yyyy-MM-dd HH:mm:ss").alias("first_timestamp"),
@@ -217,36 +240,43 @@ def _search(spark, sf, terms, **kw):
 
 @query("search_literal")
 def search_literal(spark, sf):
+    """SURVEY P3 P7 F6."""
     return _search(spark, sf, ["ment"])
 
 
 @query("search_and")
 def search_and(spark, sf):
+    """SURVEY P7 (AND) F6."""
     return _search(spark, sf, ["the", "ion"], context_chars=30)
 
 
 @query("search_regex")
 def search_regex(spark, sf):
+    """SURVEY P7 (regex)."""
     return _search(spark, sf, ["qu[a-z]+e", "[ée]n"], regex=True, context_chars=40)
 
 
 @query("search_case_sensitive")
 def search_case_sensitive(spark, sf):
+    """SURVEY P7 (case)."""
     return _search(spark, sf, ["The"], case_sensitive=True, context_chars=20)
 
 
 @query("search_role")
 def search_role(spark, sf):
+    """SURVEY P3."""
     return _search(spark, sf, ["ung"], roles=["user"])
 
 
 @query("search_model_filter")
 def search_model_filter(spark, sf):
+    """SURVEY P4."""
     return _search(spark, sf, ["the"], model="OPUS", context_chars=25)
 
 
 @query("search_limit")
 def search_limit(spark, sf):
+    """SURVEY W10."""
     s, m = _conv(spark, sf)
     r = S.search(m, ["ent"], context_chars=15)
     return S.limit_in_stream_order(r, s, 25).select(*SEARCH_COLS)
@@ -254,12 +284,14 @@ def search_limit(spark, sf):
 
 @query("search_summary")
 def search_summary(spark, sf):
+    """SURVEY A28."""
     _, m = _conv(spark, sf)
     return S.search_summary(S.search(m, ["with"]))
 
 
 @query("grep_context")
 def grep_context(spark, sf):
+    """SURVEY W8."""
     _, m = _conv(spark, sf)
     return S.grep_context(m, "schk", context=1).select("session_id", "line_no", "pos", "msg_type", "is_match")
 
@@ -274,12 +306,14 @@ FOCUS_HOURS = 96
 
 @query("term_counts")
 def term_counts(spark, sf):
+    """SURVEY A19 F8 F9 P8 J7."""
     _, m = _conv(spark, sf)
     return FO.term_counts(m, user_only=False, stop_en=FOCUS_STOP).select("term", "count")
 
 
 @query("focus_recent")
 def focus_recent(spark, sf):
+    """SURVEY A20 J4 W12 W13."""
     s, m = _conv(spark, sf)
     c = FO.focus_counts(s, m, FOCUS_AS_OF, FOCUS_HOURS, stop_en=FOCUS_STOP)
     return FO.focus_report(c, 20, "recent_count").select("rank", "term", F.col("recent_count").alias("count"), "pct")
@@ -287,6 +321,7 @@ def focus_recent(spark, sf):
 
 @query("focus_baseline")
 def focus_baseline(spark, sf):
+    """SURVEY A19 A20."""
     _, m = _conv(spark, sf)
     c = FO.term_counts(m, stop_en=FOCUS_STOP)
     r = FO.focus_report(c, 20)
@@ -296,6 +331,7 @@ def focus_baseline(spark, sf):
 
 @query("focus_spikes")
 def focus_spikes(spark, sf):
+    """SURVEY A21."""
     s, m = _conv(spark, sf)
     return FO.focus_spikes(s, m, FOCUS_AS_OF, FOCUS_HOURS, 15, stop_en=FOCUS_STOP).select(
         "rank", "term", "recent_count", "count", "uplift")
@@ -309,12 +345,14 @@ DIGEST_SIGNALS = ["tion", "heit", "Because"]
 
 @query("exchange_pairs")
 def exchange_pairs(spark, sf):
+    """SURVEY W4."""
     _, m = _conv(spark, sf)
     return D.pair_exchanges(m).select("session_id", "user_line", "assistant_line")
 
 
 @query("digest_key_exchanges")
 def digest_key_exchanges(spark, sf):
+    """SURVEY W6 P9 P14."""
     _, m = _conv(spark, sf)
     k = D.key_exchanges(D.conversational_pairs(m, signals=DIGEST_SIGNALS), 2)
     return k.select("session_id", F.col("rank").cast("bigint").alias("rank"), "user_line", "user_text",
@@ -323,6 +361,7 @@ def digest_key_exchanges(spark, sf):
 
 @query("digest_tail")
 def digest_tail(spark, sf):
+    """SURVEY W7 J5 U3."""
     _, m = _conv(spark, sf)
     p = D.conversational_pairs(m, signals=DIGEST_SIGNALS)
     t = D.tail_exchanges(p, D.key_exchanges(p, 2), 3)
@@ -332,12 +371,14 @@ def digest_tail(spark, sf):
 
 @query("digest_topic")
 def digest_topic(spark, sf):
+    """SURVEY W5."""
     _, m = _conv(spark, sf)
     return D.digest_topic(m)
 
 
 @query("digest_summary")
 def digest_summary(spark, sf):
+    """SURVEY A29."""
     s, m = _conv(spark, sf)
     d = D.digest_sessions(s, m, tail_n=3, max_key=2, signals=DIGEST_SIGNALS)
     return d.select("session_id", "date", "project", "duration_min", "message_count", "topic",
@@ -366,12 +407,14 @@ def _day_sessions(spark, sf):
 
 @query("tools_used")
 def tools_used(spark, sf):
+    """SURVEY A13 SC13-binding."""
     e = T.event_tool_events(spark, sf)
     return TL.tools_used(e).select("session_id", _tool_str(F.col("tools_used")).alias("tools"))
 
 
 @query("files_touched")
 def files_touched(spark, sf):
+    """SURVEY A14 U2."""
     e = T.event_tool_events(spark, sf)
     s = TL.observation_summary(e)
     return s.select("session_id", F.array_join("files_touched", "|").alias("files"),
@@ -380,6 +423,7 @@ def files_touched(spark, sf):
 
 @query("commands_redacted")
 def commands_redacted(spark, sf):
+    """SURVEY A14 F10."""
     e = T.event_tool_events(spark, sf)
     s = TL.observation_summary(e)
     return s.select("session_id", F.posexplode("commands_run").alias("pos", "command")).select(
@@ -388,6 +432,7 @@ def commands_redacted(spark, sf):
 
 @query("daily_tools")
 def daily_tools(spark, sf):
+    """SURVEY A15."""
     e = T.event_tool_events(spark, sf)
     d = TL.merge_observations_by_day(e, _day_sessions(spark, sf), limits=TL.DISPLAY_LIMITS)
     return d.select("date", _tool_str(F.col("tools_used")).alias("tools"), "n_files",
@@ -398,6 +443,7 @@ def daily_tools(spark, sf):
 
 @query("session_tools_left_join")
 def session_tools_left_join(spark, sf):
+    """SURVEY J1."""
     s, _ = _conv(spark, sf)
     e = T.event_tool_events(spark, sf)
     j = TL.with_observations(s.select("session_id"), TL.observation_summary(e))
@@ -446,6 +492,7 @@ def _fc_str(col):
 
 @query("compiled_sessions")
 def compiled_sessions(spark, sf):
+    """SURVEY A25 A22-A24 P10 P11 F5 F7."""
     c = _compiled(spark, sf)
     return c.select("session_id", "date", "time_range", "project", F.array_join("models", ",").alias("models"),
                     "user_message_count", "assistant_message_count", "cost_usd",
@@ -458,24 +505,28 @@ def compiled_sessions(spark, sf):
 
 @query("entity_hits")
 def entity_hits(spark, sf):
+    """SURVEY J6."""
     _, m = _conv(spark, sf)
     return C.entity_hits(m, BOUND_DICTIONARY).select("session_id", "entity", "hits")
 
 
 @query("entity_links")
 def entity_links(spark, sf):
+    """SURVEY J6 P12."""
     _, m = _conv(spark, sf)
     return C.linked_entities(m, BOUND_DICTIONARY).select("session_id", F.array_join("entities", "|").alias("entities"))
 
 
 @query("session_weight")
 def session_weight(spark, sf):
+    """SURVEY A22 A23."""
     c = _compiled(spark, sf)
     return c.select("session_id", "dev_hits", "strategy_hits", "weight")
 
 
 @query("key_points")
 def key_points(spark, sf):
+    """SURVEY W6 (compile)."""
     _, m = _conv(spark, sf)
     return C.key_points(m, signals=BOUND_SIGNALS).select("session_id", F.col("rank").cast("bigint").alias("rank"),
                                                           "point")
@@ -483,18 +534,21 @@ def key_points(spark, sf):
 
 @query("tail_context")
 def tail_context(spark, sf):
+    """SURVEY W7 (compile)."""
     _, m = _conv(spark, sf)
     return C.tail_context(m).select("session_id", "line_no", "text")
 
 
 @query("file_changes")
 def file_changes(spark, sf):
+    """SURVEY A24."""
     _, m = _conv(spark, sf)
     return C.file_changes(m, pattern=BOUND_FILE_PATTERN).select("session_id", "path", "action", "line_no")
 
 
 @query("daily_digest")
 def daily_digest(spark, sf):
+    """SURVEY A16 W9 U2."""
     d = DY.merge_by_day(_compiled(spark, sf))
     return d.select("date", "session_count", F.array_join("session_ids", ",").alias("session_ids"),
                     "total_user_messages", "total_assistant_messages", "total_cost", "weight",
@@ -506,6 +560,7 @@ def daily_digest(spark, sf):
 
 @query("concept_index")
 def concept_index(spark, sf):
+    """SURVEY A17 O4."""
     ci = DY.concept_index(_compiled(spark, sf))
     return ci.select("concept", "mention_count", "first_seen", "status",
                      F.array_join("sessions_head", ",").alias("sessions_head"),
@@ -514,11 +569,13 @@ def concept_index(spark, sf):
 
 @query("concept_status_counts")
 def concept_status_counts(spark, sf):
+    """SURVEY A18."""
     return DY.status_counts(DY.concept_index(_compiled(spark, sf))).select("status", "count")
 
 
 @query("weight_distribution")
 def weight_distribution(spark, sf):
+    """SURVEY A18."""
     return DY.weight_distribution(_compiled(spark, sf)).select("weight", "count", "pct")
 
 
@@ -585,6 +642,7 @@ def _decoded(spark, sf):
 
 @query("json_roundtrip_messages")
 def json_roundtrip_messages(spark, sf):
+    """SURVEY SC5-SC10 F21."""
     d = _decoded(spark, sf)
     return d.select("session_id", "line_no", "msg_type", "content_text", F.coalesce("model", F.lit("")).alias("model"),
                     "has_usage", *U.TOKEN_COLS, F.array_join("tool_names", ",").alias("tools"))
@@ -592,6 +650,7 @@ def json_roundtrip_messages(spark, sf):
 
 @query("content_blocks")
 def content_blocks(spark, sf):
+    """SURVEY SC7 SC8 SC9."""
     d = _decoded(spark, sf)
     return (d.groupBy("msg_type").agg(
         F.count(F.lit(1)).cast("bigint").alias("messages"),
@@ -630,6 +689,7 @@ def concept_docs(spark, sf):
 
 @query("note_status")
 def note_status(spark, sf):
+    """SURVEY F16-F20."""
     n = document_notes(spark, sf)
     s = NT.note_status(F.col("content"), F.col("mtime"))
     return n.select("doc_id", s["status_date"].cast("string").alias("status_date"), s["summary"].alias("summary"),
@@ -638,6 +698,7 @@ def note_status(spark, sf):
 
 @query("stale_notes")
 def stale_notes(spark, sf):
+    """SURVEY A26 A27 A30 J9 J10 K13."""
     r = NT.sync_notes(document_notes(spark, sf).drop("doc_id"), concept_docs(spark, sf))
     return r.select("concept", "path", F.col("status_date").cast("string").alias("status_date"), "skipped",
                     "skip_reason", F.length("new_doc").cast("bigint").alias("new_doc_len"))
@@ -649,18 +710,21 @@ from lumenlog.plans import export as X  # noqa: E402
 
 @query("export_markdown")
 def export_markdown(spark, sf):
+    """SURVEY K1."""
     s, m = _conv(spark, sf)
     return X.markdown_blocks(s, m).select("doc", "ord", "block")
 
 
 @query("export_json")
 def export_json(spark, sf):
+    """SURVEY K2 F21."""
     s, m = _conv(spark, sf)
     return X.json_blocks(s, m).select("doc", "ord", "block")
 
 
 @query("export_html")
 def export_html(spark, sf):
+    """SURVEY K3 F14."""
     s, m = _conv(spark, sf)
     return X.html_blocks(s, m).select("doc", "ord", "block")
 
@@ -679,6 +743,7 @@ def _days_with_tools(spark, sf):
 
 @query("daily_documents")
 def daily_documents(spark, sf):
+    """SURVEY K4."""
     _, d = _days_with_tools(spark, sf)
     r = DOC.render_daily(d, home="/Users/dev")
     return r.select("path", "content")
@@ -686,16 +751,19 @@ def daily_documents(spark, sf):
 
 @query("session_documents")
 def session_documents(spark, sf):
+    """SURVEY K5."""
     return DOC.render_session(_compiled(spark, sf), home="/Users/dev")
 
 
 @query("concept_documents")
 def concept_documents(spark, sf):
+    """SURVEY K6 F15."""
     return DOC.render_concept(DY.concept_index(_compiled(spark, sf))).select("path", "content")
 
 
 @query("index_document")
 def index_document(spark, sf):
+    """SURVEY K7."""
     c = _compiled(spark, sf)
     ci = DY.concept_index(c)
     return DOC.render_index(c, DY.merge_by_day(c), ci, DY.weight_distribution(c), DY.status_counts(ci),
@@ -704,6 +772,7 @@ def index_document(spark, sf):
 
 @query("digest_documents")
 def digest_documents(spark, sf):
+    """SURVEY K8."""
     s, m = _conv(spark, sf)
     d = D.digest_sessions(s, m, tail_n=3, max_key=2, signals=DIGEST_SIGNALS)
     return DOC.render_digest(d)
@@ -711,6 +780,7 @@ def digest_documents(spark, sf):
 
 @query("focus_document")
 def focus_document(spark, sf):
+    """SURVEY K12."""
     s, m = _conv(spark, sf)
     c = FO.focus_counts(s, m, FOCUS_AS_OF, FOCUS_HOURS, stop_en=FOCUS_STOP)
     recent = FO.focus_report(c, 20, "recent_count").withColumnRenamed("recent_count", "count_r") \
@@ -730,7 +800,7 @@ def focus_document(spark, sf):
 
 @query("publish_protected")
 def publish_protected(spark, sf):
-    """K9 against 'existing' documents derived from the same run: every third day
+    """SURVEY K9 K10 J8. K9 against 'existing' documents derived from the same run: every third day
     document marked protected, every second concept document enriched (stub marker removed)."""
     c, d = _days_with_tools(spark, sf)
     days = DOC.render_daily(d, home="/Users/dev")
@@ -749,12 +819,14 @@ def publish_protected(spark, sf):
 # ---------------------------------------------------------------- volume queries over documents
 @query("search_documents")
 def search_documents(spark, sf):
+    """SURVEY P7 (volume)."""
     m = T.document_messages(spark, sf)
     return S.search(m, ["tion", "the"], context_chars=40).select(*SEARCH_COLS)
 
 
 @query("term_counts_documents")
 def term_counts_documents(spark, sf):
+    """SURVEY A19 (volume)."""
     m = T.document_messages(spark, sf)
     c = FO.term_counts(m, user_only=False, stop_en=FOCUS_STOP)
     return FO.focus_report(c, 50).select("rank", "term", "count", "pct")
@@ -774,6 +846,7 @@ def search_prefiltered(spark, sf):
 
 @query("first_messages")
 def first_messages(spark, sf):
+    """SURVEY O7."""
     _, m = _conv(spark, sf)
     return SS.first_messages(m, 3).select("session_id", "line_no", "msg_type",
                                           F.col("position").cast("bigint").alias("position"))
@@ -781,6 +854,7 @@ def first_messages(spark, sf):
 
 @query("topic_slugs")
 def topic_slugs(spark, sf):
+    """SURVEY F15."""
     from lumenlog.functions.text import topic_slug
     c = _compiled(spark, sf)
     return c.select("session_id", topic_slug(F.col("topic_sentence"), F.col("session_id")).alias("slug"))
