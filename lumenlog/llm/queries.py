@@ -32,9 +32,17 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_docs(spark, sf_dir))
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked at 4 or fewer differing fingerprint bits, and their components."""
+    from lumenlog.llm.simhash import simhash_groups
+
+    return simhash_groups(_docs(spark, sf_dir), width=4, max_bits=4)
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
 ORACLE = {
