@@ -39,10 +39,21 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_docs(spark, sf_dir), width=4, max_bits=4)
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every whole text, and what they decode to."""
+    import public_tokenizers
+
+    from lumenlog.llm.byte_bpe import round_trip
+
+    return round_trip(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                      public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE = {
