@@ -25,6 +25,13 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("_kept", 256).alias("kept_sha256"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in documents, within 10 % edits: one row per document, item and place."""
+    from lumenlog.llm.decontaminate import leaks
+
+    return leaks(_docs(spark, sf_dir).select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id stays."""
     from lumenlog.llm.exact_dedup import exact_dedup
@@ -32,6 +39,19 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_docs(spark, sf_dir))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every whole text, learned from the documents that are not held out."""
+    import public_tokenizers
+
+    from lumenlog.llm.language_id import language_id
+
+    rest = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3, F.lit(1))  # no id: not learned from
+    docs = _docs(spark, sf_dir).select("doc_id", "text", "lang")
+    return language_id(docs, public_tokenizers.path("piece_bpe_32k.model"), train=rest != 1).select(
+        "doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)).alias("held_out"),
+        F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked at 4 or fewer differing fingerprint bits, and their components."""
     from lumenlog.llm.simhash import simhash_groups
@@ -51,7 +71,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_language_id": op7_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
