@@ -243,3 +243,17 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
     return _over(docs, [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")],
                  "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+
+
+def tokens(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids, n_tokens, ids_sha256, round_trip: encode(), checked by decoding: round_trip says whether the decoded
+    bytes are the text's."""
+    def make(b):
+        enc = encoder(ranks_path, pattern)
+        texts = [t or "" for t in b.column(1).to_pylist()]
+        ids = [b"".join(x) for x in enc.encode_batch(texts)]
+        same = [enc.decode(x) == t.encode("utf-8") for x, t in zip(ids, texts)]
+        return (b.column(0), ids, pa.array([len(x) // 4 for x in ids], pa.int64()), [hashlib.sha256(x).hexdigest() for x in ids], same)
+
+    return _over(docs, [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")],
+                 "doc_id long, ids binary, n_tokens long, ids_sha256 string, round_trip boolean", make)

@@ -59,9 +59,9 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col
 def apply_bitmap(text: Column, bitmap: Column) -> Column:
     """The lines that stay, joined by LF; a null bitmap keeps the text."""
     lines = F.split(text, "\n")
-    n_words = F.expr("int(1)") + F.floor((F.size(lines) - 1) / 64).cast("int")
+    last_word = F.floor((F.size(lines) - 1) / 64).cast("int")
     by_word = F.map_from_entries(bitmap)
-    dense = F.transform(F.sequence(F.lit(0), n_words - 1),
+    dense = F.transform(F.sequence(F.lit(0), last_word),
                         lambda w: F.coalesce(F.element_at(by_word, w), F.lit(-1).cast("long")))
     packed = F.transform(F.array(F.struct(lines.alias("l"), dense.alias("d"))), lambda s: F.array_join(
         F.filter(s["l"], lambda _, i: F.expr("1L") == F.call_function(
