@@ -1,23 +1,76 @@
 """Cleaning pipeline for a training corpus: STAGES, applied in order by run().
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes what a stage returns as Parquet
-into the shared folder and hands the re-read table to the next one.
+into the shared folder and hands the re-read table to the next one. All but the last return the columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from lumenlog.llm import byte_bpe, decontaminate, language_id, line_dedup, simhash
+from lumenlog.llm.common import materialize, read_table
 
-#: no stage list can be checked by one SQL statement: tests/llm compares it with a brute-force version
+#: a document is rejected if no language reaches this posterior, or if it has no letter at all
+MIN_LANGUAGE_SCORE = 0.5
+#: rows of whole texts in one Arrow batch: bounds the memory of a Python worker
+ARROW_ROWS = "512"
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: those without a letter, or for which no learned language reaches
+    MIN_LANGUAGE_SCORE, go. Learned from a bounded sample of the labelled rows of ``docs``."""
+    import public_tokenizers
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    scored = language_id.language_id(docs, public_tokenizers.path("piece_bpe_32k.model"), train=F.lit(True))
+    kept = (F.col("_lang_pred") != language_id.UNDETERMINED) & (F.col("_score") >= MIN_LANGUAGE_SCORE)
+    return scored.where(kept).drop("_lang_pred", "_score")
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in at least 10 documents go from all texts; n_chars is that of the text that stays."""
+    out = line_dedup.line_dedup(docs, min_docs=10, min_chars=1)
+    return out.withColumns({"text": F.col("_kept"), "n_chars": F.char_length("_kept").cast("long")}).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    groups = simhash.simhash_groups(docs, width=4, max_bits=4)
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with up to 10 % edits, go."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids (packed token ids), n_tokens, ids_sha256, and whether the decoded ids are the text."""
+    import public_tokenizers
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return byte_bpe.tokens(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("line_dedup", line_stage),
+    ("simhash_near_dedup", near_duplicate_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("byte_bpe", token_stage),
+]
+
+#: language ID, fingerprints and edit matching can't be said in SQL: tests/llm compares run() with a plain version
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    from lumenlog.llm.common import materialize, read_table
-
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
