@@ -59,6 +59,18 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
 
 
+#: the key of the surrogates; production takes it from a secret store
+PII_KEY = "surrogate-key"
+
+
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text with its personal data replaced by surrogates, and the number of entities by kind."""
+    from lumenlog.llm.pii import KINDS, pii_surrogates
+
+    out = pii_surrogates(_docs(spark, sf_dir).select("doc_id", "text"), PII_KEY)
+    return out.select("doc_id", F.col("_clean").alias("text"), *[F.col(f"_n_{k}").alias(f"n_{k}") for k in KINDS])
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked at 4 or fewer differing fingerprint bits, and their components."""
     from lumenlog.llm.simhash import simhash_groups
@@ -82,6 +94,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_language_id": op7_language_id,
+    "op8_pii_surrogates": op8_pii_surrogates,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
