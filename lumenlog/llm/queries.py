@@ -16,6 +16,13 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by a 200-byte string that also starts elsewhere go."""
+    from lumenlog.llm.byte_repeats import remove_repeats
+
+    return remove_repeats(_docs(spark, sf_dir).select("doc_id", "text"), width=200).drop("kept")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines found in at least 10 documents go, everywhere."""
     from lumenlog.llm.line_dedup import line_dedup
@@ -89,6 +96,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
