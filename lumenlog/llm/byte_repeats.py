@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.llm.anchors import runs
-from lumenlog.llm.common import materialize, row_key, whole_text
+from lumenlog.llm.common import groups_by_size, materialize, row_key, sorted_groups, whole_text
 from lumenlog.llm.suffix_array import suffix_array
 
 WIDTH = 200
@@ -121,67 +121,33 @@ def _windows(contexts: DataFrame, width: int, prefix: int) -> DataFrame:
 
 
 def _solve(groups: DataFrame, width: int) -> DataFrame:
-    """(h, c, at, len, bits) over groups (h, g): rows of a partition sorted by (h, g), a group at a time."""
+    """(h, c, at, len, bits): the repeated windows of the contexts in groups (h, g)."""
     def solve(rows):
         distinct: dict[bytes, int] = {}
         for x, many in zip(rows[2], rows[3]):
             distinct[x] = distinct.get(x, 0) + many
         flags = dict(zip(distinct, repeated_windows(list(distinct.items()), width)))
-        return [flags[x] for x in rows[2]]
+        return [(h, c, at, flags[x]) for h, c, x, at in zip(rows[0], rows[1], rows[2], rows[4])]
 
     def emit(done):
         h, c, at, flags = (list(x) for x in zip(*done))
         return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(at, pa.int32()), pa.array(
             [len(f) for f in flags], pa.int32()), pa.array([bits(f) for f in flags], pa.binary())], names=["h", "c", "at", "len", "bits"])
 
-    def run(batches):
-        held, key, done = [[] for _ in range(6)], None, []
-
-        def close():
-            done.extend(zip(held[0], held[1], held[4], solve(held)))
-            for col in held:
-                col.clear()
-        for b in batches:
-            for row in zip(*(col.to_pylist() for col in b.columns)):
-                if (row[0], row[5]) != key:
-                    if key is not None:
-                        close()
-                    key = (row[0], row[5])
-                    if len(done) > 10_000:
-                        yield emit(done)
-                        done.clear()
-                for col, v in zip(held, row):
-                    col.append(v)
-        if key is not None:
-            close()
-        if done:
-            yield emit(done)
-
-    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cols = ["h", "c", "ctx", "many", "at", "g"]
-    return groups.select(*cols).repartition(n, "h", "g").sortWithinPartitions("h", "g").mapInArrow(
-        run, "h long, c long, at int, len int, bits binary")
-
-
-def _by_size(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of groups (h, g) up to ``limit`` rows, and those of larger ones (None: there are none)."""
-    hot = materialize(rows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > limit).select("h", "g"), "hot")
-    if hot.isEmpty():
-        return rows, None
-    return rows.join(hot, ["h", "g"], "left_anti"), rows.join(hot, ["h", "g"], "left_semi")
+    return sorted_groups(groups.select("h", "c", "ctx", "many", "at", "g"), solve, emit, "h long, c long, at int, len int, bits binary")
 
 
 def solve_contexts(contexts: DataFrame, width: int, group_limit: int) -> DataFrame:
     """(h, c, at, len, bits) for all contexts (h, c, ctx, many): small anchors whole, the windows of others by a prefix, and
     the windows of prefixes that are too frequent by themselves."""
-    whole, hot = _by_size(contexts.withColumns({"at": F.lit(0), "g": F.lit(0).cast("long")}), group_limit)
+    whole, hot = groups_by_size(contexts.withColumns({"at": F.lit(0), "g": F.lit(0).cast("long")}), group_limit)
     out = _solve(whole, width)
     if hot is None:
         return out
     windows = materialize(_windows(hot.select("h", "c", "ctx", "many", "at"), width, width * 6 // 10), "windows")
     total = windows.groupBy("h", "g", "ctx").agg(F.sum("many").alias("total"))  # combined before the shuffle
     windows = windows.join(total, ["h", "g", "ctx"]).select("h", "c", "ctx", F.col("total").alias("many"), "at", "g")
-    some, rest = _by_size(windows, group_limit)
+    some, rest = groups_by_size(windows, group_limit)
     out = out.union(_solve(some, width))
     if rest is None:
         return out

@@ -36,6 +36,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def groups_by_size(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the groups (h, g) of up to ``limit`` rows, and those of larger ones (None: there are none)."""
+    hot = materialize(rows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > limit).select("h", "g"), "hot")
+    if hot.isEmpty():
+        return rows, None
+    return rows.join(hot, ["h", "g"], "left_anti"), rows.join(hot, ["h", "g"], "left_semi")
+
+
+def sorted_groups(rows: DataFrame, solve, emit, schema: str) -> DataFrame:
+    """``solve`` over each group (h, g) of ``rows`` (h first, g last): it gets the group's columns as lists and returns tuples, which
+    ``emit`` turns into record batches. Groups are of bounded size; a task reads its sorted partition as a stream."""
+    def run(batches):
+        held, key, done = None, None, []
+        for b in batches:
+            for row in zip(*(col.to_pylist() for col in b.columns)):
+                if (row[0], row[-1]) != key:
+                    if key is not None:
+                        done.extend(solve(held))
+                    key, held = (row[0], row[-1]), [[] for _ in row]
+                    if len(done) > 10_000:
+                        yield emit(done)
+                        done = []
+                for col, v in zip(held, row):
+                    col.append(v)
+        if key is not None:
+            done.extend(solve(held))
+        if done:
+            yield emit(done)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "h", "g").sortWithinPartitions("h", "g").mapInArrow(run, schema)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable over ``edges`` (a, b: long), for every node of an edge.
 

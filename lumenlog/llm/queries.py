@@ -32,6 +32,13 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("_kept", 256).alias("kept_sha256"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words covered by a 13-word window that an earlier document has go."""
+    from lumenlog.llm.word_repeats import remove_repeats
+
+    return remove_repeats(_docs(spark, sf_dir).select("doc_id", "text"), width=13).drop("kept")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items in documents, within 10 % edits: one row per document, item and place."""
     from lumenlog.llm.decontaminate import leaks
@@ -98,6 +105,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_line_dedup": op2_line_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_secret_scan": op6_secret_scan,
