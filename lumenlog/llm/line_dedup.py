@@ -47,7 +47,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col
     first = (salted.select("k", "salt", F.expr("struct(_id, _th)").alias("d"),
                            F.lag(F.expr("struct(_id, _th)")).over(w).alias("before"))
              .where("before IS NULL OR d <> before"))
-    frequent = first.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("k")
+    # written, so that both sides of the next join are plain exchanges and a hot key can be split there
+    frequent = materialize(first.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("k"), "frequent")
     # a document given twice has its positions twice: distinct by (document, position)
     words = (rows.join(frequent, "k").select("_id", "_th", "pos").distinct()
              .groupBy("_id", "_th", F.expr("pos div 64").cast("int").alias("word"))
