@@ -208,5 +208,6 @@ def simhash_groups(docs: DataFrame, width: int = 4, max_bits: int = 4, group_lim
     roots = connected_components(fingerprint_links(fps.select("fp").distinct(), max_bits, group_limit))
     of = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "doc_id", "fp", F.coalesce("root", "fp").alias("root"))
-    first = of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # written, so that both sides of the next join are plain exchanges and a large component can be split there
+    first = materialize(of.groupBy("root").agg(F.min("doc_id").alias("component_id")), "first")
     return of.join(first, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
