@@ -82,7 +82,8 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     maps = keep_bitmaps(docs, min_docs, min_chars, id_col, text_col)
     left = docs.select(F.struct("*").alias("_row"), *row_key(id_col, text_col))
     text = whole_text("_text")
-    return (left.join(maps, ["_id", "_th"], "left").withColumn("_text", F.col("_row")[text_col])
-            .select("_row.*", F.size(F.split(text, "\n")).cast("long").alias("_n_lines"),
-                    F.coalesce("n_dropped", F.lit(0)).cast("long").alias("_n_dropped"),
-                    F.col("bitmap").alias("_bitmap"), apply_bitmap(text, F.col("bitmap")).alias("_kept")))
+    out = left.join(maps, ["_id", "_th"], "left").withColumn("_text", F.col("_row")[text_col]).select(
+        "_row", F.size(F.split(text, "\n")).cast("long").alias("_n_lines"),
+        F.coalesce("n_dropped", F.lit(0)).cast("long").alias("_n_dropped"),
+        F.col("bitmap").alias("_bitmap"), apply_bitmap(text, F.col("bitmap")).alias("_kept"))
+    return out.select("_row.*", "_n_lines", "_n_dropped", "_bitmap", "_kept")

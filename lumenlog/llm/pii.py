@@ -184,4 +184,5 @@ def pii_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     def count(name):
         return F.size(F.filter(kinds, lambda k: k == name)).cast("long").alias(f"_n_{name}")
     counts = [count(name) for name in KINDS]
-    return rows.select("_row.*", clean.alias("_clean"), *counts)
+    rows = rows.select("_row", clean.alias("_clean"), *counts)
+    return rows.select("_row.*", "_clean", *[f"_n_{name}" for name in KINDS])
