@@ -46,13 +46,17 @@ def price_index(model: Column, prices=None, fallback: str = FALLBACK_MODEL) -> C
     return expr.otherwise(F.lit(fb))
 
 
+def _lit(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def price_index_sql(m: str, prices=None, fallback: str = FALLBACK_MODEL) -> str:
     """``price_index`` as a SQL expression over the SQL expression ``m``."""
     keys = [t[0] for t in _table(prices)]
     fb = keys.index(fallback) + 1 if fallback in keys else 1
     parts = [f"WHEN {m} IS NULL OR {m} = '' THEN {fb}"]
-    parts += [f"WHEN {m} = '{k}' THEN {i}" for i, k in enumerate(keys, 1)]
-    parts += [f"WHEN contains(lower({m}), '{k}') OR contains('{k}', lower({m})) THEN {i}" for i, k in enumerate(keys, 1)]
+    parts += [f"WHEN {m} = {_lit(k)} THEN {i}" for i, k in enumerate(keys, 1)]
+    parts += [f"WHEN contains(lower({m}), {_lit(k)}) OR contains({_lit(k)}, lower({m})) THEN {i}" for i, k in enumerate(keys, 1)]
     return "CASE " + " ".join(parts) + f" ELSE {fb} END"
 
 
@@ -94,6 +98,20 @@ def sum_units(units: Column) -> Column:
     return F.sum(units.cast("decimal(38,0)"))
 
 
+def usd_text(units: Column, decimals: int) -> Column:
+    """Exact cost units (1e-10 USD, not negative) as 'd.dd' with ``decimals`` places, rounded half-even.
+    Decimal arithmetic only; every quotient is an exact integer, so nothing is rounded twice."""
+    def whole(x, k):  # x div 10^k
+        unit = F.lit(10 ** k).cast("decimal(20,0)")
+        return ((x - x % unit) / unit).cast("decimal(38,0)")
+    drop = 10 - decimals
+    u, half = units.cast("decimal(38,0)"), F.lit(5 * 10 ** (drop - 1)).cast("decimal(20,0)")
+    q, r = whole(u, drop), u % F.lit(10 ** drop).cast("decimal(20,0)")
+    q = F.when((r > half) | ((r == half) & (q % 2 == 1)), q + 1).otherwise(q).cast("decimal(38,0)")
+    return F.concat(whole(q, decimals).cast("string"), F.lit("."),
+                    F.lpad((q % F.lit(10 ** decimals).cast("decimal(20,0)")).cast("string"), decimals, "0"))
+
+
 def units_to_usd(units: Column) -> Column:
     return F.coalesce(units, F.lit(0)).cast("double") / F.lit(float(USD_UNITS))
 
@@ -102,9 +120,3 @@ def compute_cost_usd(model: Column, i: Column, o: Column, cw: Column, cr: Column
     """F1 for a single record, in USD (DOUBLE)."""
     return units_to_usd(cost_units(model, i, o, cw, cr, prices))
 
-
-def price_table_df(spark, prices=None):
-    """The price table as a DataFrame (ord, model_key, rates in USD/MTok)."""
-    rows = [(i, k, *map(float, rates)) for i, (k, *rates) in enumerate(prices or PRICE_TABLE, 1)]
-    return spark.createDataFrame(rows, "ord int, model_key string, input_mtok double, output_mtok double, "
-                                       "cache_write_mtok double, cache_read_mtok double")

@@ -175,18 +175,44 @@ def snippet(text: Column, pattern: str, ctx: int) -> Column:
     return snippet_from_parts(text, pre, hit, ctx)
 
 
-def term_pattern(term: str, regex: bool = False, case_sensitive: bool = False) -> str:
-    """One search term as a Java regex (literal unless ``regex``)."""
-    body = term if regex else regex_escape(term)
-    return body if case_sensitive else "(?iu)" + body
-
-
-def python_regex_ok(pattern: str) -> bool:
+def java_regex(pattern: str, groups_before: int = 0) -> str:
+    """A Python regex in Java's syntax, for use inside ``(?dU:...)``: named groups and references to them, numbered
+    references (moved by ``groups_before``), ``\\Z``, comments, and brackets or ``&&`` inside a class. Raises ValueError for
+    an invalid pattern and for syntax Java has no equivalent of."""
     try:
-        re.compile(pattern)
-        return True
-    except re.error:
-        return False
+        names = re.compile(pattern).groupindex
+    except re.error as e:
+        raise ValueError(f"invalid regular expression {pattern!r}: {e}") from e
+    out, i, n = [], 0, len(pattern)
+    while i < n:
+        rest = pattern[i:]
+        if m := re.match(r"\\([1-9][0-9]?)", rest):
+            out.append(f"(?:\\{int(m[1]) + groups_before})")  # the group ends the number
+        elif m := re.match(r"\\Z", rest):
+            out.append(r"\z")
+        elif m := re.match(r"\\.", rest, re.S):
+            out.append(m[0])
+        elif m := re.match(r"\(\?P<(\w+)>", rest):
+            out.append("(")
+        elif m := re.match(r"\(\?P=(\w+)\)", rest):
+            out.append(f"(?:\\{names[m[1]] + groups_before})")
+        elif m := re.match(r"\(\?#[^)]*\)", rest):
+            pass
+        elif re.match(r"\(\?\(|\(\?[a-zA-Z]*[aL]", rest):
+            raise ValueError(f"not supported in a search pattern: {rest[:8]!r} in {pattern!r}")
+        elif m := re.match(r"\(\?([imsux]+)(-[imsx]+)?([:)])", rest):
+            flags = m[1].replace("u", "")
+            out.append(f"(?{flags}{m[2] or ''}{m[3]}" if flags or m[2] or m[3] == ":" else "")
+        elif m := re.match(r"\[\^?\]?(?:\\.|[^\]\\])*\]", rest, re.S):
+            body = m[0][1:-1]
+            neg, body = body[:1] == "^", body.removeprefix("^")
+            body = re.sub(r"\\.|\[|\]|&&", lambda x: x[0] if x[0][0] == "\\" else "".join("\\" + c for c in x[0]), body, flags=re.S)
+            out.append(f"[{'^' if neg else ''}{body}]")
+        else:
+            m = re.match(".", rest, re.S)
+            out.append(m[0])
+        i += m.end()
+    return "".join(out)
 
 
 _UNSAFE_FILE = r'[<>:"|?*]'

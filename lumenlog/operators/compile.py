@@ -281,7 +281,12 @@ def compile_sessions(sessions: DataFrame, messages: DataFrame, dictionary: Seque
                      key: str = "session_id", signals: Iterable[str] | None = None,
                      dev_pattern: str = DEV_SIGNAL_PATTERN, strategy_pattern: str = STRATEGY_SIGNAL_PATTERN,
                      file_pattern: str = FILE_CHANGE_PATTERN, prices=None) -> DataFrame:
-    """One row per session with the compiled summary (see FIXTURES section 5).
+    """One row per session with the compiled summary (see FIXTURES section 5), in compile order by
+    ``session_ord`` (O4: file time, then id).
+
+    ``key`` is unique per session file (``file_path`` of ingested logs: two projects can hold the same id); ids and titles
+    always come from ``sessions.session_id``. Give all decoded ``lines`` as ``messages``: a session's span and date
+    count its non-message lines too.
 
     Plan shape: one per-session aggregate (``session_facts``), one chunked
     pass for all joined-text regex counts, two bounded first/last-N windows
@@ -310,7 +315,7 @@ def compile_sessions(sessions: DataFrame, messages: DataFrame, dictionary: Seque
 
     empty_s = F.array().cast("array<string>")
     empty_fc = F.array().cast("array<struct<path:string,action:string>>")
-    j = sessions.select(key, "project_name", "modified_time")
+    j = sessions.select(key, F.col("session_id").alias("_sid"), "project_name", "modified_time")
     for part in (facts, kp, tl, fcl, ws):
         j = j.join(part, key, "left")
     nfiles = F.size(F.coalesce(F.col("file_changes"), empty_fc))
@@ -320,8 +325,10 @@ def compile_sessions(sessions: DataFrame, messages: DataFrame, dictionary: Seque
     ents_col = F.coalesce(F.col("entities"), empty_s)
     cost = F.coalesce("cost_units", F.lit(0).cast("decimal(38,0)"))
     return j.select(
-        F.substring(F.col(key), 1, 8).alias("session_id"),
-        F.col(key).alias("full_session_id"),
+        F.substring("_sid", 1, 8).alias("session_id"),
+        F.col("_sid").alias("full_session_id"),
+        F.col(key).alias("session_key"),
+        F.struct(F.unix_micros("modified_time").alias("t"), F.col("_sid").alias("id"), F.col(key).alias("key")).alias("session_ord"),
         day_string(F.col("first_ts")).alias("date"),
         F.when(F.col("first_ts").isNotNull() & F.col("last_ts").isNotNull(),
                F.concat(hhmm(F.col("first_ts")), F.lit(" - "), hhmm(F.col("last_ts")))).otherwise(F.lit(""))
@@ -332,7 +339,7 @@ def compile_sessions(sessions: DataFrame, messages: DataFrame, dictionary: Seque
         F.coalesce("assistant_message_count", F.lit(0)).cast("bigint").alias("assistant_message_count"),
         cost.alias("cost_units"), units_to_usd(cost).alias("cost_usd"),
         ents_col.alias("entities"),
-        F.coalesce(F.col("topic"), F.concat(F.lit("session-"), F.substring(F.col(key), 1, 8))).alias("topic_sentence"),
+        F.coalesce(F.col("topic"), F.concat(F.lit("session-"), F.substring("_sid", 1, 8))).alias("topic_sentence"),
         F.coalesce("key_points", empty_s).alias("key_points"),
         F.coalesce("tail_context", empty_s).alias("tail_context"),
         F.coalesce("file_changes", empty_fc).alias("file_changes"),

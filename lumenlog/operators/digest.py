@@ -43,13 +43,20 @@ def is_conversational(u, a, prefixes: Iterable[str] = DIGEST_TOOL_PREFIXES,
 def conversational_pairs(messages: DataFrame, key: str = "session_id", signals: Iterable[str] | None = None,
                          prefixes: Iterable[str] = DIGEST_TOOL_PREFIXES) -> DataFrame:
     """Pairs passing P9, with truncated texts and the P14 signal flag."""
-    p = pair_exchanges(messages, key)
-    u, a = strip_ws(F.col("user_text_raw")), strip_ws(F.col("assistant_text_raw"))
-    p = p.withColumn("_u", u).withColumn("_a", a)
-    return p.where(is_conversational(F.col("_u"), F.col("_a"), prefixes)).select(
-        key, "user_line", "assistant_line",
-        truncate_ws(F.col("_u"), 160).alias("user_text"), truncate_ws(F.col("_a"), 200).alias("assistant_text"),
-        (has_signal(F.col("_u"), signals) | has_signal(F.col("_a"), signals)).alias("has_signal"))
+    # lengths, flags and the short cuts are made in the scan; only they take part in the pairing exchange
+    is_user = F.col("msg_type") == "user"
+    ua = messages.where(F.col("msg_type").isin("user", "assistant")).select(
+        key, "line_no", is_user.alias("is_user"), strip_ws(F.col("content_text")).alias("_s")).select(
+        key, "line_no", "is_user", F.length("_s").alias("len"), has_signal(F.col("_s"), signals).alias("sig"),
+        starts_with_any(F.col("_s"), prefixes).alias("noise"),
+        F.when(F.col("is_user"), truncate_ws(F.col("_s"), 160)).otherwise(truncate_ws(F.col("_s"), 200)).alias("cut"))
+    p = next_row(ua, [key], "line_no", ["is_user", "line_no", "len", "sig", "cut"], "_nx")
+    kept = (F.col("is_user") & ~F.col("_nx.is_user") & (F.col("len") >= DIGEST_MIN_USER)
+            & (F.col("_nx.len") >= DIGEST_MIN_ASSISTANT) & ~F.col("noise"))
+    return p.where(kept).select(
+        key, F.col("line_no").alias("user_line"), F.col("_nx.line_no").alias("assistant_line"),
+        F.col("cut").alias("user_text"), F.col("_nx.cut").alias("assistant_text"),
+        (F.col("sig") | F.col("_nx.sig")).alias("has_signal"))
 
 
 def key_exchanges(pairs: DataFrame, max_key: int = 8, key: str = "session_id") -> DataFrame:
@@ -75,11 +82,14 @@ def digest_topic(messages: DataFrame, key: str = "session_id", min_len: int = 10
         F.min_by(truncate_ws(F.col("_s"), cut), F.when(F.length("_s") > min_len, F.col("line_no"))).alias("topic"))
 
 
-def digest_sessions(sessions: DataFrame, messages: DataFrame, tail_n: int = 3, max_key: int = 8,
+def digest_sessions(sessions: DataFrame, lines: DataFrame, tail_n: int = 3, max_key: int = 8,
                     key: str = "session_id", signals: Iterable[str] | None = None) -> DataFrame:
     """One row per session: date, project, duration (minutes, null if 0),
-    user+assistant count, topic, key exchanges and tail exchanges (arrays)."""
-    pairs = conversational_pairs(messages, key, signals)
+    user+assistant count, topic, key exchanges and tail exchanges (arrays).
+
+    ``lines``: all decoded lines, since span and date count non-message lines too. The id is ``sessions.session_id``,
+    whatever the ``key``."""
+    pairs = conversational_pairs(lines, key, signals)
     keys = key_exchanges(pairs, max_key, key)
     tail = tail_exchanges(pairs, keys, tail_n, key)
 
@@ -90,15 +100,15 @@ def digest_sessions(sessions: DataFrame, messages: DataFrame, tail_n: int = 3, m
             .alias(name))
 
     st = strip_ws(F.col("content_text"))
-    ctx = session_context(messages, key, extra={
+    ctx = session_context(lines, key, extra={
         "message_count": F.sum(F.when(F.col("msg_type").isin("user", "assistant"), 1).otherwise(0)).cast("bigint"),
         "topic": F.min_by(truncate_ws(st, 120), F.when((F.col("msg_type") == "user") & (F.length(st) > 10),
                                                        F.col("line_no")))})
     empty = F.array().cast("array<struct<user_text:string,assistant_text:string>>")
-    return (sessions.select(key, "project_name", "modified_time")
+    return (sessions.select(key, *(["session_id"] if key != "session_id" else []), "project_name", "modified_time")
             .join(ctx, key, "left")
             .join(packed(keys, "key_exchanges"), key, "left").join(packed(tail, "tail_exchanges"), key, "left")
-            .select(key, day_string(F.col("first_ts")).alias("date"),
+            .select(key, *(["session_id"] if key != "session_id" else []), day_string(F.col("first_ts")).alias("date"),
                     display_project(F.col("cwd"), F.col("project_name")).alias("project"),
                     F.when(F.col("duration_seconds") != 0, F.col("duration_seconds") / 60).alias("duration_min"),
                     F.coalesce("message_count", F.lit(0)).cast("bigint").alias("message_count"),
@@ -110,4 +120,4 @@ def digest_sessions(sessions: DataFrame, messages: DataFrame, tail_n: int = 3, m
 
 def digest_batch_order(digests: DataFrame) -> DataFrame:
     """Digests of a batch, newest file time first (session id breaks ties)."""
-    return digests.orderBy(F.desc("modified_time"), F.asc(digests.columns[0]))
+    return digests.orderBy(F.desc("modified_time"), F.asc("session_id"))

@@ -178,8 +178,8 @@ def append_evolution(doc: Column, day: Column, summary: Column, heading: str = T
 
 
 def latest_note(notes: DataFrame) -> DataFrame:
-    """Per concept the note with the newest file time."""
-    return notes.groupBy("concept").agg(F.max_by(F.struct(*notes.columns), F.col("mtime")).alias("n")).select("n.*")
+    """Per concept the note with the newest file time (of equal ones the last path)."""
+    return notes.groupBy("concept").agg(F.max_by(F.struct(*notes.columns), F.struct("mtime", "path")).alias("n")).select("n.*")
 
 
 def sync_notes(notes: DataFrame, concept_docs: DataFrame) -> DataFrame:

@@ -12,17 +12,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.functions.text import regex_escape, snippet_from_parts, snippet_parts
+from lumenlog.functions.text import java_regex, regex_escape, snippet_from_parts, snippet_parts
 from lumenlog.operators.sequence import dense_position
 
 DEFAULT_ROLES = ("user", "assistant")
 
 
-def term_regex(term: str, regex: bool = False, case_sensitive: bool = False) -> str:
-    """One term as a Java regex; literal unless ``regex``; Unicode case folding."""
-    body = term if regex else regex_escape(term)
-    if regex:
-        body = f"(?d:{body})"  # '.' stops at '\n' only, as in Python
+def term_regex(term: str, regex: bool = False, case_sensitive: bool = False, groups_before: int = 0) -> str:
+    """One term as a Java regex; literal unless ``regex`` (Python syntax, see ``java_regex``); Unicode case folding.
+    ``groups_before``: capture groups that stand before it where it is built into a larger pattern."""
+    # d: '.' stops at '\n' only; U: \w, \d, \s, \b are Unicode - both as in Python
+    body = f"(?dU:{java_regex(term, groups_before)})" if regex else regex_escape(term)
     return body if case_sensitive else f"(?iu:{body})"
 
 
@@ -54,25 +54,25 @@ def search(messages: DataFrame, terms: Sequence[str], regex: bool = False, case_
     if not terms:
         raise ValueError("at least one search term is required")
     m = match_all(filter_model_search(filter_role(messages, roles), model), terms, regex, case_sensitive)
-    pre, hit = snippet_parts(F.col("content_text"), term_regex(terms[0], regex, case_sensitive))
+    pre, hit = snippet_parts(F.col("content_text"), term_regex(terms[0], regex, case_sensitive, 2))
     m = m.withColumns({"_pre": pre, "_hit": hit})  # each regex once per row
     s = snippet_from_parts(F.col("content_text"), F.col("_pre"), F.col("_hit"), context_chars)
     return m.withColumn("_snip", s).select("*", "_snip.*").drop("_snip", "_pre", "_hit")
 
 
 def limit_in_stream_order(results: DataFrame, sessions: DataFrame, limit: int, key: str = "session_id") -> DataFrame:
-    """The first ``limit`` matches in discovery order (project dir, session, line)."""
+    """The first ``limit`` matches in discovery order (project dir, session, line); ``key`` is unique per session."""
     order = sessions.select(key, "project_dir", "project_name")
     return (results.join(order, key, "inner")
                    .orderBy("project_dir", key, "line_no").limit(limit))
 
 
 def search_summary(results: DataFrame, key: str = "session_id") -> DataFrame:
-    """Matches per session plus the overall totals (windows on reduced rows)."""
+    """Matches per session plus the overall totals, both sums over the per-session rows."""
     per = results.groupBy(key).agg(F.count(F.lit(1)).cast("bigint").alias("matches"),
                                    F.min("line_no").alias("first_line"))
-    return (per.withColumn("total_matches", results.select(F.count(F.lit(1)).cast("bigint")).scalar())
-               .withColumn("matched_sessions", results.select(F.count_distinct(key).cast("bigint")).scalar()))
+    return (per.withColumn("total_matches", F.coalesce(per.select(F.sum("matches").cast("bigint")).scalar(), F.lit(0)))
+               .withColumn("matched_sessions", per.select(F.count(F.lit(1)).cast("bigint")).scalar()))
 
 
 def grep_context(messages: DataFrame, term: str, context: int = 1, key: str = "session_id") -> DataFrame:

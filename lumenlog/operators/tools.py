@@ -8,7 +8,7 @@ aggregates; only distinct values per session/day reach the final collect.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions.fixed_values import FILE_TOOLS
@@ -76,6 +76,21 @@ def with_observations(compiled: DataFrame, summary: DataFrame, key: str = "sessi
     return compiled.join(summary, key, "left")
 
 
+def day_items(events: DataFrame, day_sessions: DataFrame, key: str = "session_id") -> DataFrame:
+    """A15, the complete lists in long form: (date, kind, ord, item), every distinct file, command and web item of a
+    day, numbered by first appearance (session order, then event order). One row per item, so a day of any size fits;
+    the numbers come from a count per (date, kind, session) and positions inside a session."""
+    ds = day_sessions.select(key, "date", "session_ord")
+    first = (activity_items(events, key).join(ds, key).groupBy("date", "kind", "item")
+             .agg(F.min(F.struct("session_ord", *ORDER)).alias("f")).select("date", "kind", "item", "f.*"))
+    per = first.groupBy("date", "kind", "session_ord").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("date", "kind").orderBy("session_ord").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("date", "kind", "session_ord", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("date", "kind", "session_ord").orderBy(*ORDER, "item"))
+    return (first.withColumn("i", inside).join(per, ["date", "kind", "session_ord"])
+            .select("date", "kind", (F.col("base") + F.col("i")).cast("bigint").alias("ord"), "item"))
+
+
 DISPLAY_LIMITS = {"file": 20, "command": 10, "web": 5}
 
 

@@ -7,7 +7,7 @@ The per-session result is tiny compared to ``messages``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.functions.pricing import cost_units_sql, sum_units, units_to_usd
@@ -114,11 +114,10 @@ def top_groups(groups: DataFrame, n: int) -> DataFrame:
 def usage_share(groups: DataFrame, subscription_usd: float = 100.0) -> DataFrame:
     """A5: share of total cost, fraction of the largest group, subscription multiple.
 
-    The window without partition runs on already reduced rows (one per group).
+    Total and maximum are scalar subqueries over the groups.
     """
-    w = Window.partitionBy()
-    total = F.sum("cost_units").over(w)
-    mx = F.max("cost_units").over(w)
+    total = groups.select(F.sum("cost_units")).scalar()
+    mx = groups.select(F.max("cost_units")).scalar()
     return (groups
             .withColumn("share", F.when(total > 0, F.col("cost_units").cast("double") / total.cast("double"))
                         .otherwise(F.lit(0.0)))

@@ -441,6 +441,12 @@ def daily_tools(spark, sf):
                     F.array_join(F.slice("web_fetched", 1, 5), "|").alias("web_head"))
 
 
+@query("daily_items")
+def daily_items(spark, sf):
+    """SURVEY A15 (complete lists, long form)."""
+    return TL.day_items(T.event_tool_events(spark, sf), _day_sessions(spark, sf))
+
+
 @query("session_tools_left_join")
 def session_tools_left_join(spark, sf):
     """SURVEY J1."""
@@ -471,19 +477,14 @@ BOUND_STRATEGY = "heit|qu.{0,3}e"
 BOUND_FILE_PATTERN = r"([A-Za-z]+tion)"
 
 
-def _compiled(spark, sf):
-    """Compiled sessions, checkpointed: one row per session feeds several roll-ups
-    (days, concepts, documents), so it is computed once and its lineage cut
-    (reliable checkpoint in the shared checkpoint folder)."""
-    from lumenlog.session import checkpoint_dir
+def _compiled(spark, sf, reused=False):
+    """Compiled sessions; ``reused``: as a table (one row per session), for queries that read them more than once."""
+    from lumenlog.sources.jsonl import materialize
 
     s, m = _conv(spark, sf)
     c = C.compile_sessions(s, m, BOUND_DICTIONARY, signals=BOUND_SIGNALS, dev_pattern=BOUND_DEV,
                            strategy_pattern=BOUND_STRATEGY, file_pattern=BOUND_FILE_PATTERN)
-    c = c.withColumn("session_ord", F.struct(F.unix_micros("modified_time").alias("t"),
-                                             F.col("full_session_id").alias("id")))
-    checkpoint_dir(spark)
-    return c.checkpoint(eager=True)
+    return materialize(c, "compiled") if reused else c
 
 
 def _fc_str(col):
@@ -549,7 +550,7 @@ def file_changes(spark, sf):
 @query("daily_digest")
 def daily_digest(spark, sf):
     """SURVEY A16 W9 U2."""
-    d = DY.merge_by_day(_compiled(spark, sf))
+    d = DY.merge_by_day(_compiled(spark, sf, reused=True))
     return d.select("date", "session_count", F.array_join("session_ids", ",").alias("session_ids"),
                     "total_user_messages", "total_assistant_messages", "total_cost", "weight",
                     F.array_join("entities", "|").alias("entities"),
@@ -561,7 +562,7 @@ def daily_digest(spark, sf):
 @query("concept_index")
 def concept_index(spark, sf):
     """SURVEY A17 O4."""
-    ci = DY.concept_index(_compiled(spark, sf))
+    ci = DY.concept_index(_compiled(spark, sf, reused=True))
     return ci.select("concept", "mention_count", "first_seen", "status",
                      F.array_join("sessions_head", ",").alias("sessions_head"),
                      F.array_join("dates", ",").alias("dates"))
@@ -570,7 +571,7 @@ def concept_index(spark, sf):
 @query("concept_status_counts")
 def concept_status_counts(spark, sf):
     """SURVEY A18."""
-    return DY.status_counts(DY.concept_index(_compiled(spark, sf))).select("status", "count")
+    return DY.status_counts(DY.concept_index(_compiled(spark, sf, reused=True))).select("status", "count")
 
 
 @query("weight_distribution")
@@ -734,7 +735,7 @@ from lumenlog.plans import documents as DOC  # noqa: E402
 
 
 def _days_with_tools(spark, sf):
-    c = _compiled(spark, sf)
+    c = _compiled(spark, sf, reused=True)
     d = DY.merge_by_day(c)
     obs = TL.merge_observations_by_day(T.event_tool_events(spark, sf), c.select(
         F.col("full_session_id").alias("session_id"), "date", "session_ord"), limits=TL.DISPLAY_LIMITS)
@@ -758,13 +759,13 @@ def session_documents(spark, sf):
 @query("concept_documents")
 def concept_documents(spark, sf):
     """SURVEY K6 F15."""
-    return DOC.render_concept(DY.concept_index(_compiled(spark, sf))).select("path", "content")
+    return DOC.render_concept(DY.concept_index(_compiled(spark, sf, reused=True))).select("path", "content")
 
 
 @query("index_document")
 def index_document(spark, sf):
     """SURVEY K7."""
-    c = _compiled(spark, sf)
+    c = _compiled(spark, sf, reused=True)
     ci = DY.concept_index(c)
     return DOC.render_index(c, DY.merge_by_day(c), ci, DY.weight_distribution(c), DY.status_counts(ci),
                             "2024-02-01").select("doc", "ord", "block")
@@ -858,3 +859,67 @@ def topic_slugs(spark, sf):
     from lumenlog.functions.text import topic_slug
     c = _compiled(spark, sf)
     return c.select("session_id", topic_slug(F.col("topic_sentence"), F.col("session_id")).alias("slug"))
+
+
+# ---------------------------------------------------------------- reports on decoded logs: ids repeat in two projects
+def _two_projects(spark, sf):
+    """(sessions, lines) decoded from log lines: every session id occurs in two projects, and each file ends with a
+    non-message line one day after its first message. The key is ``file_path``, as for ingested logs."""
+    raw = conversation_log_lines(spark, sf)
+    n = "CAST(regexp_extract(file_path, 's([0-9]+)[.]jsonl$', 1) AS BIGINT)"
+    path = f"concat('/logs/proj', {n} % 2, '/s', lpad(CAST({n} div 2 AS STRING), 7, '0'), '.jsonl')"
+    raw = raw.withColumn("file_path", F.expr(path))
+    opening = raw.where("line_no = 1").withColumn("_ts", F.to_timestamp(F.get_json_object("value", "$.timestamp")))
+    closing = opening.select("file_path", F.lit(1_000_000).cast("bigint").alias("line_no"), F.concat(
+        F.lit('{"type":"queue-operation","timestamp":"'), F.date_format(F.col("_ts") + F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        F.lit('"}')).alias("value"))
+    lines = J.decode_lines(raw.unionByName(closing)).withColumn("session_id", F.regexp_extract("file_path", r"([^/]+)\.jsonl$", 1))
+    files = lines.groupBy("file_path").agg(F.min("ts").alias("_t"), F.first("session_id").alias("session_id"))
+    project = F.regexp_extract("file_path", "/(proj[01])/", 1)
+    sessions = files.select("session_id", project.alias("project_dir"), project.alias("project_name"), "file_path",
+                            F.lit(0).cast("bigint").alias("file_size"), F.col("_t").alias("modified_time"), F.lit(False).alias("is_agent"))
+    return sessions, lines
+
+
+@query("ingested_search")
+def ingested_search(spark, sf):
+    """SURVEY W10 P7 SC6 (search report, unique key)."""
+    from lumenlog.plans.reports import search_report
+
+    s, lines = _two_projects(spark, sf)
+    return search_report(s, J.messages_of(lines), ["ment"], limit=40, key="file_path").select("file_path", "session_id", "line_no")
+
+
+@query("ingested_compiled")
+def ingested_compiled(spark, sf):
+    """SURVEY A25 O4 SC12 J1 (ids, span over all lines, tool events by session id)."""
+    s, lines = _two_projects(spark, sf)
+    c = C.compile_sessions(s, lines, key="file_path").withColumn("session_id", F.col("full_session_id"))
+    c = TL.with_observations(c, TL.observation_summary(T.event_tool_events(spark, sf)))
+    return c.select("session_key", "session_id", "date", "time_range", "user_message_count", "assistant_message_count",
+                    F.coalesce(F.size("tools_used"), F.lit(0)).cast("bigint").alias("n_tools"))
+
+
+@query("ingested_digest")
+def ingested_digest(spark, sf):
+    """SURVEY A29 SC12 (span over all lines)."""
+    s, lines = _two_projects(spark, sf)
+    return D.digest_sessions(s, lines, key="file_path").select("file_path", "session_id", "date", "duration_min", "message_count")
+
+
+@query("ingested_export_heads")
+def ingested_export_heads(spark, sf):
+    """SURVEY K1 K2 (ids and first timestamp of the documents)."""
+    s, lines = _two_projects(spark, sf)
+    json = X.json_blocks(s, lines, key="file_path").where(F.col("ord") == X.HEADER)
+    md = X.markdown_blocks(s, lines, key="file_path").where(F.col("ord") == X.HEADER)
+    return json.select("doc", F.substring_index("block", ",", 1).alias("head")).unionByName(
+        md.select("doc", F.substring_index("block", "\n", 1).alias("head")))
+
+
+@query("search_regex_groups")
+def search_regex_groups(spark, sf):
+    """SURVEY P7 F6 (Unicode word characters, a named group and references to it and to a numbered one)."""
+    _, m = _conv(spark, sf)
+    hits = S.search(m, [r"(?P<c>[eé])(n|r)(?P=c)\w", r"([aeé])n\1|\b\w+é\b"], regex=True, context_chars=10)
+    return hits.select(*SEARCH_COLS)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions.fixed_values import PROTECTED_DAY_MARKERS, STUB_MARKER, TRAIL_HEADING
+from lumenlog.functions.pricing import usd_text
 from lumenlog.functions.text import contains_any, safe_file_name
 from lumenlog.functions.timefmt import fixed
 from lumenlog.plans.export import FOOTER, HEADER
@@ -24,12 +25,8 @@ STATUS_ICON = {"mature": "●", "growing": "◐", "stub": "○"}
 
 
 def usd2(units: Column) -> Column:
-    """Exact cost units (1e-10 USD) as 'd.dd' (half-even), integer arithmetic only."""
-    u = units.cast("bigint")
-    q, r = F.floor(u / 100_000_000).cast("bigint"), u % 100_000_000
-    q = F.when((r > 50_000_000) | ((r == 50_000_000) & (q % 2 == 1)), q + 1).otherwise(q)
-    return F.concat(F.floor(q / 100).cast("bigint").cast("string"), F.lit("."),
-                    F.lpad((q % 100).cast("string"), 2, "0"))
+    """Exact cost units as 'd.dd' (half-even)."""
+    return usd_text(units, 2)
 
 
 def _icon(col: Column, icons: dict) -> Column:
@@ -215,7 +212,7 @@ def render_index(compiled: DataFrame, days: DataFrame, concepts: DataFrame, weig
     return head.unionByName(wrows).unionByName(mid).unionByName(drows).unionByName(crows)
 
 
-def render_digest(digests: DataFrame) -> DataFrame:
+def render_digest(digests: DataFrame, keep: tuple | list = ()) -> DataFrame:
     """K8: (session_id, content) Markdown block per session digest; duration '?' when
     unknown; id cut to 16 characters in the marker comment."""
     dur = F.when(F.col("duration_min").isNotNull() & (F.col("duration_min") != 0),
@@ -231,7 +228,7 @@ def render_digest(digests: DataFrame) -> DataFrame:
         "tail_exchanges", lambda e: F.concat(F.lit("> Q: "), e["user_text"], F.lit("\n> A: "),
                                              e["assistant_text"], F.lit("\n"))), "\n")))
     content = F.concat_ws("\n", head, topic, keys, tail, F.lit("---\n"))
-    return digests.select("session_id", content.alias("content"))
+    return digests.select("session_id", content.alias("content"), *keep)
 
 
 def render_focus(recent: DataFrame, baseline: DataFrame, spikes: DataFrame, stats: DataFrame, hours: int,
@@ -361,6 +358,8 @@ def write_vault(compiled: DataFrame, out_dir: str, events: DataFrame | None = No
     from lumenlog.operators import daily as DY
     from lumenlog.operators import tools as TL
 
+    from lumenlog.sources.jsonl import materialize
+
     spark = compiled.sparkSession
     days = DY.merge_by_day(compiled)
     if events is not None:
@@ -370,10 +369,8 @@ def write_vault(compiled: DataFrame, out_dir: str, events: DataFrame | None = No
     concepts = DY.concept_index(compiled)
     existing = read_documents(spark, out_dir)
     published = publish_documents(render_daily(days, home), render_concept(concepts), concepts, existing)
-    # the publish reads the files it is about to overwrite: materialize it first
-    from lumenlog.session import checkpoint_dir
-    checkpoint_dir(spark)
-    published = published.checkpoint(eager=True)
+    # the publish reads the files it is about to overwrite: write it to a table first
+    published = materialize(published, "published")
     write_documents(published.where(F.col("action") != "kept"), out_dir)
     from lumenlog.plans.export import write_blocks
     index = render_index(compiled, days, concepts, DY.weight_distribution(compiled), DY.status_counts(concepts),
@@ -382,15 +379,27 @@ def write_vault(compiled: DataFrame, out_dir: str, events: DataFrame | None = No
     return published.groupBy("kind", "action").agg(F.count(F.lit(1)).cast("bigint").alias("documents"))
 
 
-def append_digests(sessions: DataFrame, messages: DataFrame, table_path: str, tail_n: int = 3, max_key: int = 8,
+def append_digests(sessions: DataFrame, lines: DataFrame, table_path: str, tail_n: int = 3, max_key: int = 8,
                    key: str = "session_id", signals=None) -> DataFrame:
     """Digest a batch of sessions (A29), render each (K8) and append the blocks to
     the log table (K11); returns the rendered blocks, newest file time first (O5)."""
-    from lumenlog.operators.digest import digest_sessions
+    from lumenlog.operators.digest import digest_batch_order, digest_sessions
+    from lumenlog.sources.jsonl import materialize
 
-    d = digest_sessions(sessions, messages, tail_n, max_key, key, signals)
-    blocks = render_digest(d.withColumnRenamed(key, "session_id")).join(
-        d.select(F.col(key).alias("session_id"), "modified_time"), "session_id")
-    blocks = blocks.checkpoint(eager=True) if blocks.sparkSession.sparkContext.getCheckpointDir() else blocks
+    d = digest_sessions(sessions, lines, tail_n, max_key, key, signals)
+    blocks = materialize(render_digest(d, keep=["modified_time"]), "digests")  # appended and returned: computed once
     append_log(blocks, table_path)
-    return blocks.orderBy(F.desc("modified_time"), "session_id").drop("modified_time")
+    return digest_batch_order(blocks).drop("modified_time")
+
+
+LOG_HEADER = "# Session log\n\nDigests of finished sessions, newest last.\n\n---\n"
+
+
+def render_log(log: DataFrame, header: str = LOG_HEADER) -> DataFrame:
+    """K11, the rendered view: the log table as ordered blocks (doc='LOG'), header first, then every digest in the
+    order it was appended. A digest that a repeated run appended again shows once, at its first place."""
+    first = log.groupBy("session_id", "content").agg(F.min("appended_at").alias("t"))
+    ord_ = F.unix_micros("t") + F.lit(1)
+    body = first.select(F.lit("LOG").alias("doc"), ord_.cast("bigint").alias("ord"), "session_id", F.col("content").alias("block"))
+    head = log.sparkSession.createDataFrame([("LOG", HEADER, "", header)], "doc string, ord bigint, session_id string, block string")
+    return head.unionByName(body)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.functions.pricing import cost_units_sql
+from lumenlog.functions.pricing import cost_units_sql, usd_text
 from lumenlog.functions.project import display_project
 from lumenlog.functions.text import escape_html, strip_ws
 from lumenlog.operators.sessions import session_context
@@ -37,16 +37,14 @@ def iso_ts(ts: Column) -> Column:
 
 
 def usd4(units: Column) -> Column:
-    """Exact cost units (1e-10 USD) as 'd.dddd' (half-even), using integer arithmetic only."""
-    u = units.cast("bigint")
-    q, r = F.floor(u / 1_000_000).cast("bigint"), u % 1_000_000
-    q = F.when((r > 500_000) | ((r == 500_000) & (q % 2 == 1)), q + 1).otherwise(q)
-    return F.concat(F.floor(q / 10_000).cast("bigint").cast("string"), F.lit("."),
-                    F.lpad((q % 10_000).cast("string"), 4, "0"))
+    """Exact cost units as 'd.dddd' (half-even)."""
+    return usd_text(units, 4)
 
 
 def session_headers(sessions: DataFrame, messages: DataFrame, key: str = "session_id", prices=None) -> DataFrame:
-    """Per session: project, first timestamp, branch, models, usage sums and own-model cost."""
+    """Per session: id, project, first timestamp, branch, models, usage sums and own-model cost.
+
+    Give all decoded ``lines`` as ``messages`` for a first timestamp that counts non-message lines too."""
     ctx = session_context(messages, key)
     a = messages.where(F.col("msg_type") == "assistant")
     unit = F.expr(f"CASE WHEN has_usage THEN {cost_units_sql('model', *TOKEN_COLS, prices=prices)} ELSE 0 END")
@@ -55,9 +53,9 @@ def session_headers(sessions: DataFrame, messages: DataFrame, key: str = "sessio
         F.coalesce(F.sum(F.when(F.col("has_usage"), F.col("output_tokens"))), F.lit(0)).cast("bigint").alias("out_tok"),
         F.coalesce(F.sum(unit.cast("decimal(38,0)")), F.lit(0)).alias("cost_units"))
     empty = F.array().cast("array<string>")
-    return (sessions.select(key, "project_name").join(ctx, key, "left").join(sums, key, "left")
-            .join(models_used(messages, key), key, "left")
-            .select(key, display_project(F.col("cwd"), F.col("project_name")).alias("project"), "first_ts",
+    return (sessions.select(key, F.col("session_id").alias("_sid"), "project_name").join(ctx, key, "left")
+            .join(sums, key, "left").join(models_used(messages, key), key, "left")
+            .select(key, "_sid", display_project(F.col("cwd"), F.col("project_name")).alias("project"), "first_ts",
                     "git_branch", F.coalesce("models", empty).alias("models"),
                     F.coalesce("in_tok", F.lit(0)).alias("in_tok"), F.coalesce("out_tok", F.lit(0)).alias("out_tok"),
                     F.coalesce("cost_units", F.lit(0).cast("decimal(38,0)")).alias("cost_units")))
@@ -77,7 +75,7 @@ def markdown_blocks(sessions: DataFrame, messages: DataFrame, key: str = "sessio
     h = session_headers(sessions, messages, key, prices)
     dash = F.lit("—")
     header = h.select(F.col(key).alias("doc"), F.lit(HEADER).cast("bigint").alias("ord"), F.concat_ws(
-        "\n", F.concat(F.lit("# Session "), F.col(key)), F.lit(""),
+        "\n", F.concat(F.lit("# Session "), F.col("_sid")), F.lit(""),
         F.concat(F.lit("- Project: `"), F.col("project"), F.lit("`")),
         F.concat(F.lit("- Started: "), F.coalesce(F.date_format("first_ts", "yyyy-MM-dd HH:mm"), dash)),
         F.concat(F.lit("- Models: "), F.coalesce(F.nullif(F.array_join("models", ", "), F.lit("")), dash)),
@@ -107,7 +105,7 @@ def json_blocks(sessions: DataFrame, messages: DataFrame, key: str = "session_id
     h = session_headers(sessions, messages, key, prices)
     null = F.lit("null")
     header = h.select(F.col(key).alias("doc"), F.lit(HEADER).cast("bigint").alias("ord"), F.concat(
-        F.lit('{"session_id":'), js(F.col(key)), F.lit(',"project":'), F.coalesce(js(F.col("project")), null),
+        F.lit('{"session_id":'), js(F.col("_sid")), F.lit(',"project":'), F.coalesce(js(F.col("project")), null),
         F.lit(',"date":'), F.coalesce(js(iso_ts(F.col("first_ts"))), null),
         F.lit(',"git_branch":'), F.coalesce(js(F.col("git_branch")), null),
         F.lit(',"models":'), F.to_json(F.col("models")),
@@ -153,9 +151,9 @@ def html_blocks(sessions: DataFrame, messages: DataFrame, key: str = "session_id
 
     header = h.select(F.col(key).alias("doc"), F.lit(HEADER).cast("bigint").alias("ord"), F.concat(
         F.lit('<!DOCTYPE html>\n<html lang="en">\n<head>\n<meta charset="UTF-8">\n<title>Session '),
-        escape_html(F.substring(F.col(key), 1, 8)), F.lit(f"</title>\n<style>{HTML_STYLE}</style>\n</head>\n<body>\n<h1>Session "),
-        escape_html(F.substring(F.col(key), 1, 8)), F.lit("</h1>\n<table>"),
-        row("Session", F.concat(F.lit("<code>"), escape_html(F.col(key)), F.lit("</code>"))),
+        escape_html(F.substring(F.col("_sid"), 1, 8)), F.lit(f"</title>\n<style>{HTML_STYLE}</style>\n</head>\n<body>\n<h1>Session "),
+        escape_html(F.substring(F.col("_sid"), 1, 8)), F.lit("</h1>\n<table>"),
+        row("Session", F.concat(F.lit("<code>"), escape_html(F.col("_sid")), F.lit("</code>"))),
         row("Project", F.concat(F.lit("<code>"), escape_html(F.col("project")), F.lit("</code>"))),
         row("Started", F.coalesce(F.date_format("first_ts", "yyyy-MM-dd HH:mm"), dash)),
         row("Models", escape_html(F.coalesce(F.nullif(F.array_join("models", ", "), F.lit("")), dash))),

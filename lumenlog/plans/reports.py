@@ -14,6 +14,7 @@ from lumenlog.operators import focus as FO
 from lumenlog.operators import search as S
 from lumenlog.operators import sessions as SS
 from lumenlog.operators import usage as U
+from lumenlog.sources.jsonl import filter_project
 
 
 def stats_report(sessions: DataFrame, messages: DataFrame, by: str = "project", top_n: int | None = 10,
@@ -55,9 +56,41 @@ def list_report(sessions: DataFrame, lines: DataFrame, limit: int = 20, sort: st
     return SS.top_sessions(SS.list_sessions(sessions, lines, key, home, model, sort), limit, key)
 
 
-def search_report(sessions: DataFrame, messages: DataFrame, terms: list[str], limit: int = 50, **kw) -> DataFrame:
+def search_report(sessions: DataFrame, messages: DataFrame, terms: list[str], limit: int = 50, key: str = "session_id",
+                  **kw) -> DataFrame:
     """Matches in stream order (first ``limit``), with snippets."""
-    return S.limit_in_stream_order(S.search(messages, terms, **kw), sessions, limit)
+    return S.limit_in_stream_order(S.search(messages, terms, **kw), sessions, limit, key)
+
+
+def show_report(sessions: DataFrame, messages: DataFrame, prefix: str, first: int | None = None, grep: str | None = None,
+                context: int = 1, key: str = "session_id") -> DataFrame:
+    """One session by id prefix (P6): its messages in order; only the ``first`` ones (O7), or those round the matches of
+    ``grep`` (W8, with ``is_match``)."""
+    one = U.find_session(sessions, prefix).select(key)
+    m = messages.join(one, key, "left_semi")
+    if grep:
+        m = S.grep_context(m, grep, context, key)
+    if first:
+        m = SS.first_messages(m, first, key)
+    return m.orderBy("line_no")
+
+
+def resume_report(sessions: DataFrame, messages: DataFrame, project: str, n: int = 3, key: str = "session_id") -> DataFrame:
+    """The latest session of a project (O3) with its last ``n`` user and assistant messages."""
+    from lumenlog.operators.sequence import first_n
+
+    one = U.latest_session(filter_project(sessions, project)).select(key)
+    m = messages.where(F.col("msg_type").isin("user", "assistant")).join(one, key, "left_semi")
+    return first_n(m, [key], [F.desc("line_no")], n, "rank_from_end").orderBy("line_no")
+
+
+def export_report(sessions: DataFrame, lines: DataFrame, prefix: str, fmt: str = "markdown", key: str = "session_id",
+                  prices=None) -> DataFrame:
+    """The export blocks of one session, found by id prefix."""
+    from lumenlog.plans.export import export_blocks
+
+    one = U.find_session(sessions, prefix)
+    return export_blocks(one, lines.join(one.select(key), key, "left_semi"), fmt, key, prices)
 
 
 def info_report(sessions: DataFrame) -> DataFrame:

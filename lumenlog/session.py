@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -53,8 +54,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     On a cluster this comes from ``spark.checkpoint.dir`` (a shared file system)
-    or an earlier ``setCheckpointDir``. Only when neither is set (local tests) a
-    private temporary folder is used.
+    or an earlier ``setCheckpointDir``. Only in local mode (tests), where driver and
+    executors are one process, a private temporary folder stands in for it.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -62,6 +63,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="lumenlog-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d

@@ -25,47 +25,10 @@ BOUND_TOOLS = [["Edit"], ["Write", "Read"], [], ["Bash"]]
 EVENT_TOOLS = {"view": "Read", "click": "Edit", "purchase": "Bash", "signup": "WebFetch", "error": "WebSearch"}
 
 
-_TABLES: dict = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The scan of one input table (rebalanced when it is a single large split).
-
-    DataFrames are immutable plans, so the scan of an unchanged local file is
-    reused across queries of one session (keyed by the file's modification time);
-    other paths are planned afresh on every call."""
-    import os
-
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    local = path[len("file:"):] if path.startswith("file:") else path
-    stamp = os.path.getmtime(local) if "://" not in path and os.path.exists(local) else None
-    key = (spark.sparkContext.applicationId, id(spark), path, stamp)
-    if stamp is not None and key in _TABLES:
-        return _TABLES[key]
-    df = balanced(spark.read.parquet(path))
-    if stamp is not None:
-        _TABLES[key] = df
-    return df
-
-
-REBALANCE_MIN_BYTES = 8 << 20
-
-
-def balanced(df: DataFrame, min_bytes: int = REBALANCE_MIN_BYTES) -> DataFrame:
-    """Spread a scan over all cores when it yields fewer input partitions than
-    the cluster's default parallelism AND is big enough for parallel work to pay
-    for one shuffle (e.g. a single large row group: every row would be parsed and
-    regex-scanned by one task). At scale the input has many splits, so this is a
-    no-op there; small inputs are left alone too (the extra stage would cost more)."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # file sizes, no job
-        if size < min_bytes:
-            return df
-        n = df.rdd.getNumPartitions()  # planning only, no job
-    except Exception:  # statistics unavailable: leave the scan as it is
-        return df
-    return df.repartition(target) if n < target else df
+    """The scan of one input table. How it is split is the session's business
+    (``spark.sql.files.maxPartitionBytes``); a caller may repartition it."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def sql_lit(v) -> str:
@@ -164,19 +127,6 @@ def document_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def document_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").selectExpr(
-        f"{DOC_SID} AS session_id", "lang", "octet_length(coalesce(text, '')) AS _b", "doc_id")
-    agg = d.groupBy("session_id").agg({"lang": "min", "_b": "sum", "doc_id": "max"})
-    return agg.selectExpr(
-        "session_id", "`min(lang)` AS project_dir", "`min(lang)` AS project_name",
-        "concat('/data/docs/', `min(lang)`, '/', session_id, '.jsonl') AS file_path",
-        "CAST(`sum(_b)` AS BIGINT) AS file_size",
-        f"timestamp_seconds({BASE_EPOCH} + `max(doc_id)` * 60) AS modified_time",
-        "false AS is_agent",
-    )
-
-
 def event_tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` -> canonical tool events (one observation log per user and day)."""
     k = "CAST(get_json_object(props, '$.k') AS BIGINT)"

@@ -345,6 +345,9 @@ FROM out o JOIN ses USING (session_id) ORDER BY ses.project_dir, o.session_id, l
 q("search_literal", search_sql(["ment"]))
 q("search_and", search_sql(["the", "ion"], ctx=30))
 q("search_regex", search_sql(["qu[a-z]+e", "[ée]n"], regex=True, ctx=40))
+# Python syntax written out for RE2: references as alternatives, \\w with all letters and digits
+q("search_regex_groups", search_sql([r"(?:ene|ere|éné|éré)[\pL\pN_]", r"(?:ana|ene|éné)|(?:^|[^\pL\pN_])[\pL\pN_]+é(?:$|[^\pL\pN_])"],
+                                    regex=True, ctx=10))
 q("search_case_sensitive", search_sql(["The"], case_sensitive=True, ctx=20))
 q("search_role", search_sql(["ung"], roles=("user",)))
 q("search_model_filter", search_sql(["the"], model="OPUS", ctx=25))
@@ -1253,3 +1256,34 @@ def slug_sql(topic: str, sid: str) -> str:
 
 
 q("topic_slugs", f"{COMPILED} SELECT session_id, {slug_sql('topic_sentence', 'session_id')} AS slug FROM compiled")
+
+
+# ---------------------------------------------------------------- decoded logs, ids repeated in two projects
+TWO = f"""{EXPECTED_DECODED},
+two AS (SELECT *, '/logs/proj' || CAST(CAST(session_id[2:] AS BIGINT) % 2 AS VARCHAR) || '/s'
+               || lpad(CAST(CAST(session_id[2:] AS BIGINT) // 2 AS VARCHAR), 7, '0') || '.jsonl' AS fp,
+               's' || lpad(CAST(CAST(session_id[2:] AS BIGINT) // 2 AS VARCHAR), 7, '0') AS sid FROM exp),
+span AS (SELECT fp, sid, min(ts) AS t0, min(ts) FILTER (WHERE line_no = 10) + INTERVAL 1 DAY AS t1 FROM two GROUP BY 1, 2)"""
+q("ingested_search", f"""WITH {TWO}
+SELECT fp AS file_path, sid AS session_id, line_no FROM two
+WHERE msg_type IN ('user', 'assistant') AND regexp_matches(content_text, '(?i:ment)')
+ORDER BY regexp_extract(fp, 'proj[01]'), fp, line_no LIMIT 40""")
+q("ingested_compiled", f"""WITH {TWO}, {EV},
+tools AS (SELECT session_id AS sid, count(DISTINCT tool_name) AS n FROM ev WHERE tool_name IS NOT NULL AND tool_name <> '' GROUP BY 1)
+SELECT fp AS session_key, s.sid AS session_id, strftime(t0, '%Y-%m-%d') AS date,
+       strftime(t0, '%H:%M') || ' - ' || strftime(t1, '%H:%M') AS time_range,
+       count(*) FILTER (WHERE msg_type = 'user') AS user_message_count,
+       count(*) FILTER (WHERE msg_type = 'assistant') AS assistant_message_count, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_tools
+FROM span s JOIN two USING (fp) LEFT JOIN tools ON tools.sid = s.sid GROUP BY fp, s.sid, t0, t1""")
+q("ingested_digest", f"""WITH {TWO}
+SELECT fp AS file_path, s.sid AS session_id, strftime(t0, '%Y-%m-%d') AS date, (epoch_us(t1) - epoch_us(t0)) / 1e6 / 60 AS duration_min,
+       count(*) FILTER (WHERE msg_type IN ('user', 'assistant')) AS message_count
+FROM span s JOIN two USING (fp) GROUP BY fp, s.sid, t0, t1""")
+q("ingested_export_heads", f"""WITH {TWO}
+SELECT fp AS doc, '{{"session_id":"' || sid || '"' AS head FROM span UNION ALL SELECT fp, '# Session ' || sid FROM span""")
+q("daily_items", f"""WITH {MSG}, {SES}, {CTX}, {EV}, {ITEMS},
+ds AS (SELECT s.session_id, coalesce(strftime(c.first_ts, '%Y-%m-%d'), 'unknown') AS date,
+              epoch_us(s.modified_time) AS so_t FROM ses s LEFT JOIN ctx c USING (session_id)),
+di AS (SELECT ds.date, kind, item, min((so_t, session_id, obs_date, line_no)) AS fo
+       FROM items JOIN ds USING (session_id) GROUP BY 1, 2, 3)
+SELECT date, kind, row_number() OVER (PARTITION BY date, kind ORDER BY fo, item) AS ord, item FROM di""")
