@@ -32,7 +32,6 @@ HEADLINE = [
 # input tables of each headline query (for input rows and rows/s)
 INPUTS = {
     "tools_used": ["events"], "search_documents": ["documents"], "term_counts_documents": ["documents"],
-    "daily_digest": ["conversations", "events"],
 }
 
 

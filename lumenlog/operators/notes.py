@@ -29,36 +29,37 @@ def _alt(words) -> str:
 
 
 def read_whole_texts(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(path, content, mtime) of whole text files; missing paths are skipped."""
+    """(path, content, mtime) of whole text files, in one scan; absolute paths (or globs) without a file are skipped."""
+    import os.path
+
     from pyspark.errors import AnalysisException
 
     paths = [paths] if isinstance(paths, str) else list(paths)
-    frames = []
-    for p in paths:
-        try:
-            t = spark.read.text(p, wholetext=True)
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
-                raise
-            continue
-        frames.append(t.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:", "").alias("path"),
-                               F.col("value").alias("content"),
-                               F.col("_metadata.file_modification_time").alias("mtime")))
-    if not frames:
+    shared = os.path.commonprefix(paths)
+    shared = shared[:shared.rfind("/") + 1]  # one glob of alternatives below the common folder
+    glob = paths[0] if len(paths) == 1 else shared + "{" + ",".join(p[len(shared):] for p in paths) + "}"
+    try:
+        t = spark.read.text(glob, wholetext=True) if paths else None
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
+            raise
+        t = None
+    if t is None:
         return spark.createDataFrame([], "path string, content string, mtime timestamp")
-    df = frames[0]
-    for f in frames[1:]:
-        df = df.unionByName(f)
-    return df
+    return t.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:", "").alias("path"), F.col("value").alias("content"),
+                    F.col("_metadata.file_modification_time").alias("mtime"))
 
 
-def scan_notes(spark: SparkSession, mapping: DataFrame) -> DataFrame:
-    """SC14: mapped note files (path, concept) joined to their text; missing files ignored.
-    Also attaches the companion note (same folder) when present."""
+def scan_notes(spark: SparkSession, mapping: dict[str, str] | DataFrame, companion: str = COMPANION_NOTE) -> DataFrame:
+    """SC14: mapped note files (path -> concept; a dict, or a DataFrame of a user's few entries) joined to their text; missing
+    files ignored. Also attaches the ``companion`` note (same folder) when present. Notes and companions are one scan."""
+    if isinstance(mapping, dict):
+        mapping = spark.createDataFrame(list(mapping.items()), "path string, concept string")
     paths = [r["path"] for r in mapping.select("path").distinct().collect()]  # the mapping is a small parameter
-    notes = read_whole_texts(spark, paths).join(mapping, "path")
-    comp_paths = [p.rsplit("/", 1)[0] + "/" + COMPANION_NOTE for p in paths]
-    comp = read_whole_texts(spark, comp_paths).select(
+    beside = {p.rsplit("/", 1)[0] + "/" + companion for p in paths}
+    texts = read_whole_texts(spark, sorted({*paths, *beside}))
+    notes = texts.join(mapping, "path")
+    comp = texts.where(F.regexp_extract("path", "([^/]+)$", 1) == companion).select(
         F.regexp_replace("path", "/[^/]+$", "").alias("_dir"), F.col("content").alias("companion"),
         F.col("mtime").alias("companion_mtime"))
     return (notes.withColumn("_dir", F.regexp_replace("path", "/[^/]+$", ""))
@@ -182,19 +183,19 @@ def latest_note(notes: DataFrame) -> DataFrame:
     return notes.groupBy("concept").agg(F.max_by(F.struct(*notes.columns), F.struct("mtime", "path")).alias("n")).select("n.*")
 
 
-def sync_notes(notes: DataFrame, concept_docs: DataFrame) -> DataFrame:
+def sync_notes(notes: DataFrame, concept_docs: DataFrame, heading: str = TRAIL_HEADING) -> DataFrame:
     """A30 (+ J9, J10): per concept of the mapping: skipped when its concept document
     is missing; skipped when the note's status date is not after the last trail
     date; otherwise the new document text with the entry appended.
 
-    ``notes``: scan_notes output; ``concept_docs``: (concept, doc).
+    ``notes``: scan_notes output; ``concept_docs``: (concept, doc); ``heading``: the trail's heading.
     """
     cols = {"companion", "companion_mtime"}
     comp = [F.col(c) for c in ("companion", "companion_mtime")] if cols <= set(notes.columns) else [None, None]
     latest = latest_note(notes)
     st = latest.withColumn("_st", note_status(F.col("content"), F.col("mtime"), *comp))
     j = st.join(concept_docs.select("concept", "doc"), "concept", "left")
-    last = last_trail_date(F.col("doc"))
+    last = last_trail_date(F.col("doc"), heading)
     missing = F.col("doc").isNull()
     stale = (~missing) & last.isNotNull() & (F.col("_st.status_date") <= last)
     return j.select(
@@ -204,5 +205,5 @@ def sync_notes(notes: DataFrame, concept_docs: DataFrame) -> DataFrame:
         F.when(missing, F.lit("concept document missing"))
          .when(stale, F.concat(F.lit("up to date (trail ends "), last.cast("string"), F.lit(")")))
          .otherwise(F.lit("")).alias("skip_reason"),
-        F.when(~(missing | stale), append_evolution(F.col("doc"), F.col("_st.status_date"), F.col("_st.summary")))
+        F.when(~(missing | stale), append_evolution(F.col("doc"), F.col("_st.status_date"), F.col("_st.summary"), heading=heading))
          .alias("new_doc"))

@@ -110,6 +110,18 @@ def candidate_files(raw_lines: DataFrame, term: str, case_sensitive: bool = Fals
     return raw_lines.where(F.contains(v, F.lit(t))).select("file_path").distinct()
 
 
+def prefiltered_lines(raw_lines: DataFrame, term: str, case_sensitive: bool = False) -> DataFrame:
+    """J11 in one scan: the raw lines that contain a safe ``term``, to be decoded and searched; all lines when the term is
+    unsafe. The search result is that of all lines, since a matching message's own line contains the term."""
+    import re
+
+    # a blank can join two blocks, and "[tool: unknown]" is not in the raw line
+    if not re.match(PREFILTER_SAFE, term) or " " in term or term.lower() in "tool unknown":
+        return raw_lines
+    v = F.col("value") if case_sensitive else F.translate(F.lower(F.col("value")), "ſ", "s")
+    return raw_lines.where(F.contains(v, F.lit(term if case_sensitive else term.lower())))
+
+
 def prefiltered(messages: DataFrame, raw_lines: DataFrame, term: str, case_sensitive: bool = False) -> DataFrame:
     """Messages of candidate files only (left semi join); unchanged when the term is unsafe."""
     c = candidate_files(raw_lines, term, case_sensitive)

@@ -22,8 +22,12 @@ from pyspark.sql import functions as F
 CHUNK_BITS = 16  # 65,536 rows of one session per window partition at most
 
 
+def chunk_bits(bits: int | None = None) -> int:
+    return CHUNK_BITS if bits is None else bits  # read at call time (tests shrink it)
+
+
 def _with_chunk(df: DataFrame, order: str, bits: int | None) -> DataFrame:
-    b = CHUNK_BITS if bits is None else bits  # read at call time (tests shrink it)
+    b = chunk_bits(bits)
     return df.withColumn("_chunk", F.shiftright(F.col(order).cast("bigint"), b))
 
 

@@ -7,12 +7,12 @@ The per-session result is tiny compared to ``messages``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions.pricing import cost_units_sql, sum_units, units_to_usd
 from lumenlog.functions.timefmt import day_string, iso_week_label, week_range
-from lumenlog.operators.sequence import carry_forward
+from lumenlog.operators.sequence import carry_forward, chunk_bits
 
 TOKEN_COLS = ["input_tokens", "output_tokens", "cache_write_tokens", "cache_read_tokens"]
 
@@ -41,20 +41,29 @@ def session_usage(sessions: DataFrame, messages: DataFrame, key: str = "session_
     """A1: per session, sums of the four counters, message count (user, assistant
     and system rows), last non-empty model, cost priced with carry-forward.
     Sessions without messages appear with zeros and a null model."""
-    cols = [key, "line_no", "msg_type", "model", "has_usage", *TOKEN_COLS]
-    m = messages.select(*cols)
-    # models and usage records live on assistant lines only: just those go through
-    # the carry-forward exchange; the rest rejoin (narrow union) for the counts
+    # one pass over narrow rows. Inside a chunk of lines a window carries the model; usage before a chunk's first model is
+    # kept as token sums and priced once per chunk, when the model that comes in from earlier chunks is known
     is_a = F.col("msg_type") == "assistant"
-    priced = priced_messages(m.where(is_a), key, prices, carry=True)
-    others = m.where(~is_a | F.col("msg_type").isNull()).withColumns(
-        {"eff_model": F.lit(None).cast("string"), "cost_units": F.lit(None).cast("bigint")})
-    pm = priced.unionByName(others)
-    per = pm.groupBy(key).agg(
-        F.count(F.lit(1)).alias("msg_count"),
+    m = messages.select(key, F.col("line_no").alias("_ln"), F.shiftright(F.col("line_no").cast("bigint"), chunk_bits()).alias("_chunk"),
+                        F.when(is_a, _nonempty(F.col("model"))).alias("_m"), _nonempty(F.col("model")).alias("_any"),
+                        "has_usage", *TOKEN_COLS)
+    inside = Window.partitionBy(key, "_chunk").orderBy("_ln").rowsBetween(Window.unboundedPreceding, 0)
+    m = m.withColumn("_eff", F.last("_m", ignorenulls=True).over(inside))
+    early = F.col("has_usage") & F.col("_eff").isNull()
+    known = F.expr(f"CASE WHEN has_usage AND _eff IS NOT NULL THEN {cost_units_sql('_eff', *TOKEN_COLS, prices=prices)} END")
+    chunks = m.groupBy(key, "_chunk").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(c) for c in TOKEN_COLS], sum_units(known).alias("_units"),
+        *[F.sum(F.when(early, F.col(c))).alias(f"_early_{c}") for c in TOKEN_COLS],
+        F.max_by("_m", F.when(F.col("_m").isNotNull(), F.col("_ln"))).alias("_last"),
+        F.max_by("_any", F.when(F.col("_any").isNotNull(), F.col("_ln"))).alias("_last_any"))
+    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("_in", F.last("_last", ignorenulls=True).over(before))
+    rest = F.expr(cost_units_sql("_in", *[f"_early_{c}" for c in TOKEN_COLS], prices=prices))
+    per = chunks.groupBy(key).agg(
+        F.sum("_n").alias("msg_count"),
         *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in TOKEN_COLS],
-        F.coalesce(sum_units(F.col("cost_units")), F.lit(0)).alias("cost_units"),
-        F.max_by(F.col("model"), F.when(_nonempty(F.col("model")).isNotNull(), F.col("line_no"))).alias("model"),
+        (F.coalesce(F.sum("_units"), F.lit(0)) + F.coalesce(sum_units(rest), F.lit(0))).cast("decimal(38,0)").alias("cost_units"),
+        F.max_by("_last_any", F.when(F.col("_last_any").isNotNull(), F.col("_chunk"))).alias("model"),
     )
     out = sessions.join(per, key, "left")
     filled = {c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in ["msg_count", *TOKEN_COLS]}

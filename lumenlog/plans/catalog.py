@@ -836,12 +836,9 @@ def term_counts_documents(spark, sf):
 # ---------------------------------------------------------------- prefilter, first messages, slugs
 @query("search_prefiltered")
 def search_prefiltered(spark, sf):
-    """Raw JSON lines -> candidate files for a safe literal term -> decoded
-    messages of those files only -> search (equal to the unfiltered search)."""
-    raw = conversation_log_lines(spark, sf)
-    decoded = J.messages_of(J.decode_lines(raw)).withColumn(
-        "session_id", F.regexp_extract("file_path", r"([^/]+)\.jsonl$", 1))
-    m = S.prefiltered(decoded, raw, "ment")
+    """Raw JSON lines that contain a safe literal term -> decoded -> search (equal to the unfiltered search)."""
+    raw = S.prefiltered_lines(conversation_log_lines(spark, sf), "ment")
+    m = J.messages_of(J.decode_lines(raw)).withColumn("session_id", F.regexp_extract("file_path", r"([^/]+)\.jsonl$", 1))
     return S.search(m, ["ment"]).select(*SEARCH_COLS)
 
 

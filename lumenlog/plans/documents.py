@@ -147,7 +147,7 @@ def concept_front_matter(name: Column, first_seen: Column, sessions_head: Column
         F.lit("---"), F.lit(""))
 
 
-def render_concept(concepts: DataFrame) -> DataFrame:
+def render_concept(concepts: DataFrame, stub_marker: str = STUB_MARKER, heading: str = TRAIL_HEADING) -> DataFrame:
     """K6: (concept, path, content): front matter (first 20 sessions), stub marker line,
     trail of distinct dates in first-seen order."""
     fm = concept_front_matter(F.col("concept"), F.col("first_seen"), F.col("sessions_head"),
@@ -155,9 +155,9 @@ def render_concept(concepts: DataFrame) -> DataFrame:
     trail = _bullets(F.col("dates"), lambda d: F.concat(F.lit("- **"), d, F.lit("** [["), d, F.lit("]]")))
     content = F.concat_ws(
         "\n", fm, F.concat(F.lit("# "), F.col("concept")), F.lit(""), F.lit("## Definition"),
-        F.concat(F.lit(f"*{STUB_MARKER} (mentioned in "), F.col("mention_count").cast("string"),
+        F.concat(F.lit(f"*{stub_marker} (mentioned in "), F.col("mention_count").cast("string"),
                  F.lit(" sessions)*")), F.lit(""),
-        F.lit(f"## {TRAIL_HEADING}"), trail, F.lit(""))
+        F.lit(f"## {heading}"), trail, F.lit(""))
     path = F.concat(F.lit("concepts/"), safe_file_name(F.concat(F.col("concept"), F.lit(".md"))))
     return concepts.select("concept", path.alias("path"), content.alias("content"))
 
@@ -284,25 +284,25 @@ def update_front_matter(doc: Column, sessions_head: Column, count: Column, statu
     return _replace_first_line(out, r"(?U)status: \w+", F.concat(F.lit("status: "), status))
 
 
-def publish_documents(day_docs: DataFrame, concept_docs: DataFrame, concepts: DataFrame,
-                      existing: DataFrame) -> DataFrame:
+def publish_documents(day_docs: DataFrame, concept_docs: DataFrame, concepts: DataFrame, existing: DataFrame,
+                      protected: list[str] = PROTECTED_DAY_MARKERS, stub_marker: str = STUB_MARKER) -> DataFrame:
     """K9: protected upsert against the already published documents (path, content).
 
-    Day documents whose existing text carries a protection marker are kept;
-    concept documents whose existing text no longer has the stub marker keep
+    Day documents whose existing text carries one of the ``protected`` markers are kept;
+    concept documents whose existing text no longer has the ``stub_marker`` keep
     their body and only get K10; everything else is (over)written.
     Returns (path, kind, action, content) with action in written / kept / front_matter.
     """
     ex = existing.select("path", F.col("content").alias("_old"))
     days = day_docs.select("path", "content").join(ex, "path", "left").select(
         "path", F.lit("day").alias("kind"),
-        F.when(contains_any(F.col("_old"), PROTECTED_DAY_MARKERS), F.lit("kept")).otherwise(F.lit("written"))
+        F.when(contains_any(F.col("_old"), protected), F.lit("kept")).otherwise(F.lit("written"))
          .alias("action"),
-        F.when(contains_any(F.col("_old"), PROTECTED_DAY_MARKERS), F.col("_old")).otherwise(F.col("content"))
+        F.when(contains_any(F.col("_old"), protected), F.col("_old")).otherwise(F.col("content"))
          .alias("content"))
     c = concept_docs.select("concept", "path", "content").join(
         concepts.select("concept", "sessions_head", "mention_count", "status"), "concept").join(ex, "path", "left")
-    enriched = F.col("_old").isNotNull() & ~F.contains(F.col("_old"), F.lit(STUB_MARKER))
+    enriched = F.col("_old").isNotNull() & ~F.contains(F.col("_old"), F.lit(stub_marker))
     cons = c.select(
         "path", F.lit("concept").alias("kind"),
         F.when(enriched, F.lit("front_matter")).otherwise(F.lit("written")).alias("action"),
