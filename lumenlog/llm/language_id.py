@@ -160,7 +160,7 @@ def learn(docs: DataFrame, vocab_path: str, train: Column, sample_docs: int = SA
     chosen = (rows.select(*row_key(id_col, text_col), F.col(lang_col).alias("_l"))
               .withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample_docs).select("_id", "_th").distinct())
     sample = (rows.select(*row_key(id_col, text_col), F.col(lang_col).alias("_l"), F.col(text_col).alias("_text"))
-              .join(chosen, ["_id", "_th"]).select("_l", "_text"))
+              .join(F.broadcast(chosen), ["_id", "_th"]).select("_l", "_text"))  # at most sample_docs ids a language
 
     def count(batches):
         for b in batches:
