@@ -47,3 +47,15 @@ def test_operator(spark, official):
     back = B.decode(B.encode(docs, PATH, P.PATTERN), PATH, P.PATTERN).collect()
     assert sorted((str(r[0]), bytes(r[1]).decode()) for r in back) == sorted((str(i), t or "") for i, t, _ in rows)
     assert B.round_trip(docs.limit(0), PATH, P.PATTERN).collect() == []
+
+
+def test_the_higher_order_fold_gives_the_same_ids(spark):
+    from lumenlog.llm.byte_bpe_sql import encode_word
+
+    ranks = {p: r for p, r in B.load_ranks(PATH).items() if r < 3000}  # a small literal keeps the test quick
+    words = [" the", "inges", "über", "日本語", "a", "", None, "qzxj", " \n\n", "thththe", "ionation"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    got = {r[0]: list(r[1]) for r in df.select("w", encode_word("w", ranks, 512)).collect()}
+    fold = B.Merges(ranks).fold([(w or "").encode() for w in words if w])
+    assert [got[w] for w in words if w] == [np.frombuffer(x, "<u4").tolist() for x in fold]
+    assert got[""] == got[None] == []
