@@ -153,11 +153,15 @@ def _normalised(counts: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, vocab_path: str, train: Column, sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS,
           id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """(languages, probabilities [pieces + 1, languages]) from the rows where ``train`` holds, text and language are
-    not null. Per language the ``sample_docs`` rows of least id hash, whole texts. The model holds one number per
+    not null. Per language the ``sample_docs`` rows of least hash, whole texts. The model holds one number per
     piece and language, whatever the input."""
     rows = docs.where(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    order = Window.partitionBy("_l").orderBy(F.xxhash64("_id"), "_id", "_th")
-    chosen = (rows.select(*row_key(id_col, text_col), F.col(lang_col).alias("_l"))
+    # only rows whose hash is small enough for about four times the sample meet in a task
+    ids = rows.select(*row_key(id_col, text_col), F.col(lang_col).alias("_l")).withColumn(
+        "_u", F.expr("shiftrightunsigned(xxhash64(_id, _th), 11) / 9007199254740992D"))
+    sizes = materialize(ids.groupBy("_l").agg(F.count(F.lit(1)).alias("_size")), "languages")
+    order = Window.partitionBy("_l").orderBy("_u", "_id", "_th")
+    chosen = (ids.join(F.broadcast(sizes), "_l").where(F.col("_u") * F.col("_size") < 4 * sample_docs)
               .withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample_docs).select("_id", "_th").distinct())
     sample = (rows.select(*row_key(id_col, text_col), F.col(lang_col).alias("_l"), F.col(text_col).alias("_text"))
               .join(F.broadcast(chosen), ["_id", "_th"]).select("_l", "_text"))  # at most sample_docs ids a language
