@@ -1,12 +1,7 @@
 """Session compilation (P10-P12, J6, A22-A25, F7) and its entity dictionary.
 
-Regex hits "over the session's texts joined with a space" are computed without
-building the joined text: per-message ``regexp_count`` plus, for each pair of
-consecutive texts, the matches that straddle the joining space, counted in a
-bounded window (tail of one text + ' ' + head of the next). For literal
-alternatives the window (longest literal - 1 characters on each side) makes
-this exact; patterns with unbounded repetition are matched within a message
-and across one joint within ``window`` characters.
+Regex hits "over the session's texts joined with a space" are exact without joining the texts: the sum of the messages' own
+counts plus corrections at the few joints a match can cross (``operators.joined``).
 
 The dictionary is a bounded parameter: one ``regexp_count`` per entry inside a
 projection -- no cross join with the text.
@@ -41,11 +36,10 @@ from lumenlog.functions.text import (
 )
 from lumenlog.functions.timefmt import day_string, hhmm
 from lumenlog.functions.project import display_project
-from lumenlog.operators.sequence import first_n, next_row
+from lumenlog.operators.joined import FLAGS, joint_corrections
+from lumenlog.operators.sequence import first_n
 from lumenlog.functions.pricing import cost_units_sql, units_to_usd
 
-DEFAULT_WINDOW = 256
-
 
 @dataclass(frozen=True)
 class Entity:
@@ -58,11 +52,7 @@ class Entity:
 
     @property
     def pattern(self) -> str:
-        return "(?iu)" + literal_alternation(self.aliases)
-
-    @property
-    def window(self) -> int:
-        return max(len(a) for a in self.aliases) - 1
+        return literal_alternation(self.aliases)
 
 
 def load_dictionary(path: str) -> list[Entity]:
@@ -72,41 +62,22 @@ def load_dictionary(path: str) -> list[Entity]:
                 for e in json.load(f)]
 
 
-def stream_counts(rows: DataFrame, key: str, order: str, patterns: Sequence[tuple[str, str, int]],
-                  stream: str | None = None) -> DataFrame:
-    """Per ``key``: non-overlapping match counts of each (name, regex, window) over
-    the rows' ``text`` in ``order`` as if joined with single spaces.
+def _own_counts(cond: Column, patterns: dict[str, str]) -> list[Column]:
+    """Per name, the sum of a pattern's matches in the single texts that satisfy ``cond``."""
+    text = F.col("content_text")
+    return [F.sum(F.when(cond, F.regexp_count(text, F.lit(FLAGS + p)))).cast("bigint").alias(name) for name, p in patterns.items()]
 
-    With ``stream`` (a column naming independent sequences inside a key) each
-    pattern name is ``"<stream>:<name>"`` and only counts rows of that stream;
-    several streams then share one pass (one chunked next-row computation).
-    """
-    part = [key] + ([stream] if stream else [])
-    extra = ["is_user"] if "is_user" in rows.columns else []
-    r = rows.select(*part, order, "text", *extra)
-    r = next_row(r, part, order, ["text", *extra], "_nx")
-    sums = []
-    for name, pat, win in patterns:
-        p = "'" + pat.replace("\\", "\\\\").replace("'", "\\'") + "'"
-        w = max(win, 0)
-        tail = f"substring(text, -{w}, {w})" if w else "''"
-        head = f"substring(_nx.text, 1, {w})" if w else "''"
-        # own matches + matches straddling the joint with the next text (bounded window)
-        hits = (f"regexp_count(text, {p}) + CASE WHEN _nx IS NULL THEN 0 ELSE greatest("
-                f"regexp_count(concat({tail}, ' ', {head}), {p}) - regexp_count({tail}, {p}) "
-                f"- regexp_count({head}, {p}), 0) END")
-        out = name
-        if stream:
-            s_part, out = name.split(":", 1)
-            s_name, _, only = s_part.partition("+")
-            cond = f"{stream} = '{s_name}'"
-            if only == "user":  # the user-only sub-sequence: user rows, joints between two user rows
-                nx_user = "_nx IS NOT NULL AND _nx.is_user"
-                hits = hits.replace("CASE WHEN _nx IS NULL THEN 0", f"CASE WHEN NOT ({nx_user}) THEN 0")
-                cond += " AND is_user"
-            hits = f"CASE WHEN {cond} THEN {hits} ELSE 0 END"
-        sums.append(F.expr(f"CAST(coalesce(sum({hits}), 0) AS BIGINT)").alias(out))
-    return r.groupBy(key).agg(*sums)
+
+def _joined_counts(messages: DataFrame, key: str, sequences: list[tuple[Column, Column, dict[str, str]]]) -> DataFrame:
+    """Per ``key``: matches over the joined texts of each sequence (condition, order, patterns); null where there is no text."""
+    own = messages.groupBy(key).agg(*[c for cond, _, pats in sequences for c in _own_counts(cond, pats)])
+    for cond, order, pats in sequences:
+        rows = messages.where(cond).select(key, order.cast("bigint").alias("ord"), F.col("content_text").alias("text"))
+        more = joint_corrections(rows, key, pats)
+        if more is not None:
+            own = own.join(more.select(key, *[F.col(n).alias(f"_more_{n}") for n in pats]), key, "left").withColumns(
+                {n: F.col(n) + F.coalesce(F.col(f"_more_{n}"), F.lit(0)) for n in pats}).drop(*[f"_more_{n}" for n in pats])
+    return own
 
 
 def user_substance(messages: DataFrame) -> DataFrame:
@@ -118,9 +89,8 @@ def entity_hits(messages: DataFrame, dictionary: Sequence[Entity], key: str = "s
     """Long form (key, ord, entity, hits) for entries with at least one hit."""
     if not dictionary:
         return messages.sparkSession.createDataFrame([], f"{key} string, ord int, entity string, hits bigint")
-    sub = messages.where(_substance_cond()).select(key, "line_no", F.col("content_text").alias("text"))
-    pats = [(f"_e{i}", e.pattern, e.window) for i, e in enumerate(dictionary)]
-    wide = stream_counts(sub, key, "line_no", pats)
+    pats = {f"_e{i}": e.pattern for i, e in enumerate(dictionary)}
+    wide = _joined_counts(messages, key, [(_substance_cond(), F.col("line_no"), pats)])
     arr = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(e.name).alias("entity"), F.col(f"_e{i}").alias("hits"))
                     for i, e in enumerate(dictionary)])
     return (wide.select(key, F.explode(arr).alias("h")).select(key, "h.*").where(F.col("hits") > 0))
@@ -193,42 +163,17 @@ def _substance_cond() -> Column:
     return (F.col("msg_type") == "user") & (F.length(st) > 20) & ~F.startswith(st, F.lit("<"))
 
 
-def text_streams(messages: DataFrame, key: str = "session_id") -> DataFrame:
-    """The joined-text sequences of a session as one tagged row set: 'all'
-    (non-blank user texts, then non-blank assistant texts; its leading user part
-    is the user-only sequence, flagged by ``is_user``) and 'sub' (P10 user substance)."""
-    nb = messages.where(F.col("msg_type").isin("user", "assistant") & (strip_ws(F.col("content_text")) != ""))
-    type_first = (F.when(F.col("msg_type") == "user", F.lit(0)).otherwise(F.lit(1)).cast("bigint") * F.lit(1 << 40)
-                  + F.col("line_no"))
-    a = nb.select(key, F.lit("all").alias("_stream"), type_first.alias("_ord"), F.col("content_text").alias("text"),
-                  (F.col("msg_type") == "user").alias("is_user"))
-    s = messages.where(_substance_cond()).select(key, F.lit("sub").alias("_stream"), F.col("line_no").alias("_ord"),
-                                                F.col("content_text").alias("text"), F.lit(True).alias("is_user"))
-    return a.unionByName(s)
-
-
-_META = set("\\^$.|?*+()[]{}")
-
-
-def joint_window(pattern: str, default: int = DEFAULT_WINDOW) -> int:
-    """Characters needed on each side of a joint to catch every straddling match:
-    longest literal - 1 for a plain alternation of literals, else ``default``."""
-    alts = pattern.split("|")
-    if all(not (_META & set(a)) for a in alts):
-        return max((len(a) for a in alts), default=1) - 1
-    return default
-
-
 def weight_signals(messages: DataFrame, key: str = "session_id", dev_pattern: str = DEV_SIGNAL_PATTERN,
-                   strategy_pattern: str = STRATEGY_SIGNAL_PATTERN, window: int = DEFAULT_WINDOW,
-                   dictionary: Sequence[Entity] = ()) -> DataFrame:
+                   strategy_pattern: str = STRATEGY_SIGNAL_PATTERN, dictionary: Sequence[Entity] = ()) -> DataFrame:
     """A22 (+ J6 counts): dev hits over non-blank user then assistant texts (joined);
-    strategy hits over non-blank user texts; entity hits (``_e<i>``) over the user
-    substance -- all in one chunked pass."""
-    pats = [("all:dev_hits", "(?iud)" + dev_pattern, joint_window(dev_pattern, window)),
-            ("all+user:strategy_hits", "(?iud)" + strategy_pattern, joint_window(strategy_pattern, window))]
-    pats += [(f"sub:_e{i}", e.pattern, e.window) for i, e in enumerate(dictionary)]
-    return stream_counts(text_streams(messages, key), key, "_ord", pats, stream="_stream")
+    strategy hits over non-blank user texts; entity hits (``_e<i>``) over the user substance."""
+    is_user = F.col("msg_type") == "user"
+    there = F.col("msg_type").isin("user", "assistant") & (strip_ws(F.col("content_text")) != "")
+    user_first = F.when(is_user, F.lit(0)).otherwise(F.lit(1)).cast("bigint") * F.lit(1 << 40) + F.col("line_no")
+    seqs = [(there, user_first, {"dev_hits": dev_pattern}), (there & is_user, F.col("line_no"), {"strategy_hits": strategy_pattern})]
+    if dictionary:
+        seqs.append((_substance_cond(), F.col("line_no"), {f"_e{i}": e.pattern for i, e in enumerate(dictionary)}))
+    return _joined_counts(messages, key, seqs).na.fill(0)
 
 
 def session_weight(dev: Column, strategy: Column, files: Column, users: Column) -> Column:
@@ -289,7 +234,7 @@ def compile_sessions(sessions: DataFrame, messages: DataFrame, dictionary: Seque
     count its non-message lines too.
 
     Plan shape: one per-session aggregate (``session_facts``), one chunked
-    pass for all joined-text regex counts, two bounded first/last-N windows
+    pass for the joints of the joined-text regex counts, two bounded first/last-N windows
     and one file-change aggregate, joined on the session key.
     """
     facts = session_facts(messages, key, prices)

@@ -46,6 +46,23 @@ def carry_forward(df: DataFrame, part: list[str], order: str, value: str, out: s
              .drop("_chunk", "_cf_in"))
 
 
+def carry_many(df: DataFrame, part: list[str], order: str, values: dict[str, str], backwards: bool = False,
+               bits: int | None = None) -> DataFrame:
+    """W2 for several columns in one pass: each ``out`` = last non-null value of its column at or before the row
+    (``backwards``: first at or after it), in ``order`` within ``part``. An output may replace a column of its name."""
+    d = _with_chunk(df, order, bits)
+    keys = [*part, "_chunk"]
+    pick = F.min_by if backwards else F.max_by
+    summ = d.groupBy(*keys).agg(*[pick(F.col(v), F.when(F.col(v).isNotNull(), F.col(order))).alias(f"_cm_{o}") for o, v in values.items()])
+    chunk, row = (F.desc("_chunk"), F.desc(order)) if backwards else (F.asc("_chunk"), F.asc(order))
+    w_prev = Window.partitionBy(*part).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.select(*keys, *[F.last(f"_cm_{o}", ignorenulls=True).over(w_prev).alias(f"_cm_{o}") for o in values])
+    w_row = Window.partitionBy(*keys).orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
+    out = d.join(summ, keys, "left").withColumns(
+        {o: F.coalesce(F.last(F.col(v), ignorenulls=True).over(w_row), F.col(f"_cm_{o}")) for o, v in values.items()})
+    return out.drop("_chunk", *[f"_cm_{o}" for o in values])
+
+
 def next_row(df: DataFrame, part: list[str], order: str, cols: list[str], out: str,
              bits: int | None = None) -> DataFrame:
     """``out`` = struct of ``cols`` of the next row in ``order`` within ``part`` (null on the last row)."""
