@@ -226,7 +226,7 @@ def head_meta(spark, sf):
     _, m = _conv(spark, sf)
     h = SS.head_meta(m)
     return h.select("session_id", F.date_format("first_timestamp", "yyyy-MM-dd HH:mm:ss").alias("first_timestamp"),
-                    "cwd", "version", "git_branch", F.length("first_user_text").cast("bigint").alias("preview_len"),
+                    "cwd", "version", "git_branch", F.sha2("first_user_text", 256).alias("preview_sha256"),
                     "head_model")
 
 
@@ -702,7 +702,7 @@ def stale_notes(spark, sf):
     """SURVEY A26 A27 A30 J9 J10 K13."""
     r = NT.sync_notes(document_notes(spark, sf).drop("doc_id"), concept_docs(spark, sf))
     return r.select("concept", "path", F.col("status_date").cast("string").alias("status_date"), "skipped",
-                    "skip_reason", F.length("new_doc").cast("bigint").alias("new_doc_len"))
+                    "skip_reason", F.sha2("new_doc", 256).alias("new_doc_sha256"))
 
 
 # ---------------------------------------------------------------- exports
@@ -920,3 +920,36 @@ def search_regex_groups(spark, sf):
     _, m = _conv(spark, sf)
     hits = S.search(m, [r"(?P<c>[eé])(n|r)(?P=c)\w", r"([aeé])n\1|\b\w+é\b"], regex=True, context_chars=10)
     return hits.select(*SEARCH_COLS)
+
+
+@query("filtered_sessions")
+def filtered_sessions(spark, sf):
+    """SURVEY P1 P2 (both bounds)."""
+    s, _ = _conv(spark, sf)
+    s = J.filter_modified(J.filter_project(s, "PROJ3"), after="2024-01-05", before="2024-01-25")
+    return s.select("session_id", "project_dir", F.date_format("modified_time", "yyyy-MM-dd HH:mm:ss").alias("modified_time"))
+
+
+@query("formatted_values")
+def formatted_values(spark, sf):
+    """SURVEY F11 F12."""
+    from lumenlog.functions import timefmt as TF
+
+    d = T.table(spark, sf, "documents")
+    n = F.coalesce("n_chars", F.lit(0)).cast("bigint")
+    usd = (n * 17 % 40_000_000).cast("double") / 8192
+    model = F.expr(T.pick_sql("doc_id % 5", [*T.BOUND_MODELS[:4], ""]))
+    return d.select("doc_id", TF.fmt_tokens(n * 997).alias("tokens"), TF.fmt_size(n * 1013).alias("size"),
+                    TF.fmt_duration(F.when(F.col("doc_id") % 7 != 0, F.col("doc_id") * 37)).alias("duration"), TF.fmt_cost(usd).alias("cost"),
+                    TF.compact_cost(usd).alias("compact"), TF.short_model(model).alias("model"),
+                    TF.preview(F.concat(F.lit(" ["), F.coalesce("text", F.lit("")), F.lit("]")), 60).alias("preview"))
+
+
+@query("cjk_terms")
+def cjk_terms(spark, sf):
+    """SURVEY F9 (runs of up to 8 ideographs put into the texts, stop characters among them)."""
+    from lumenlog.functions.text import cjk_ngrams
+
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("the"), F.lit("研究方向的")), F.lit("en"), F.lit("系统"))
+    grams = T.table(spark, sf, "documents").select(F.explode(cjk_ngrams(text)).alias("gram"))
+    return grams.groupBy("gram").agg(F.count(F.lit(1)).cast("bigint").alias("n"))

@@ -296,7 +296,7 @@ SELECT session_id, cwd, CASE WHEN n_cwd > 0 THEN b1 ELSE b2 END AS git_branch,
        CASE WHEN n_cwd > 0 THEN v1 ELSE v2 END AS version FROM ctx""")
 q("head_meta", f"""WITH {MSG}, {HEAD}
 SELECT session_id, strftime(first_timestamp, '%Y-%m-%d %H:%M:%S') AS first_timestamp, cwd, version, git_branch,
-       CAST(length(first_user_text) AS BIGINT) AS preview_len, head_model FROM head""")
+       sha256(first_user_text) AS preview_sha256, head_model FROM head""")
 
 
 def _lit_ci(term: str) -> str:
@@ -854,7 +854,8 @@ SELECT concept, path, CAST(status_date AS VARCHAR) AS status_date,
        CASE WHEN doc IS NULL THEN 'concept document missing'
             WHEN status_date <= last_day THEN 'up to date (trail ends ' || CAST(last_day AS VARCHAR) || ')' ELSE '' END AS skip_reason,
        CASE WHEN doc IS NULL OR status_date <= last_day THEN NULL
-            ELSE CAST(length(doc) + length('- **2024-01-01** [CLAUDE.md] — ') + length(summary) + 1 AS BIGINT) END AS new_doc_len
+            ELSE sha256(replace(doc, '** [[x]]' || chr(10), '** [[x]]' || chr(10) || '- **' || CAST(status_date AS VARCHAR)
+                        || '** [CLAUDE.md] — ' || summary || chr(10))) END AS new_doc_sha256
 FROM j""")
 
 
@@ -1287,3 +1288,31 @@ ds AS (SELECT s.session_id, coalesce(strftime(c.first_ts, '%Y-%m-%d'), 'unknown'
 di AS (SELECT ds.date, kind, item, min((so_t, session_id, obs_date, line_no)) AS fo
        FROM items JOIN ds USING (session_id) GROUP BY 1, 2, 3)
 SELECT date, kind, row_number() OVER (PARTITION BY date, kind ORDER BY fo, item) AS ord, item FROM di""")
+
+
+# ---------------------------------------------------------------- filters and formats
+q("filtered_sessions", f"""WITH {MSG}, {SES}
+SELECT session_id, project_dir, strftime(modified_time, '%Y-%m-%d %H:%M:%S') AS modified_time FROM ses
+WHERE contains(lower(project_dir), 'proj3') AND modified_time BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25'""")
+q("formatted_values", f"""WITH v AS (
+  SELECT doc_id, CAST(coalesce(n_chars, 0) AS BIGINT) * 997 AS t, CAST(coalesce(n_chars, 0) AS BIGINT) * 1013 AS b,
+         CASE WHEN doc_id % 7 <> 0 THEN doc_id * 37 END AS s, CAST(coalesce(n_chars, 0) * 17 % 40000000 AS DOUBLE) / 8192 AS u,
+         CASE doc_id % 5 WHEN 0 THEN 'Opus' WHEN 1 THEN 'Sonnet-20260101' WHEN 2 THEN 'Haiku' WHEN 3 THEN 'gpt-local-7b' ELSE '—' END AS model,
+         {strip_sql("replace(replace(replace(replace(' [' || coalesce(text, '') || ']', chr(10), ' '), chr(13), ''), '[', '❲'), ']', '❳')")} AS p
+  FROM documents)
+SELECT doc_id,
+  CASE WHEN t >= 1000000 THEN format('{{:.1f}}M', t / 1e6) WHEN t >= 1000 THEN format('{{:.0f}}K', t / 1e3) ELSE CAST(t AS VARCHAR) END AS tokens,
+  CASE WHEN b >= 1048576 THEN format('{{:.1f}} MB', b / 1048576.0::DOUBLE) WHEN b >= 1024 THEN format('{{:.0f}} KB', b / 1024.0::DOUBLE) ELSE b || ' B' END AS size,
+  CASE WHEN s IS NULL THEN '—' WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm'
+       ELSE (s // 3600) || 'h' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || 'm' END AS duration,
+  CASE WHEN u >= 1 THEN format('${{:.2f}}', u) WHEN u >= 0.001 THEN format('${{:.4f}}', u) ELSE format('${{:.6f}}', u) END AS cost,
+  CASE WHEN u >= 1000 THEN format('{{:.1f}}K', u / 1000) WHEN u >= 1 THEN format('{{:.0f}}', u) ELSE format('{{:.2f}}', u) END AS compact,
+  model, CASE WHEN length(p) <= 60 THEN p ELSE substring(p, 1, 59) || '…' END AS preview
+FROM v""")
+q("cjk_terms", """WITH r AS (
+  SELECT unnest(regexp_extract_all(replace(replace(coalesce(text, ''), 'the', '研究方向的'), 'en', '系统'), '[一-鿿]{2,8}')) AS run FROM documents),
+c AS (SELECT regexp_replace(run, '[的了是在我他你这那和也就都而及与着被地得到说要会没有人上下来去对不]', '', 'g') AS s FROM r),
+g AS (SELECT unnest(list_concat(list_transform(range(1, length(s)), lambda i : substring(s, CAST(i AS BIGINT), 2)),
+                                list_transform(range(1, length(s) - 1), lambda i : substring(s, CAST(i AS BIGINT), 3)))) AS gram
+      FROM c WHERE length(s) >= 2)
+SELECT gram, count(*) AS n FROM g GROUP BY 1""")
