@@ -82,3 +82,11 @@ def test_operator_matches_brute_force(spark, width, limit):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert B.remove_repeats(docs).collect() == []
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(4)
+    long = "".join(rnd.choice("abcdefgh ") for _ in range(300_000))  # more than two blocks of windows
+    docs = spark.createDataFrame([(1, "ab" * 100_000), (2, long), (3, "x" + long), (4, long[1000:1500] + "!"), (5, long[::-1])], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in B.remove_repeats(docs).collect()}
+    assert got == {1: (200_000, 200_000, 1), 2: (300_000, 300_000, 1), 3: (300_001, 300_000, 1), 4: (501, 500, 1), 5: (300_000, 0, 0)}

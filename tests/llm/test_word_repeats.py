@@ -80,3 +80,12 @@ def test_tree_gives_the_least_owner_of_each_window():
 
 def test_empty_table(spark):
     assert W.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(4)
+    words = [f"w{rnd.randrange(5000)}" for _ in range(200_000)]  # more than a block of windows
+    long = " ".join(words)
+    docs = spark.createDataFrame([(1, "a " * 100_000), (2, long), (3, "x " + long), (4, " ".join(words[10:30]))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in W.remove_repeats(docs).collect()}
+    assert got == {1: (100_000, 0), 2: (200_000, 0), 3: (200_001, 200_000), 4: (20, 20)}
