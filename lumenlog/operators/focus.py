@@ -110,10 +110,16 @@ def focus_spikes(sessions: DataFrame, messages: DataFrame, as_of: str, hours: in
     """candidates = top 2n recent terms; uplift = recent rate / baseline rate,
     rates per session (session counts floored at 1); 10x the recent rate when the
     baseline rate is 0. Ordered by uplift (desc), then recent order."""
+    counts = focus_counts(sessions, messages, as_of, hours, user_only, key, **stops)
+    return spikes_of(counts, sessions, as_of, hours, top_n, key)
+
+
+def spikes_of(counts: DataFrame, sessions: DataFrame, as_of: str, hours: int = 24, top_n: int = 20,
+              key: str = "session_id") -> DataFrame:
+    """A21 from the term counts (``focus_counts``), so the texts are tokenized once for all focus tables."""
     flags = recent_flag(sessions, as_of, hours, key)
     n_recent = F.greatest(flags.select(F.sum(F.when(F.col("is_recent"), 1).otherwise(0))).scalar(), F.lit(1))
     n_all = F.greatest(flags.select(F.count(F.lit(1))).scalar(), F.lit(1))
-    counts = term_counts(messages.join(flags, key, "inner"), user_only, recent=F.col("is_recent"), **stops)
     cand = counts.where(F.col("recent_count") > 0).orderBy(F.desc("recent_count"), F.asc("term")).limit(2 * top_n)
     r_rate = F.col("recent_count") / n_recent
     b_rate = F.col("count") / n_all

@@ -783,11 +783,13 @@ def digest_documents(spark, sf):
 def focus_document(spark, sf):
     """SURVEY K12."""
     s, m = _conv(spark, sf)
-    c = FO.focus_counts(s, m, FOCUS_AS_OF, FOCUS_HOURS, stop_en=FOCUS_STOP)
+    from lumenlog.sources.jsonl import materialize
+
+    c = materialize(FO.focus_counts(s, m, FOCUS_AS_OF, FOCUS_HOURS, stop_en=FOCUS_STOP), "terms")
     recent = FO.focus_report(c, 20, "recent_count").withColumnRenamed("recent_count", "count_r") \
         .drop("count").withColumnRenamed("count_r", "count")
-    base = FO.focus_report(FO.term_counts(m, stop_en=FOCUS_STOP), 20)
-    spikes = FO.focus_spikes(s, m, FOCUS_AS_OF, FOCUS_HOURS, 15, stop_en=FOCUS_STOP)
+    base = FO.focus_report(c, 20)
+    spikes = FO.spikes_of(c, s, FOCUS_AS_OF, FOCUS_HOURS, 15)
     flags = FO.recent_flag(s, FOCUS_AS_OF, FOCUS_HOURS)
     scanned = FO.filter_focus_text(m.join(flags, "session_id")).agg(
         F.sum(F.when(F.col("is_recent"), 1).otherwise(0)).cast("bigint").alias("recent_messages"),

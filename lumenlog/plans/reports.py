@@ -14,7 +14,7 @@ from lumenlog.operators import focus as FO
 from lumenlog.operators import search as S
 from lumenlog.operators import sessions as SS
 from lumenlog.operators import usage as U
-from lumenlog.sources.jsonl import filter_project
+from lumenlog.sources.jsonl import filter_project, materialize
 
 
 def stats_report(sessions: DataFrame, messages: DataFrame, by: str = "project", top_n: int | None = 10,
@@ -43,10 +43,10 @@ def weekly_report(sessions: DataFrame, messages: DataFrame, key: str = "session_
 def focus_reports(sessions: DataFrame, messages: DataFrame, as_of: str, hours: int = 24, top_n: int = 20,
                   user_only: bool = True, key: str = "session_id", **stops) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(recent top terms, baseline top terms, spikes) -- the three focus tables."""
-    counts = FO.focus_counts(sessions, messages, as_of, hours, user_only, key, **stops)
+    counts = materialize(FO.focus_counts(sessions, messages, as_of, hours, user_only, key, **stops), "terms")
     recent = FO.focus_report(counts.select("term", F.col("recent_count").alias("count")), top_n)
     baseline = FO.focus_report(counts.select("term", "count"), top_n)
-    spikes = FO.focus_spikes(sessions, messages, as_of, hours, top_n, user_only, key, **stops)
+    spikes = FO.spikes_of(counts, sessions, as_of, hours, top_n, key)
     return recent, baseline, spikes
 
 
