@@ -24,12 +24,12 @@ from lumenlog.llm.anchors import runs
 from lumenlog.llm.common import groups_by_size, materialize, row_key, sorted_groups, whole_text
 
 WIDTH = 13
-#: words of an anchor, as a share of the width
-ANCHOR_SHARE = 0.4
+#: words of an anchor, as a share of the width: shorter ones are fewer (2 in 14 - k words) but shared by more texts
+ANCHOR_SHARE = 0.32
 #: words of the first prefix that splits a large anchor, as a share of the width
 PREFIX_SHARE = 0.6
-#: distinct contexts of one anchor that one task holds in a tree
-GROUP_LIMIT = 20_000
+#: distinct contexts of one anchor that one task holds in a tree (about 100 MB)
+GROUP_LIMIT = 50_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -37,8 +37,8 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8").split()
 
 
-def occurrences(docs: DataFrame, width: int, k: int) -> DataFrame:
-    """(h, c, _id, _th, start, n): the runs of all texts."""
+def occurrences(docs: DataFrame, width: int, k: int, places: bool = True) -> DataFrame:
+    """(h, c, _id, _th, start, n): the runs of all texts; without ``places`` (h, c, _id) only."""
     def run(batches):
         known: dict[bytes, int] = {}
         for b in batches:
@@ -58,10 +58,11 @@ def occurrences(docs: DataFrame, width: int, k: int) -> DataFrame:
             if found:
                 at = pa.array(np.concatenate(row))
                 h, c, start, n = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), b.column(0).take(at), b.column(1).take(at),
-                     pa.array(start.astype(np.int32)), pa.array(n.astype(np.int16))], names=["h", "c", "_id", "_th", "start", "n"])
-    return docs.mapInArrow(run, "h long, c long, _id long, _th int, start int, n short")
+                cols = [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), b.column(0).take(at)]
+                if places:
+                    cols += [b.column(1).take(at), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int16))]
+                yield pa.RecordBatch.from_arrays(cols, names=["h", "c", "_id", "_th", "start", "n"][:len(cols)])
+    return docs.mapInArrow(run, "h long, c long, _id long" + ", _th int, start int, n short" * places)
 
 
 def window_owners(contexts: list[tuple[list[bytes], int]], width: int) -> list[np.ndarray]:
@@ -179,11 +180,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, group_limit: int = GROUP
     columns are ignored."""
     keyed = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("_t"))
     known_id = keyed.where("doc_id IS NOT NULL").select("_id", "_th", "_t")
-    found = occurrences(known_id, width, max(1, int(width * ANCHOR_SHARE)))
-    anchors = found.groupBy("h").agg(F.min("_id").alias("low"), F.max("_id").alias("high"), F.min("c").alias("a"), F.max("c").alias("b")).where(
+    k = max(1, int(width * ANCHOR_SHARE))
+    anchors = occurrences(known_id, width, k, places=False).groupBy("h").agg(F.min("_id").alias("low"), F.max("_id").alias("high"), F.min("c").alias("a"), F.max("c").alias("b")).where(
         "low < high").select("h", "low", F.expr("a <> b").alias("mixed"))
-    hits = found.join(materialize(anchors, "anchors"), "h").where("mixed OR _id > low")
-    spans = hits.groupBy("_id", "_th").agg(F.collect_set(F.struct("start", "n", "h", "c", "mixed")).alias("spans"))
+    hits = occurrences(known_id, width, k).join(materialize(anchors, "anchors"), "h").where("mixed OR _id > low")
+    # where all contexts are the same the hashes have done their work
+    hashes = [F.when(F.col("mixed"), F.col(x)).alias(x) for x in ("h", "c")]
+    spans = hits.groupBy("_id", "_th").agg(F.collect_set(F.struct("start", "n", *hashes, "mixed")).alias("spans"))
     texts = materialize(known_id.join(spans, ["_id", "_th"]), "texts")
 
     mixed = F.filter("spans", lambda s: s["mixed"])
