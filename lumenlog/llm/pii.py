@@ -88,9 +88,13 @@ def letters(word: Column, digest: Column, skip: int = 0) -> Column:
     return F.array_join(F.transform(F.split(word, ""), one), "")
 
 
-def surrogate(canon: Column, kind: Column, attempt: Column, key: str) -> Column:
-    """The canonical form of the surrogate."""
-    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string")), 256)
+def keyed(canon: Column, kind: Column, attempt: Column, key: str) -> Column:
+    """The digest an entity's surrogate is made of."""
+    return F.sha2(F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string")), 256)
+
+
+def surrogate(canon: Column, kind: Column, attempt: Column, digest: Column, key: str) -> Column:
+    """The canonical form of the surrogate; ``digest``: keyed()."""
     fill = other_digits(digest)
     # e-mail: local part and domain labels apart, so one domain stays one domain; the last label is reserved for examples
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
@@ -129,10 +133,15 @@ def in_format(m: Column, kind: Column, other: Column) -> Column:
             .when(kind == "name", F.concat(title, F.substr(other, F.lit(3), F.length(other)))).otherwise(shaped))
 
 
+def _mentions(matches: Column) -> Column:
+    """Array of (m, kind, canon). Step by step, so that what is used often is computed once a mention."""
+    kinds = F.transform(matches, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
+    return F.transform(kinds, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), canonical(s["m"], s["kind"]).alias("canon")))
+
+
 def _entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, _th, kind, canon), distinct per document."""
-    found = F.transform(F.regexp_extract_all(whole_text(text_col), F.lit(ANY), F.lit(0)),
-                        lambda m: F.struct(kind_of(m).alias("kind"), canonical(m, kind_of(m)).alias("canon")))
+    found = F.transform(_mentions(F.regexp_extract_all(whole_text(text_col), F.lit(ANY), F.lit(0))), lambda s: F.struct(s["kind"], s["canon"]))
     return docs.select(*row_key(id_col, text_col), F.explode(F.array_distinct(found)).alias("e")).select("_id", "_th", "e.*")
 
 
@@ -141,7 +150,8 @@ def collision_exceptions(entities: DataFrame, key: str) -> DataFrame:
     settled = materialize(entities.select("kind", "canon").distinct().withColumn("attempt", F.lit(0)), "entities")
     real = settled.select("kind", F.col("canon").alias("s"))
     for _ in range(MAX_ROUNDS):
-        drawn = settled.withColumn("s", surrogate(F.col("canon"), F.col("kind"), F.col("attempt"), key))
+        drawn = settled.withColumn("digest", keyed(F.col("canon"), F.col("kind"), F.col("attempt"), key)).withColumn(
+            "s", surrogate(F.col("canon"), F.col("kind"), F.col("attempt"), F.col("digest"), key)).drop("digest")
         # of those that share a surrogate, one keeps it: the one drawn earliest, then the least
         keeper = drawn.groupBy("kind", "s").agg(F.min(F.struct("attempt", "canon")).alias("k"), F.count(F.lit(1)).alias("n"))
         shared = (drawn.join(keeper.where("n > 1"), ["kind", "s"]).where("struct(attempt, canon) <> k").select("kind", "canon"))
@@ -172,14 +182,16 @@ def pii_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     rows = rows.withColumn("_t", F.col("_row")[text_col]).select(
         "_row", "_again", F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("_m"), F.split(text, ANY, -1).alias("_p"))
 
-    def replaced(m):
-        kind = kind_of(m)
-        canon = canonical(m, kind)
-        attempt = F.coalesce(F.element_at("_again", F.concat_ws("|", kind, canon)), F.lit(0))
-        return in_format(m, kind, surrogate(canon, kind, attempt, key))
-    new = F.transform("_m", replaced)
+    rows = rows.withColumn("_m", _mentions(F.col("_m")))
+    tried = F.transform("_m", lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), s["canon"].alias("canon"), F.coalesce(
+        F.element_at("_again", F.concat_ws("|", s["kind"], s["canon"])), F.lit(0)).alias("attempt")))
+    drawn = F.transform(tried, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), s["canon"].alias("canon"), s["attempt"].alias(
+        "attempt"), keyed(s["canon"], s["kind"], s["attempt"], key).alias("digest")))
+    named = F.transform(drawn, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), surrogate(
+        s["canon"], s["kind"], s["attempt"], s["digest"], key).alias("other")))
+    new = F.transform(named, lambda s: in_format(s["m"], s["kind"], s["other"]))
     clean = F.array_join(F.zip_with("_p", new, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    kinds = F.transform("_m", kind_of)
+    kinds = F.transform("_m", lambda s: s["kind"])
 
     def count(name):
         return F.size(F.filter(kinds, lambda k: k == name)).cast("long").alias(f"_n_{name}")
