@@ -38,7 +38,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def occurrences(docs: DataFrame, width: int, k: int, places: bool = True) -> DataFrame:
-    """(h, c, _id, _th, start, n): the runs of all texts; without ``places`` (h, c, _id) only."""
+    """(h, c, _id, _th, at): the runs of all texts, at = first window * 65536 + windows; without ``places`` (h, c, _id) only."""
     def run(batches):
         known: dict[bytes, int] = {}
         for b in batches:
@@ -60,9 +60,9 @@ def occurrences(docs: DataFrame, width: int, k: int, places: bool = True) -> Dat
                 h, c, start, n = (np.concatenate(x) for x in zip(*found))
                 cols = [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), b.column(0).take(at)]
                 if places:
-                    cols += [b.column(1).take(at), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int16))]
-                yield pa.RecordBatch.from_arrays(cols, names=["h", "c", "_id", "_th", "start", "n"][:len(cols)])
-    return docs.mapInArrow(run, "h long, c long, _id long" + ", _th int, start int, n short" * places)
+                    cols += [b.column(1).take(at), pa.array(start.astype(np.int64) * 65536 + n)]
+                yield pa.RecordBatch.from_arrays(cols, names=["h", "c", "_id", "_th", "at"][:len(cols)])
+    return docs.mapInArrow(run, "h long, c long, _id long" + ", _th int, at long" * places)
 
 
 def window_owners(contexts: list[tuple[list[bytes], int]], width: int) -> list[np.ndarray]:
@@ -186,7 +186,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, group_limit: int = GROUP
     hits = occurrences(known_id, width, k).join(materialize(anchors, "anchors"), "h").where("mixed OR _id > low")
     # where all contexts are the same the hashes have done their work
     hashes = [F.when(F.col("mixed"), F.col(x)).alias(x) for x in ("h", "c")]
-    spans = hits.groupBy("_id", "_th").agg(F.collect_set(F.struct("start", "n", *hashes, "mixed")).alias("spans"))
+    spans = hits.groupBy("_id", "_th").agg(F.collect_set(F.struct(
+        F.expr("CAST(at div 65536 AS INT)").alias("start"), F.expr("CAST(at % 65536 AS INT)").alias("n"), *hashes, "mixed")).alias("spans"))
     texts = materialize(known_id.join(spans, ["_id", "_th"]), "texts")
 
     mixed = F.filter("spans", lambda s: s["mixed"])
@@ -197,7 +198,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, group_limit: int = GROUP
             .select("_id", "_th", (F.col("start") + F.col("at")).alias("start"), F.transform("lows", lambda x: x < F.col("_id")).alias("on"))
             .where("exists(on, x -> x)").groupBy("_id", "_th").agg(F.collect_set(F.struct("start", "on")).alias("known")))
     whole = F.transform(F.filter("spans", lambda s: ~s["mixed"]), lambda s: F.struct(s["start"], s["n"]))
-    todo = texts.dropDuplicates(["_id", "_th"]).select("_id", "_th", "_t", whole.alias("whole")).join(lost, ["_id", "_th"], "left")
+    todo = texts.select("_id", "_th", "_t", whole.alias("whole")).dropDuplicates(["_id", "_th"]).join(lost, ["_id", "_th"], "left")
 
     def cut(batches):
         for b in batches:
