@@ -58,6 +58,7 @@ def occurrences(docs: DataFrame, width: int, k: int, places: bool = True) -> Dat
             if found:
                 at = pa.array(np.concatenate(row))
                 h, c, start, n = (np.concatenate(x) for x in zip(*found))
+                c = c if places else c >> np.uint64(16)  # counted only: 48 bits tell an anchor's contexts apart
                 cols = [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), b.column(0).take(at)]
                 if places:
                     cols += [b.column(1).take(at), pa.array(start.astype(np.int64) * 65536 + n)]
