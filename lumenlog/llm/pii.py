@@ -21,8 +21,16 @@ EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9+])[3-6](?:[0-9]{12,18}|[0-9]{3}(?:[ -][0-9]{4}){3})(?![0-9])"
-PHONE = (r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])"
-         r"|(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
+NATIONAL = r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+#: +1 and 3-3-4 digits, other international numbers, national ones. No group is the start of an entity of its own, and a last
+#: group set apart makes no more than the 15 digits of E.164
+_D = "(?:[0-9][ .()-]{0,2})"
+_OTHER = f"(?!{EMAIL}|{IPV4}|{CARD})"
+_NEXT = f"(?!{EMAIL}|{IPV4}|{CARD}|{SSN}|{NATIONAL})"
+PHONE = (r"\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+         rf"|\+[0-9]{{1,3}}[ .-]?\(?[0-9]{{2,4}}\)?[ .-]?{_OTHER}[0-9]{{2,4}}[ .-]?{_NEXT}[0-9]{{2,4}}"
+         rf"(?:[0-9]{{2,4}}|[ .-]{_NEXT}[0-9]{{2,4}}(?<!\+{_D * 15}(?:{_D}(?:{_D}{_D}?)?)?[0-9]))?(?![0-9])"
+         rf"|{NATIONAL}")
 NAME = rf"(?<!\p{{L}}){TITLE} \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
 ANY = "|".join([EMAIL, IPV4, SSN, CARD, PHONE, NAME])
 KINDS = ["email", "ip", "ssn", "card", "phone", "name"]

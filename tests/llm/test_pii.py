@@ -67,3 +67,36 @@ def test_distinct_entities_keep_distinct_surrogates(spark):
     key2 = P.pii_surrogates(docs, "k2").select("_clean").collect()
     assert sorted(r[0] for r in key2) == sorted(got)
     assert P.pii_surrogates(docs, "k3").where(F.col("_clean").isin(got)).count() < len(texts)
+
+
+def test_a_phone_ends_where_another_number_starts(spark):
+    after = ["190.137.223.204", "4445 5132 5188 9405", "4445513251889405", "123-45-6789", "642-555-8067", "42bob@x.org", "2024", "12 of them"]
+    texts = [f"{phone} {other}" for phone in ("+1 (826) 555-4081", "+44 20 7946 0958") for other in after] + ["+1 (826) 555-4081", "+44 20 7946 0958"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(P.pii_surrogates(docs, "k").collect())
+    alone = {phone: got[-2 + i]._clean for i, phone in enumerate(("+1 (826) 555-4081", "+44 20 7946 0958"))}
+    for r in got[:-2]:
+        phone = next(p for p in alone if r.text.startswith(p))
+        rest = r.text[len(phone) + 1:]
+        if rest == "12 of them" and phone.startswith("+44"):  # 14 digits: may well be the number's own
+            assert r._n_phone == 1
+            continue
+        assert r._clean.startswith(alone[phone] + " "), r.text
+        new = r._clean[len(phone) + 1:]
+        if rest in ("2024", "12 of them"):
+            assert new == rest
+        else:
+            assert not set(re.findall(r"\d{3,}|@x", rest)) & set(re.findall(r"\d{3,}|@x", new)), r
+    kinds = ["ip", "card", "card", "ssn", "phone", "email"]
+    for i, kind in enumerate(kinds):
+        for at in (i, len(after) + i):
+            assert getattr(got[at], f"_n_{kind}") == (2 if kind == "phone" else 1) and got[at]._n_phone >= 1
+
+
+def test_phones_of_many_shapes_go_whole(spark):
+    texts = ["+49 30 1234 567 89", "+1.642.555.8067", "+16425558067", "+44 20.79.46.95", "+1-(642)-555-8067", "+1 642 555 80671",
+             "+442079460958", "+1234567890123456789", "+49 30 123-45-6789", "(642) 555-8067", "642.555.8067"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in P.pii_surrogates(docs, "k").collect():
+        assert r._n_phone == 1 and re.sub(r"\d", "9", r._clean) == re.sub(r"\d", "9", r.text)
+        assert r._clean[4:] != r.text[4:]
