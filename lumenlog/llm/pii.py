@@ -1,8 +1,9 @@
 """PII surrogates from built-in expressions: keyed, type-consistent, distinct and coreferent.
 
-Entities (e-mail, IPv4, phone, card, social security number, titled person name) are found by one pattern. An entity's canonical
-form (digits only, lower case, ...) and a secret key give a digest, and the digest the surrogate, so equal entities
-get equal surrogates in all documents without any lookup. Only the distinct entities are shuffled, to check that no two share a
+Entities (e-mail, IPv4, phone, card, social security number, titled person name) are found by one pattern, and a document's full
+names also where they stand without a title. An entity's canonical form (digits only, lower case, ...) and a secret key give a
+digest, and the digest the surrogate, so equal entities get equal surrogates in all documents without any lookup. The words of a
+name are entities of their own, given names and surnames apart, so names that share a surname share its surrogate. Only the distinct entities are shuffled, to check that no two share a
 surrogate and that none is another real entity; those that do are drawn again, and just these few exceptions are joined back.
 Texts are rewritten in place: the pieces between the matches with the surrogates between them.
 """
@@ -16,7 +17,15 @@ from lumenlog.llm.common import materialize, row_key, whole_text
 
 MALE = ["Mr", "Sir", "Herr", "Herrn", "Señor", "Monsieur", "Г-н", "Κύριος"]
 FEMALE = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Madame", "Mme", "Г-жа", "Κυρία"]
-TITLE = "(?:" + "|".join(sorted(MALE + FEMALE, key=len, reverse=True)) + r")\.?"
+NEUTRAL = ["Dr", "Prof"]
+
+
+def _titles(titles: list[str]) -> str:
+    return "(?:" + "|".join(sorted({*titles, *(t.upper() for t in titles)}, key=lambda t: (-len(t), t))) + r")\.?"
+
+
+TITLE = _titles(MALE + FEMALE + NEUTRAL)
+TITLES = f"(?:{TITLE} )"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
@@ -31,7 +40,12 @@ PHONE = (r"\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
          rf"|\+[0-9]{{1,3}}[ .-]?\(?[0-9]{{2,4}}\)?[ .-]?{_OTHER}[0-9]{{2,4}}[ .-]?{_NEXT}[0-9]{{2,4}}"
          rf"(?:[0-9]{{2,4}}|[ .-]{_NEXT}[0-9]{{2,4}}(?<!\+{_D * 15}(?:{_D}(?:{_D}{_D}?)?)?[0-9]))?(?![0-9])"
          rf"|{NATIONAL}")
-NAME = rf"(?<!\p{{L}}){TITLE} \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
+#: a word of a name: inner capitals, hyphens and apostrophes are its own, a possessive 's is not
+WORD = (r"(?:\p{Lu}\.-?)*+(?:\p{Lu}['’]\p{L}|\p{Lu})[\p{L}\p{M}]++"
+        r"(?:-\p{L}[\p{L}\p{M}]*+|['’](?!S(?!\p{L}))\p{Lu}[\p{L}\p{M}]*+)*+")
+INITIAL = r"(?:(?:\p{Lu}\.-?)++|\p{Lu})(?= \p{Lu})"
+_PART = rf"(?:{INITIAL} )*+(?!{TITLES}){WORD}"
+NAME = rf"(?<!\p{{L}})(?=\p{{Lu}}){TITLES}++{_PART}(?: (?!{TITLES}){_PART})*+"
 ANY = "|".join([EMAIL, IPV4, SSN, CARD, PHONE, NAME])
 KINDS = ["email", "ip", "ssn", "card", "phone", "name"]
 #: syllables of made-up names, by script
@@ -42,9 +56,12 @@ SYLLABLES = {"latin": "ba be bi bo da de di do fa fe fi fo ga ge gi go ka ke ki
              "greek": "βα βε βι βο γα γε γι γο δα δε δι δο ζα ζε ζι ζο θα θε θι θο κα κε κι κο λα λε λι λο μα με μι μο "
                       "να νε νι νο πα πε πι πο ρα ρε ρι ρο σα σε σι σο τα τε τι το φα φε φι φο χα χε χι χο ξα ξε ξι ξο".split()}
 ENDINGS = {"latin": ("a", "o"), "cyrillic": ("а", "он"), "greek": ("α", "ος")}
+#: kinds of the words of a name
+WORDS = ["given", "surname"]
 MAX_ROUNDS = 20
 #: from this attempt on a surrogate is made longer, so that even a tiny space of forms runs out of collisions
 LONGER = 3
+CYRILLIC, GREEK = r"^\p{IsCyrillic}", r"^\p{IsGreek}"
 
 
 def kind_of(m: Column) -> Column:
@@ -57,17 +74,36 @@ def digits_of(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
-def is_female(m: Column) -> Column:
-    return m.rlike("^(?:" + "|".join(FEMALE) + r")\.? ")
+def untitled(m: Column) -> Column:
+    return F.regexp_replace(m, f"^{TITLES}+", "")
+
+
+def gender(m: Column) -> Column:
+    """f, m, or n for unknown, by the titles."""
+    titles = F.regexp_extract(m, f"^{TITLES}*", 0)
+    return F.when(titles.rlike(f"(^| ){_titles(FEMALE)} "), "f").when(titles.rlike(f"(^| ){_titles(MALE)} "), "m").otherwise("n")
+
+
+def folded(name: Column) -> Column:
+    return F.lower(F.translate(name, "’", "'"))
 
 
 def canonical(m: Column, kind: Column) -> Column:
-    """What makes two mentions the same entity."""
-    name = F.concat(F.when(is_female(m), "f:").otherwise("m:"), F.regexp_replace(m, f"^{TITLE} ", ""))
-    return (F.when(kind == "email", F.lower(m)).when(kind == "ip", m).when(kind == "name", name)
+    """What makes two mentions the same entity; names: see words()."""
+    return (F.when(kind == "email", F.lower(m)).when(kind == "ip", m)
             .when(m.startswith("+"), F.concat(F.lit("+"), digits_of(m))).otherwise(digits_of(m)))
 
 
+def written_words(m: Column) -> Column:
+    return F.split(F.regexp_replace(untitled(m), r"\.-?(?=\p{L})", ". "), " ")
+
+
+def words(written: Column) -> Column:
+    """Array of (kind, canon, as written): the words of a name, the last one its surname."""
+    return F.transform(written, lambda w, i: F.struct(
+        F.when(i == F.size(written) - 1, "surname").otherwise("given").alias("kind"), folded(w).alias("canon"), w.alias("w")))
+
+
 def number(digest: Column, at: int, size: int = 4) -> Column:
     """``size`` hex digits of the digest as a number."""
     return F.conv(F.substr(digest, F.lit(at + 1), F.lit(size)), 16, 10).cast("long")
@@ -114,49 +150,72 @@ def surrogate(canon: Column, kind: Column, attempt: Column, digest: Column, key:
     code = F.when(canon.rlike("^[+][17]"), 2).when(canon.startswith("+"), 3).otherwise(0)
     phone = F.concat(F.substr(canon, F.lit(1), code), F.substr(fill, F.lit(1), F.length(canon) - code))
     body = F.concat(F.substr(canon, F.lit(1), F.lit(1)), F.substr(fill, F.lit(1), F.length(canon) - 2))
-    female = canon.startswith("f:")
-
-    def word(w, at):
-        def spell(script):
-            table, end = F.array(*map(F.lit, SYLLABLES[script])), ENDINGS[script]
-            n = F.when(attempt >= LONGER, 5).otherwise(3)
-            parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(table, (F.conv(F.substr(
-                digest, i * 4 + at * 22 + 1, F.lit(4)), 16, 10).cast("int") % len(SYLLABLES[script]) + 1)))
-            return F.concat(F.initcap(F.array_join(parts, "")), F.when(at == 0, F.when(female, end[0]).otherwise(end[1])).otherwise(""))
-        return F.when(w.rlike(r"^\p{IsCyrillic}"), spell("cyrillic")).when(w.rlike(r"^\p{IsGreek}"), spell("greek")).otherwise(spell("latin"))
-    name = F.concat(F.substr(canon, F.lit(1), F.lit(2)), F.array_join(F.transform(
-        F.split(F.substr(canon, F.lit(3), F.length(canon)), " "), word), " "))
+
+    def spell(script):
+        table = F.array(*map(F.lit, SYLLABLES[script]))
+        n = F.when(attempt >= LONGER, 5).otherwise(3)
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(table, (F.conv(F.substr(
+            digest, i * 4 + 1, F.lit(4)), 16, 10).cast("int") % len(SYLLABLES[script]) + 1))), "")
+    word = F.when(canon.rlike(CYRILLIC), spell("cyrillic")).when(canon.rlike(GREEK), spell("greek")).otherwise(spell("latin"))
     return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ssn", F.substr(fill, F.lit(1), F.lit(9)))
-            .when(kind == "card", F.concat(body, luhn(body))).when(kind == "phone", phone).otherwise(name))
+            .when(kind == "card", F.concat(body, luhn(body))).when(kind == "phone", phone).otherwise(word))
 
 
 def in_format(m: Column, kind: Column, other: Column) -> Column:
-    """The surrogate in the form of this mention: its title, its punctuation, upper case if all of it is."""
+    """The surrogate in the form of this mention: its punctuation, upper case if all of it is."""
     number_ = F.regexp_replace(other, "[^0-9]", "")
     shaped = F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(
         number_, F.length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), "[^0-9]", "")), F.lit(1))).otherwise(c)), "")
     email = F.when((m == F.upper(m)) & (m != F.lower(m)), F.upper(other)).otherwise(other)
-    title = F.regexp_extract(m, f"^{TITLE} ", 0)
-    return (F.when(kind == "email", email).when(kind == "ip", other)
-            .when(kind == "name", F.concat(title, F.substr(other, F.lit(3), F.length(other)))).otherwise(shaped))
+    return F.when(kind == "email", email).when(kind == "ip", other).otherwise(shaped)
+
+
+def name_word(w: Column, other: Column, sex: Column) -> Column:
+    """A surrogate word of a name with the ending of its gender, in capitals if the word is."""
+    def end(script):
+        return F.when(sex == "f", ENDINGS[script][0]).when(sex == "m", ENDINGS[script][1]).otherwise("")
+    word = F.concat(other, F.when(w.rlike(CYRILLIC), end("cyrillic")).when(w.rlike(GREEK), end("greek")).otherwise(end("latin")))
+    return F.when((w == F.upper(w)) & ~w.rlike(r"^\p{Lu}\.?$"), F.upper(word)).otherwise(F.initcap(word))
 
 
 def _mentions(matches: Column) -> Column:
-    """Array of (m, kind, canon). Step by step, so that what is used often is computed once a mention."""
+    """Array of (m, kind, parts), parts: (kind, canon, as written) of the words of a name, one of anything else. Step by
+    step, so that what is used often is computed once a mention."""
     kinds = F.transform(matches, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
-    return F.transform(kinds, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), canonical(s["m"], s["kind"]).alias("canon")))
+    split = F.transform(kinds, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), F.when(s["kind"] == "name", written_words(s["m"])).alias("ws")))
+    return F.transform(split, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), F.when(s["kind"] == "name", words(s["ws"])).otherwise(
+        F.array(F.struct(s["kind"].alias("kind"), canonical(s["m"], s["kind"]).alias("canon"), s["m"].alias("w")))).alias("parts")))
+
+
+def _full_names(matches: Column) -> Column:
+    """Array of (name, canon, sex): the names of two or more words among the matches, without their titles."""
+    names = F.transform(F.filter(matches, lambda m: kind_of(m) == "name"), lambda m: F.struct(untitled(m).alias("name"), gender(m).alias("sex")))
+    full = F.transform(names, lambda n: F.struct(n["name"].alias("name"), folded(n["name"]).alias("canon"), n["sex"].alias("sex")))
+    return F.array_distinct(F.filter(full, lambda n: n["name"].contains(" ")))
+
+
+def _pattern(names: Column) -> Column:
+    """ANY, or one of the names without a title; the longest first."""
+    longest = F.sort_array(F.array_distinct(F.transform(names, lambda n: F.struct(F.length(n["name"]).alias("n"), n["name"].alias("name")))), asc=False)
+    either = F.array_join(F.transform(longest, lambda n: F.concat(F.lit(r"\Q"), n["name"], F.lit(r"\E"))), "|")
+    return F.concat(F.lit(ANY + r"|(?<![\p{L}\p{M}])(?=\p{Lu})(?iu:"), either, F.lit(r")(?![\p{L}\p{M}])"))
 
 
 def _entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, _th, kind, canon), distinct per document."""
-    found = F.transform(_mentions(F.regexp_extract_all(whole_text(text_col), F.lit(ANY), F.lit(0))), lambda s: F.struct(s["kind"], s["canon"]))
+    parts = F.flatten(F.transform(_mentions(F.regexp_extract_all(whole_text(text_col), F.lit(ANY), F.lit(0))), lambda s: s["parts"]))
+    found = F.transform(parts, lambda p: F.struct(p["kind"].alias("kind"), p["canon"].alias("canon")))
     return docs.select(*row_key(id_col, text_col), F.explode(F.array_distinct(found)).alias("e")).select("_id", "_th", "e.*")
 
 
 def collision_exceptions(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon, attempt) of the entities whose first surrogate is another one's, or a real entity: attempt > 0."""
     settled = materialize(entities.select("kind", "canon").distinct().withColumn("attempt", F.lit(0)), "entities")
-    real = settled.select("kind", F.col("canon").alias("s"))
+    # words of names are taken as given names and as surnames, with and without an ending
+    is_word = F.col("kind").isin(WORDS)
+    bare = F.regexp_replace("canon", "(?:" + "|".join(e for pair in ENDINGS.values() for e in pair) + ")$", "")
+    real = settled.select(F.explode(F.when(is_word, F.array(*map(F.lit, WORDS))).otherwise(F.array("kind"))).alias("kind"), "canon").select(
+        "kind", F.explode(F.when(is_word, F.array("canon", bare)).otherwise(F.array("canon"))).alias("s"))
     for _ in range(MAX_ROUNDS):
         drawn = settled.withColumn("digest", keyed(F.col("canon"), F.col("kind"), F.col("attempt"), key)).withColumn(
             "s", surrogate(F.col("canon"), F.col("kind"), F.col("attempt"), F.col("digest"), key)).drop("digest")
@@ -177,6 +236,9 @@ def pii_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
 
     A mention's surrogate keeps its kind and format: digits and punctuation of phones and numbers, the country code, a card's
     first digit and a valid check digit, e-mail shape (under the reserved domain ``example``), title, gender and script of names.
+    Names are found by a title (MALE, FEMALE, NEUTRAL) and run on as far as their words begin with a capital, one space apart;
+    a document's names of two or more words go without their title as well, single words without one stay. Surnames, as the
+    last word, are the same surrogate in all names but for the ending of the gender.
     Equal entities get equal surrogates in all documents and under one key, different ones different surrogates, and
     no surrogate is an entity of the table. Null and empty texts give empty texts; repeated rows get the same
     result each; rows without doc_id are told apart by their text; an empty table gives an empty result; columns of other
@@ -187,17 +249,31 @@ def pii_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
         F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("_again"))
     rows = docs.select(F.struct("*").alias("_row"), *row_key(id_col, text_col)).join(per_doc, ["_id", "_th"], "left")
     text = whole_text("_t")
-    rows = rows.withColumn("_t", F.col("_row")[text_col]).select(
-        "_row", "_again", F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("_m"), F.split(text, ANY, -1).alias("_p"))
+    rows = rows.withColumn("_t", F.col("_row")[text_col]).select("_row", "_again", text.alias("_t"), F.regexp_extract_all(
+        text, F.lit(ANY), F.lit(0)).alias("_m"))
+    rows = rows.withColumn("_names", _full_names(F.col("_m")))
+    plain = F.size("_names") == 0
+    rows = rows.withColumn("_any", F.when(plain, F.lit(ANY)).otherwise(_pattern(F.col("_names"))))
+    rows = rows.select("_row", "_again", "_names", F.when(plain, F.col("_m")).otherwise(F.regexp_extract_all("_t", F.col("_any"), F.lit(0))).alias("_m"),
+                       F.when(plain, F.split("_t", ANY, -1)).otherwise(F.split("_t", F.col("_any"), F.lit(-1))).alias("_p"))
 
     rows = rows.withColumn("_m", _mentions(F.col("_m")))
-    tried = F.transform("_m", lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), s["canon"].alias("canon"), F.coalesce(
-        F.element_at("_again", F.concat_ws("|", s["kind"], s["canon"])), F.lit(0)).alias("attempt")))
-    drawn = F.transform(tried, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), s["canon"].alias("canon"), s["attempt"].alias(
-        "attempt"), keyed(s["canon"], s["kind"], s["attempt"], key).alias("digest")))
-    named = F.transform(drawn, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), surrogate(
-        s["canon"], s["kind"], s["attempt"], s["digest"], key).alias("other")))
-    new = F.transform(named, lambda s: in_format(s["m"], s["kind"], s["other"]))
+    tried = F.transform("_m", lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), F.transform(s["parts"], lambda p: F.struct(
+        p["kind"].alias("kind"), p["canon"].alias("canon"), p["w"].alias("w"),
+        F.coalesce(F.element_at("_again", F.concat_ws("|", p["kind"], p["canon"])), F.lit(0)).alias("attempt"))).alias("parts")))
+    drawn = F.transform(tried, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), F.transform(s["parts"], lambda p: F.struct(
+        p["kind"].alias("kind"), p["canon"].alias("canon"), p["w"].alias("w"), p["attempt"].alias("attempt"),
+        keyed(p["canon"], p["kind"], p["attempt"], key).alias("digest"))).alias("parts")))
+    named = F.transform(drawn, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), F.transform(s["parts"], lambda p: F.struct(
+        p["w"].alias("w"), surrogate(p["canon"], p["kind"], p["attempt"], p["digest"], key).alias("other"))).alias("parts"),
+        F.when(s["kind"] == "name", F.struct(gender(s["m"]).alias("own"), folded(untitled(s["m"])).alias("canon"))).alias("sex")))
+    # without a title that tells, the gender of the document's person of that name
+    sexed = F.transform(named, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), s["parts"].alias("parts"), F.when(
+        s["sex"]["own"] == "n", F.coalesce(F.array_min(F.transform(F.filter("_names", lambda n: n["canon"] == s["sex"]["canon"]), lambda n: n["sex"])),
+                                           F.lit("n"))).otherwise(s["sex"]["own"]).alias("sex")))
+    new = F.transform(sexed, lambda s: F.when(s["kind"] == "name", F.concat(F.regexp_extract(s["m"], f"^{TITLES}*", 0), F.array_join(
+        F.transform(s["parts"], lambda p: name_word(p["w"], p["other"], s["sex"])), " "))).otherwise(
+            in_format(s["m"], s["kind"], F.element_at(s["parts"], 1)["other"])))
     clean = F.array_join(F.zip_with("_p", new, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
     kinds = F.transform("_m", lambda s: s["kind"])
 

@@ -100,3 +100,39 @@ def test_phones_of_many_shapes_go_whole(spark):
     for r in P.pii_surrogates(docs, "k").collect():
         assert r._n_phone == 1 and re.sub(r"\d", "9", r._clean) == re.sub(r"\d", "9", r.text)
         assert r._clean[4:] != r.text[4:]
+
+
+def test_names_go_whole(spark):
+    names = ["Mr John Paul Smith", "Mr Jean-Luc Picard", "Mrs McDonald", "Mr O'Brien", "Mr. J. Smith", "MR SMITH", "Dr. Jane Smith", "Mr John F Kennedy",
+             "Mr José Antonio María López García", "Mr J.R.R. Tolkien", "Frau Prof. Dr. Müller", "Mr D’Angelo", "MRS O'NEILL-KING"]
+    texts = [f"So {n} left; {n}'s hat stays." for n in names] + ["Mr Smith Mrs Jones I Mr I saw"] + ["MR " + "ABC " * 3_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(P.pii_surrogates(docs, "k").collect())
+    for r, n in zip(got, names):
+        assert r._n_name == 2
+        title = re.match(f"^{P.TITLES}+", n).group()
+        first, second = re.fullmatch(rf"So {re.escape(title)}(.*) left; {re.escape(title)}(.*)'s hat stays\.", r._clean).groups()
+        assert first == second and re.fullmatch(r"[A-Z][A-Za-z]+( [A-Z][a-z]+)*", first), r
+        assert not set(re.findall(r"\w\w+", n[len(title):])) & set(re.findall(r"\w+", first))
+    assert re.fullmatch("[A-Z]{6,}O", got[5]._clean.split()[2])
+    assert re.fullmatch(r"Mr [A-Z][a-z]+o Mrs [A-Z][a-z]+a I Mr I saw", got[len(names)]._clean)
+    assert "ABC" not in got[-1]._clean
+
+
+def test_coreference_of_names(spark):
+    texts = ["Mr John Smith came. Later John Smith and Mr Smith and MR SMITH left; JOHN SMITH, too; Smith stays, John Smithson, john smith.",
+             "Dr. Jane Smith is Mrs Jane Smith: Jane Smith; Mr J. Smith.", "Jane Smith is in no title here. Mr Paul Smith."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    a, b, c = sorted(P.pii_surrogates(docs, "k").collect())
+    m = re.fullmatch(r"Mr (\w+) (\w+) came\. Later (\w+) (\w+) and Mr (\w+) and MR (\w+) left; (\w+) (\w+), too; Smith stays, John Smithson, john smith\.", a._clean).groups()
+    assert m[0] == m[2] and m[6] == m[0].upper() and m[1] == m[3] == m[4] and m[5] == m[7] == m[1].upper() and "Smith" not in m and a._n_name == 5
+    n = re.fullmatch(r"Dr\. (\w+ \w+) is Mrs (\w+ \w+): (\w+ \w+); Mr (\w+) (\w+)\.", b._clean).groups()
+    assert n[0] == n[1] == n[2] and n[0].endswith("a") and n[4] == m[1] and n[0].split()[1][:-1] == m[1][:-1]
+    assert c._clean.startswith("Jane Smith is in no title here. Mr ") and c._clean.endswith(f" {m[1]}.")
+
+
+def test_names_keep_distinct_surrogates(spark):
+    texts = [f"Mr {a}{b}{c} {d}{a}{b}" for a in "ABCDEFGHIJ" for b in "abcdefghij" for c in "klmno" for d in "PQ"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r._clean for r in P.pii_surrogates(docs, "k").collect()]
+    assert len(set(got)) == len(texts) and not set(got) & set(texts)
