@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +104,33 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       public_tokenizers.PATTERN)
 
 
+def repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """A tenth of the documents, by the checksum of their id, end in a stretch that repeats; the others stay as they are, also those
+    without an id."""
+    n = len(words)
+    if doc_id is None or not n:
+        return words
+    tens, rest = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    if rest:
+        return words
+    a = tens % n
+    p = 1 + (n - a) // (3 + tens % 8)
+    return words[:a] + (words[a:a + p] * ((n - a) // p + 1))[:n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of words that repeat at least four times in a row: their number, the strongest, and the words without them."""
+    from lumenlog.llm.periodic_runs import periodic_runs, strongest
+
+    out = periodic_runs(_docs(spark, sf_dir), min_length=6, min_exponent=4, prepare=repeated_tail)
+    lines = F.transform("_runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = out.withColumn("_best", strongest(F.col("_runs")))
+    return best.select(
+        "doc_id", F.size("_runs").cast("long").alias("n_runs"), *[F.col(f"_best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("(1000 * _best.length) div _best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("_collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -113,6 +142,7 @@ QUERIES = {
     "op8_pii_surrogates": op8_pii_surrogates,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLE = {
