@@ -131,6 +131,27 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("_collapsed", 256).alias("collapsed_sha256"))
 
 
+#: phrases that count wherever they stand
+LICENSE_PHRASES = [("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license")]
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases, and license wording that matches a template exactly; the score is the share of words inside either."""
+    from lumenlog.llm.license_templates import TEMPLATES
+    from lumenlog.llm.licenses import license_scan
+
+    out = license_scan(_docs(spark, sf_dir), [*LICENSE_PHRASES, *TEMPLATES])
+    base = F.filter("_places", lambda p: p["template"] < len(LICENSE_PHRASES))
+
+    def labels(places):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
+    return out.select(
+        "doc_id", F.col("_n_words").alias("n_words"), F.size(base).cast("long").alias("n_base"),
+        F.array_min(base["start"]).alias("first_word"), F.array_max(base["start"]).alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("_places")).alias("labels"),
+        F.coalesce(F.try_divide(F.col("_covered").cast("double"), F.col("_n_words")), F.lit(0.0)).alias("score"))
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -143,6 +164,7 @@ QUERIES = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_license_scan": op12_license_scan,
 }
 
 ORACLE = {
