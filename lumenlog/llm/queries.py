@@ -152,6 +152,15 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.try_divide(F.col("_covered").cast("double"), F.col("_n_words")), F.lit(0.0)).alias("score"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the whitened principal components 1 to 32, from an exact fit on all of them. Entries c are floor(64 * c)
+    plus a constant; the constant cancels in every result."""
+    from lumenlog.llm.whitening import whiten
+
+    return whiten(read_table(spark, sf_dir, "embeddings"), components=32, scale=64.0).withColumn(
+        "deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -165,6 +174,7 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_license_scan": op12_license_scan,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLE = {
