@@ -1,7 +1,7 @@
 """Session compilation (P10-P12, J6, A22-A25, F7) and its entity dictionary.
 
-Regex hits "over the session's texts joined with a space" are exact without joining the texts: the sum of the messages' own
-counts plus corrections at the few joints a match can cross (``operators.joined``).
+Regex hits "over the session's texts joined with a space" are exact without joining the texts: composable summaries of the messages
+take their place (``operators.joined``).
 
 The dictionary is a bounded parameter: one ``regexp_count`` per entry inside a
 projection -- no cross join with the text.
@@ -36,7 +36,7 @@ from lumenlog.functions.text import (
 )
 from lumenlog.functions.timefmt import day_string, hhmm
 from lumenlog.functions.project import display_project
-from lumenlog.operators.joined import FLAGS, joint_corrections
+from lumenlog.operators.joined import joined_counts
 from lumenlog.operators.sequence import first_n
 from lumenlog.functions.pricing import cost_units_sql, units_to_usd
 
@@ -62,24 +62,6 @@ def load_dictionary(path: str) -> list[Entity]:
                 for e in json.load(f)]
 
 
-def _own_counts(cond: Column, patterns: dict[str, str]) -> list[Column]:
-    """Per name, the sum of a pattern's matches in the single texts that satisfy ``cond``."""
-    text = F.col("content_text")
-    return [F.sum(F.when(cond, F.regexp_count(text, F.lit(FLAGS + p)))).cast("bigint").alias(name) for name, p in patterns.items()]
-
-
-def _joined_counts(messages: DataFrame, key: str, sequences: list[tuple[Column, Column, dict[str, str]]]) -> DataFrame:
-    """Per ``key``: matches over the joined texts of each sequence (condition, order, patterns); null where there is no text."""
-    own = messages.groupBy(key).agg(*[c for cond, _, pats in sequences for c in _own_counts(cond, pats)])
-    for cond, order, pats in sequences:
-        rows = messages.where(cond).select(key, order.cast("bigint").alias("ord"), F.col("content_text").alias("text"))
-        more = joint_corrections(rows, key, pats)
-        if more is not None:
-            own = own.join(more.select(key, *[F.col(n).alias(f"_more_{n}") for n in pats]), key, "left").withColumns(
-                {n: F.col(n) + F.coalesce(F.col(f"_more_{n}"), F.lit(0)) for n in pats}).drop(*[f"_more_{n}" for n in pats])
-    return own
-
-
 def user_substance(messages: DataFrame) -> DataFrame:
     """P10: user texts with stripped length > 20, not starting with '<' (raw text kept)."""
     return messages.where(_substance_cond())
@@ -90,7 +72,7 @@ def entity_hits(messages: DataFrame, dictionary: Sequence[Entity], key: str = "s
     if not dictionary:
         return messages.sparkSession.createDataFrame([], f"{key} string, ord int, entity string, hits bigint")
     pats = {f"_e{i}": e.pattern for i, e in enumerate(dictionary)}
-    wide = _joined_counts(messages, key, [(_substance_cond(), F.col("line_no"), pats)])
+    wide = joined_counts(messages, key, [(_substance_cond(), F.col("line_no"), pats)])
     arr = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(e.name).alias("entity"), F.col(f"_e{i}").alias("hits"))
                     for i, e in enumerate(dictionary)])
     return (wide.select(key, F.explode(arr).alias("h")).select(key, "h.*").where(F.col("hits") > 0))
@@ -173,7 +155,7 @@ def weight_signals(messages: DataFrame, key: str = "session_id", dev_pattern: st
     seqs = [(there, user_first, {"dev_hits": dev_pattern}), (there & is_user, F.col("line_no"), {"strategy_hits": strategy_pattern})]
     if dictionary:
         seqs.append((_substance_cond(), F.col("line_no"), {f"_e{i}": e.pattern for i, e in enumerate(dictionary)}))
-    return _joined_counts(messages, key, seqs).na.fill(0)
+    return joined_counts(messages, key, seqs).na.fill(0)
 
 
 def session_weight(dev: Column, strategy: Column, files: Column, users: Column) -> Column:
@@ -233,8 +215,8 @@ def compile_sessions(sessions: DataFrame, messages: DataFrame, dictionary: Seque
     always come from ``sessions.session_id``. Give all decoded ``lines`` as ``messages``: a session's span and date
     count its non-message lines too.
 
-    Plan shape: one per-session aggregate (``session_facts``), one chunked
-    pass for the joints of the joined-text regex counts, two bounded first/last-N windows
+    Plan shape: one per-session aggregate (``session_facts``), one pass
+    for the summaries of the joined-text regex counts, two bounded first/last-N windows
     and one file-change aggregate, joined on the session key.
     """
     facts = session_facts(messages, key, prices)

@@ -1,149 +1,114 @@
 """Match counts over a session's texts as if joined with single spaces, without joining them.
 
-The count over the joined text is the sum of the counts in the messages, corrected at the joints a match can cross. A joint is
-*safe* if no match can cross it; the joined text can be cut there. Few joints are not: a literal crosses only at one of
-its own spaces, between a text that ends with its left part and one that starts with its right part; ``A.*B`` only where ``A`` stands
-before the joint on the same line and ``B`` after it. Neighbours over unsafe joints form a group, and just the groups
-are joined and counted again. What is exchanged per message is a few flags; texts only where a flag is set. Order-sensitive
-steps are chunked, so a hot session stays parallel.
+Where no match can span a joint (most patterns: words), the count is the sum of the messages' own counts, a plain aggregate. For other patterns
+every message is summed up on its own (``operators.automaton``): a few characters of head and tail and a count. Only these
+are exchanged. They are composed in order, first inside chunks of a session, then over its chunks, so a hot session
+stays parallel and no row holds more than the cut heads and tails of a chunk.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.functions.text import regex_escape
-from lumenlog.operators.sequence import carry_many, next_row
+from lumenlog.operators.automaton import Running, automaton
+from lumenlog.operators.sequence import chunk_bits
 
 FLAGS = "(?iud)"
-STUB = "\x00"  # stands for a text that no pattern can match or touch
-_META = set("\\^$.|?*+()[]{}")
-
-
-def split_alternatives(pattern: str) -> list[str]:
-    """The alternatives of a pattern's top level."""
-    out, depth, cls, i, cur = [], 0, False, 0, ""
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "\\":
-            cur, i = cur + pattern[i:i + 2], i + 2
-            continue
-        cls = c == "[" or cls and c != "]"
-        depth += 0 if cls else (c == "(") - (c == ")")
-        if c == "|" and not depth and not cls:
-            out.append(cur)
-            cur = ""
-        else:
-            cur += c
-        i += 1
-    return [*out, cur]
-
-
-def literal_of(alt: str) -> str | None:
-    """The text of an alternative without metacharacters (escaped ones are literal)."""
-    plain = re.sub(r"\\([^A-Za-z0-9])", lambda m: "" if m[1] in _META else m[0], alt)
-    return None if _META & set(plain) else re.sub(r"\\(.)", r"\1", alt)
-
-
-class Crossing:
-    """How the patterns of one sequence can cross a joint."""
-
-    def __init__(self, patterns: Sequence[str]):
-        self.sides: list[tuple[str, str]] = []  # literals, cut at each of their spaces
-        self.spans: list[tuple[str, str]] = []  # A.*B: what must stand before and after on the line
-        self.bounded: list[tuple[str, int]] = []  # other alternatives, and the most characters they match
-        for alt in dict.fromkeys(a for p in patterns for a in split_alternatives(p)):
-            lit = literal_of(alt)
-            parts = [literal_of(x) for x in alt.split(".*")]
-            if lit is not None:
-                self.sides += [(lit[:i], lit[i + 1:]) for i, c in enumerate(lit) if c == " "]
-            elif len(parts) > 1 and all(parts):
-                # the last word of A and the first of B: A or B itself may lie across another joint
-                self.spans.append((parts[0].rsplit(" ", 1)[-1], parts[-1].split(" ", 1)[0]))
-                # a piece by itself can cross too, at its spaces
-                self.sides += [(x[:i], x[i + 1:]) for x in parts for i, c in enumerate(x) if c == " "]
-            else:
-                width = re._parser.parse(alt).getwidth()[1]
-                if width > 1000:
-                    raise ValueError(f"not supported over joined texts: {alt!r}; use literals, A.*B or bounded repetition")
-                if width > 1:
-                    self.bounded.append((alt, int(width)))
-
-    def __bool__(self) -> bool:
-        return bool(self.sides or self.spans or self.bounded)
-
-
-def _has(text: Column, regex: str) -> Column:
-    return F.coalesce(text.rlike(FLAGS + regex), F.lit(False))
-
-
-def _array(cols: list[Column]) -> Column:
-    return F.array(*cols) if cols else F.array().cast("array<boolean>")
-
-
-def joint_corrections(rows: DataFrame, key: str, patterns: dict[str, str]) -> DataFrame | None:
-    """(key, one column per name): what the joints add to the sum of the messages' own counts; None if no match can cross.
-
-    ``rows``: (key, ord, text) of one sequence, ``ord`` integral and unique in the session; ``patterns``: name -> regex."""
-    how = Crossing(list(patterns.values()))
-    if not how:
-        return None
-    t = F.col("text")
-    # a text shorter than the side may be spanned as a whole
-    left = [_has(t, regex_escape(a) + r"\z") | (F.length(t) < len(a)) for a, _ in how.sides]
-    right = [_has(t, r"\A" + regex_escape(b)) | (F.length(t) < len(b)) for _, b in how.sides]
-    last, first = F.regexp_extract(t, r"[^\n]*\z", 0), F.regexp_extract(t, r"\A[^\n]*", 0)
-    cols = {"_l": _array(left), "_r": _array(right), "_nl": F.contains(t, F.lit("\n"))}
-    for i, (a, b) in enumerate(how.spans):
-        cols |= {f"_a{i}": _has(last, regex_escape(a)), f"_b{i}": _has(first, regex_escape(b))}
-    reach = max((w for _, w in how.bounded), default=1) - 1
-    if reach:
-        cols |= {"_tail": F.substring(t, -reach, reach), "_head": F.substring(t, 1, reach)}
-    touched = F.exists("_l", lambda x: x) | F.exists("_r", lambda x: x) | F.lit(bool(reach))
-    if how.spans:
-        own = F.lit(False)
-        for p in patterns.values():
-            own = own | _has(t, f"(?:{p})")
-        cols["_own"] = own
-        touched = touched | F.col("_own")
-        for i in range(len(how.spans)):
-            touched = touched | F.col(f"_a{i}") | F.col(f"_b{i}")
-    stub = F.when(touched, t).when(F.col("_nl"), F.lit("\n")).otherwise(F.lit(STUB))
-    d = rows.select(key, "ord", "text").withColumns(cols).withColumn("text", stub).drop("_own")
-
-    unsafe = F.exists(F.zip_with("_l", F.col("_nx._r"), lambda a, b: a & b), lambda x: x)
-    payload = ["ord", "_r"]
-    if how.spans:
-        at = lambda flag: F.when(F.col(flag), F.col("ord"))
-        n = range(len(how.spans))
-        d = d.withColumns({"_n": at("_nl"), **{f"_pa{i}": at(f"_a{i}") for i in n}, **{f"_pb{i}": at(f"_b{i}") for i in n}})
-        d = carry_many(d, [key], "ord", {"_n0": "_n", **{f"_a{i}": f"_pa{i}" for i in n}})
-        d = carry_many(d, [key], "ord", {"_n1": "_n", **{f"_b{i}": f"_pb{i}" for i in n}}, backwards=True)
-        payload += ["_n1", *[f"_b{i}" for i in n]]
-        for i in n:
-            before = F.coalesce(F.col(f"_a{i}") >= F.coalesce(F.col("_n0"), F.col(f"_a{i}")), F.lit(False))
-            after = F.coalesce(F.col(f"_nx._b{i}") <= F.coalesce(F.col("_nx._n1"), F.col(f"_nx._b{i}")), F.lit(False))
-            unsafe = unsafe | (before & after)
-    if reach:
-        payload.append("_head")
-        short = (F.length("_tail") < reach) | (F.length("_nx._head") < reach)
-        unsafe = unsafe | short
-        both = F.concat(F.col("_tail"), F.lit(" "), F.col("_nx._head"))
-        any_ = FLAGS + r"\A(?:" + "|".join(a for a, _ in how.bounded) + ")"
-        unsafe = unsafe | F.exists(F.sequence(F.lit(1), F.lit(reach)), lambda s: F.substr(both, s, F.lit(2 * reach + 1)).rlike(any_))
-    d = next_row(d, [key], "ord", payload, "_nx")
-    d = d.select(key, "ord", "text", F.when(~(F.col("_nx").isNotNull() & F.coalesce(unsafe, F.lit(False))), F.col("ord")).alias("_end"))
-    d = carry_many(d, [key], "ord", {"_group": "_end"}, backwards=True)
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda s: s["text"])
-    groups = d.groupBy(key, "_group").agg(F.count(F.lit(1)).alias("n"), texts.alias("texts")).where("n > 1")
-
-    def delta(p):
-        def count(x):
-            return F.regexp_count(x, F.lit(FLAGS + p))
-        return count(F.array_join("texts", " ")) - F.aggregate(F.transform("texts", count), F.lit(0), lambda a, x: a + x)
-    return groups.select(key, *[delta(p).alias(name) for name, p in patterns.items()]).groupBy(key).agg(
-        *[F.sum(name).cast("bigint").alias(name) for name in patterns])
+#: characters of heads and tails in one record batch
+BATCH_CHARS = 1 << 20
+
+Sequence_ = tuple[Column, Column, dict[str, str]]
+
+
+def _in_batches(rows: Iterator[tuple], schema: pa.Schema, size: Callable[[tuple], int]) -> Iterator[pa.RecordBatch]:
+    held, chars = [], 0
+    for r in rows:
+        held.append(r)
+        chars += size(r)
+        if chars > BATCH_CHARS:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held, chars = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*[c.to_pylist() for c in b.columns])
+
+
+def _summaries(messages: DataFrame, key: str, sequences: list[Sequence_], crossing: list[tuple[int, str]]) -> DataFrame:
+    """(key, p, ord, head, n, tail): the summary of each text that belongs to the sequence of pattern p."""
+    ords = [F.when(cond, order.cast("bigint")).alias(f"_o{i}") for i, (cond, order, _) in enumerate(sequences)]
+    used = sorted({i for i, _ in crossing})
+    d = messages.select(F.col(key).cast("string").alias("key"), F.col("content_text").alias("text"), *[ords[i] for i in used])
+    d = d.where(F.coalesce(*[F.col(f"_o{i}") for i in used]).isNotNull())
+    schema = pa.schema([("key", pa.string()), ("p", pa.int32()), ("ord", pa.int64()), ("head", pa.string()), ("n", pa.int64()), ("tail", pa.string())])
+    at = {i: 2 + j for j, i in enumerate(used)}
+
+    def run(batches):
+        machines = [(p, at[i], automaton(text)) for p, (i, text) in enumerate(crossing)]
+
+        def each():
+            for row in _rows(batches):
+                for p, o, machine in machines:
+                    if row[o] is not None:
+                        yield row[0], p, row[o], *machine.summary(row[1])
+        return _in_batches(each(), schema, lambda r: 32 + len(r[3]) + len(r[5] or ""))
+
+    return d.mapInArrow(run, "key string, p int, ord bigint, head string, n bigint, tail string")
+
+
+def _folded(rows: DataFrame, patterns: list[str], part: list[str], order: str) -> DataFrame:
+    """One summary per ``part`` (key and p first), of its rows in ``order``."""
+    schema = pa.schema([("key", pa.string()), ("p", pa.int32())] + [(c, pa.int64()) for c in part[2:]]
+                       + [("head", pa.string()), ("n", pa.int64()), ("tail", pa.string())])
+    k = len(part)
+
+    def run(batches):
+        machines = [automaton(p) for p in patterns]
+
+        def each():
+            group, running = None, None
+            for row in _rows(batches):
+                if row[:k] != group:
+                    if running is not None:
+                        yield *group, *running.summary()
+                    group, running = row[:k], Running(machines[row[1]])
+                running.add(row[-3:])
+            if running is not None:
+                yield *group, *running.summary()
+        return _in_batches(each(), schema, lambda r: 32 + len(r[-3]) + len(r[-1] or ""))
+
+    by = rows.select(*part, order, "head", "n", "tail").repartition(*part).sortWithinPartitions(*part, order)
+    return by.mapInArrow(run, ", ".join(["key string, p int", *[f"{c} bigint" for c in part[2:]], "head string, n bigint, tail string"]))
+
+
+def joined_counts(messages: DataFrame, key: str, sequences: list[Sequence_]) -> DataFrame:
+    """Per ``key``: matches of the patterns of each sequence (condition, integral order, name -> pattern) over its ``content_text``s, joined
+    by spaces in that order; null where there is no text. Patterns are case-insensitive; those that the automaton refuses raise
+    ValueError here."""
+    named = [(i, name, p) for i, (_, _, pats) in enumerate(sequences) for name, p in pats.items()]
+    crossing = [(i, name, p) for i, name, p in named if automaton(p).crosses]
+    plain = [F.sum(F.when(sequences[i][0], F.regexp_count("content_text", F.lit(FLAGS + p)))).cast("bigint").alias(name)
+             for i, name, p in named if (i, name, p) not in crossing]
+    own = messages.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), *plain).drop("_rows")
+    if not crossing:
+        return own
+    rows = _summaries(messages, key, sequences, [(i, p) for i, _, p in crossing])
+    patterns = [p for _, _, p in crossing]
+    chunks = _folded(rows.withColumn("chunk", F.shiftright("ord", chunk_bits())), patterns, ["key", "p", "chunk"], "ord")
+    whole = _folded(chunks, patterns, ["key", "p"], "chunk")
+    schema = pa.schema([("key", pa.string()), ("p", pa.int32()), ("hits", pa.int64())])
+
+    def totals(batches):
+        machines = [automaton(p) for p in patterns]
+        return _in_batches(((k, p, machines[p].total((h, n, t))) for k, p, h, n, t in _rows(batches)), schema, lambda r: 32)
+
+    hits = whole.mapInArrow(totals, "key string, p int, hits bigint").groupBy(F.col("key").alias(key)).agg(
+        *[F.max(F.when(F.col("p") == j, F.col("hits"))).alias(name) for j, (_, name, _) in enumerate(crossing)])
+    return own.join(hits, key, "left")

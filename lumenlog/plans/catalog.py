@@ -525,6 +525,23 @@ def session_weight(spark, sf):
     return c.select("session_id", "dev_hits", "strategy_hits", "weight")
 
 
+#: put before and after the conversations' texts, by conversation and turn: words of the default signal patterns
+BOUND_SIGNAL_TEXTS = [" 研究", "对比 ", "fix the build ", "深入 ", "分析", " business", "model ", "vision\n", "", "研究\n", "路线图 deploy", " error"]
+
+
+@query("default_signal_hits")
+def default_signal_hits(spark, sf):
+    """SURVEY A22 A23 (the default patterns, over joints and lines)."""
+    _, m = _conv(spark, sf)
+    n = "CAST(substring(session_id, 2) AS BIGINT)"
+    m = m.withColumn("content_text", F.concat(
+        F.expr(T.pick_sql(f"({n} + 3 * line_no) % 12", BOUND_SIGNAL_TEXTS)), "content_text",
+        F.expr(T.pick_sql(f"(5 * {n} + line_no) % 12", BOUND_SIGNAL_TEXTS))))
+    w = C.weight_signals(m)
+    return w.select("session_id", "dev_hits", "strategy_hits",
+                    C.session_weight(F.col("dev_hits"), F.col("strategy_hits"), F.lit(0), F.lit(6)).alias("weight"))
+
+
 @query("key_points")
 def key_points(spark, sf):
     """SURVEY W6 (compile)."""

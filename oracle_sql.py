@@ -6,7 +6,7 @@ CTEs over the pre-registered views (conversations, events, documents, pages...).
 
 from __future__ import annotations
 
-from lumenlog.functions.fixed_values import FALLBACK_MODEL, PRICE_TABLE
+from lumenlog.functions.fixed_values import DEV_SIGNAL_PATTERN, FALLBACK_MODEL, PRICE_TABLE, STRATEGY_SIGNAL_PATTERN
 from lumenlog.functions.pricing import rate_units
 from lumenlog.sources.tables import (
     BASE_EPOCH,
@@ -692,6 +692,23 @@ SELECT session_id, entity, hits FROM (
 WHERE hits > 0""")
 q("entity_links", f"""{COMPILED}
 SELECT full_id AS session_id, array_to_string(entities, '|') AS entities FROM compiled WHERE len(entities) > 0""")
+SIGNAL_TEXTS = [" 研究", "对比 ", "fix the build ", "深入 ", "分析", " business", "model ", "vision\n", "", "研究\n", "路线图 deploy", " error"]
+_N = "CAST(substr(session_id, 2) AS BIGINT)"
+q("default_signal_hits", f"""WITH {MSG},
+t AS (SELECT session_id, line_no, msg_type, {_case(f'({_N} + 3 * line_no) % 12', SIGNAL_TEXTS)} || content_text
+             || {_case(f'(5 * {_N} + line_no) % 12', SIGNAL_TEXTS)} AS x FROM msg),
+nb AS (SELECT * FROM t WHERE msg_type IN ('user', 'assistant') AND {strip_sql('x')} <> ''),
+j AS (SELECT session_id, string_agg(x, ' ' ORDER BY (msg_type = 'assistant'), line_no) AS both_roles,
+             coalesce(string_agg(x, ' ' ORDER BY line_no) FILTER (WHERE msg_type = 'user'), '') AS users
+      FROM nb GROUP BY 1),
+h AS (SELECT s.session_id, coalesce({nregex('both_roles', '(?i)' + DEV_SIGNAL_PATTERN)}, 0) AS dev_hits,
+             coalesce({nregex('users', '(?i)' + STRATEGY_SIGNAL_PATTERN)}, 0) AS strategy_hits
+      FROM (SELECT DISTINCT session_id FROM msg) s LEFT JOIN j USING (session_id))
+SELECT session_id, dev_hits, strategy_hits,
+       CASE WHEN strategy_hits >= 2 THEN 'strategy' WHEN dev_hits >= 3 THEN 'dev' WHEN strategy_hits >= 1 THEN 'strategy'
+            WHEN dev_hits >= 1 THEN 'dev' ELSE 'ops' END AS weight
+FROM h""")
+
 q("session_weight", f"""{COMPILED}
 SELECT session_id, CAST(dev_hits AS BIGINT) AS dev_hits, CAST(strategy_hits AS BIGINT) AS strategy_hits, weight FROM compiled""")
 q("key_points", f"""{COMPILED} SELECT session_id, CAST(rank AS BIGINT) AS rank, point FROM kp""")
