@@ -151,7 +151,7 @@ def weight_signals(messages: DataFrame, key: str = "session_id", dev_pattern: st
     strategy hits over non-blank user texts; entity hits (``_e<i>``) over the user substance."""
     is_user = F.col("msg_type") == "user"
     there = F.col("msg_type").isin("user", "assistant") & (strip_ws(F.col("content_text")) != "")
-    user_first = F.when(is_user, F.lit(0)).otherwise(F.lit(1)).cast("bigint") * F.lit(1 << 40) + F.col("line_no")
+    user_first = F.when(is_user, F.lit(0)).otherwise(F.lit(1)).cast("bigint") * F.lit(1 << 62) + F.col("line_no")
     seqs = [(there, user_first, {"dev_hits": dev_pattern}), (there & is_user, F.col("line_no"), {"strategy_hits": strategy_pattern})]
     if dictionary:
         seqs.append((_substance_cond(), F.col("line_no"), {f"_e{i}": e.pattern for i, e in enumerate(dictionary)}))

@@ -12,32 +12,47 @@ from pyspark.sql import functions as F
 
 from lumenlog.functions.fixed_values import HEAD_LINES
 from lumenlog.functions.project import display_project
+from lumenlog.sources.jsonl import ROW_BITS
 
 
 def _first_by(value: Column, cond: Column, order: str = "line_no") -> Column:
     return F.min_by(value, F.when(cond, F.col(order)))
 
 
+def _in_head(at: Column, head_lines: int) -> Column:
+    """Whether line ``at`` is one of the file's first lines, by its ``head_splits``; without them ``line_no`` is the exact number."""
+    same = lambda x: F.shiftright(x, ROW_BITS)
+    known = F.exists("head_splits", lambda s: (same(at) == same(s["first_line"])) & (at >= s["first_line"])
+                     & (at - s["first_line"] + s["lines_before"] < head_lines))
+    return F.coalesce(known, at <= head_lines)
+
+
 def head_meta(lines: DataFrame, key: str = "session_id", head_lines: int = HEAD_LINES,
-              extra: dict[str, Column] | None = None) -> DataFrame:
+              extra: dict[str, Column] | None = None, heads: DataFrame | None = None) -> DataFrame:
     """SC11: over the first ``head_lines`` physical lines: first timestamp, cwd /
     version / branch and preview text of the first user line, first assistant model.
 
-    The head condition sits in each aggregate, so ``extra`` per-session aggregates
-    over all lines share the same single aggregation."""
+    The first line of each kind is found together with its ``line_no``, and counts if that lies in the head, so that exact numbers
+    are needed for one row per session only. ``heads``: (key, head_splits) of ingested logs; without it ``line_no`` is exact. ``extra``
+    per-session aggregates over all lines share the same single aggregation."""
     t = F.col("msg_type")
-    head = F.col("line_no") <= head_lines
-    first_user = _first_by(F.struct("cwd", "version", "git_branch", "content_text"), head & (t == "user"))
     extra = extra or {}
-    return lines.groupBy(key).agg(
-        _first_by(F.col("ts"), head & F.col("ts").isNotNull()).alias("first_timestamp"),
-        first_user.alias("_u"),
-        _first_by(F.col("model"), head & (t == "assistant") & (F.col("model") != "")).alias("head_model"),
-        *[c.alias(n) for n, c in extra.items()],
-    ).select(key, "first_timestamp", F.col("_u.cwd").alias("cwd"), F.col("_u.version").alias("version"),
-             F.col("_u.git_branch").alias("git_branch"),
-             F.when(F.col("_u.content_text") != "", F.col("_u.content_text")).alias("first_user_text"),
-             "head_model", *extra.keys())
+    kinds = {"first_timestamp": (F.col("ts"), F.col("ts").isNotNull()),
+             "_u": (F.struct("cwd", "version", "git_branch", "content_text"), t == "user"),
+             "head_model": (F.col("model"), (t == "assistant") & (F.col("model") != ""))}
+    found = lines.groupBy(key).agg(
+        *[_first_by(F.struct(F.col("line_no").alias("at"), value.alias("value")), cond).alias(name) for name, (value, cond) in kinds.items()],
+        *[c.alias(n) for n, c in extra.items()])
+    if heads is None:
+        found = found.withColumn("head_splits", F.lit(None).cast("array<struct<first_line:bigint,lines_before:bigint>>"))
+    else:
+        found = found.join(heads.select(key, "head_splits"), key, "left")
+    found = found.withColumns({n: F.when(_in_head(F.col(f"{n}.at"), head_lines), F.col(f"{n}.value")) for n in kinds})
+    return found.select(
+        key, "first_timestamp", F.col("_u.cwd").alias("cwd"), F.col("_u.version").alias("version"),
+        F.col("_u.git_branch").alias("git_branch"),
+        F.when(F.col("_u.content_text") != "", F.col("_u.content_text")).alias("first_user_text"),
+        "head_model", *extra.keys())
 
 
 def session_context(lines: DataFrame, key: str = "session_id", extra: dict[str, Column] | None = None) -> DataFrame:
@@ -69,7 +84,8 @@ def list_sessions(sessions: DataFrame, lines: DataFrame, key: str = "session_id"
     meta = head_meta(lines, key, extra={
         "msg_count": F.sum(F.when(is_msg, 1).otherwise(0)).cast("bigint"),
         "total_tokens": F.coalesce(F.sum(F.when(is_msg & F.col("has_usage"), F.coalesce("input_tokens", F.lit(0))
-                                                + F.coalesce("output_tokens", F.lit(0)))), F.lit(0)).cast("bigint")})
+                                                + F.coalesce("output_tokens", F.lit(0)))), F.lit(0)).cast("bigint")},
+        heads=sessions if "head_splits" in sessions.columns else None)
     out = (sessions.join(meta, key, "left")
            .withColumn("msg_count", F.coalesce("msg_count", F.lit(0)).cast("bigint"))
            .withColumn("total_tokens", F.coalesce("total_tokens", F.lit(0)).cast("bigint"))

@@ -6,24 +6,27 @@ Layout: ``<root>/<project_dir>/<session_id>.jsonl`` (plus, with agents,
 
 * File metadata comes from the ``binaryFile`` source with ``content`` pruned
   (only the listing is read).
-* Line numbers are exact and computed without a per-file window: rows of one
-  file split are contiguous in ``monotonically_increasing_id``; a small table of
-  splits (file, block start, first id, row count) gives each split's offset.
-  The numbered lines are written once as a Parquet table under the shared
-  checkpoint folder, which also fixes the otherwise non-deterministic ids.
+* ``line_no`` orders the lines of a file and is unique in it. It is made of the
+  split's place in the file and the row's place in its scan task, so numbering
+  exchanges nothing. Exact physical numbers come from a small table of splits
+  (``split_table``): the sessions carry what their first 20 lines need
+  (``head_splits``), and ``exact_line_numbers`` gives them for any rows. The lines
+  are written once as a Parquet table under the shared checkpoint folder, which
+  also fixes the otherwise non-deterministic ids.
 * JSON is decoded with VARIANT (``try_parse_json``), which tells a string
   content from an array content and tolerates duplicate keys (last wins).
 """
 
 from __future__ import annotations
 
+import re
 import uuid as _uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenlog.functions.fixed_values import CONTENT_TYPES
+from lumenlog.functions.fixed_values import CONTENT_TYPES, HEAD_LINES
 from lumenlog.functions.project import project_name
 from lumenlog.session import checkpoint_dir
 
@@ -86,22 +89,49 @@ def filter_modified(sessions: DataFrame, after: str | None = None, before: str |
     return out
 
 
-def number_lines(raw: DataFrame) -> DataFrame:
-    """(file_path, line_no, value) with exact 1-based physical line numbers.
+#: low bits of ``line_no``: the row's place in its scan task
+ROW_BITS = 33
 
-    ``raw``: (file_path, block_start, value) as produced by a text scan (see
-    ``_text_scan``). Split rows are contiguous in the monotonically increasing
-    id, so line = split offset + (id - first id of the split) + 1; the split
-    table has one row per file split.
-    """
-    r = raw.select("file_path", "block_start", F.monotonically_increasing_id().alias("_mid"), "value")
-    splits = r.groupBy("file_path", "block_start").agg(F.min("_mid").alias("_first"),
-                                                       F.count(F.lit(1)).alias("_n"))
+
+def _bytes(size: str) -> int:
+    """Bytes of a size setting ('4m', '134217728b', '128MB')."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([a-z]?)[a-z]*\s*", size.lower()).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}[unit]
+
+
+def order_lines(raw: DataFrame) -> DataFrame:
+    """(file_path, block_start, line_no, value): ``line_no`` ascends in file order; no exchange.
+
+    ``raw``: (file_path, block_start, value), a plain text scan (see ``_text_scan``). The splits of a file start at least
+    min(maxPartitionBytes, openCostInBytes) apart, so the quotient tells them apart in order; inside a split rows are contiguous
+    in the monotonically increasing id. A file read as one split that is alone in its task has numbers from 1."""
+    conf = raw.sparkSession.conf
+    apart = max(1, min(_bytes(conf.get(f"spark.sql.files.{c}")) for c in ("maxPartitionBytes", "openCostInBytes")))
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    split = F.shiftleft(F.expr(f"block_start div {apart}L"), ROW_BITS)
+    return raw.select("file_path", "block_start", (split + row + 1).alias("line_no"), *[c for c in raw.columns if c == "value"])
+
+
+def split_table(raw: DataFrame) -> DataFrame:
+    """(file_path, first_line, lines, lines_before): one row per file split, from a scan without the text."""
+    splits = order_lines(raw.drop("value")).groupBy("file_path", "block_start").agg(
+        F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("lines"))
     w = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    return (r.join(splits, ["file_path", "block_start"])
-             .select("file_path", (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("bigint").alias("line_no"),
-                     "value"))
+    return splits.select("file_path", "first_line", "lines", F.coalesce(F.sum("lines").over(w), F.lit(0)).alias("lines_before"))
+
+
+def head_splits(splits: DataFrame, head_lines: int = HEAD_LINES) -> DataFrame:
+    """(file_path, head_splits): the splits that hold a file's first lines, at most ``head_lines`` of them."""
+    return splits.where(F.col("lines_before") < head_lines).groupBy("file_path").agg(
+        F.array_sort(F.collect_list(F.struct("first_line", "lines_before"))).alias("head_splits"))
+
+
+def exact_line_numbers(rows: DataFrame, splits: DataFrame) -> DataFrame:
+    """``rows`` (file_path, line_no, ...) with ``physical_line``, the 1-based line in the file: for results, not for whole tables."""
+    s = splits.select(F.col("file_path").alias("_file"), "first_line", "lines_before", F.shiftright("first_line", ROW_BITS).alias("_split"))
+    on = (F.col("file_path") == F.col("_file")) & (F.shiftright("line_no", ROW_BITS) == F.col("_split"))
+    return rows.join(s, on).withColumn("physical_line", F.col("line_no") - F.col("first_line") + F.col("lines_before") + 1).drop(
+        "_file", "_split", "first_line", "lines_before")
 
 
 def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -168,12 +198,12 @@ def session_file_filter(include_agents: bool = False, project: str | None = None
 
 def read_raw_lines(spark: SparkSession, globs: list[str], file_filter: F.Column | None = None,
                    persist: bool = True) -> DataFrame:
-    """Numbered raw lines (file_path, line_no, value) of the files matched by ``globs``."""
+    """Raw lines (file_path, line_no, value) of the files matched by ``globs``, in order by ``line_no``."""
     scan = _text_scan(spark, globs, file_filter)
     if scan is None:
         return spark.createDataFrame([], RAW_SCHEMA)
-    numbered = number_lines(scan)
-    return materialize(numbered, "raw-lines") if persist else numbered
+    ordered = order_lines(scan).drop("block_start")
+    return materialize(ordered, "raw-lines") if persist else ordered
 
 
 def _ts(s: str) -> str:
@@ -264,15 +294,19 @@ def load_session_logs(spark: SparkSession, root: str, include_agents: bool = Fal
                       persist: bool = True) -> tuple[DataFrame, DataFrame]:
     """(sessions, lines) for a session tree; the filters prune files before any line is read.
 
-    ``lines`` (decoded, typed) carries ``session_id`` (file stem) and ``file_path``
-    (the unique key). With ``persist`` it is written once as Parquet under the
-    shared checkpoint folder -- the columnar table every report reads.
+    ``lines`` (decoded, typed) carries ``session_id`` (file stem), ``file_path`` (the unique key) and ``line_no`` (order). ``sessions``
+    carry ``head_splits`` for the exact first lines. With ``persist`` both tables of the files' content are written once as
+    Parquet under the shared checkpoint folder -- the columnar tables every report reads.
     """
     sessions = filter_modified(filter_project(scan_sessions(spark, root, include_agents), project), after, before)
-    raw = read_raw_lines(spark, session_globs(root, include_agents),
-                         session_file_filter(include_agents, project, after, before), persist=False)
-    lines = decode_lines(raw).withColumn("session_id", F.regexp_extract("file_path", r"([^/]+)\.jsonl$", 1))
-    return sessions, (materialize(lines, "lines") if persist else lines)
+    scan = _text_scan(spark, session_globs(root, include_agents), session_file_filter(include_agents, project, after, before))
+    if scan is None:
+        scan = spark.createDataFrame([], "file_path string, block_start bigint, value string")
+    lines = decode_lines(order_lines(scan)).withColumn("session_id", F.regexp_extract("file_path", r"([^/]+)\.jsonl$", 1))
+    heads = head_splits(split_table(scan))
+    if persist:
+        lines, heads = materialize(lines, "lines"), materialize(heads, "head-splits")
+    return sessions.join(heads, "file_path", "left").select(*sessions.columns, "head_splits"), lines
 
 
 def scan_tool_events(spark: SparkSession, obs_root: str, persist: bool = True) -> DataFrame:

@@ -1,9 +1,10 @@
 """Incremental ingest of new session-log files with Structured Streaming.
 
 ``readStream.text`` over the session tree picks up files that appeared since
-the last run; each micro-batch is a static DataFrame, so it is numbered and
-decoded with exactly the batch operators (``number_lines`` + ``decode_lines``)
-and appended to a Parquet ``lines`` table. With ``trigger(availableNow=True)``
+the last run; each micro-batch is a static DataFrame, so it is ordered and
+decoded with exactly the batch operators (``order_lines`` + ``decode_lines``)
+and appended to a Parquet ``lines`` table; what the files' first lines need goes to a
+``heads`` table beside it. With ``trigger(availableNow=True)``
 a run processes everything new and stops -- a scheduled incremental job.
 
 The file source tracks files, not offsets inside them: a line appended to an
@@ -16,7 +17,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.sources.jsonl import decode_lines, number_lines, session_file_filter
+from lumenlog.sources.jsonl import decode_lines, head_splits, order_lines, session_file_filter, split_table
+
+
+def heads_path(table_path: str) -> str:
+    """The (file_path, head_splits) table beside a ``lines`` table."""
+    return f"{table_path.rstrip('/')}-heads"
 
 
 def _append_batch(table_path: str):
@@ -24,9 +30,11 @@ def _append_batch(table_path: str):
     epoch (after a failure) overwrites its own directory instead of appending twice."""
     def run(batch: DataFrame, epoch_id: int) -> None:
         raw = batch.select("file_path", "block_start", "value")
-        lines = decode_lines(number_lines(raw)).withColumn(
+        lines = decode_lines(order_lines(raw)).withColumn(
             "session_id", F.regexp_extract("file_path", r"([^/]+)\.jsonl$", 1))
-        lines.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/ingest_epoch={epoch_id}")
+        heads = head_splits(split_table(raw))
+        for table, path in ((heads, heads_path(table_path)), (lines, table_path.rstrip("/"))):
+            table.write.mode("overwrite").parquet(f"{path}/ingest_epoch={epoch_id}")
     return run
 
 

@@ -1,5 +1,6 @@
 """SC1-SC13 on real JSONL trees written to a temporary directory."""
 
+import contextlib
 import json
 
 from pyspark.sql import functions as F
@@ -88,22 +89,69 @@ def test_content_shapes(spark):
     assert got[9] == ("[1,2]", [])
 
 
-def test_line_numbers_across_splits(spark, tmp_path):
-    proj = tmp_path / "big" / "-proj"
-    proj.mkdir(parents=True)
-    n = 3000
-    lines = [json.dumps({"type": "user", "message": {"content": f"line {i}"}}) for i in range(1, n + 1)]
-    (proj / f"{SESSION_ID}.jsonl").write_text("\n".join(lines) + "\n")
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+def _big_file(folder, n=3000):
+    folder.mkdir(parents=True)
+    lines = [json.dumps({"type": "user", "timestamp": "2026-03-01T10:00:00Z", "message": {"content": f"line {i}"}}) for i in range(1, n + 1)]
+    (folder / f"{SESSION_ID}.jsonl").write_text("\n".join(lines) + "\n")
+
+
+@contextlib.contextmanager
+def small_splits(spark):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.autoBroadcastJoinThreshold")
+    old = {n: spark.conf.get(n) for n in names}
+    for n, v in zip(names, ("8192", "4k", "-1")):
+        spark.conf.set(n, v)
     try:
-        globs = J.session_globs(str(tmp_path / "big"))
-        assert J._text_scan(spark, globs).select(F.spark_partition_id()).distinct().count() > 3  # many splits of one file
-        raw = J.read_raw_lines(spark, globs, persist=True)
-        rows = raw.select("line_no", F.regexp_extract("value", r"line (\d+)", 1).cast("long").alias("k")).collect()
+        yield
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    assert len(rows) == n and all(r.line_no == r.k for r in rows)
+        for n, v in old.items():
+            spark.conf.set(n, v)
+
+
+def test_line_order_across_splits(spark, tmp_path):
+    n = 3000
+    _big_file(tmp_path / "big" / "-proj", n)
+    for i in range(40):  # small files share tasks with the splits
+        (tmp_path / "big" / "-proj" / f"agent-{i}.jsonl").write_text("\n".join(f"line {k}" for k in range(1, i + 2)) + "\n")
+    with small_splits(spark):
+        globs = J.session_globs(str(tmp_path / "big"))
+        scan = J._text_scan(spark, globs)
+        assert scan.select(F.spark_partition_id()).distinct().count() > 3
+        raw = J.read_raw_lines(spark, globs)
+        exact = J.exact_line_numbers(raw, J.split_table(scan))
+        rows = exact.select("file_path", "line_no", "physical_line", F.regexp_extract("value", r"line (\d+)", 1).cast("long").alias("k")).collect()
+    assert len(rows) == n + 40 * 41 // 2
+    by_file = {}
+    for r in sorted(rows, key=lambda r: r.line_no):
+        assert r.physical_line == r.k  # the order of `cat`
+        by_file.setdefault(r.file_path, []).append(r.k)
+    assert len(by_file) == 41 and all(ks == list(range(1, len(ks) + 1)) for ks in by_file.values())
+
+
+def test_no_text_is_exchanged_on_ingest(spark, tmp_path):
+    _big_file(tmp_path / "big" / "-proj")
+    with small_splits(spark):
+        _, lines = J.load_session_logs(spark, str(tmp_path / "big"), persist=False)
+        assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
+        heads = J.head_splits(J.split_table(J._text_scan(spark, J.session_globs(str(tmp_path / "big")))))
+        assert "value" not in heads._jdf.queryExecution().executedPlan().toString()
+
+
+def test_head_lines_are_physical(spark, tmp_path):
+    """Blank and broken lines count, and the head may span several splits."""
+    folder = tmp_path / "heads" / "-p"
+    folder.mkdir(parents=True)
+    user = {"type": "user", "timestamp": "2026-03-01T10:00:00Z", "cwd": "/w", "message": {"content": "x" * 3000}}
+    model = {"type": "assistant", "message": {"content": "a", "model": "m"}}
+    for k, at in enumerate((19, 20, 21, 22)):  # the model's physical line
+        name = SESSION_ID[:-1] + str(k)
+        lines = ["", "{broken"] + [json.dumps(user)] * (at - 3) + [json.dumps(model)] + [json.dumps(user)] * 5
+        (folder / f"{name}.jsonl").write_text("\n".join(lines) + "\n")
+    for small in (False, True):
+        with small_splits(spark) if small else contextlib.nullcontext():
+            s, lines = J.load_session_logs(spark, str(tmp_path / "heads"))
+            got = {r.session_id[-1]: (r.head_model, r.cwd) for r in SS.list_sessions(s, lines, key="file_path").collect()}
+        assert got == {"0": ("m", "/w"), "1": ("m", "/w"), "2": (None, "/w"), "3": (None, "/w")}
 
 
 def test_file_filters_prune(spark, session_tree):
