@@ -240,3 +240,9 @@ def topic_slug(topic: Column, session_id: Column, max_len: int = 40) -> Column:
     sid = F.substring(session_id, 1, 8)
     return (F.when(topic.isNull() | (topic == "") | F.startswith(topic, F.lit("session-")), sid)
             .when(F.length(tagged) >= 4, tagged).otherwise(sid))
+
+
+def plain_path(file_path: Column) -> Column:
+    """A file's path as it was given, from the URI of the file metadata (which writes some characters as %XX)."""
+    decoded = F.url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^file:(//)?(?=/)", "")

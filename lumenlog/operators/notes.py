@@ -7,6 +7,9 @@ concept, so the work spreads over files.
 
 from __future__ import annotations
 
+import os.path
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +22,7 @@ from lumenlog.functions.fixed_values import (
     SUMMARY_JOINER,
     TRAIL_HEADING,
 )
-from lumenlog.functions.text import regex_escape
+from lumenlog.functions.text import plain_path, regex_escape
 
 DATE = r"(\d{4}-\d{2}-\d{2})"
 
@@ -28,26 +31,34 @@ def _alt(words) -> str:
     return "(?:" + "|".join(regex_escape(w) for w in words) + ")"
 
 
-def read_whole_texts(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(path, content, mtime) of whole text files, in one scan; absolute paths (or globs) without a file are skipped."""
-    import os.path
+def loose_glob(path: str) -> str:
+    """A path pattern that matches ``path``: each character that means something in patterns as any character (an escaped one loses its
+    escape inside alternatives). It may match other paths too."""
+    return re.sub(r"[\\{}\[\]*?,]", "?", path)
+
 
+def read_whole_texts(spark: SparkSession, paths: list[str] | str, patterns: list[str] | None = None) -> DataFrame:
+    """(path, content, mtime) of whole text files, in one scan; ``paths`` and ``patterns`` without a file are skipped. ``paths`` are
+    taken as they are, whatever characters they hold; ``patterns`` may hold wildcards."""
     from pyspark.errors import AnalysisException
 
     paths = [paths] if isinstance(paths, str) else list(paths)
-    shared = os.path.commonprefix(paths)
-    shared = shared[:shared.rfind("/") + 1]  # one glob of alternatives below the common folder
-    glob = paths[0] if len(paths) == 1 else shared + "{" + ",".join(p[len(shared):] for p in paths) + "}"
+    found = [loose_glob(p) for p in paths] + list(patterns or [])
+    # one pattern of alternatives below the common folder: a missing one is no error there
+    shared = os.path.commonprefix(found)
+    shared = shared[:shared.rfind("/") + 1]
+    glob = shared + "{" + ",".join(p[len(shared):] for p in found) + "}"
     try:
-        t = spark.read.text(glob, wholetext=True) if paths else None
+        t = spark.read.text(glob, wholetext=True) if found else None
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
             raise
         t = None
     if t is None:
         return spark.createDataFrame([], "path string, content string, mtime timestamp")
-    return t.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:", "").alias("path"), F.col("value").alias("content"),
-                    F.col("_metadata.file_modification_time").alias("mtime"))
+    t = t.select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("content"),
+                 F.col("_metadata.file_modification_time").alias("mtime"))
+    return t if patterns else t.where(F.col("path").isin(paths))
 
 
 def scan_notes(spark: SparkSession, mapping: dict[str, str] | DataFrame, companion: str = COMPANION_NOTE) -> DataFrame:

@@ -11,6 +11,7 @@ headings and labels are this library's own (parameters in ``fixed_values``).
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -312,37 +313,44 @@ def publish_documents(day_docs: DataFrame, concept_docs: DataFrame, concepts: Da
 
 
 def write_documents(docs: DataFrame, out_dir: str) -> None:
-    """Write (path, content) documents as files under ``out_dir`` (a file system all
-    executors mount). One writer per partition; no row passes through the driver."""
-    base = out_dir.rstrip("/")
-
-    def write_part(rows):
-        import os
-
-        for r in rows:
-            target = os.path.join(base, r["path"])
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            tmp = target + ".tmp"
-            with open(tmp, "w", encoding="utf-8") as f:
-                f.write(r["content"])
-            os.replace(tmp, target)  # atomic per file
+    """Write (path, content) documents as files under ``out_dir``, by the writer of ``sources.documents``: staged by tasks, moved when
+    the job commits. Of several rows with the same path the last one moved stays."""
+    from lumenlog.sources.documents import DocumentSource
 
-    docs.select("path", "content").foreachPartition(write_part)
+    docs.sparkSession.dataSource.register(DocumentSource)
+    docs.select("path", "content").write.format(DocumentSource.name()).mode("append").save(out_dir)
 
 
 def read_documents(spark, out_dir: str) -> DataFrame:
     """SC15: already published documents (path relative to ``out_dir``, content)."""
-    from lumenlog.operators.notes import read_whole_texts
+    from lumenlog.operators.notes import loose_glob, read_whole_texts
 
     base = out_dir.rstrip("/")
-    d = read_whole_texts(spark, [f"{base}/sessions/*.md", f"{base}/concepts/*.md"])
+    d = read_whole_texts(spark, [], [f"{loose_glob(base)}/{kind}/*.md" for kind in ("sessions", "concepts")])
+    d = d.where(F.startswith("path", F.regexp_replace(F.lit(base + "/"), "^file:(//)?(?=/)", "")))
     return d.select(F.regexp_replace("path", "^.*/(sessions|concepts)/", "$1/").alias("path"), "content")
 
 
-def append_log(blocks: DataFrame, table_path: str) -> None:
-    """Append rendered digest blocks to a log table (Parquet, append mode)."""
-    blocks.select("session_id", "content", F.current_timestamp().alias("appended_at")) \
-          .write.mode("append").parquet(table_path)
+def append_log(blocks: DataFrame, table_path: str, batch: str | None = None) -> str:
+    """Add rendered digest blocks to a log table (Parquet, partitioned by batch); returns the batch.
+
+    Adding a batch again replaces it and keeps its time, so a repeated run adds nothing. Without a name the batch is named by
+    its content: the same blocks are the same batch."""
+    spark = blocks.sparkSession
+    rows = blocks.select("session_id", "content")
+    if batch is None:
+        n, digest = rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("session_id", "content").cast("decimal(38,0)"))).first()
+        batch = f"{n}-{digest}"
+    try:
+        since = spark.read.parquet(table_path).where(F.col("batch") == batch).agg(F.min("appended_at")).first()[0]
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        since = None
+    at = F.current_timestamp() if since is None else F.lit(since)
+    rows.select("session_id", "content", at.alias("appended_at"), F.lit(batch).alias("batch")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table_path)
+    return batch
 
 
 def write_vault(compiled: DataFrame, out_dir: str, events: DataFrame | None = None, home: str | None = None,
@@ -380,15 +388,15 @@ def write_vault(compiled: DataFrame, out_dir: str, events: DataFrame | None = No
 
 
 def append_digests(sessions: DataFrame, lines: DataFrame, table_path: str, tail_n: int = 3, max_key: int = 8,
-                   key: str = "session_id", signals=None) -> DataFrame:
+                   key: str = "session_id", signals=None, batch: str | None = None) -> DataFrame:
     """Digest a batch of sessions (A29), render each (K8) and append the blocks to
-    the log table (K11); returns the rendered blocks, newest file time first (O5)."""
+    the log table (K11, by ``batch``); returns the rendered blocks, newest file time first (O5)."""
     from lumenlog.operators.digest import digest_batch_order, digest_sessions
     from lumenlog.sources.jsonl import materialize
 
     d = digest_sessions(sessions, lines, tail_n, max_key, key, signals)
     blocks = materialize(render_digest(d, keep=["modified_time"]), "digests")  # appended and returned: computed once
-    append_log(blocks, table_path)
+    append_log(blocks, table_path, batch)
     return digest_batch_order(blocks).drop("modified_time")
 
 
@@ -397,9 +405,8 @@ LOG_HEADER = "# Session log\n\nDigests of finished sessions, newest last.\n\n---
 
 def render_log(log: DataFrame, header: str = LOG_HEADER) -> DataFrame:
     """K11, the rendered view: the log table as ordered blocks (doc='LOG'), header first, then every digest in the
-    order it was appended. A digest that a repeated run appended again shows once, at its first place."""
-    first = log.groupBy("session_id", "content").agg(F.min("appended_at").alias("t"))
-    ord_ = F.unix_micros("t") + F.lit(1)
-    body = first.select(F.lit("LOG").alias("doc"), ord_.cast("bigint").alias("ord"), "session_id", F.col("content").alias("block"))
+    order it was appended."""
+    body = log.select(F.lit("LOG").alias("doc"), (F.unix_micros("appended_at") + F.lit(1)).cast("bigint").alias("ord"), "session_id",
+                      F.col("content").alias("block"))
     head = log.sparkSession.createDataFrame([("LOG", HEADER, "", header)], "doc string, ord bigint, session_id string, block string")
     return head.unionByName(body)

@@ -146,6 +146,11 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.parquet(target)
 
 
+def _file_path() -> F.Column:
+    """The scanned file as the file listing writes it: the metadata hold a URI, with some characters as %XX."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def _text_scan(spark: SparkSession, globs: list[str], file_filter: F.Column | None = None) -> DataFrame | None:
     """(file_path, block_start, value) over the globs that match something (an
     unmatched glob raises PATH_NOT_FOUND). The file filter is applied to each
@@ -160,7 +165,7 @@ def _text_scan(spark: SparkSession, globs: list[str], file_filter: F.Column | No
             continue
         if file_filter is not None:
             scan = scan.where(file_filter)
-        found.append(scan.select(F.col("_metadata.file_path").alias("file_path"),
+        found.append(scan.select(_file_path().alias("file_path"),
                                  F.col("_metadata.file_block_start").alias("block_start"), "value"))
     if not found:
         return None
@@ -178,7 +183,7 @@ def session_globs(root: str, include_agents: bool = False) -> list[str]:
 def session_file_filter(include_agents: bool = False, project: str | None = None, after: str | None = None,
                         before: str | None = None) -> F.Column:
     """SC2 + P1 + P2 as predicates on a file scan's ``_metadata`` (they prune files at listing time)."""
-    path = F.col("_metadata.file_path")
+    path = _file_path()
     name = F.col("_metadata.file_name")
     stem = F.regexp_extract(name, r"^(.*)\.jsonl$", 1)
     in_sub = path.rlike(r"/subagents/[^/]+\.jsonl$")

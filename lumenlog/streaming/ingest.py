@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.sources.jsonl import decode_lines, head_splits, order_lines, session_file_filter, split_table
+from lumenlog.sources.jsonl import _file_path, decode_lines, head_splits, order_lines, session_file_filter, split_table
 
 
 def heads_path(table_path: str) -> str:
@@ -47,7 +47,7 @@ def start_ingest(spark: SparkSession, root: str, table_path: str, checkpoint_loc
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = (reader.load(glob).where(session_file_filter(include_agents))
-              .select(F.col("_metadata.file_path").alias("file_path"),
+              .select(_file_path().alias("file_path"),
                       F.col("_metadata.file_block_start").alias("block_start"), "value"))
     w = (stream.writeStream.foreachBatch(_append_batch(table_path))
          .option("checkpointLocation", checkpoint_location))

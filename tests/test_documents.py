@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from lumenlog.functions.fixed_values import STUB_MARKER, TRAIL_HEADING
@@ -54,6 +55,36 @@ def test_write_and_read_documents(spark, tmp_path):
     assert back == {"sessions/2026-03-01.md": "a", "concepts/K.md": "b"}
 
 
+def test_failed_jobs_leave_no_document(spark, tmp_path):
+    (tmp_path / "concepts").mkdir()
+    (tmp_path / "concepts" / "K.md").write_text("old")
+    good = [(f"sessions/{i}.md", "x" * i) for i in range(40)] + [("concepts/K.md", "new")]
+    bad = spark.createDataFrame(good + [("../out.md", "y")], "path string, content string").repartition(4)
+    with pytest.raises(Exception, match="not a path below the folder"):
+        DOC.write_documents(bad, str(tmp_path))
+    assert [p.relative_to(tmp_path).as_posix() for p in tmp_path.rglob("*")] == ["concepts", "concepts/K.md"]
+    assert (tmp_path / "concepts" / "K.md").read_text() == "old"
+    DOC.write_documents(spark.createDataFrame(good, "path string, content string").repartition(4), tmp_path.as_uri())
+    assert (tmp_path / "concepts" / "K.md").read_text() == "new" and (tmp_path / "sessions" / "7.md").read_text() == "x" * 7
+    assert len([p for p in tmp_path.rglob("*") if p.is_file()]) == 41 and not list(tmp_path.glob(".staging*"))
+
+
+def test_lost_attempts_are_not_moved(tmp_path):
+    """What the driver commits is what committed attempts staged, whatever else lies in the staging folder."""
+    from lumenlog.sources.documents import DocumentWriter, Staged
+
+    w = DocumentWriter(str(tmp_path))
+    for attempt, text in (("0-1", "lost"), ("0-2", "kept")):
+        own = tmp_path / w.staging / attempt
+        own.mkdir(parents=True)
+        (own / "0").write_text(text)
+        if text == "kept":
+            (own / "manifest").write_text('"a, {b}/c.md"\n')
+    w.commit([Staged(str(tmp_path / w.staging / "0-2"), 1), None])
+    assert [p.relative_to(tmp_path).as_posix() for p in tmp_path.rglob("*") if p.is_file()] == ["a, {b}/c.md"]
+    assert (tmp_path / "a, {b}" / "c.md").read_text() == "kept"
+
+
 def test_note_sync(spark):
     notes = spark.createDataFrame([
         ("/p/a/CLAUDE.md", "Kafka", "## Current Status (2026-03-05)\n\n- shipped the **v2** api\n", dt.datetime(2026, 1, 1)),
@@ -98,12 +129,34 @@ def test_scan_notes_from_files_with_companion(spark, tmp_path):
     assert r["B"].status_date == dt.date(2026, 4, 1) and r["B"].summary == "All green now"
 
 
+@pytest.mark.parametrize("name", ["{Plans, 2024}", "a[1]b", "with space", "star*?", "per%20cent", "back\\slash", "日本"])
+def test_notes_in_folders_with_special_characters(spark, tmp_path, name):
+    for folder, text in ((name, "wanted"), ("other", "not this")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "CLAUDE.md").write_text(text)
+        (tmp_path / folder / "CONTEXT.md").write_text("beside " + text)
+    (tmp_path / name / "x, {y}.md").write_text("second")
+    paths = {f"{tmp_path}/{name}/CLAUDE.md": "A", f"{tmp_path}/{name}/x, {{y}}.md": "B", f"{tmp_path}/{name}/gone, too.md": "C"}
+    got = {r.concept: (r.path, r.content, r.companion) for r in N.scan_notes(spark, paths).collect()}
+    assert got == {"A": (f"{tmp_path}/{name}/CLAUDE.md", "wanted", "beside wanted"), "B": (f"{tmp_path}/{name}/x, {{y}}.md", "second", "beside wanted")}
+    DOC.write_documents(spark.createDataFrame([("sessions/2026-03-01.md", "d")], "path string, content string"), f"{tmp_path}/{name}")
+    assert [tuple(r) for r in DOC.read_documents(spark, f"{tmp_path}/{name}").collect()] == [("sessions/2026-03-01.md", "d")]
+
+
 def test_append_log(spark, tmp_path):
+    log = str(tmp_path / "log")
     blocks = spark.createDataFrame([("s1", "### block 1\n"), ("s2", "### block 2\n")], "session_id string, content string")
-    DOC.append_log(blocks, str(tmp_path / "log"))
-    DOC.append_log(blocks.limit(1), str(tmp_path / "log"))
-    got = spark.read.parquet(str(tmp_path / "log"))
-    assert got.count() == 3 and set(got.columns) >= {"session_id", "content", "appended_at"}
+    first = DOC.append_log(blocks, log)
+    times = {r.session_id: r.appended_at for r in spark.read.parquet(log).collect()}
+    assert DOC.append_log(blocks.orderBy(F.desc("session_id")), log) == first  # the same batch again
+    got = spark.read.parquet(log)
+    assert {r.session_id: r.appended_at for r in got.collect()} == times and got.count() == 2
+    DOC.append_log(blocks.limit(1), log)  # another batch
+    DOC.append_log(blocks, log, batch="b1")
+    DOC.append_log(blocks.limit(1), log, batch="b1")  # replaced
+    got = spark.read.parquet(log)
+    assert got.count() == 4 and got.select("batch").distinct().count() == 3
+    assert [r.block for r in DOC.render_log(got).where("doc = 'LOG'").orderBy("ord").collect()][1:3] != []
 
 
 def test_write_vault_twice_keeps_protected(spark, tmp_path):

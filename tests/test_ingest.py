@@ -154,6 +154,16 @@ def test_head_lines_are_physical(spark, tmp_path):
         assert got == {"0": ("m", "/w"), "1": ("m", "/w"), "2": (None, "/w"), "3": (None, "/w")}
 
 
+def test_project_folders_with_special_characters(spark, tmp_path):
+    names = ["-Users-me my proj+x", "100% {a,b}", "日本"]
+    for n in names:
+        (tmp_path / "r" / n).mkdir(parents=True)
+        (tmp_path / "r" / n / f"{SESSION_ID}.jsonl").write_text(json.dumps({"type": "user", "message": {"content": n}}) + "\n")
+    s, lines = J.load_session_logs(spark, str(tmp_path / "r"))
+    assert {(r.project_dir, r.content_text) for r in s.join(lines, "file_path").collect()} == {(n, n) for n in names}
+    assert [r.content_text for r in J.load_session_logs(spark, str(tmp_path / "r"), project="me my proj+")[1].collect()] == names[:1]
+
+
 def test_file_filters_prune(spark, session_tree):
     s, lines = J.load_session_logs(spark, str(session_tree), project="MYPROJ")
     assert s.count() == 1 and lines.count() == 6
