@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenlog.llm.common import worker_model
+
 #: words up to so many bytes are folded side by side; longer ones by a heap, in n log n
 SIDE_BY_SIDE = 48
 #: distinct words a worker remembers (then it forgets all and goes on)
@@ -184,15 +186,9 @@ class Encoder:
         return b"".join(map(self.merges.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_ENCODERS: dict = {}
-
-
 def encoder(path: str, pattern: str) -> Encoder:
     """One encoder a worker process; the rank file's path must be readable on every executor."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path, pattern] = Encoder(load_ranks(path), pattern)
-    return _ENCODERS[path, pattern]
+    return worker_model((path, pattern), lambda: Encoder(load_ranks(path), pattern))
 
 
 def _over(docs: DataFrame, cols: list, schema: str, make: Callable) -> DataFrame:

@@ -2,14 +2,40 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlog.session import checkpoint_dir
 
 
+_MODEL: dict = {}
+
+
+def worker_model(key, build):
+    """``build()``, kept in this process for as long as ``key`` is asked for. A process holds one model at a time: workers are
+    reused by later stages, and what earlier ones held is given back first."""
+    if key not in _MODEL:
+        drop_models()
+        _MODEL[key] = build()
+    return _MODEL[key]
+
+
+def drop_models() -> None:
+    """Free the model this process holds, if any, and return its memory to the system."""
+    if _MODEL:
+        _MODEL.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+        if trim:
+            trim(0)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

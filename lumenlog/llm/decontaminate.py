@@ -2,13 +2,14 @@
 
 A test item of m characters may occur with up to k = rate * m edits. It is split into k + 1 pieces: with k edits at least
 one piece occurs unchanged. One Aho-Corasick pass over each text finds all exact piece hits; each hit is verified with
-Myers' bit-parallel edit distance (the item as bits of one integer), over ever more pieces. The items come in
-blocks of bounded size, so the automaton that is broadcast is bounded too, and every block meets all texts.
+Myers' bit-parallel edit distance (the item as bits of one integer), over ever more pieces. Items shorter than EXACT_BELOW characters
+have no edits and stand between word borders. The items come in blocks of bounded size; one pass over the texts
+meets all blocks, with one block's automaton at a time in a worker.
 """
 
 from __future__ import annotations
 
-import functools
+import itertools
 import uuid
 
 import ahocorasick
@@ -16,10 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenlog.llm.common import worker_model
+
 ERROR_RATE = 0.1
-MIN_CHARS = 20
+#: items of fewer characters are matched without edits, as whole words
+EXACT_BELOW = 20
 #: characters of test items in one block
 BLOCK_CHARS = 4_000_000
+#: characters of texts that meet the blocks one after the other, if there is more than one
+TEXT_CHARS = 32_000_000
+#: bits of the masks a matcher keeps
+MASK_BITS = 256_000_000
 
 
 def normalise(text: str | None) -> str:
@@ -77,11 +85,11 @@ def climb(n: int, piece: int) -> list[tuple[int, int]]:
 class Matcher:
     """Finds all items of one block in a text."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int | None, str]], rate: float):
         self.items = []
         found: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            k = int(len(text) * rate)
+            k = int(len(text) * rate) if len(text) >= EXACT_BELOW else 0
             cuts = [0]
             for number, (_, piece) in enumerate(pieces(text, k)):
                 found.setdefault(piece, []).append((len(self.items), number))
@@ -91,7 +99,18 @@ class Matcher:
         for piece, at in found.items():
             self.automaton.add_word(piece, at)
         self.automaton.make_automaton()
-        self.masks = functools.lru_cache(50_000)(masks)
+        self._masks: dict[str, dict[str, int]] = {}
+        self._bits = 0
+
+    def masks(self, part: str) -> dict[str, int]:
+        got = self._masks.get(part)
+        if got is None:
+            got = masks(part)
+            self._bits += (len(part) + 500) * len(got)
+            if self._bits > MASK_BITS:
+                self._masks, self._bits = {}, (len(part) + 500) * len(got)
+            self._masks[part] = got
+        return got
 
     def verify(self, item: str, k: int, cuts: list[int], piece: int, text: str, s: int) -> tuple[int, int, int] | None:
         """(start, end, distance) of the item round diagonal s, where ``piece`` occurs unchanged. j neighbouring pieces hold
@@ -104,7 +123,8 @@ class Matcher:
             if got is None:
                 return None
         if not k:  # one piece: the hit itself
-            return s, s + len(item), 0
+            whole = len(item) >= EXACT_BELOW or not (text[s - 1:s].isalnum() or text[s + len(item):s + len(item) + 1].isalnum())
+            return (s, s + len(item), 0) if whole else None
         end = a + got[1]  # the start: the same distance, backwards from the end
         turned = myers(self.masks(item[::-1]), len(item), text[max(a, end - len(item) - k):end][::-1], got[0], anchored=True)
         return end - turned[1], end, got[0]
@@ -122,59 +142,76 @@ class Matcher:
                 if (got := self.verify(item, k, cuts, piece, text, s)) is not None:
                     last[number] = s
                     out.append((item_id, *got))
-        return sorted(set(out))
+        return sorted(set(out), key=by_id)
 
 
-_MATCHERS: dict[str, Matcher] = {}
+def by_id(leak: tuple) -> tuple:
+    """Sorts (item_id, start, end, distance), items without an id last."""
+    return leak[0] is None, leak[0] or 0, *leak[1:]
 
 
 def matcher(key: str, items, rate: float) -> Matcher:
     """One matcher a worker process and block."""
-    if key not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(items.value, rate)
-    return _MATCHERS[key]
+    return worker_model(("matcher", key), lambda: Matcher(items.value, rate))
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, min_chars: int, block_chars: int):
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int):
     """Blocks of (item_id, normalised text), each of about ``block_chars`` characters."""
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where(
-        F.length("t") >= min_chars).distinct()
+        F.col("t").isNotNull()).distinct()
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n = -(-total // block_chars)
     for block in range(n):
-        rows = [(r.i, normalise(r.t)) for r in items.where(F.expr(f"pmod(xxhash64(i, t), {n})") == block).toLocalIterator()]
-        rows = sorted({r for r in rows if r[0] is not None and len(r[1]) >= min_chars})
-        if rows:
+        rows = {(r.i, normalise(r.t)) for r in items.where(F.expr(f"pmod(xxhash64(i, t), {n})") == block).toLocalIterator()}
+        if rows := sorted((r for r in rows if r[1]), key=lambda r: (r[0] is None, r)):
             yield rows
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_chars: int = MIN_CHARS,
-                   block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text",
-                   item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def grouped(batches, text_col: str, chars: int):
+    """Neighbouring batches with up to ``chars`` characters, or one larger batch."""
+    held, size = [], 0
+    for b in batches:
+        n = b.column(0).field(text_col).nbytes
+        if held and size + n > chars:
+            yield held
+            held, size = [], 0
+        held.append(b)
+        size += n
+    if held:
+        yield held
+
+
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS,
+                   id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` columns aside: doc_id, leaks - one row per row of ``docs``; leaks is an array of (item_id, start, end,
     distance), empty for a clean document.
 
     An item occurs where a piece of the whole text, both lower-cased and with white space runs as one space, is within
-    int(rate * length) edits of the whole item; start and end are positions in that form of the text. Items without an id or
-    shorter than ``min_chars`` are no evidence and match nothing. Null and empty texts are clean; repeated rows and rows
-    without doc_id get their own result row; repeated items count once; empty tables give clean or no rows."""
-    out = docs.select(F.struct("*").alias("_row"),
-                      F.expr("CAST(array() AS array<struct<item_id:bigint,start:bigint,end:bigint,distance:bigint>>)").alias("leaks"))
+    int(rate * length) edits of the whole item; start and end are positions in that form of the text. Of places that overlap by
+    all but twice that many characters the first counts. Items shorter than EXACT_BELOW characters occur where they stand
+    unchanged, with no letter or digit next to them. Items without an id match like any other, as item null; null items and
+    those of white space match nothing; repeated items count once, but equal texts under several ids are several items. Null and
+    empty texts are clean; repeated rows and rows without doc_id get their own result row; empty tables give clean or no rows."""
     context = docs.sparkSession.sparkContext
     kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("item_id", "start", "end", "distance")]))
-    for items in item_blocks(benchmark, item_col, item_text_col, min_chars, block_chars):
-        shared, key = context.broadcast(items), uuid.uuid4().hex  # block_chars bounds it
-
-        def run(batches, shared=shared, key=key):
-            own = matcher(key, shared, rate)
-            for b in batches:
-                found = [[dict(zip(("item_id", "start", "end", "distance"), x)) for x in own.matches(normalise(t))]
-                         for t in b.column(0).field(text_col).to_pylist()]
-                leaks = [old + new for old, new in zip(b.column(1).to_pylist(), found)]
+    # block_chars bounds each block; a worker loads one after the other
+    blocks = [(uuid.uuid4().hex, context.broadcast(items)) for items in item_blocks(benchmark, item_col, item_text_col, block_chars)]
+
+    def run(batches):
+        groups = grouped(batches, text_col, TEXT_CHARS) if len(blocks) > 1 else ([b] for b in batches)
+        for group in groups:
+            texts = [[normalise(t) for t in b.column(0).field(text_col).to_pylist()] for b in group]
+            found = [[[] for _ in ts] for ts in texts]
+            for key, items in blocks:
+                own = matcher(key, items, rate)
+                for t, out in zip(itertools.chain.from_iterable(texts), itertools.chain.from_iterable(found)):
+                    out += own.matches(t)
+            for b, out in zip(group, found):
+                leaks = [[dict(zip(("item_id", "start", "end", "distance"), x)) for x in sorted(f, key=by_id)] for f in out]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(leaks, kind)], names=["_row", "leaks"])
 
-        out = out.mapInArrow(run, out.schema)
+    rows = docs.select(F.struct("*").alias("_row"))
+    out = rows.mapInArrow(run, f"_row {docs.schema.simpleString()}, leaks array<struct<item_id:bigint,start:bigint,end:bigint,distance:bigint>>")
     return out.select(F.col("_row").getField(id_col).alias("doc_id"), "_row", "leaks")
 
 

@@ -9,7 +9,6 @@ by hash: ``sample_docs`` whole documents per language. Prediction covers all row
 
 from __future__ import annotations
 
-import functools
 import itertools
 import uuid
 
@@ -19,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import materialize, row_key
+from lumenlog.llm.common import materialize, row_key, worker_model
 
 UNDETERMINED = "und"
 LETTERS = regex.compile(r"\p{L}+")
@@ -82,10 +81,9 @@ def load_vocabulary(model_path: str) -> list[str]:
     return sorted(letters)
 
 
-@functools.cache
 def vocabulary(model_path: str) -> Vocabulary:
     """One vocabulary a worker process; the path must be readable on every executor."""
-    return Vocabulary(load_vocabulary(model_path))
+    return worker_model(("pieces", model_path), lambda: Vocabulary(load_vocabulary(model_path)))
 
 
 def words_of(text: str) -> list[str]:
@@ -243,15 +241,9 @@ class Scorer:
         return pred, score
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def scorer(vocab_path: str, key: str, model) -> Scorer:
     """One scorer a worker process and model: its words last over tasks."""
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(vocabulary(vocab_path), *model.value)
-    return _SCORERS[key]
+    return worker_model(("scorer", key), lambda: Scorer(Vocabulary(load_vocabulary(vocab_path)), *model.value))
 
 
 def predict(docs: DataFrame, vocab_path: str, langs: list[str], probs: np.ndarray, id_col: str = "doc_id",

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import connected_components, materialize
+from lumenlog.llm.common import connected_components, drop_models, materialize, row_key
 
 BITS = 64
 #: fingerprints of one (block, value) that one task walks; larger groups are dealt by pairs of sub-nodes
@@ -53,14 +53,15 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed 64-bit integer."""
+    """(doc_id, _id, _th, fp): fp is the fingerprint as a signed 64-bit integer, _id and _th are the row's identity."""
     def run(batches):
+        drop_models()
         for b in batches:
-            fps = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t, width) for t in b.column(3).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fps)], names=["doc_id", "_id", "_th", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(
-        run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), F.col(text_col).cast("string")).mapInArrow(
+        run, "doc_id long, _id long, _th int, fp long")
 
 
 def blocks_of(max_bits: int) -> list[tuple[int, int]]:
@@ -204,10 +205,30 @@ def simhash_groups(docs: DataFrame, width: int = 4, max_bits: int = 4, group_lim
     Rows without doc_id have a fingerprint and link others, but never name a component (null where no row of it has a
     doc_id). Repeated rows get the same result each. An empty table gives an empty result; other
     columns are ignored."""
-    fps = materialize(fingerprints(docs, width, id_col, text_col), "fps")
-    roots = connected_components(fingerprint_links(fps.select("fp").distinct(), max_bits, group_limit))
-    of = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "doc_id", "fp", F.coalesce("root", "fp").alias("root"))
+    of = _with_roots(docs, width, max_bits, group_limit, id_col, text_col)
     # written, so that both sides of the next join are plain exchanges and a large component can be split there
     first = materialize(of.groupBy("root").agg(F.min("doc_id").alias("component_id")), "first")
     return of.join(first, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _with_roots(docs: DataFrame, width: int, max_bits: int, group_limit: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, _id, _th, fp, root): the rows of ``docs`` with the smallest fingerprint they hang together with."""
+    fps = materialize(fingerprints(docs, width, id_col, text_col), "fps")
+    roots = connected_components(fingerprint_links(fps.select("fp").distinct(), max_bits, group_limit))
+    return fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def representatives(docs: DataFrame, width: int = 4, max_bits: int = 4, group_limit: int = GROUP_LIMIT, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component, unchanged: that of the smallest id (rows without one last), of rows that share it that
+    of the smallest digest of the text, and one of equal rows (which one is open: they are told apart by other columns only).
+
+    Null, empty and repeated texts, missing and repeated ids and an empty table follow simhash_groups()."""
+    of = _with_roots(docs, width, max_bits, group_limit, id_col, text_col)
+    alike = of.groupBy("root", "doc_id", "_id", "_th").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_id", "_th", "n")
+    best = materialize(alike.groupBy("root").agg(F.min(order).alias("k")).select("k._id", "k._th", "k.n"), "best")
+    kept = docs.withColumn("_row", F.struct("*")).select("_row", *row_key(id_col, text_col)).join(best, ["_id", "_th"])
+    if best.where("n > 1").isEmpty():
+        return kept.select("_row.*")
+    return kept.where("n = 1").select("_row.*").unionByName(kept.where("n > 1").dropDuplicates(["_id", "_th"]).select("_row.*"))

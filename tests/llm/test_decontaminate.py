@@ -79,20 +79,43 @@ def test_leaks_are_those_of_brute_force(rate):
     assert hits >= 5
 
 
+def test_short_items_against_plain_search():
+    rnd = random.Random(6)
+    for _ in range(300):
+        items = [(i, D.normalise("".join(rnd.choices("ab ?", k=rnd.randint(1, 6))))) for i in range(5)]
+        items = [x for x in items if x[1]]
+        text = D.normalise("".join(rnd.choices("aab  ?", k=rnd.randint(0, 40))))
+        want = {(i, s) for i, t in items for s in range(len(text)) if text.startswith(t, s)
+                and not text[max(0, s - 1):s].isalnum() and not text[s + len(t):s + len(t) + 1].isalnum()}
+        assert {(i, s) for i, s, _, _ in D.Matcher(items, 0.1).matches(text)} == want
+
+
+def test_masks_are_bounded(monkeypatch):
+    monkeypatch.setattr(D, "MASK_BITS", 100_000)
+    m = D.Matcher([(1, "x" * 30)], 0.1)
+    for i in range(2000):
+        assert m.masks(f"part {i}") == D.masks(f"part {i}")
+    assert len(m._masks) < 60
+
+
 @pytest.mark.parametrize("block", [D.BLOCK_CHARS, 60])
 def test_operator(spark, block):
     item = "The quick brown fox jumps over the lazy dog and runs home"
     other = "Colourless green ideas sleep furiously in the north wind"
-    bench = spark.createDataFrame([(1, item), (1, item), (2, other), (3, None), (4, ""), (5, "the"), (None, "a null id but a text of some length")],
-                                  "item_id long, text string")
+    bench = spark.createDataFrame([(1, item), (1, item), (2, other), (3, None), (4, ""), (8, " \n"), (5, "The  North?"),
+                                   (None, "a null id but a text of some length")], "item_id long, text string")
     texts = [None, "", "nothing here", f"x {item.upper()} y", "so " + item.replace(" ", "\n\t").replace("lazy", "lzy"),
-             f"{other} {item}", "z " * 40_000 + item, "the the the", "a null id but a text of some length"]
+             f"{other} {item}", "z " * 40_000 + item, "is it the\nnorth?", "A null id but a text of some lenght", "breathe north?",
+             "the north?pole", "the north? (the north?)"]
     rows = [(i, t, -1, "l") for i, t in enumerate(texts)] + [(3, texts[3], -1, "l"), (None, item, -1, "l")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, item_id long, leaks string")
-    got = sorted((str(r.doc_id), r.item_id, r.distance) for r in D.leaks(docs, bench, block_chars=block).collect())
-    assert got == sorted([("3", 1, 0), ("3", 1, 0), ("4", 1, 1), ("5", 1, 0), ("5", 2, 0), ("6", 1, 0), ("None", 1, 0)])
+    found = D.leaks(docs, bench, block_chars=block)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # one worker a task for all blocks
+    got = sorted(((str(r.doc_id), r.item_id, r.distance) for r in found.collect()), key=str)
+    assert got == sorted([("3", 1, 0), ("3", 1, 0), ("4", 1, 1), ("5", 1, 0), ("5", 2, 0), ("6", 1, 0), ("None", 1, 0), ("7", 5, 0),
+                          ("8", None, 1), ("11", 5, 0), ("11", 5, 0)], key=str)
     clean = D.decontaminate(docs, bench, block_chars=block)
     assert clean.columns == docs.columns
-    assert sorted(r.doc_id for r in clean.collect()) == [0, 1, 2, 7, 8]
+    assert sorted(r.doc_id for r in clean.collect()) == [0, 1, 2, 9, 10]
     assert D.decontaminate(docs, bench.limit(0)).count() == len(rows)
     assert D.decontaminate(docs.limit(0), bench).count() == 0
