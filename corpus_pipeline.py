@@ -19,8 +19,9 @@ ARROW_ROWS = "512"
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without a letter, or for which no learned language reaches
-    MIN_LANGUAGE_SCORE, go. Learned from a bounded sample of the labelled rows of ``docs``."""
+    """Documents with a language: those without a letter (null and empty texts among them), or for which no learned language reaches
+    MIN_LANGUAGE_SCORE, go. Learned from a bounded sample of the labelled rows of ``docs``; without any, all go. Repeated rows and
+    rows without a doc_id are judged each; an empty table stays empty."""
     import public_tokenizers
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
@@ -30,29 +31,29 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in at least 10 documents go from all texts; n_chars is that of the text that stays."""
+    """Lines found in at least 10 documents go from all texts; n_chars is that of the text that stays. Every row stays, null texts as
+    empty ones; an empty table stays empty."""
     out = line_dedup.line_dedup(docs, min_docs=10, min_chars=1)
     return out.withColumns({"text": F.col("_kept"), "n_chars": F.char_length("_kept").cast("long")}).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays. Rows without a doc_id, which no group can
-    be represented by, stay too."""
+    """Of each group of near duplicates one row stays: that of the smallest doc_id, rows without one last; of rows that share it that of
+    the smallest text digest, and one of equal rows. Null and empty texts are near duplicates of each other."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    groups = simhash.simhash_groups(docs, width=4, max_bits=4)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    return simhash.representatives(docs, width=4, max_bits=4)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, with up to 10 % edits, go."""
+    """Documents that hold a benchmark item, with up to 10 % edits (short items: unchanged, as whole words), go. Null and empty texts are
+    clean; repeated rows and rows without a doc_id are judged each; without items, or documents, nothing goes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids (packed token ids), n_tokens, ids_sha256, and whether the decoded ids are the text."""
+    """doc_id, ids (packed token ids), n_tokens, ids_sha256, and whether the decoded ids are the text. One row per row: null and empty
+    texts have no ids; an empty table gives an empty result."""
     import public_tokenizers
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
