@@ -79,15 +79,16 @@ def grep_context(messages: DataFrame, term: str, context: int = 1, key: str = "s
     """Messages (all types) within +-``context`` positions of a message containing
     ``term`` (literal, case-insensitive); overlapping windows merge.
 
-    Positions come from the skew-safe dense rank; each hit emits its 2C+1
-    neighbour positions and a semi join keeps the rows at those positions.
+    Positions come from the skew-safe dense rank over narrow rows; each hit emits its 2C+1
+    neighbour positions, and the messages at those positions are joined back by line.
     """
-    pos = dense_position(messages, [key], "line_no", "pos")
-    pat = term_regex(term)
-    hits = pos.where(F.col("content_text").rlike(pat)).select(
+    hit = F.coalesce(F.col("content_text").rlike(term_regex(term)), F.lit(False))
+    # only (key, line, hit) is ranked; texts are looked up for the rows that stay
+    pos = dense_position(messages.select(key, "line_no", hit.alias("is_match")), [key], "line_no", "pos")
+    near = pos.where("is_match").select(
         key, F.explode(F.sequence(F.col("pos") - context, F.col("pos") + context)).alias("pos")).distinct()
-    out = pos.join(hits, [key, "pos"], "left_semi")
-    return out.withColumn("is_match", F.coalesce(F.col("content_text").rlike(pat), F.lit(False)))
+    kept = pos.join(near, [key, "pos"], "left_semi")
+    return messages.join(kept, [key, "line_no"])
 
 
 PREFILTER_SAFE = r"^[A-Za-z0-9 ]+$"

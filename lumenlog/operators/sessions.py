@@ -76,17 +76,27 @@ def session_context(lines: DataFrame, key: str = "session_id", extra: dict[str,
         ((F.unix_micros("last_ts") - F.unix_micros("first_ts")) / 1e6).alias("duration_seconds"), *extra.keys())
 
 
-def list_sessions(sessions: DataFrame, lines: DataFrame, key: str = "session_id", home: str | None = None,
-                  model: str | None = None, sort: str = "date") -> DataFrame:
-    """Head metadata, message count, input+output tokens, display project and
-    duration (file time minus first head timestamp); ``total`` = untrimmed count."""
+def session_heads(lines: DataFrame, key: str = "session_id", heads: DataFrame | None = None) -> DataFrame:
+    """The part of A8 that reads lines: head metadata, message count and input+output tokens per ``key``."""
     is_msg = F.col("msg_type").isin("user", "assistant", "system")
-    meta = head_meta(lines, key, extra={
+    return head_meta(lines, key, extra={
         "msg_count": F.sum(F.when(is_msg, 1).otherwise(0)).cast("bigint"),
         "total_tokens": F.coalesce(F.sum(F.when(is_msg & F.col("has_usage"), F.coalesce("input_tokens", F.lit(0))
                                                 + F.coalesce("output_tokens", F.lit(0)))), F.lit(0)).cast("bigint")},
-        heads=sessions if "head_splits" in sessions.columns else None)
-    out = (sessions.join(meta, key, "left")
+        heads=heads)
+
+
+def list_sessions(sessions: DataFrame, lines: DataFrame, key: str = "session_id", home: str | None = None,
+                  model: str | None = None, sort: str = "date") -> DataFrame:
+    """Head metadata, message count, input+output tokens, display project and
+    duration (file time minus first head timestamp); ``total`` = untrimmed count."""
+    meta = session_heads(lines, key, sessions if "head_splits" in sessions.columns else None)
+    return listing(sessions.join(meta, key, "left"), home, model, sort)
+
+
+def listing(sessions: DataFrame, home: str | None = None, model: str | None = None, sort: str = "date") -> DataFrame:
+    """A8 from sessions that carry their ``session_heads`` (a kept rollup, or just joined)."""
+    out = (sessions
            .withColumn("msg_count", F.coalesce("msg_count", F.lit(0)).cast("bigint"))
            .withColumn("total_tokens", F.coalesce("total_tokens", F.lit(0)).cast("bigint"))
            .withColumn("display_project", display_project(F.col("cwd"), F.col("project_name"), home))

@@ -100,7 +100,7 @@ def _bytes(size: str) -> int:
 
 
 def order_lines(raw: DataFrame) -> DataFrame:
-    """(file_path, block_start, line_no, value): ``line_no`` ascends in file order; no exchange.
+    """(file_path, block_start, line_no, the other columns): ``line_no`` ascends in file order; no exchange.
 
     ``raw``: (file_path, block_start, value), a plain text scan (see ``_text_scan``). The splits of a file start at least
     min(maxPartitionBytes, openCostInBytes) apart, so the quotient tells them apart in order; inside a split rows are contiguous
@@ -109,7 +109,8 @@ def order_lines(raw: DataFrame) -> DataFrame:
     apart = max(1, min(_bytes(conf.get(f"spark.sql.files.{c}")) for c in ("maxPartitionBytes", "openCostInBytes")))
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     split = F.shiftleft(F.expr(f"block_start div {apart}L"), ROW_BITS)
-    return raw.select("file_path", "block_start", (split + row + 1).alias("line_no"), *[c for c in raw.columns if c == "value"])
+    return raw.select("file_path", "block_start", (split + row + 1).alias("line_no"),
+                      *[c for c in raw.columns if c not in ("file_path", "block_start")])
 
 
 def split_table(raw: DataFrame) -> DataFrame:

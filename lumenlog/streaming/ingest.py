@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlog.sources.jsonl import _file_path, decode_lines, head_splits, order_lines, session_file_filter, split_table
+from lumenlog.sources.store import scanned, write_epoch
 
 
 def heads_path(table_path: str) -> str:
@@ -38,25 +39,35 @@ def _append_batch(table_path: str):
     return run
 
 
-def start_ingest(spark: SparkSession, root: str, table_path: str, checkpoint_location: str,
-                 include_agents: bool = False, available_now: bool = True, max_files_per_trigger: int | None = None):
-    """Start the stream (returns the StreamingQuery). ``checkpoint_location`` must be
-    on a shared file system; it records which files were ingested."""
-    glob = f"{root.rstrip('/')}/*/*.jsonl"
+def _start(spark: SparkSession, root: str, sink, columns, checkpoint_location: str, include_agents: bool, available_now: bool,
+           max_files_per_trigger: int | None):
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = (reader.load(glob).where(session_file_filter(include_agents))
-              .select(_file_path().alias("file_path"),
-                      F.col("_metadata.file_block_start").alias("block_start"), "value"))
-    w = (stream.writeStream.foreachBatch(_append_batch(table_path))
-         .option("checkpointLocation", checkpoint_location))
+    stream = columns(reader.load(f"{root.rstrip('/')}/*/*.jsonl").where(session_file_filter(include_agents)))
+    w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_location)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
 
+def start_ingest(spark: SparkSession, root: str, table_path: str, checkpoint_location: str,
+                 include_agents: bool = False, available_now: bool = True, max_files_per_trigger: int | None = None):
+    """Start the stream into a ``lines`` table (returns the StreamingQuery). ``checkpoint_location`` must be
+    on a shared file system; it records which files were ingested."""
+    def columns(text):
+        return text.select(_file_path().alias("file_path"), F.col("_metadata.file_block_start").alias("block_start"), "value")
+    return _start(spark, root, _append_batch(table_path), columns, checkpoint_location, include_agents, available_now, max_files_per_trigger)
+
+
+def start_store(spark: SparkSession, root: str, store: str, checkpoint_location: str, include_agents: bool = False,
+                available_now: bool = True, max_files_per_trigger: int | None = None):
+    """Start the stream into a store (``sources.store``): lines, session rollup and search index, one epoch a micro-batch."""
+    def sink(batch: DataFrame, epoch_id: int) -> None:
+        write_epoch(batch, store, epoch_id)
+    return _start(spark, root, sink, scanned, checkpoint_location, include_agents, available_now, max_files_per_trigger)
+
+
 def ingest_available(spark: SparkSession, root: str, table_path: str, checkpoint_location: str,
                      include_agents: bool = False) -> None:
     """Process all files not ingested yet, then return."""
-    q = start_ingest(spark, root, table_path, checkpoint_location, include_agents, available_now=True)
-    q.awaitTermination()
+    start_ingest(spark, root, table_path, checkpoint_location, include_agents, available_now=True).awaitTermination()
