@@ -972,3 +972,6 @@ def cjk_terms(spark, sf):
     text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("the"), F.lit("研究方向的")), F.lit("en"), F.lit("系统"))
     grams = T.table(spark, sf, "documents").select(F.explode(cjk_ngrams(text)).alias("gram"))
     return grams.groupBy("gram").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+from lumenlog.plans import catalog_files  # noqa: E402,F401  queries over files written from the tables

@@ -13,6 +13,7 @@ import json
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -23,7 +24,12 @@ MANIFEST = "manifest"
 
 
 def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    """The file system of a folder, and the folder's path in it."""
+    if folder.startswith("file:///"):
+        return fs.LocalFileSystem(), unquote(folder[len("file://"):])
+    if folder.startswith("file:/"):  # a Hadoop path, not escaped
+        return fs.LocalFileSystem(), folder[len("file:"):]
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
 
 
 def relative(path: str | None) -> str:

@@ -1333,3 +1333,60 @@ g AS (SELECT unnest(list_concat(list_transform(range(1, length(s)), lambda i : s
                                 list_transform(range(1, length(s) - 1), lambda i : substring(s, CAST(i AS BIGINT), 3)))) AS gram
       FROM c WHERE length(s) >= 2)
 SELECT gram, count(*) AS n FROM g GROUP BY 1""")
+
+
+# ---------------------------------------------------------------- log files written from the tables
+_MODEL3 = _case("conv_id % 3", ["claude-sonnet-4-6", "claude-opus-4-6", "claude-haiku-4-5"])
+FILES = f"""
+fc AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g') AS c,
+              CASE conv_id % 10 WHEN 0 THEN 'agent-' || conv_id WHEN 1 THEN 'worker-' || conv_id
+                   ELSE lpad(CAST(conv_id AS VARCHAR), 8, '0') || '-0000-4000-8000-000000000000' END AS session_id,
+              conv_id % 10 < 2 AS is_agent
+       FROM conversations),
+fl AS (SELECT *, '{{"type":"' || role || '","timestamp":"2026-01-0' || (conv_id % 9 + 1) || 'T10:' || lpad(CAST(turn % 60 AS VARCHAR), 2, '0')
+                 || ':00Z","cwd":"/Users/dev/work","message":{{"content":"' || c || '"'
+                 || CASE WHEN role = 'assistant' THEN ',"model":"' || {_MODEL3} || '","usage":{{"input_tokens":' || length(c) || ',"output_tokens":'
+                    || (length(c) % 97) || '}}' ELSE '' END || '}}}}' AS line,
+              CASE conv_id % 4 WHEN 0 THEN chr(10) WHEN 1 THEN '{{broken' || chr(10) ELSE '' END AS opening,
+              row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, c) + CASE WHEN conv_id % 4 < 2 THEN 1 ELSE 0 END AS physical_line
+       FROM fc),
+ff AS (SELECT conv_id, session_id, is_agent, '-Users-dev-work-proj' || (conv_id % 7) AS project_dir, '~/work/proj' || (conv_id % 7) AS project_name,
+              CAST(strlen(any_value(opening) || string_agg(line, chr(10) ORDER BY physical_line)) + 1 AS BIGINT) AS file_size
+       FROM fl GROUP BY 1, 2, 3)"""
+q("files_sessions", f"""WITH {FILES}
+SELECT w.a AS with_agents, session_id, project_dir, project_name, file_size, is_agent FROM ff, (VALUES (true), (false)) w(a)
+WHERE w.a OR NOT is_agent""")
+q("files_lines", f"""WITH {FILES}
+SELECT session_id, CAST(physical_line AS BIGINT) AS physical_line, role AS msg_type, sha256(c) AS content_sha256,
+       CASE WHEN role = 'assistant' THEN {_MODEL3} ELSE '' END AS model,
+       CAST(CASE WHEN role = 'assistant' THEN length(c) % 97 ELSE 0 END AS BIGINT) AS output_tokens
+FROM fl""")
+q("store_usage", f"""WITH {FILES},
+t AS (SELECT conv_id, count(*) AS n, sum(CASE WHEN role = 'assistant' THEN length(c) ELSE 0 END) AS i,
+             sum(CASE WHEN role = 'assistant' THEN length(c) % 97 ELSE 0 END) AS o FROM fl WHERE NOT is_agent GROUP BY 1)
+SELECT project_name AS label, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS messages, CAST(sum(i) AS BIGINT) AS input_tokens,
+       CAST(sum(o) AS BIGINT) AS output_tokens, CAST(sum(i + o) AS BIGINT) AS total_tokens
+FROM ff JOIN t USING (conv_id) GROUP BY 1""")
+q("store_list", f"""WITH {FILES},
+m AS (SELECT * FROM fl WHERE NOT is_agent),
+h AS (SELECT * FROM m WHERE physical_line <= 20),
+g AS (SELECT session_id, count(*) AS msg_count, CAST(sum(CASE WHEN role = 'assistant' THEN length(c) + length(c) % 97 ELSE 0 END) AS BIGINT) AS total_tokens
+      FROM m GROUP BY 1),
+x AS (SELECT session_id, '2026-01-0' || any_value(conv_id % 9 + 1) || ' 10:' || lpad(CAST(arg_min(turn % 60, physical_line) AS VARCHAR), 2, '0')
+             || ':00' AS first_timestamp,
+             coalesce(arg_min({_MODEL3}, physical_line) FILTER (WHERE role = 'assistant'), '') AS head_model,
+             sha256(coalesce(arg_min(c, physical_line) FILTER (WHERE role = 'user'), '')) AS first_user_sha256
+      FROM h GROUP BY 1)
+SELECT session_id, first_timestamp, msg_count, total_tokens, head_model, first_user_sha256, (SELECT count(*) FROM g) AS total
+FROM g JOIN x USING (session_id)""")
+q("store_search", f"""WITH {FILES}
+SELECT t.term, session_id, count(*) AS messages FROM fl, (VALUES ('QUE'), ('keit'), ('in the'), ('ouen')) t(term)
+WHERE NOT is_agent AND role IN ('user', 'assistant') AND contains(lower(c), lower(t.term)) GROUP BY 1, 2""")
+q("files_tool_events", f"""WITH {EV}
+SELECT session_id, obs_date, tool_name, count(*) AS events, count(DISTINCT file_path) AS files FROM ev WHERE tool_name IS NOT NULL
+GROUP BY 1, 2, 3""")
+q("files_notes", """WITH d AS (SELECT CAST(s_suppkey AS BIGINT) AS doc_id, sha256(coalesce(s_name, ''))[1:12] AS t FROM supplier)
+SELECT 'C' || doc_id AS concept, sha256('# Note ' || doc_id || chr(10) || 'See CONTEXT.md for details ' || t || chr(10)) AS content_sha256,
+       sha256(CASE WHEN doc_id % 3 = 0 THEN '# ctx' || chr(10) || '> quoted' || chr(10) || 'Working on ' || t || ' now' || chr(10) ELSE '' END)
+         AS companion_sha256
+FROM d""")
