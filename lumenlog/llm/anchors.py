@@ -72,3 +72,43 @@ def runs(symbols: np.ndarray, width: int, k: int) -> Iterator[tuple[np.ndarray,
         end = first + n - 1 + width
         context = mix((prefix[end] - prefix[first]) * down[first] + n.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
         yield grams[anchor[first]], context, first + at, n
+
+
+def runs_of_many(texts: list[np.ndarray], width: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text, h, c, start, n) arrays: ``runs`` of all texts, by text and start. Short texts are laid side by side and handled together;
+    windows that would cross from one to the next are left out."""
+    held, size = [], 0
+    for i, x in enumerate(texts):
+        if len(x) < width:
+            continue
+        if held and size + len(x) > BLOCK:
+            yield _side_by_side(held, width, k)
+            held, size = [], 0
+        if len(x) > BLOCK:
+            for part in runs(x, width, k):
+                yield np.full(len(part[0]), i), *part
+            continue
+        held.append((i, x))
+        size += len(x)
+    if held:
+        yield _side_by_side(held, width, k)
+
+
+def _side_by_side(held: list[tuple[int, np.ndarray]], width: int, k: int) -> tuple[np.ndarray, ...]:
+    sizes = np.array([len(x) for _, x in held])
+    begin = np.cumsum(sizes) - sizes
+    x = np.concatenate([x for _, x in held])
+    up, down = _tables(len(x) + 1)
+    prefix = np.concatenate([[np.uint64(0)], np.cumsum((x + np.uint64(1)) * up[:len(x)], dtype=np.uint64)])
+    grams = mix((prefix[k:] - prefix[:-k]) * down[:len(x) - k + 1])
+    tagged = (grams & ~INDEX) | np.arange(len(grams), dtype=np.uint64)
+    least = (sliding_min(tagged, width - k + 1) & INDEX).astype(np.int64)
+    counts = sizes - width + 1  # windows of each text
+    owner = np.repeat(np.arange(len(held)), counts)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + begin[owner]
+    anchor = least[at]
+    cut = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])]))
+    n = np.diff(np.append(cut, len(at)))
+    first, text = at[cut], owner[cut]
+    context = mix((prefix[first + n - 1 + width] - prefix[first]) * down[first] + n.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+    return np.array([i for i, _ in held])[text], grams[anchor[cut]], context, first - begin[text], n

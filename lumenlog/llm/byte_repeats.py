@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.llm.anchors import runs
+from lumenlog.llm.anchors import runs_of_many
 from lumenlog.llm.common import groups_by_size, materialize, row_key, sorted_groups, whole_text
 from lumenlog.llm.suffix_array import suffix_array
 
@@ -34,14 +34,10 @@ GROUP_LIMIT = 4000
 def _runs_of(batches, width: int, k: int) -> Iterator[tuple]:
     """Per batch of (_id, _th, text): the arrays (row, h, c, start, n) of all runs."""
     for b in batches:
-        row, found = [], []
-        for i, t in enumerate(b.column(2).to_pylist()):
-            raw = np.frombuffer((t or "").encode("utf-8"), np.uint8)
-            for part in runs(raw.astype(np.uint64), width, k) if len(raw) >= width else ():
-                found.append(part)
-                row.append(np.full(len(part[0]), i))
+        raw = [np.frombuffer((t or "").encode("utf-8"), np.uint8).astype(np.uint64) for t in b.column(2).to_pylist()]
+        found = list(runs_of_many(raw, width, k))
         if found:
-            yield (b, np.concatenate(row), *(np.concatenate(x) for x in zip(*found)))
+            yield (b, *(np.concatenate(x) for x in zip(*found)))
 
 
 def occurrences(docs: DataFrame, width: int, k: int) -> DataFrame:

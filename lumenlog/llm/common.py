@@ -55,10 +55,12 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the cluster's shared folder and read it again: computed once, and a
-    lost executor costs no recomputation of what lies before."""
+    lost executor costs no recomputation of what lies before. The shuffles before it are no longer needed; Spark deletes their files
+    when the driver has collected its garbage, so it is asked to."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.llm.anchors import runs
+from lumenlog.llm.anchors import runs_of_many
 from lumenlog.llm.common import groups_by_size, materialize, row_key, sorted_groups, whole_text
 
 WIDTH = 13
@@ -30,6 +30,7 @@ ANCHOR_SHARE = 0.32
 PREFIX_SHARE = 0.6
 #: distinct contexts of one anchor that one task holds in a tree (about 100 MB)
 GROUP_LIMIT = 50_000
+NONE = np.zeros(0, np.uint64)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -42,22 +43,19 @@ def occurrences(docs: DataFrame, width: int, k: int, places: bool = True) -> Dat
     def run(batches):
         known: dict[bytes, int] = {}
         for b in batches:
-            row, found = [], []
+            texts = []
             if len(known) > 500_000:
                 known.clear()
-            for i, t in enumerate(b.column(2).to_pylist()):
+            for t in b.column(2).to_pylist():
                 words = words_of(t)
-                if len(words) < width:
-                    continue
-                for w in set(words).difference(known):
-                    known[w] = xxhash.xxh64_intdigest(w)
-                symbols = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                for part in runs(symbols, width, k):
-                    found.append(part)
-                    row.append(np.full(len(part[0]), i))
+                if len(words) >= width:
+                    for w in set(words).difference(known):
+                        known[w] = xxhash.xxh64_intdigest(w)
+                texts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)) if len(words) >= width else NONE)
+            found = list(runs_of_many(texts, width, k))
             if found:
-                at = pa.array(np.concatenate(row))
-                h, c, start, n = (np.concatenate(x) for x in zip(*found))
+                row, h, c, start, n = (np.concatenate(x) for x in zip(*found))
+                at = pa.array(row)
                 c = c if places else c >> np.uint64(16)  # counted only: 48 bits tell an anchor's contexts apart
                 cols = [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), b.column(0).take(at)]
                 if places:

@@ -90,3 +90,13 @@ def test_very_long_texts(spark):
     docs = spark.createDataFrame([(1, "ab" * 100_000), (2, long), (3, "x" + long), (4, long[1000:1500] + "!"), (5, long[::-1])], "doc_id long, text string")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in B.remove_repeats(docs).collect()}
     assert got == {1: (200_000, 200_000, 1), 2: (300_000, 300_000, 1), 3: (300_001, 300_000, 1), 4: (501, 500, 1), 5: (300_000, 0, 0)}
+
+
+def test_texts_side_by_side(monkeypatch):
+    monkeypatch.setattr(A, "BLOCK", 300)
+    rnd = random.Random(9)
+    for width, k in ((13, 4), (20, 10), (5, 1)):
+        texts = [np.array(rnd.choices(range(4), k=rnd.choice([0, 3, width - 1, width, 40, 150, 900])), np.uint64) for _ in range(60)]
+        want = [(i, *row) for i, x in enumerate(texts) for part in A.runs(x, width, k) for row in zip(*(c.tolist() for c in part))]
+        got = [row for part in A.runs_of_many(texts, width, k) for row in zip(*(c.tolist() for c in part))]
+        assert sorted(got) == sorted(want)
