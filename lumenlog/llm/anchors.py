@@ -56,8 +56,9 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs(symbols: np.ndarray, width: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """For the uint64 symbols of one text, block by block: (h, c, start, n) arrays - the anchor's hash, the context's hash, the
-    first window of the run and how many windows it has. The context is symbols[start : start + n - 1 + width]."""
+    """For the uint64 symbols of one text, block by block: (h, c, start, n, p) arrays - the anchor's hash, the context's hash, the
+    first window of the run, how many windows it has, and the anchor's place in the context, which is
+    symbols[start : start + n - 1 + width]."""
     total = len(symbols) - width + 1
     for at in range(0, max(0, total), BLOCK):
         x = symbols[at:min(at + BLOCK, total) + width - 1]
@@ -71,11 +72,11 @@ def runs(symbols: np.ndarray, width: int, k: int) -> Iterator[tuple[np.ndarray,
         n = np.diff(np.append(first, len(anchor)))
         end = first + n - 1 + width
         context = mix((prefix[end] - prefix[first]) * down[first] + n.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
-        yield grams[anchor[first]], context, first + at, n
+        yield grams[anchor[first]], context, first + at, n, anchor[first] - first
 
 
 def runs_of_many(texts: list[np.ndarray], width: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, h, c, start, n) arrays: ``runs`` of all texts, by text and start. Short texts are laid side by side and handled together;
+    """(text, h, c, start, n, p) arrays: ``runs`` of all texts, by text and start. Short texts are laid side by side and handled together;
     windows that would cross from one to the next are left out."""
     held, size = [], 0
     for i, x in enumerate(texts):
@@ -111,4 +112,4 @@ def _side_by_side(held: list[tuple[int, np.ndarray]], width: int, k: int) -> tup
     n = np.diff(np.append(cut, len(at)))
     first, text = at[cut], owner[cut]
     context = mix((prefix[first + n - 1 + width] - prefix[first]) * down[first] + n.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
-    return np.array([i for i, _ in held])[text], grams[anchor[cut]], context, first - begin[text], n
+    return np.array([i for i, _ in held])[text], grams[anchor[cut]], context, first - begin[text], n, anchor[cut] - first

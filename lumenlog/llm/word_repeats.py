@@ -54,7 +54,7 @@ def occurrences(docs: DataFrame, width: int, k: int, places: bool = True) -> Dat
                 texts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)) if len(words) >= width else NONE)
             found = list(runs_of_many(texts, width, k))
             if found:
-                row, h, c, start, n = (np.concatenate(x) for x in zip(*found))
+                row, h, c, start, n, _ = (np.concatenate(x) for x in zip(*found))
                 at = pa.array(row)
                 c = c if places else c >> np.uint64(16)  # counted only: 48 bits tell an anchor's contexts apart
                 cols = [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), b.column(0).take(at)]

@@ -60,7 +60,7 @@ def test_equal_windows_share_their_anchor(block, monkeypatch):
     x = np.array([rnd.randrange(3) for _ in range(400)] * 2 + [1] * 50, np.uint64)
     anchor = {}
     covered = 0
-    for h, c, start, n in A.runs(x, 12, 5):
+    for h, c, start, n, place in A.runs(x, 12, 5):
         for hh, s, m in zip(h.tolist(), start.tolist(), n.tolist()):
             covered += m
             for i in range(s, s + m):
