@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 import uuid
 
 import pyarrow as pa
@@ -62,6 +63,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files behind the tables written so far. Spark deletes them once the driver has collected the plans they
+    belong to as garbage, which it may not do by itself before the disks are full. Listeners hold a plan for a
+    moment after its job, hence the repetition."""
+    for _ in range(3):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
+
+
 def groups_by_size(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
     """Rows of the groups (h, g) of up to ``limit`` rows, and those of larger ones (None: there are none)."""
     hot = materialize(rows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > limit).select("h", "g"), "hot")

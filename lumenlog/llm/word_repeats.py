@@ -20,8 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.llm.anchors import runs_of_many
-from lumenlog.llm.common import groups_by_size, materialize, row_key, sorted_groups, whole_text
+from lumenlog.llm.anchors import _tables, mix, runs_of_many
+from lumenlog.llm.common import groups_by_size, materialize, release_shuffles, row_key, sorted_groups, whole_text
 
 WIDTH = 13
 #: words of an anchor, as a share of the width: shorter ones are fewer (2 in 14 - k words) but shared by more texts
@@ -30,7 +30,9 @@ ANCHOR_SHARE = 0.32
 PREFIX_SHARE = 0.6
 #: distinct contexts of one anchor that one task holds in a tree (about 100 MB)
 GROUP_LIMIT = 50_000
-NONE = np.zeros(0, np.uint64)
+#: bytes of texts that are hashed together
+GROUP_BYTES = 1 << 20
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -38,20 +40,46 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8").split()
 
 
+def word_symbols(texts: list[str | None]) -> list[np.ndarray]:
+    """The words of each text as 64-bit hashes. Texts are laid side by side and hashed together, GROUP_BYTES at a time; one that
+    is longer than that is taken word by word."""
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+    size = 0
+    for raw in ((t or "").encode("utf-8") for t in texts):
+        if held and size + len(raw) > GROUP_BYTES:
+            out += _hashed(held)
+            held, size = [], 0
+        if len(raw) > GROUP_BYTES:
+            words = raw.split()
+            known = {w: _hashed([w])[0][0] for w in set(words)}
+            out.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+        else:
+            held.append(raw)
+            size += len(raw) + 1
+    return out + _hashed(held)
+
+
+def _hashed(texts: list[bytes]) -> list[np.ndarray]:
+    if not texts:
+        return []
+    raw = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+    blank = BLANK[raw]
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1  # a word begins, ends, begins, ...
+    start, end = edge[::2], edge[1::2]
+    up, down = _tables(len(raw) + 1)
+    prefix = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:len(raw)], dtype=np.uint64)])
+    h = mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+    begin = np.cumsum([1] + [len(t) + 1 for t in texts])
+    at = np.searchsorted(start, begin).tolist()
+    return [h[a:b] for a, b in zip(at, at[1:])]
+
+
 def occurrences(docs: DataFrame, width: int, k: int, places: bool = True) -> DataFrame:
     """(h, c, _id, _th, at): the runs of all texts, at = first window * 65536 + windows; without ``places`` (h, c, _id) only."""
     def run(batches):
-        known: dict[bytes, int] = {}
         for b in batches:
-            texts = []
-            if len(known) > 500_000:
-                known.clear()
-            for t in b.column(2).to_pylist():
-                words = words_of(t)
-                if len(words) >= width:
-                    for w in set(words).difference(known):
-                        known[w] = xxhash.xxh64_intdigest(w)
-                texts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)) if len(words) >= width else NONE)
+            texts = word_symbols(b.column(2).to_pylist())
             found = list(runs_of_many(texts, width, k))
             if found:
                 row, h, c, start, n, _ = (np.concatenate(x) for x in zip(*found))
@@ -182,12 +210,15 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, group_limit: int = GROUP
     k = max(1, int(width * ANCHOR_SHARE))
     anchors = occurrences(known_id, width, k, places=False).groupBy("h").agg(F.min("_id").alias("low"), F.max("_id").alias("high"), F.min("c").alias("a"), F.max("c").alias("b")).where(
         "low < high").select("h", "low", F.expr("a <> b").alias("mixed"))
-    hits = occurrences(known_id, width, k).join(materialize(anchors, "anchors"), "h").where("mixed OR _id > low")
+    anchors = materialize(anchors, "anchors")
+    release_shuffles(docs.sparkSession)
+    hits = occurrences(known_id, width, k).join(anchors, "h").where("mixed OR _id > low")
     # where all contexts are the same the hashes have done their work
     hashes = [F.when(F.col("mixed"), F.col(x)).alias(x) for x in ("h", "c")]
     spans = hits.groupBy("_id", "_th").agg(F.collect_set(F.struct(
         F.expr("CAST(at div 65536 AS INT)").alias("start"), F.expr("CAST(at % 65536 AS INT)").alias("n"), *hashes, "mixed")).alias("spans"))
     texts = materialize(known_id.join(spans, ["_id", "_th"]), "texts")
+    release_shuffles(docs.sparkSession)
 
     mixed = F.filter("spans", lambda s: s["mixed"])
     contexts = _cut(texts.select("_id", "_t", mixed.alias("m")).where("size(m) > 0"), width)

@@ -89,3 +89,17 @@ def test_very_long_texts(spark):
     docs = spark.createDataFrame([(1, "a " * 100_000), (2, long), (3, "x " + long), (4, " ".join(words[10:30]))], "doc_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_removed) for r in W.remove_repeats(docs).collect()}
     assert got == {1: (100_000, 0), 2: (200_000, 0), 3: (200_001, 200_000), 4: (20, 20)}
+
+
+def test_word_symbols(monkeypatch):
+    rnd = random.Random(8)
+    monkeypatch.setattr(W, "GROUP_BYTES", 60)
+    texts = [None, "", " ", "\t\n"] + ["".join(rnd.choices(["a", "b", "ab", "é", " ", "  ", "\n", "\x0b", "\x00", "\xa0", "\x1c"], k=rnd.choice([1, 5, 20, 200])))
+                                      for _ in range(300)]
+    symbol = {}
+    for t, got in zip(texts, W.word_symbols(texts), strict=True):
+        words = W.words_of(t)
+        assert len(got) == len(words)
+        for w, h in zip(words, got.tolist()):
+            assert symbol.setdefault(w, h) == h
+    assert len(set(symbol.values())) == len(symbol) > 100
