@@ -383,7 +383,7 @@ def write_vault(compiled: DataFrame, out_dir: str, events: DataFrame | None = No
     from lumenlog.plans.export import write_blocks
     index = render_index(compiled, days, concepts, DY.weight_distribution(compiled), DY.status_counts(concepts),
                          updated)
-    write_blocks(index, f"{out_dir.rstrip('/')}/index", partitions=1)
+    write_blocks(index, f"{out_dir.rstrip('/')}/index")
     return published.groupBy("kind", "action").agg(F.count(F.lit(1)).cast("bigint").alias("documents"))
 
 

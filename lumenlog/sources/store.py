@@ -43,11 +43,13 @@ def _folded(text: Column) -> Column:
     return F.lower(F.translate(text, *FOLDED))
 
 
-def _gram_hashes(text: Column) -> Column:
-    """Hashes of the distinct 3-grams of a text."""
-    n = F.length(text) - GRAM + 1
-    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                                                      lambda i: F.xxhash64(F.substr(text, i, F.lit(GRAM))))))
+def _grams(text: Column) -> Column:
+    """All 3-grams of a text, in one pass of a pattern that looks ahead."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
+
+
+def _bucket(gram: Column) -> Column:
+    return F.pmod(gram, F.lit(64)).cast("int")
 
 
 def write_epoch(raw: DataFrame, store: str, epoch: int) -> None:
@@ -75,8 +77,8 @@ def write_epoch(raw: DataFrame, store: str, epoch: int) -> None:
     heads = SS.session_heads(lines, "file_path", head_splits(split_table(raw))).drop("msg_count")
     listed = U.session_usage(files, messages_of(lines), "file_path").drop("total_tokens", "cost_usd").join(heads, "file_path", "left")
     write(listed, "sessions")
-    grams = messages_of(lines).select("file_path", F.explode(_gram_hashes(_folded(F.col("content_text")))).alias("gram"))
-    grams = grams.distinct().withColumn("bucket", F.expr("pmod(gram, 64)").cast("int"))
+    grams = messages_of(lines).select("file_path", F.explode(_grams(_folded(F.col("content_text")))).alias("g"))
+    grams = grams.select("file_path", F.xxhash64("g").alias("gram")).distinct().withColumn("bucket", _bucket(F.col("gram")))
     write(grams.repartitionByRange("bucket", "gram"), "grams", "bucket", ("bucket", "gram", "file_path"))
 
 
@@ -111,11 +113,10 @@ class Store:
         text = term.lower()
         if len(text) < GRAM or any(not c.isascii() and c.lower() != c.upper() for c in term):
             return None
-        spark = self.grams.sparkSession
         wanted = sorted({text[i:i + GRAM] for i in range(len(text) - GRAM + 1)})
-        hashes = [r[0] for r in spark.createDataFrame([(g,) for g in wanted], "g string").select(F.xxhash64("g")).toLocalIterator()]
-        found = self.grams.where(F.col("bucket").isin(sorted({h % 64 for h in hashes})) & F.col("gram").isin(hashes))
-        return found.groupBy("file_path").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(set(hashes))).select("file_path")
+        hashes = [F.xxhash64(F.lit(g)) for g in wanted]  # folded to constants: the buckets prune folders
+        found = self.grams.where(reduce(lambda a, h: a | ((F.col("bucket") == _bucket(h)) & (F.col("gram") == h)), hashes, F.lit(False)))
+        return found.groupBy("file_path").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(wanted)).select("file_path")
 
     def search(self, terms: list[str], **options) -> DataFrame:
         """P7 over the lines of candidate files only: the rows of ``search.search`` over all messages. The index serves literal

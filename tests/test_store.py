@@ -116,7 +116,9 @@ def test_recent_days_and_rare_terms_read_little(spark, tmp_path):
     assert s.count() == 3 and lines.select("file_path").distinct().count() == 3
     plan = lines._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "modified_day" in plan.split("PartitionFilters")[1][:200]
-    assert [r.file_path for r in store.candidate_files("unheard").collect()] == [f"file:{rare}"]
+    candidates = store.candidate_files("unheard")
+    assert [r.file_path for r in candidates.collect()] == [f"file:{rare}"]
+    assert "bucket" in candidates._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:300]
     found = store.search(["unheard"])
     spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
     assert "EqualTo(file_path" in found._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1]
