@@ -16,7 +16,7 @@ LLM = pathlib.Path(__file__).resolve().parents[2] / "lumenlog" / "llm"
 
 def test_one_query_per_operator():
     names = E.queries()
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert set(ORACLE) <= set(QUERIES) <= set(names)
 
 
