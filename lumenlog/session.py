@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import warnings
 
 from pyspark.sql import SparkSession
 
@@ -29,7 +30,7 @@ def build_spark(master: str | None = None, app: str = "lumenlog", shuffle_partit
     conf = dict(REQUIRED_CONF)
     conf.setdefault("spark.ui.enabled", "false")
     conf.setdefault("spark.ui.showConsoleProgress", "false")
-    conf.setdefault("spark.driver.memory", "16g")
+    conf.setdefault("spark.driver.memory", "8g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -46,8 +47,9 @@ def apply_required_conf(spark: SparkSession) -> None:
     for k, v in REQUIRED_CONF.items():
         try:
             spark.conf.set(k, v)
-        except Exception:  # static conf on an existing session: leave as is
-            pass
+        except Exception as e:  # a static setting of an existing session stays as it is
+            if str(spark.conf.get(k, "")).lower() != v.lower():
+                warnings.warn(f"{k} could not be set to {v}, which the operators assume: {e}", stacklevel=2)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
