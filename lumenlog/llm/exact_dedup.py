@@ -36,6 +36,9 @@ def exact_dedup(docs: DataFrame, support: float = DEFAULT_SUPPORT, id_col: str =
 
     marked = digests.join(F.broadcast(heavy), "text_sha256", "left")
     rest = digests.join(F.broadcast(heavy), "text_sha256", "left_anti")
-    rest = rest.join(rest.groupBy("text_sha256").agg(*per_text), "text_sha256")
+    # written, so that both sides of the join are plain exchanges and AQE can split a key that is just not frequent
+    several = materialize(rest.groupBy("text_sha256").agg(*per_text).where("group_size >= 2"), "several")
+    rest = rest.join(several, "text_sha256", "left").withColumns(
+        {"keep_id": F.coalesce("keep_id", "doc_id"), "group_size": F.coalesce("group_size", F.lit(1)).cast("long")})
     cols = ["doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256"]
     return marked.where("group_size IS NOT NULL").select(*cols).union(rest.select(*cols))
