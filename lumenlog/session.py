@@ -16,9 +16,9 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # no Python call-site capture per DataFrame call (pure driver-side overhead)
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
+# no Python call-site capture per DataFrame call (pure driver-side overhead); static, so only a new session takes it
+START_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def build_spark(master: str | None = None, app: str = "lumenlog", shuffle_partitions: int | None = None,
@@ -27,7 +27,7 @@ def build_spark(master: str | None = None, app: str = "lumenlog", shuffle_partit
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    conf = dict(REQUIRED_CONF)
+    conf = {**REQUIRED_CONF, **START_CONF}
     conf.setdefault("spark.ui.enabled", "false")
     conf.setdefault("spark.ui.showConsoleProgress", "false")
     conf.setdefault("spark.driver.memory", "8g")
@@ -47,9 +47,8 @@ def apply_required_conf(spark: SparkSession) -> None:
     for k, v in REQUIRED_CONF.items():
         try:
             spark.conf.set(k, v)
-        except Exception as e:  # a static setting of an existing session stays as it is
-            if str(spark.conf.get(k, "")).lower() != v.lower():
-                warnings.warn(f"{k} could not be set to {v}, which the operators assume: {e}", stacklevel=2)
+        except Exception as e:  # the session keeps its own
+            warnings.warn(f"{k} could not be set to {v}, which the operators assume: {e}", stacklevel=2)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
