@@ -23,6 +23,7 @@ from lumenlog.functions.fixed_values import (
     TRAIL_HEADING,
 )
 from lumenlog.functions.text import plain_path, regex_escape
+from lumenlog.sources.files import arrow_opens, read_whole_files
 
 DATE = r"(\d{4}-\d{2}-\d{2})"
 
@@ -62,13 +63,19 @@ def read_whole_texts(spark: SparkSession, paths: list[str] | str, patterns: list
 
 
 def scan_notes(spark: SparkSession, mapping: dict[str, str] | DataFrame, companion: str = COMPANION_NOTE) -> DataFrame:
-    """SC14: mapped note files (path -> concept; a dict, or a DataFrame of a user's few entries) joined to their text; missing
-    files ignored. Also attaches the ``companion`` note (same folder) when present. Notes and companions are one scan."""
+    """SC14: mapped note files (path -> concept; a dict, or a DataFrame) joined to their text; missing files ignored. Also attaches the
+    ``companion`` note (same folder) when present. Tasks read the files, so the mapping may be long; only in stores that Spark's readers
+    alone reach its paths are listed on the driver."""
     if isinstance(mapping, dict):
         mapping = spark.createDataFrame(list(mapping.items()), "path string, concept string")
-    paths = [r["path"] for r in mapping.select("path").distinct().collect()]  # the mapping is a small parameter
-    beside = {p.rsplit("/", 1)[0] + "/" + companion for p in paths}
-    texts = read_whole_texts(spark, sorted({*paths, *beside}))
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    beside = mapping.select(F.concat(folder, F.lit("/" + companion)).alias("path"))
+    wanted = mapping.select("path").union(beside)
+    stores = [r["s"] for r in mapping.select(F.regexp_extract("path", "^([^/:]+:/[^/]*/[^/]*/|/|)", 1).alias("s")).distinct().collect()]
+    if all(arrow_opens(spark, s) for s in stores):
+        texts = read_whole_files(wanted)
+    else:
+        texts = read_whole_texts(spark, [r["path"] for r in wanted.distinct().orderBy("path").collect()])
     notes = texts.join(mapping, "path")
     comp = texts.where(F.regexp_extract("path", "([^/]+)$", 1) == companion).select(
         F.regexp_replace("path", "/[^/]+$", "").alias("_dir"), F.col("content").alias("companion"),

@@ -313,12 +313,11 @@ def publish_documents(day_docs: DataFrame, concept_docs: DataFrame, concepts: Da
 
 
 def write_documents(docs: DataFrame, out_dir: str) -> None:
-    """Write (path, content) documents as files under ``out_dir``, by the writer of ``sources.documents``: staged by tasks, moved when
-    the job commits. Of several rows with the same path the last one moved stays."""
-    from lumenlog.sources.documents import DocumentSource
+    """Write (path, content) documents as files under ``out_dir``, by the writer of ``sources.documents``: staged by tasks, moved by
+    tasks when all are staged. Of several rows with the same path the last one moved stays."""
+    from lumenlog.sources.documents import save_documents
 
-    docs.sparkSession.dataSource.register(DocumentSource)
-    docs.select("path", "content").write.format(DocumentSource.name()).mode("append").save(out_dir)
+    save_documents(docs, out_dir)
 
 
 def read_documents(spark, out_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 ``df.select("path", "content").write.format("lumenlog_documents").mode("append").save(folder)`` writes one file per row. Tasks stage their
 files in a hidden folder beside the documents; only what committed tasks staged is moved to its place, when the whole job commits.
 A task attempt that fails, or is lost, or runs twice, leaves no document; a job that fails removes all it staged.
+``save_documents`` has the moves done by tasks too, so that the driver only handles a line per task, however many documents there are.
 
 Folders are paths or URIs of any file system that Arrow opens (local mounts, hdfs, viewfs, s3, gs).
 """
@@ -15,12 +16,19 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-#: moves under way at once when a job commits
+#: moves under way at once in a process, where a move is a call to another machine
 MOVES = 16
+#: documents that one task moves at a time
+MOVED_TOGETHER = 10_000
 MANIFEST = "manifest"
+#: in the staging folder: the folders of the committed task attempts, where tasks are to move the documents
+COMMITTED = "committed"
 
 
 def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
@@ -47,10 +55,47 @@ class Staged(WriterCommitMessage):
     documents: int
 
 
-class DocumentWriter(DataSourceWriter):
-    def __init__(self, folder: str):
+def move_staged(files: fs.FileSystem, base: str, folder: str, first: int = 0, end: int | None = None) -> int:
+    """Move documents first to end - 1 of a staged folder to their places below ``base``; those an earlier attempt has moved stay there."""
+    with files.open_input_stream(f"{folder}/{MANIFEST}") as lines:
+        paths = [json.loads(x) for x in lines.readall().decode("utf-8").splitlines()[first:end]]
+    for parent in sorted({p.rsplit("/", 1)[0] for p in paths if "/" in p}):
+        files.create_dir(f"{base}/{parent}", recursive=True)
+
+    def move(task):
+        source, target = f"{folder}/{task[0]}", f"{base}/{task[1]}"
+        try:
+            files.move(source, target)
+        except OSError:
+            at, to = files.get_file_info([source, target])
+            if to.type != fs.FileType.File:
+                raise
+            if at.type == fs.FileType.File:  # a file system whose move does not replace
+                files.delete_file(target)
+                files.move(source, target)
+
+    tasks = enumerate(paths, first)
+    if isinstance(files, fs.LocalFileSystem):  # threads would only wait for each other
+        for task in tasks:
+            move(task)
+    else:
+        with ThreadPoolExecutor(MOVES) as pool:
+            list(pool.map(move, tasks))
+    return len(paths)
+
+
+def clear_staging(folder: str, staging: str) -> None:
+    files, base = open_folder(folder)
+    if files.get_file_info(f"{base}/{staging}").type == fs.FileType.Directory:
+        files.delete_dir(f"{base}/{staging}")
+
+
+class DocumentWriter(DataSourceArrowWriter):
+    def __init__(self, folder: str, staging: str | None = None):
+        """With a ``staging`` folder of its own the caller moves the documents: a commit then only lists the committed attempts there."""
         self.folder = folder.rstrip("/")
-        self.staging = f".staging-{uuid.uuid4().hex}"
+        self.listed_only = staging is not None
+        self.staging = staging or f".staging-{uuid.uuid4().hex}"
 
     def write(self, iterator):
         from pyspark import TaskContext
@@ -59,60 +104,34 @@ class DocumentWriter(DataSourceWriter):
         files, base = open_folder(self.folder)
         own = f"{base}/{self.staging}/{context.partitionId()}-{context.taskAttemptId()}"
         files.create_dir(own, recursive=True)
-        paths = []
+        n = 0
         try:
-            for row in iterator:
-                paths.append(relative(row["path"]))
-                with files.open_output_stream(f"{own}/{len(paths) - 1}") as out:
-                    out.write((row["content"] or "").encode("utf-8"))
-            with files.open_output_stream(f"{own}/{MANIFEST}") as out:
-                for p in paths:
-                    out.write((json.dumps(p) + "\n").encode("utf-8"))
+            with files.open_output_stream(f"{own}/{MANIFEST}") as manifest:
+                for batch in iterator:
+                    for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
+                        manifest.write((json.dumps(relative(path)) + "\n").encode("utf-8"))
+                        with files.open_output_stream(f"{own}/{n}") as out:
+                            out.write((content or "").encode("utf-8"))
+                        n += 1
         except BaseException:
             files.delete_dir(own)
             raise
-        return Staged(own, len(paths))
+        return Staged(own, n)
 
     def commit(self, messages):
         files, base = open_folder(self.folder)
-
-        def move(task):
-            source, path = task
-            target = f"{base}/{path}"
-            if "/" in path:
-                files.create_dir(target.rsplit("/", 1)[0], recursive=True)
-            try:
-                files.move(source, target)
-            except OSError:  # a file system whose move does not replace
-                if files.get_file_info(target).type != fs.FileType.File:
-                    raise
-                files.delete_file(target)
-                files.move(source, target)
-
-        def staged():
-            for m in messages:
-                if m is not None and m.documents:
-                    with files.open_input_stream(f"{m.folder}/{MANIFEST}") as lines:
-                        for i, line in enumerate(lines.readall().decode("utf-8").splitlines()):
-                            yield f"{m.folder}/{i}", json.loads(line)
-
-        with ThreadPoolExecutor(MOVES) as pool:
-            held = []
-            for task in staged():
-                held.append(task)
-                if len(held) == 1000:
-                    list(pool.map(move, held))
-                    held = []
-            list(pool.map(move, held))
-        self._clear()
+        staged = [m for m in messages if m is not None and m.documents]
+        if self.listed_only:
+            files.create_dir(f"{base}/{self.staging}", recursive=True)
+            with files.open_output_stream(f"{base}/{self.staging}/{COMMITTED}") as out:
+                out.write(json.dumps([[m.folder, m.documents] for m in staged]).encode("utf-8"))
+            return
+        for m in staged:
+            move_staged(files, base, m.folder)
+        clear_staging(self.folder, self.staging)
 
     def abort(self, messages):
-        self._clear()
-
-    def _clear(self):
-        files, base = open_folder(self.folder)
-        if files.get_file_info(f"{base}/{self.staging}").type == fs.FileType.Directory:
-            files.delete_dir(f"{base}/{self.staging}")
+        clear_staging(self.folder, self.staging)
 
 
 class DocumentSource(DataSource):
@@ -124,4 +143,28 @@ class DocumentSource(DataSource):
         return "path string, content string"
 
     def writer(self, schema, overwrite):
-        return DocumentWriter(self.options["path"])
+        return DocumentWriter(self.options["path"], self.options.get("staging"))
+
+
+def save_documents(docs: DataFrame, folder: str, together: int = MOVED_TOGETHER) -> None:
+    """Write (path, content) documents below ``folder``: staged by one job's tasks, moved by another's."""
+    spark = docs.sparkSession
+    spark.dataSource.register(DocumentSource)
+    folder, staging = folder.rstrip("/"), f".staging-{uuid.uuid4().hex}"
+    try:
+        docs.select("path", "content").write.format(DocumentSource.name()).option("staging", staging).mode("append").save(folder)
+        files, base = open_folder(folder)
+        with files.open_input_stream(f"{base}/{staging}/{COMMITTED}") as listed:
+            staged = json.loads(listed.readall())
+
+        def move(batches):
+            files, base = open_folder(folder)
+            for b in batches:
+                n = [move_staged(files, base, *part) for part in zip(*(c.to_pylist() for c in b.columns))]
+                yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], names=["moved"])
+
+        parts = [(own, first, min(first + together, n)) for own, n in staged for first in range(0, n, together)]
+        if parts:
+            spark.createDataFrame(parts, "own string, first long, end long").mapInArrow(move, "moved long").agg(F.sum("moved")).first()
+    finally:
+        clear_staging(folder, staging)

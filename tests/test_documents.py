@@ -85,6 +85,45 @@ def test_lost_attempts_are_not_moved(tmp_path):
     assert (tmp_path / "a, {b}" / "c.md").read_text() == "kept"
 
 
+def test_tasks_move_documents(spark, tmp_path, monkeypatch):
+    """The moves of a large write are dealt to tasks; the commit on the driver only lists the committed attempts."""
+    from lumenlog.sources import documents as SD
+
+    monkeypatch.setattr(SD, "ThreadPoolExecutor", None)
+    docs = spark.createDataFrame([(f"d{i % 3}/{i}.md", f"text {i}") for i in range(50)], "path string, content string").repartition(2)
+    SD.save_documents(docs, str(tmp_path), together=7)
+    assert {p.relative_to(tmp_path).as_posix(): p.read_text() for p in tmp_path.rglob("*") if p.is_file()} == {
+        f"d{i % 3}/{i}.md": f"text {i}" for i in range(50)}
+    w = SD.DocumentWriter(str(tmp_path), ".staging-own")
+    (tmp_path / ".staging-own" / "0-1").mkdir(parents=True)
+    (tmp_path / ".staging-own" / "0-1" / "0").write_text("new")
+    (tmp_path / ".staging-own" / "0-1" / "manifest").write_text('"e/new.md"\n')
+    w.commit([SD.Staged(str(tmp_path / ".staging-own" / "0-1"), 1)])
+    assert not (tmp_path / "e").exists() and (tmp_path / ".staging-own" / "committed").exists()
+    files, base = SD.open_folder(str(tmp_path))
+    for _ in range(2):  # again, as a task that is repeated does
+        assert SD.move_staged(files, base, str(tmp_path / ".staging-own" / "0-1")) == 1
+    assert (tmp_path / "e" / "new.md").read_text() == "new"
+
+
+def test_many_notes_are_read_by_tasks(spark, tmp_path, monkeypatch):
+    """A long mapping makes no pattern of all its paths and does not pass through the driver."""
+    monkeypatch.setattr(N, "read_whole_texts", None)
+    for i in range(120):
+        (tmp_path / f"p{i}").mkdir()
+        (tmp_path / f"p{i}" / "CLAUDE.md").write_bytes(b"" if i == 7 else f"\ufeffnote {i}\r\n".encode() + b"\xff")
+        if i % 3 == 0:
+            (tmp_path / f"p{i}" / "CONTEXT.md").write_text(f"beside {i}")
+    (tmp_path / "p1" / "_hidden.md").write_text("not read")
+    mapping = spark.range(200).selectExpr(f"concat('{tmp_path}/p', id, '/CLAUDE.md') AS path", "concat('C', id) AS concept").union(
+        spark.createDataFrame([(f"{tmp_path}/p1/_hidden.md", "H"), (f"{tmp_path}/p3/CLAUDE.md", "again")], "path string, concept string"))
+    got = {r.concept: r for r in N.scan_notes(spark, mapping).selectExpr("*", "hex(content) AS x", "unix_millis(mtime) AS ms").collect()}
+    assert set(got) == {f"C{i}" for i in range(120) if i != 7} | {"again"}  # missing, empty and hidden ones are no notes
+    assert bytes.fromhex(got["C9"].x) == "\ufeffnote 9\r\n".encode() + b"\xff" and got["C9"].companion == "beside 9"
+    assert got["again"].x == got["C3"].x and got["C4"].companion is None
+    assert got["C9"].ms == (tmp_path / "p9" / "CLAUDE.md").stat().st_mtime_ns // 1_000_000
+
+
 def test_note_sync(spark):
     notes = spark.createDataFrame([
         ("/p/a/CLAUDE.md", "Kafka", "## Current Status (2026-03-05)\n\n- shipped the **v2** api\n", dt.datetime(2026, 1, 1)),
