@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from lumenlog.functions.fixed_values import CONTENT_TYPES, HEAD_LINES
 from lumenlog.functions.project import project_name
 from lumenlog.session import checkpoint_dir
+from lumenlog.sources.files import arrow_opens, read_log_lines
 
 UUID_STEM = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
@@ -318,16 +319,21 @@ def load_session_logs(spark: SparkSession, root: str, include_agents: bool = Fal
 def scan_tool_events(spark: SparkSession, obs_root: str, persist: bool = True) -> DataFrame:
     """SC13: tool events; session id = file stem (not the event's own field), obs_date
     = directory name; blank/malformed lines and events without a tool name skipped."""
-    raw = read_raw_lines(spark, [f"{obs_root.rstrip('/')}/*/*.jsonl"], None, persist=False)
-    v = raw.select("file_path", "line_no", F.expr("try_parse_json(value)").alias("v")).where(
+    raw = None
+    if arrow_opens(spark, obs_root) and not re.search(r"[\\{}\[\]*?]", obs_root):  # a plain folder: one log a session and day, so many
+        raw = read_log_lines(spark, obs_root, ROW_BITS)
+    if raw is None:
+        raw = read_raw_lines(spark, [f"{obs_root.rstrip('/')}/*/*.jsonl"], None, persist=False)
+    # out of an array, so that the conditions below use the parsed line (pushed below a projection they would parse it again, each)
+    v = raw.select("file_path", "line_no", F.explode(F.array(F.expr("try_parse_json(value)"))).alias("v")).where(
         F.col("v").isNotNull()).where(F.expr("startswith(schema_of_variant(v), 'OBJECT')"))
 
     def inp(k):
         return f"coalesce(try_variant_get(v, '$.tool_input.{k}', 'string'), '') AS {k}"
 
     out = v.selectExpr(
-        "regexp_extract(file_path, '([^/]+)\\\\.jsonl$', 1) AS session_id",
-        "regexp_extract(file_path, '([^/]+)/[^/]+\\\\.jsonl$', 1) AS obs_date",
+        "regexp_replace(substring_index(file_path, '/', -1), '\\\\.jsonl$', '') AS session_id",
+        "substring_index(substring_index(file_path, '/', -2), '/', 1) AS obs_date",
         "line_no",
         "try_variant_get(v, '$.tool_name', 'string') AS tool_name",
         inp("file_path"), inp("command"), inp("url"), inp("query"))

@@ -198,6 +198,32 @@ def test_tool_events(spark, tmp_path):
     assert [(t["tool_name"], t["count"]) for t in summ["other"].tools_used] == [("Read", 1)]
 
 
+def test_tool_event_logs_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """No listing of every file on the driver, no task per few dozen files; the lines are those of Spark's text source."""
+    from lumenlog.sources import files as FI
+
+    bodies = {"a": b"\xef\xbb\xbf{\"tool_name\": \"Read\"}\r\n\r\nx\ry\n", "b": b"", "c": b"last \xff without end", "d": b"\n\n",
+              "_h": b"hidden\n", "l": b"".join(b"%d " % i * (i % 9) + (b"\r\n" if i % 4 else b"\n") for i in range(300))}
+    for i, (name, body) in enumerate(bodies.items()):
+        (tmp_path / f"2026-03-0{i % 2 + 1}").mkdir(exist_ok=True)
+        (tmp_path / f"2026-03-0{i % 2 + 1}" / f"{name}.jsonl").write_bytes(body)
+    (tmp_path / "top.jsonl").write_text("in no folder")
+    scan = J.order_lines(J._text_scan(spark, [f"{tmp_path}/*/*.jsonl"])).drop("block_start")
+
+    def lines(df):
+        rows = df.selectExpr("regexp_extract(file_path, '([^/]+/[^/]+)$', 1) AS f", "line_no", "hex(value) AS x").orderBy("f", "line_no").collect()
+        return [(r.f, r.x) for r in rows]
+
+    want = lines(scan)
+    assert len(want) > 300
+    for split in (1, 5, 64, 1 << 20):
+        got = FI.read_log_lines(spark, str(tmp_path), J.ROW_BITS, split)
+        assert lines(got) == want and got.select("file_path", "line_no").distinct().count() == len(want)
+    monkeypatch.setattr(J, "read_raw_lines", None)
+    assert [(r.session_id, r.obs_date, r.tool_name, r.line_no) for r in J.scan_tool_events(spark, str(tmp_path)).collect()] == [
+        ("a", "2026-03-01", "Read", 1)]
+
+
 def test_lines_with_agents_union(spark, session_tree):
     s, lines = J.load_session_logs(spark, str(session_tree), include_agents=True)
     got = sorted((r.session_id, r.n) for r in lines.groupBy("session_id").count().withColumnRenamed("count", "n")
