@@ -217,6 +217,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, group_limit: int = GROUP
     hashes = [F.when(F.col("mixed"), F.col(x)).alias(x) for x in ("h", "c")]
     spans = hits.groupBy("_id", "_th").agg(F.collect_set(F.struct(
         F.expr("CAST(at div 65536 AS INT)").alias("start"), F.expr("CAST(at % 65536 AS INT)").alias("n"), *hashes, "mixed")).alias("spans"))
+    # written before the texts are shuffled: the occurrences' shuffle files, the largest of all, are gone by then
+    spans = materialize(spans, "spans")
+    release_shuffles(docs.sparkSession)
     texts = materialize(known_id.join(spans, ["_id", "_th"]), "texts")
     release_shuffles(docs.sparkSession)
 

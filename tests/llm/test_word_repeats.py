@@ -103,3 +103,16 @@ def test_word_symbols(monkeypatch):
         for w, h in zip(words, got.tolist()):
             assert symbol.setdefault(w, h) == h
     assert len(set(symbol.values())) == len(symbol) > 100
+
+
+def test_occurrences_are_let_go_before_texts_are_shuffled(spark, monkeypatch):
+    """Texts and the occurrences of all windows never lie in shuffle files at the same time."""
+    steps = []
+    write, release = W.materialize, W.release_shuffles
+    monkeypatch.setattr(W, "materialize", lambda df, name: (steps.append(name), write(df, name))[1])
+    monkeypatch.setattr(W, "release_shuffles", lambda s: (steps.append("release"), release(s))[1])
+    passage = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, passage), (2, f"a b {passage} c"), (3, "nothing else")], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in W.remove_repeats(docs).collect()}
+    assert got == {1: 0, 2: 20, 3: 0}
+    assert steps[steps.index("anchors"):steps.index("texts")] == ["anchors", "release", "spans", "release"]
